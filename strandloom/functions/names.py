@@ -33,7 +33,7 @@ def genus(species: Column) -> Column:
 
 def split_set(value: Column, sep: str = ";") -> Column:
     """Trimmed, non-blank, distinct members of a joined set, sorted."""
-    parts = F.transform(F.split(F.coalesce(value.cast("string"), F.lit("")), sep), F.trim)
+    parts = F.transform(F.split(F.coalesce(value.cast("string"), F.lit("")), sep), lambda x: F.trim(x))
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
 
 
@@ -43,7 +43,7 @@ def join_set(values: Column, sep: str = ";") -> Column:
 
 def label_list(value: Column) -> Column:
     """Labels parted by commas or semicolons, in order, joined by ``; ``."""
-    parts = F.transform(F.split(F.coalesce(value.cast("string"), F.lit("")), "[,;]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(value.cast("string"), F.lit("")), "[,;]"), lambda x: F.trim(x))
     return F.array_join(F.filter(parts, lambda x: x != ""), "; ")
 
 

@@ -1,4 +1,4 @@
 """All registered queries over the driver's tables, with the SQL that gives the same rows."""
 
-from . import q_functions  # noqa: F401
+from . import q_functions, q_panel  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
