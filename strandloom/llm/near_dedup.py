@@ -5,7 +5,7 @@ with nothing). Documents are linked when the Jaccard similarity of full sets rea
 components of links are the groups.
 
 Method. Rows with equal sets form a class, whose node is its smallest doc_id. A class has a signature of
-``SYMBOLS`` b-bit MinHash symbols; the first ``CHUNKS * CHUNK`` are split into chunks. For each chunk a key
+``SYMBOLS`` b-bit MinHash symbols, which is split into chunks. For each chunk a key
 is made for every way of leaving one symbol out, so that two signatures whose distance is at most
 2 * CHUNKS - 1 share a key (pigeonhole: some chunk then has at most one error). Pairs that share no key
 despite a Jaccard similarity of 0.75 have probability 0.262 ** CHUNKS, 1e-7.
@@ -13,9 +13,9 @@ despite a Jaccard similarity of 0.75 have probability 0.262 ** CHUNKS, 1e-7.
 Within a key's bucket all pairs are never emitted. Each member is first compared, on full sets, with the
 bucket's smallest node; components of these links are taken; then only pairs that lie in different
 components can matter, at least one of them apart from the leader's component. Of those the triangle
-inequality of the Jaccard distance against the leader, the ratio of set sizes and the distance of packed
-signatures (5.5 standard deviations allowed) rule out nearly all inside the join; the rest are compared on
-full sets too. No bucket, partner or candidate is capped.
+inequality of the Jaccard distance against the leader, the ratio of set sizes and the distance of longer
+one-bit sketches (5 standard deviations allowed) rule out nearly all inside the join; the rest are compared on
+full sets too, each pair once. No bucket, partner or candidate is capped.
 
 Nulls: text null counts as empty; a row without doc_id takes its class's node. Rows that share a doc_id
 are one node. Empty tables give empty results. Further columns are ignored by ``near_duplicates`` and kept
@@ -24,25 +24,30 @@ by ``near_dedup``.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, fresh_name, materialise, shingle_sets
 
-CHUNKS, CHUNK, SYMBOLS, WORDS = 12, 4, 96, 5
-#: Differing 4-bit symbols of 96 allowed at similarity 0.75: 22.5 expected, 5.5 standard deviations more.
-FAR = 45
+CHUNKS, CHUNK, WORDS = 12, 4, 5
+SYMBOLS = CHUNKS * CHUNK
+#: One-bit symbols of a sketch, and how many may differ at similarity 0.75: 128 expected, 5 standard deviations more.
+SKETCH, FAR = 1024, 181
 #: Members that are compared with one hub in one task.
 HUB = 2000
 
 _R = np.random.default_rng(97531)
 _XOR = _R.integers(0, 2**32, SYMBOLS, dtype=np.uint32)[:, None]
 _TIMES = (_R.integers(0, 2**31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_SKETCH_XOR = _R.integers(0, 2**32, SKETCH, dtype=np.uint32)[:, None]
+_SKETCH_TIMES = (_R.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -68,10 +73,16 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def packed(signatures: np.ndarray) -> np.ndarray:
-    """The low four bits of each symbol, 16 symbols in a long."""
-    nibbles = (signatures & 15).astype(np.uint64).reshape(len(signatures), -1, 16)
-    return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """One bit of each of SKETCH further MinHash symbols, as 64-bit integers."""
+    x, bits = (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32), []
+    for f in range(0, SKETCH, 64):
+        low = np.full(64, 2**32 - 1, np.uint32)
+        for i in range(0, len(x), 2048):
+            np.minimum(low, ((x[i : i + 2048] ^ _SKETCH_XOR[f : f + 64]) * _SKETCH_TIMES[f : f + 64]).min(1), out=low)
+        low = (low ^ (low >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        bits.append((low >> np.uint32(24)) & np.uint32(1))
+    return np.packbits(np.concatenate(bits).astype(np.uint8)).view(np.int64)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,10 +105,19 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1]))], ["key", "node"])
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SHAPE = [f"c{i}" for i in range(CHUNKS)] + [f"s{i}" for i in range(SKETCH // 64)]
+
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From sets: their sizes, chunks of signatures (four symbols a long) and sketches."""
     for b in batches:
-        p = packed(_signatures(b.column(1)))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *map(pa.array, np.ascontiguousarray(p.T))], ["node", "n", *(f"s{i}" for i in range(p.shape[1]))])
+        sizes, rows = [], []
+        for raw in b.column(1):
+            x = np.frombuffer(raw.as_py(), np.uint64)
+            sizes.append(len(x))
+            rows.append(np.concatenate((signature(x).view("<i8"), sketch(x))))
+        cols = np.array(rows, np.int64).reshape(-1, len(_SHAPE)).T
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in cols)], ["node", "n", *_SHAPE])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +147,18 @@ def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "both", "either"])
 
 
-def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sizes of intersection and union of the full sets of each pair (a, b) of nodes; ``pairs`` is a written table."""
+def shingle_table(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The full sets (node, shingles) of all nodes in pairs (a, b), as a written table."""
     nodes = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "nodes")
     texts = docs.join(broadcast_if_small(nodes), "doc_id", "left_semi").select("doc_id", "text")
-    sets = materialise(texts.mapInArrow(_sets, "node long, shingles binary").filter(F.length("shingles") > 0), "sets")
+    return materialise(texts.mapInArrow(_sets, "node long, shingles binary").filter(F.length("shingles") > 0), "sets")
+
+
+def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Sizes of intersection and union of the full sets of each pair (a, b) of nodes; both arguments are written tables.
+
+    A hub's set is sent once for every HUB of its partners, each partner's once per pair.
+    """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
     hubs = parts.join(sets, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "shingles")
     members = pairs.join(parts, "a").join(sets, F.col("b") == F.col("node")).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "shingles")
@@ -161,15 +188,24 @@ def components(edges: DataFrame, label: str = "labels") -> DataFrame:
             return labels
 
 
-def _apart(left: str, right: str) -> F.Column:
-    """Number of differing 4-bit symbols."""
-    total = None
-    for i in range(SYMBOLS // 16):
-        x = F.col(f"{left}.s{i}").bitwiseXOR(F.col(f"{right}.s{i}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        total = F.bit_count(x) if total is None else total + F.bit_count(x)
-    return total
+def _apart(left: str, right: str) -> Column:
+    """Number of differing bits of two sketches."""
+    return reduce(operator.add, (F.bit_count(F.col(f"{left}.s{i}").bitwiseXOR(F.col(f"{right}.s{i}"))) for i in range(SKETCH // 64)))
+
+
+def _first_shared(left: str, right: str) -> Column:
+    """Whether the row's key is the first that both signatures share, so that a pair is made in one bucket only."""
+    index = F.shiftright(F.col(f"{left}.key"), 48).cast("int")
+    fine = []
+    for i in range(CHUNKS):
+        x = F.col(f"{left}.c{i}").bitwiseXOR(F.col(f"{right}.c{i}"))
+        y = x
+        for step in (8, 4, 2, 1):
+            y = y.bitwiseOR(F.shiftrightunsigned(y, step))
+        errors = F.bit_count(y.bitwiseAND(F.lit(0x0001000100010001)))
+        fine.append((index < CHUNK * (i + 1)) | (errors > 1))
+        fine.append((index <= CHUNK * i) | (index >= CHUNK * (i + 1)) | (x != 0))
+    return reduce(operator.and_, fine)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,14 +214,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         raise ValueError("percent: 75 to 100; keys and bounds are laid out for similarities of 0.75 or more")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     features = materialise(docs.mapInArrow(_features, "doc_id long, n_shingles long, class binary, signature binary"), "features")
-    classes = features.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = features.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
     classes = materialise(classes, "classes")
     known = classes.filter("node is not null")
     keys = known.select("node", "signature").mapInArrow(_keys, "key long, node long")
     leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last")
     members = materialise(keys.join(leaders, "key").distinct(), "members")
     stars = materialise(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    first = materialise(compare(docs, stars), "first")
+    sets = shingle_table(docs, stars)
+    first = materialise(compare(stars, sets), "first")
     linked = F.expr(f"100 * both >= {percent} * either")
     links = first.filter(linked).select("a", "b")
     groups = components(links, "stars")
@@ -196,8 +233,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     seen = members.join(near, ["leader", "node"], "left").join(groups, "node", "left").join(of, "leader", "left")
     seen = seen.select("key", "node", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "node").alias("component"), F.coalesce("main", "leader").alias("main"), (F.col("node") == F.col("leader")).alias("leads"))
     mixed = seen.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    shape = known.select("node", "signature", "n").mapInArrow(_pack, "node long, n long, " + ", ".join(f"s{i} long" for i in range(SYMBOLS // 16)))
-    seen = materialise(seen.join(mixed, "key", "left_semi").filter("not leads").join(shape, "node"), "mixed")
+    seen = materialise(seen.join(mixed, "key", "left_semi").filter("not leads").drop("leads"), "mixed")
+    crowd = materialise(seen.select("node").distinct(), "crowd")
+    shape = sets.join(broadcast_if_small(crowd), "node", "left_semi").mapInArrow(_shapes, "node long, n long, " + ", ".join(f"{c} long" for c in _SHAPE))
+    seen = materialise(seen.join(shape, "node"), "shapes")
     outside = seen.filter("component <> main")
     limit = percent / 100
     apart = (
@@ -205,11 +244,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         & ((F.col("m.component") == F.col("m.main")) | (F.col("o.node") < F.col("m.node")))
         & (F.abs(F.col("o.d") - F.col("m.d")) <= 1 - limit + 1e-9)
         & (F.least("o.n", "m.n") >= limit * F.greatest("o.n", "m.n"))
+        & _first_shared("o", "m")
         & (_apart("o", "m") <= FAR)
     )
     cross = outside.alias("o").join(seen.alias("m"), "key").filter(apart).select("o.node", F.col("m.node").alias("b"))
     cross = materialise(cross.toDF("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "cross")
-    second = compare(docs, cross).filter(linked).select("a", "b")
+    second = compare(cross, sets).filter(linked).select("a", "b")
     parents = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(parents.union(second).distinct(), "final")
 
