@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix
+from .common import mix
 
 WINDOW, AROUND, VOTES = 16, 16, 5
 BITS, FEATURES, HASHES = 2048, 160, 5
@@ -204,52 +204,59 @@ _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.floa
 _NAMES = [c.split()[0] for c in _PAIR.split(", ")]
 
 
+#: Documents in a bucket of neighbours, and the most buckets.
+BUCKET, BUCKETS = 4000, 50_000
+
+
 def neighbour_likeness(docs: DataFrame, rarity: dict[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint, that of its text with the last half replaced from the next document, and both likenesses.
 
-    Documents are range-partitioned and streamed in order of doc_id (nulls first, ties by text), so each text
-    is moved once. A task leaves its first and last document as an edge row; edges, two a task, are stitched after.
+    Next is in order of doc_id (nulls first, ties by text), after the last the first. Documents are dealt to
+    buckets between quantiles of doc_id, which are ids themselves; a bucket's first document is also sent to
+    the bucket before, as its end. Each text is moved once and buckets are streamed, one document held.
     """
     ranks = rank_table(entropy_histogram(docs, text_col) if rarity is None else rarity)
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), key.alias("key"))
+    span = rows.agg(F.count("*").alias("n"), F.min("key").alias("low")).first()
+    parts = max(1, min(BUCKETS, (span["n"] or 0) // BUCKET))
+    splits = [span["low"] or 0]
+    if parts > 1:
+        splits += rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0]  # one id a bucket
+    splits = np.array(sorted(set(splits)), np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "text", "key", "bucket", "end"]
+        for b in batches:
+            keys = b.column(2).to_numpy()
+            bucket = np.searchsorted(splits, keys, "right") - 1
+            first = np.flatnonzero(splits[bucket] == keys)
+            ends = b.take(pa.array(first))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bucket, pa.int32()), pa.array(np.zeros(len(keys), bool))], names)
+            yield pa.RecordBatch.from_arrays([*ends.columns, pa.array((bucket[first] - 1) % len(splits), pa.int32()), pa.array(np.ones(len(first), bool))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
-
-        def batch(rows, edge=None):
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            texts = [pa.array([None] * len(rows), pa.string())] * 2
-            if edge:
-                cols = [[edge[0].doc_id], *[[None]] * 6]
-                texts = [pa.array([t.text], pa.string()) for t in edge]
-            ids = pa.array([edge[1].doc_id] if edge else [None] * len(rows), pa.int64())
-            flag = pa.array([bool(edge)] * (1 if edge else len(rows)), pa.bool_())
-            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, _KINDS)), flag, texts[0], ids, texts[1]], [*_NAMES, "edge", "first_text", "last_id", "last_text"])
+        at, last = None, None
+
+        def batch(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 7, _KINDS)], _NAMES)
 
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                now = _Text(doc_id, text.as_py() or "", ranks)
-                if last is None:
-                    first = now
-                else:
-                    rows.append(last.against(now, ranks))
-                last = now
-                if len(rows) == 500:
-                    yield batch(rows)
-                    rows = []
-            yield batch(rows)
-        if last is not None:
-            yield batch([], (first, last))
-
-    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [_Text(i, t, ranks).against(_Text(None, n, ranks), ranks) for i, t, n in zip(*(c.to_pylist() for c in b.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, _KINDS)], _NAMES)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    done = materialise(rows.mapInArrow(run, _PAIR + ", edge boolean, first_text string, last_id long, last_text string"), "neighbours")
-    order = Window.orderBy(F.col("doc_id").asc_nulls_first())
-    following = F.coalesce(F.lead("first_text").over(order), F.first("first_text").over(order))
-    edges = done.filter("edge").select(F.col("last_id").alias("id"), "last_text", following.alias("next_text"))
-    return done.filter("not edge").select(*_NAMES).unionByName(edges.mapInArrow(stitch, _PAIR))
+            found = []
+            for doc_id, text, bucket, end in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if bucket != at:
+                    at, last = bucket, None
+                elif last is None:
+                    continue  # further rows with the id of the next bucket's first
+                now = _Text(doc_id, text.as_py(), ranks)
+                if last is not None:
+                    found.append(last.against(now, ranks))
+                last = None if end else now
+                if len(found) == 500:
+                    yield batch(found)
+                    found = []
+            yield batch(found)
+
+    dealt = rows.mapInArrow(deal, "doc_id long, text string, key long, bucket int, end boolean")
+    dealt = dealt.repartition(len(splits), "bucket").sortWithinPartitions("bucket", "end", "key", "text")
+    return dealt.select("doc_id", "text", "bucket", "end").mapInArrow(run, _PAIR)
