@@ -183,3 +183,9 @@ def complete_species(evidence: DataFrame, species: DataFrame) -> DataFrame:
     grid = samples.crossJoin(F.broadcast(species.select("species_name").distinct()))
     counts = [c for c, t in evidence.dtypes if t in ("int", "bigint")]
     return grid.join(evidence, ["sample_id", "species_name"], "left").na.fill(0, counts)
+
+
+def multi_window(reads: DataFrame, k_values: Sequence[int], *keep: str) -> DataFrame:
+    """Windows of reads with further columns kept, for streams with an event time."""
+    w = seq.multi_k_windows(reads, k_values, canonicalise=True, keep=("sample_id", "sequence_id", *keep))
+    return w.withColumnRenamed("kmer", "query_kmer").withColumnRenamed("position", "query_position")
