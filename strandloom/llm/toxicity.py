@@ -125,7 +125,8 @@ def _log_odds(counts: DataFrame) -> dict[str, float]:
     prior = PRIOR * (F.col("clean") + F.col("toxic")) / (n0 + n1)
     odds = lambda y, n: F.log((F.col(y) + prior) / (n + PRIOR - F.col(y) - prior))
     delta = odds("toxic", n1) - odds("clean", n0)
-    spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
+    error = lambda y, n: 1 / (F.col(y) + prior) + 1 / (n + PRIOR - F.col(y) - prior)
+    spread = F.sqrt(error("toxic", n1) + error("clean", n0))
     rows = counts.filter("token <> ''").filter(F.col("toxic") + F.col("clean") >= MIN_DOCS).filter((F.col("clean") + prior < n0 + PRIOR) & (F.col("toxic") + prior < n1 + PRIOR))
     rows = rows.select("token", delta.alias("delta"), (delta / spread).alias("z")).filter(F.abs("z") >= MIN_Z)
     kept = rows.orderBy(F.abs("z").desc(), "token").limit(MAX_TOKENS).collect()  # at most MAX_TOKENS rows

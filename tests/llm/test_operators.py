@@ -1,0 +1,403 @@
+"""Each training-data operator on small tables: odd rows, ties, empty tables, clashing columns, plain versions of the results."""
+
+import base64
+import hashlib
+import os
+import re
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandloom.llm import chat, exact_dedup, fingerprint, html_text, mixing, near_dedup, packing, queries, sharding, toxicity, warc
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, norm string, digest string, node long"
+LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
+WORDS = "the quick brown fox jumps over a lazy dog while seven wizards box in quiet rooms".split()
+
+
+def frame(spark, texts, sources=None):
+    """Documents with further columns whose names clash with the operators' own."""
+    rows = [(i, t, "en", (sources or ["a", "b", None])[n % 3] if not callable(sources) else sources(n), len(t or ""), n, "x", "y", 7) for n, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+ODD = [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (5, "One "), (6, LONG), (7, LONG + " "), (None, "no id here at all"), (8, "é ü ñ x"), (9, "a  b\tc"), (10, "a b c"), (10, "a b c"), (11, " ".join(WORDS)), (12, " ".join(WORDS) + " end")]
+
+
+def test_exact_dedup(spark):
+    df = frame(spark, ODD)
+    got = exact_dedup.exact_duplicates(df, digest_all=True).collect()
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = defaultdict(list)
+    for i, t in ODD:
+        groups[norm(t)].append(i)
+    assert len(got) == len(ODD)
+    by_hash = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in groups.items()}
+    for r in got:
+        ids = by_hash[r.digest]
+        assert r.group_size == len(ids) and r.keep_id == min((i for i in ids if i is not None), default=None)
+    assert sum(r.kept for r in got) == len(groups)
+    kept = exact_dedup.exact_dedup(df)
+    assert kept.columns == df.columns and kept.count() == len(groups)
+    assert {r.doc_id for r in kept.collect()} == {min((i for i in ids if i is not None), default=None) for ids in groups.values()}
+    assert exact_dedup.exact_dedup(df.limit(0)).count() == exact_dedup.exact_duplicates(df.limit(0)).count() == 0
+
+
+def plain_components(texts):
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingles(t) for i, t in texts}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            ra, rb = sorted((root(a), root(b)))
+            up[rb] = ra
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def crowd(seed, n_bases=6, copies=25):
+    """Texts around bases at many distances, so that links lie on both sides of the threshold, and one shared passage."""
+    r = np.random.default_rng(seed)
+    shared = [f"common{i}" for i in range(60)]
+    out = []
+    for b in range(n_bases):
+        base = [f"b{b}w{i}" for i in range(80)]
+        for c in range(copies):
+            words = list(base)
+            for _ in range(int(r.integers(0, 9))):
+                words[int(r.integers(0, len(words)))] = f"z{int(r.integers(0, 10**6))}"
+            out.append(" ".join((shared if c % 2 else []) + words))
+    order = r.permutation(len(out))
+    return [(int(i) * 3 + 5, out[j]) for i, j in enumerate(order)]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_near_dedup_matches_all_pairs(spark, seed):
+    texts = crowd(seed) + [(i, t) for i, t in [(1, None), (2, ""), (3, " \n"), (4, "Two words"), (6, "two WORDS"), (9000, LONG), (9001, LONG + " tail"), (9002, "É A b c d e f"), (9003, "é a b c d e f")]]
+    texts = list(dict(texts).items())
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == plain_components(texts)
+
+
+def test_near_dedup_rows_without_id_and_empty_tables(spark):
+    df = frame(spark, ODD)
+    rows = near_dedup.near_duplicates(df).collect()
+    assert len(rows) == len(ODD)
+    kept = near_dedup.near_dedup(df)
+    assert kept.columns == df.columns
+    gone = {r.doc_id for r in rows if not r.kept}
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(i or 0 for i, _ in ODD if i not in gone)
+    assert near_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_chunk_keys_find_all_pairs_within_the_signature_distance():
+    r = np.random.default_rng(5)
+    a = r.integers(0, 65536, near_dedup.SYMBOLS, dtype=np.uint16)
+    for errors in (0, 1, 8, near_dedup.CHUNKS, 2 * near_dedup.CHUNKS - 1):
+        for _ in range(50):
+            b = a.copy()
+            b[r.choice(len(a), errors, replace=False)] ^= np.uint16(1)
+            keys = near_dedup.chunk_keys(np.stack((a, b)))
+            assert set(keys[0]) & set(keys[1])
+
+
+def test_mixing(spark):
+    texts = [(i, " ".join(["w"] * n)) for i, n in enumerate([5, 0, 100, 3, 40, 1, 7, 9, 11, 300, 2, 2])] + [(100, None), (101, "a b c\td")]
+    rows = mixing.mix(frame(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r.size
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(r.source_size == sizes[r.source] for r in rows)
+    total = 1.5 * sum(sizes.values())
+    assert abs(sum(target.values()) - total) < 1e-6 * total
+    assert all(abs(taken[s] - target[s]) <= 0.5 and target[s] <= 2 * sizes[s] + 1e-9 for s in sizes)
+    # Sources below their cap share by weight 5, 2, 1 in order of name, null last.
+    free = [(s, w) for s, w in zip(["a", "b", None], (5, 2, 1)) if target[s] < 2 * sizes[s] - 1e-6]
+    assert len({round(target[s] / w, 6) for s, w in free}) <= 1
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix(frame(spark, texts)).collect()), key=repr)
+    out = mixing.mixed_documents(frame(spark, texts))
+    got = Counter()
+    for r in out.collect():
+        got[r.source] += len(re.findall(mixing.WORD, r.text or ""))
+    assert out.columns == frame(spark, texts).columns and got == +taken
+    assert mixing.mix(frame(spark, texts).limit(0)).count() == mixing.mixed_documents(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_first_words(spark):
+    row = spark.sql(r"select ' a\tb  c' as t").select(mixing.first_words(F.col("t"), F.lit(2)).alias("x"), mixing.words(F.col("t")).alias("n")).first()
+    assert (row["x"], row["n"]) == (" a\tb", 3)
+
+
+@pytest.mark.skipif(not os.path.exists(queries.TOKENIZER), reason="no tokenizer file")
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.TOKENIZER)
+    tok.encode_special_tokens = True
+    texts = [*ODD, (20, "it's <|endoftext|> twice  spaced\n\n x y "), (21, "x " * 600), (22, "long word " * 500)]
+    rows = packing.pack(frame(spark, texts), queries.TOKENIZER, capacity=64).collect()
+    pieces = defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+    for i, t in texts:
+        want = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        own = sorted(pieces[i], key=lambda r: r.start)
+        copies = sum(j == i for j, _ in texts)
+        assert sum(r.length for r in own) == copies * len(want)
+        if copies == 1:
+            assert [x for r in own for x in np.frombuffer(r.ids, "<u4")] == want
+            assert all(r.length == 64 for r in own[1:]) and [r.piece for r in own] == list(range(len(own)))
+            assert all(r.ids_crc32 == zlib.crc32(r.ids) for r in own)
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert len(bins) <= 1.02 * -(-sum(r.length for r in rows) // 64) + 1
+    assert packing.pack(frame(spark, ODD).limit(0), queries.TOKENIZER).count() == 0
+
+
+def test_segments_of_long_texts_join_to_the_text(monkeypatch):
+    monkeypatch.setattr(packing, "SEGMENT", 10)
+    for t in (LONG[:500], "a" * 100, "a  b   c " * 20, " " * 50, "x\n y " * 30, ""):
+        parts = list(packing.segments(t))
+        assert "".join(parts) == t
+        assert all(p[0] == " " and not p[1].isspace() for p in parts[1:])
+
+
+def test_bins_are_no_more_than_first_fit_needs():
+    r = np.random.default_rng(1)
+    for _ in range(30):
+        sizes = Counter(int(x) for x in r.integers(1, 20, 40))
+        plan = packing.plan_bins(sizes, 20)
+        used = Counter()
+        for times, lengths in plan:
+            assert sum(lengths) <= 20
+            for x in lengths:
+                used[x] += times
+        assert used == sizes
+        room = []  # first fit, longest first
+        for x in sorted(sizes.elements(), reverse=True):
+            i = next((i for i, free in enumerate(room) if free >= x), len(room))
+            room[i : i + 1] = [(room[i] if i < len(room) else 20) - x]
+        assert sum(t for t, _ in plan) <= len(room)
+
+
+def test_sharding(spark):
+    r = np.random.default_rng(2)
+    texts = [(int(i), " ".join(r.choice(WORDS, int(r.integers(1, 80))))) for i in r.permutation(3000)] + [(5000 + i, "copy of a text") for i in range(400)] + ODD
+    rows = sharding.shard(frame(spark, texts), 24).collect()
+    assert len(rows) == len(texts)
+    slots, sizes, groups = defaultdict(list), Counter(), defaultdict(set)
+    for x in rows:
+        slots[x.shard].append(x.slot)
+        sizes[x.shard] += x.size
+        groups[x.text_crc32, x.size].add(x.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(24))
+    assert all(len(s) == 1 for s in groups.values())
+    by_id = {i: t for i, t in texts if (i or 0) > 12}
+    assert all(x.size == len((by_id[x.doc_id] or "").encode()) + 8 and x.text_crc32 == zlib.crc32((by_id[x.doc_id] or "").encode()) for x in rows if x.doc_id in by_id)
+    assert sharding.shard(frame(spark, ODD).limit(0)).count() == 0
+    even = sharding.shard(frame(spark, texts[:3000]), 24).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    assert len(even) == 24 and max(e.n for e in even) < 1.06 * min(e.n for e in even)
+
+
+def test_fingerprints(spark):
+    texts = [(i, t) for i, t in ODD if i is not None]
+    rows = fingerprint.neighbour_likeness(frame(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    order = sorted(texts, key=lambda x: (x[0], x[1] or ""))
+    for n, (i, t) in enumerate(order):
+        t, nxt = t or "", order[(n + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        own = [r for r in rows if r.doc_id == i]
+        assert any(r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() for r in own)
+    same = {r.doc_id: r.fingerprint for r in rows}
+    assert same[1] == same[2] == "" and same[10] == [r.fingerprint for r in rows if r.doc_id == 10][1]
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
+    far = fingerprint.neighbour_likeness(frame(spark, [(i, " ".join(np.random.default_rng(i).choice(LONG.split()[:900], 400))) for i in range(50)])).collect()
+    assert all(r.near_edited > 0.25 for r in far) and np.mean([r.near_next for r in far]) < 0.1
+    assert fingerprint.neighbour_likeness(frame(spark, ODD).limit(0)).count() == fingerprint.fingerprints(frame(spark, ODD).limit(0)).count() == 0
+
+
+def test_fingerprint_buckets_cover_every_neighbour(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BUCKET", 3)
+    texts = [(i * 7 % 101, f"text number {i} " * (i % 5)) for i in range(60)] + [(None, "no id"), (5, "tie b"), (5, "tie a")]
+    order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    want = Counter()
+    for n, (i, t) in enumerate(order):
+        nxt = order[(n + 1) % len(order)][1]
+        want[i, hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()] += 1
+    rows = fingerprint.neighbour_likeness(frame(spark, texts)).collect()
+    assert Counter((r.doc_id, r.edited_sha256) for r in rows) == want
+
+
+def test_entropies_don_t_depend_on_blocks(monkeypatch):
+    data = np.random.default_rng(0).integers(97, 110, 5000, dtype=np.uint8)
+    bins = fingerprint.entropy_bins(data)
+    ranks = fingerprint.rank_table(Counter(bins.tolist()))
+    at = fingerprint.select(bins, ranks)
+    monkeypatch.setattr(fingerprint, "BLOCK", 333)
+    assert (fingerprint.entropy_bins(data) == bins).all() and (fingerprint.select(bins, ranks) == at).all()
+    left, right = data[:700], data[2000:2600]
+    assert (fingerprint.spliced_bins(left, bins, right, fingerprint.entropy_bins(data[2000:])) == fingerprint.entropy_bins(np.concatenate((left, right)))).all()
+
+
+def pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string, digest string, last long")
+
+
+def test_warc_round_trip(spark, tmp_path):
+    r = np.random.default_rng(0)
+    noise = "".join(map(chr, r.integers(32, 0x2000, 30_000)))
+    htmls = [None, "", "<p>a</p>", "<p>a</p>", "WARC/1.1\r\n\r\nx", noise, noise, "é" * 999] + [f"<p>{i}</p>" * int(r.integers(1, 400)) for i in range(60)]
+    rows = [(i, None if i % 9 == 0 else f"http://x/{i}\r\nInjected: yes é", h, "d", 1) for i, h in enumerate(htmls)] + [(3, "u", "<p>a</p>", "d", 1), (None, "u", "alone", "d", 1)]
+    archives = warc.write_archives(pages(spark, rows), f"file://{tmp_path}/warc", archive_bytes=6000)
+    assert archives.count() > 4 and archives.agg(F.sum("records")).first()[0] == len(rows)
+    plain = sorted((x.page_id is None, x.page_id, x.record_type, x.refers_to or -1) for x in warc.read_archives(archives).collect())
+    for split in (64, 997, 5000):
+        got = warc.read_archives(archives, split_bytes=split).collect()
+        assert sorted((x.page_id is None, x.page_id, x.record_type, x.refers_to or -1) for x in got) == plain
+    last = {}
+    for i, _, h, *_ in rows:
+        last[h or ""] = max(last.get(h or "", -1), -1 if i is None else i)
+    for x in got:
+        h = next((h or "") for i, _, h, *_ in rows if i == x.page_id)
+        assert x.payload_bytes == len(h.encode()) and x.payload_digest == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+        respond = x.page_id is None or x.page_id == last[h]
+        assert x.record_type == ("response" if respond else "revisit") and x.refers_to == (None if respond else last[h])
+        assert x.payload == (h.encode() if respond else None)
+    assert warc.read_archives(warc.write_archives(pages(spark, []), f"file://{tmp_path}/none")).count() == 0
+
+
+def test_chat_round_trip(spark):
+    nasty = ["", None, "\\", "a\\b", "</turn>", "<</turn>", "<turn </turn>\n", "### User: ### Assistant:", "x\\</turn>\\", r"\### Assistant: </turn> ok", "<|im_end|><|im_start|>", "\n>\n"]
+    rows = [(n % 4, n, ["user", "assistant", "system", None, "odd>\nrole\\"][n % 5], t, 1) for n, t in enumerate(nasty * 2)] + [(9, 0, "user", LONG, 1), (9, 1, "assistant", LONG, 1), (9, 1, "assistant", "tie", 1), (None, 0, "user", "x", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position long")
+    got = {r.conv_id: r for r in chat.conversation_digests(chat.format_turns(df)).collect()}
+    by = defaultdict(list)
+    for c, n, role, t, _ in rows:
+        by[c].append((n, role or "", t or ""))
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        turns.sort()
+        learned = "".join(t for _, r, t in turns if r == "assistant")
+        assert got[c].n_turns == len(turns)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    pattern = chat._escaper(chat.DEFAULT)
+    for t in nasty[2:]:
+        assert not any(c in chat.escape(t, pattern) for c in chat.DEFAULT.controls())
+    valid = {(r.conv_id, r.position): r.valid for r in chat.format_turns(df).collect()}
+    assert valid[9, 0] and valid[9, 1] and not valid[9, 2]
+    assert chat.conversation_digests(chat.format_turns(df.limit(0))).count() == 0
+
+
+PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><div id="header"><a href=x>Home</a></div><div class="cookie-notice">We use cookies, a lot of them, on all our pages.</div>
+<div class="wrap"><div class="{c}"><h1>A  title</h1><p>First &amp; long enough <b>paragraph<br>with</b> a <a href="z">link</a> and many more words to be content.<p>Second para &lt;b&gt; here, with some more words in it.
+<div class="advert">Buy now!</div><ul><li>One item<li>Two items</ul></div><div class="sidebar"><a href=1>Rel one</a><a href=2>Rel two</a></div></div>
+<div id="comments"><p>Reader comment with a lot of words, longer than the article perhaps, going on and on without any end at all, and even more.</p></div><footer>(c)</footer>"""
+TEXT = "A title\n\nFirst & long enough paragraph with a link and many more words to be content.\n\nSecond para <b> here, with some more words in it.\n\nOne item\n\nTwo items"
+
+
+def test_html_extraction(spark):
+    rows = [(1, "u", PAGE.format(c="content"), "d", 1), (2, "u", None, "d", 1), (3, "u", "", "d", 1), (4, "u", "plain text", "d", 1), (5, None, "<p>" + "word " * 100_000, "d", 1), (6, "u", "<div>" * 3000 + "deep", "d", 1), (7, "u", "<a href='x", "d", 1), (7, "u", "<nav>only menu</nav>", "d", 1)]
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.main_text(pages(spark, rows)).collect())
+    texts = [t for _, t, _ in got]
+    assert texts[0] == TEXT and texts[1] == texts[2] == "" and texts[3] == "plain text" and len(texts[4]) == 5 * 100_000 - 1 and texts[5] == "deep"
+    assert all(len(t) == n for _, t, n in got)
+    assert html_text.main_text(pages(spark, [])).count() == 0
+
+
+def test_html_article_of_the_test_pages(spark):
+    import html as h
+
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        body = re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1)>", "\0", body).replace("<br>", " "))
+        assert html_text.extract(r.html) == "\n\n".join(x for x in (" ".join(h.unescape(b).split()) for b in body.split("\0")) if x)
+
+
+def plain_segments(scores):
+    """Maximal segments by definition: recursively the best segment, then both sides of it."""
+    best = max(((sum(scores[i:j]), -(j - i), -i, i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0,))
+    if best[0] <= 0:
+        return []
+    i, j = best[3], best[4]
+    return plain_segments(scores[:i]) + [(i, j, best[0])] + [(a + j, b + j, s) for a, b, s in plain_segments(scores[j:])]
+
+
+def test_segments_match_the_definition():
+    r = np.random.default_rng(0)
+    for _ in range(200):
+        scores = [float(x) / 8 for x in r.integers(-30, 25, int(r.integers(0, 14)))]
+        if len({sum(scores[:i]) for i in range(len(scores) + 1)}) == len(scores) + 1:  # no ties of sums
+            assert [(a, b) for a, b, _ in toxicity.segments(scores)] == [(a, b) for a, b, _ in plain_segments(scores)]
+
+
+def toxic_texts(n, seed):
+    r = np.random.default_rng(seed)
+    base = [f"word{i}" for i in range(300)]
+    out = []
+    for i in range(n):
+        words = list(r.choice(base, int(r.integers(5, 200))))
+        bad = i % 6 == 0
+        if bad:
+            for _ in range(int(r.integers(2, 6))):
+                words.insert(int(r.integers(0, len(words))), str(r.choice(["vileness", "nastybad", "gutterish"])))
+        out.append((i, " ".join(words), bad))
+    return out
+
+
+def test_toxicity(spark):
+    rows = toxic_texts(900, 0)
+    docs = frame(spark, [(i, t) for i, t, _ in rows] + ODD[:4] + [(None, "x")])
+    labels = spark.createDataFrame([(i, 1, int(b)) for i, _, b in rows] + [(5, 0, None), (5, 0, 0), (99_999, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs, labels)
+    got = toxicity.score_documents(docs, model).collect()
+    assert len(got) == len(rows) + 5
+    truth = {i: b for i, _, b in rows}
+    held = [r for r in got if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.doc_id > 4]
+    assert held and np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.97
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    texts = {i: t for i, t, _ in rows}
+    for r in held:
+        for p in r.passages:
+            assert 0 <= p.start < p.end <= len(texts[r.doc_id])
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns
+    gone = {r.doc_id for r in got if r.predicted}
+    assert kept.count() == sum(r.doc_id not in gone for r in got)
+    none = toxicity.learn(docs, labels.limit(0))
+    assert {r.score for r in toxicity.score_documents(docs, none).collect()} <= {toxicity.Model({}).score(0)}
+    assert toxicity.score_documents(docs.limit(0), model).count() == 0
+
+
+def test_held_out_labels_are_not_learned(spark):
+    rows = toxic_texts(400, 1)
+    docs = frame(spark, [(i, t) for i, t, _ in rows])
+    flip = [(i, 1, int(b) if zlib.crc32(str(i).encode()) % 5 else 1 - int(b)) for i, _, b in rows]
+    one = toxicity.learn(docs, spark.createDataFrame([(i, 1, int(b)) for i, _, b in rows], "doc_id long, quality int, toxic int"))
+    assert one == toxicity.learn(docs, spark.createDataFrame(flip, "doc_id long, quality int, toxic int"))
