@@ -16,3 +16,27 @@ def session(name: str = "strandloom", master: str | None = None, **conf) -> Spar
     for k, v in (settings | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make the package importable by the session's Python workers, once a session: it is sent as a zip file
+    unless the environment's PYTHONPATH already leads to it."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if package.parent in known or context.applicationId in _SHIPPED:
+        return spark
+    archive = Path(tempfile.mkdtemp(prefix="strandloom-")) / "strandloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+    return spark
