@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.llm import exact_dedup, mixing, near_dedup, packing, queries, toxicity
 from strandloom.llm.common import materialise
+from strandloom.session import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labelled documents outside the held-out fifth; documents that score 0.5 or more go."""
+    ship(spark)
     model = toxicity.learn(docs, queries.table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
@@ -27,6 +29,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest doc_id stays."""
+    ship(spark)
     return near_dedup.near_dedup(docs)
 
 
@@ -37,6 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of 1024."""
+    ship(spark)
     return packing.pack(docs, queries.TOKENIZER, end_id=2, capacity=1024, with_ids=False)
 
 

@@ -3,7 +3,7 @@
 Learning. Documents with labels give, per token, the number of toxic and of clean documents that hold it. A
 token's log-odds compare both classes under a Dirichlet prior proportional to the token's share of all
 documents; its z-score is the log-odds over their standard deviation. Tokens are lower-case words, and stems
-(the first letters of longer words, marked ``~``), which stand in for words that were not seen. Tokens with a
+(the first letters of longer words, marked ``~``); the longest known stem stands in for a word that was not seen. Tokens with a
 z-score of at least ``MIN_Z`` are kept, the ``MAX_TOKENS`` most certain ones at most (the model's bound).
 
 Scoring. Each token counts its log-odds less ``DRIFT``, so a random text drifts down. A linear-time scan finds all
@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, fresh_name, materialise
 
 TOKEN = re.compile(r"[^\W\d_]+")
-STEM, STEM_FROM = 5, 6
+#: Lengths of stems, the longest first; a word has those that are shorter than it.
+STEMS = (8, 7, 6, 5, 4)
+#: Words of which a task remembers the log-odds.
+MEMO = 500_000
 PRIOR, MIN_Z, MIN_DOCS, MAX_TOKENS, DRIFT = 10.0, 3.0, 3, 100_000, 0.35
 #: A segment is significant if fewer than exp(-SIGNIFICANT) such are expected in a clean text of its length.
 SIGNIFICANT = 0.0
@@ -48,6 +51,25 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+def stems(word: str) -> list[str]:
+    return ["~" + word[:n] for n in STEMS if len(word) > n]
+
+
+class _Memo(dict):
+    """Log-odds of words under the model, remembered: of the word, else of its longest known stem, else 0."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        gain = self.weights.get(word)
+        if gain is None:
+            gain = next((self.weights[s] for s in stems(word) if s in self.weights), 0.0)
+        if len(self) < MEMO:
+            self[word] = gain
+        return gain
+
+
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
@@ -56,19 +78,24 @@ class Model:
     intercept: float = -30.0
     slope: float = 0.0
 
-    def gains(self, words: list[str]) -> list[float]:
-        """Log-odds of each word, or of its stem where the word is not known; 0 if neither is."""
-        get, out = self.weights.get, []
-        for w in words:
-            g = get(w)
-            if g is None:
-                g = get("~" + w[:STEM], 0.0) if len(w) >= STEM_FROM else 0.0
-            out.append(g)
+    def memo(self) -> _Memo:
+        return _Memo(self.weights)
+
+    def gains(self, words: list[str], memo: _Memo) -> list[float]:
+        """Log-odds of each word; a word speaks for toxicity at its first place only, so repetition is no evidence."""
+        out = list(map(memo.__getitem__, words))
+        if out and max(out) > DRIFT:
+            seen = set()
+            for i, g in enumerate(out):
+                if g > 0:
+                    if words[i] in seen:
+                        out[i] = 0.0
+                    seen.add(words[i])
         return out
 
     def passages(self, gains: list[float]) -> list[tuple[int, int, float]]:
         """Significant segments: first token, token after the last, significance."""
-        if not any(g > DRIFT for g in gains):
+        if not gains or max(gains) <= DRIFT:
             return []
         limit = math.log(max(self.k * len(gains), 1e-9))
         return [(a, b, z) for a, b, s in segments([g - DRIFT for g in gains]) if (z := self.lam * s - limit) > SIGNIFICANT]
@@ -110,7 +137,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (Counter(), Counter())
         for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
             words = set(tokens(text.as_py() or ""))
-            words |= {"~" + w[:STEM] for w in words if len(w) >= STEM_FROM}
+            words |= {s for w in words for s in stems(w)}
             found[toxic].update(words)
             found[toxic][""] += 1
         names = list(found[0] | found[1])
@@ -181,13 +208,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def background(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Token scores, rounded to eighths, and segments by score, in clean documents."""
-        scores, tops = Counter(), Counter()
+        scores, tops, memo = Counter(), Counter(), model.memo()
         for b in batches:
             for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
                 if not toxic:
-                    gains = model.gains(tokens(text.as_py() or ""))
+                    gains = model.gains(tokens(text.as_py() or ""), memo)
                     scores.update(round((g - DRIFT) * 8) for g in gains)
-                    if any(g > DRIFT for g in gains):
+                    if gains and max(gains) > DRIFT:
                         tops.update(int(s) for _, _, s in segments([g - DRIFT for g in gains]))
         rows = [("token", k, n) for k, n in scores.items()] + [("segment", k, n) for k, n in tops.items()]
         cols = list(zip(*rows)) if rows else [[]] * 3
@@ -210,10 +237,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = Model(weights, lam, k)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Counter()
+        seen, memo = Counter(), model.memo()
         for b in batches:
             for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
-                seen[round(4 * sum(z for _, _, z in model.passages(model.gains(tokens(text.as_py() or ""))))), toxic] += 1
+                seen[round(4 * sum(z for _, _, z in model.passages(model.gains(tokens(text.as_py() or ""), memo)))), toxic] += 1
         cols = list(zip(*((k[0], k[1], n) for k, n in seen.items()))) if seen else [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["value", "toxic", "n"])
 
@@ -224,11 +251,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = model.memo()
         for b in batches:
             sums, found = [], []
             for t in b.column(1):
                 text = t.as_py() or ""
-                passages = model.passages(model.gains(tokens(text)))
+                passages = model.passages(model.gains(tokens(text), memo))
                 spans = []
                 if passages:
                     # Lower-casing may change lengths, so offsets are those of the lower-cased text where it does.
