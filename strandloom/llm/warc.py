@@ -38,6 +38,8 @@ MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An archive is closed when it has so many bytes; a reader's range.
 ARCHIVE_BYTES, SPLIT_BYTES = 1 << 30, 16 << 20
+#: Tasks that read, at most; beyond it a task reads several ranges.
+READ_TASKS = 50_000
 READ = 1 << 18
 RECORD = "page_id long, record_type string, refers_to long, target_uri string, payload_digest string, payload_bytes long, payload binary"
 
@@ -210,4 +212,6 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
     ranges = archives.filter("bytes > 0").select("path", "bytes", starts.alias("low"))
     ranges = ranges.select("path", "bytes", "low", F.least(F.col("low") + split_bytes, F.col("bytes")).alias("high"))
-    return ranges.repartition(F.col("path"), F.col("low")).mapInArrow(_reader, RECORD)
+    # A stated number of tasks: rows of ranges are tiny, so adaptive execution would read all archives in one task.
+    tasks = max(1, min(READ_TASKS, ranges.count()))
+    return ranges.repartition(tasks, "path", "low").mapInArrow(_reader, RECORD)
