@@ -54,11 +54,11 @@ def f05(spark, sf):
     return centroids.join(thresholds, "label").select("label", "feature", F.round("centre", 5).alias("centre"), F.round("threshold", 5).alias("threshold"))
 
 
-@query("f06_open_set_predict", f"WITH {SQL_PRED} SELECT id, CASE WHEN b <= t THEN best_label ELSE 'unknown_or_unresolved' END AS prediction, best_label, second_label, round(round(b, 6), 4) AS best_distance, round(round(s - b, 6), 4) AS margin, round(round(1 / (1 + b / t), 6), 4) AS confidence FROM pred")
+@query("f06_open_set_predict", f"WITH {SQL_PRED} SELECT id, CASE WHEN b <= t THEN best_label ELSE 'unknown_or_unresolved' END AS prediction, best_label, second_label, round(round(b, 6) + 1e-9, 4) AS best_distance, round(round(s - b, 6) + 1e-9, 4) AS margin, round(round(1 / (1 + b / t), 6) + 1e-9, 4) AS confidence FROM pred")
 def f06(spark, sf):
     f = features(spark, sf)
     p = calibrate.predict(f, *calibrate.train(f))
-    return p.select("id", "prediction", "best_label", "second_label", F.round("best_distance", 4).alias("best_distance"), F.round("distance_margin", 4).alias("margin"), F.round("ml_confidence_score", 4).alias("confidence"))
+    return p.select("id", "prediction", "best_label", "second_label", F.round(F.col("best_distance") + 1e-9, 4).alias("best_distance"), F.round(F.col("distance_margin") + 1e-9, 4).alias("margin"), F.round(F.col("ml_confidence_score") + 1e-9, 4).alias("confidence"))
 
 
 def labelled(spark, sf):
