@@ -2,11 +2,12 @@
 
 Every DOM node gets its composite density: characters per tag, adjusted by the share of link characters
 (nodes that are mostly links fall to almost nothing). A parent's density sum adds its children's. The
-threshold is the lowest density on the path from the densest-sum node to the body; from the body down, the
-subtree with the largest density sum whose own density reaches the threshold is the content. Inside it, parts
-that HTML itself marks as no content (nav, header, footer, aside, form, script, style, ...) or that name
-themselves so (class, id or role: ad, cookie, comment, sidebar, ...) are left out beforehand, and link-heavy
-blocks below the threshold are dropped.
+threshold is the lowest density on the path from the densest-sum node to the body; from the body down, every
+branch that reaches the threshold gives its subtree with the largest density sum, and all these together are
+the content: link-heavy branches below the threshold are dropped. Where the densest-sum node lies in an article
+or main element, such elements are taken whole and branches outside them are not. Parts that HTML itself marks
+as no content (nav, header, footer, aside, form, script, style, ...) or that name themselves so (class, id or
+role: ad, cookie, comment, sidebar, ...) are left out beforehand.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by
 two line feeds in page order. Null html counts as empty and gives an empty text; broken markup (unclosed or
@@ -167,29 +168,65 @@ def _measure(nodes: list[Node]) -> None:
         node.total += sum(_letters(c) for c in node.children if isinstance(c, str))
 
 
-def _content(nodes: list[Node]) -> Node:
+def _content(nodes: list[Node]) -> list[Node]:
+    """Roots of the content: in every branch that reaches the threshold, from the body down, the subtree with the largest sum."""
     best = max(nodes, key=lambda n: n.total)
     threshold, node = best.density, best
     while node is not None:
         if node.chars:
             threshold = min(threshold, node.density)
         node = node.parent
-    fit = [n for n in nodes if n.density >= threshold and n.chars]
-    return max(fit, key=lambda n: n.total, default=best)
-
-
-def _ascend(node: Node) -> Node:
-    """The article or main element around the chosen node, or the parent that shares the content out among blocks."""
-    up = node
-    while up is not None:
-        if up.tag in ("article", "main"):
-            return up
-        up = up.parent
-    while node.parent is not None and node.tag not in BLOCKS:
+    top: dict[Node, Node] = {}  # the node with the largest sum in each subtree, the first of equals
+    for node in reversed(nodes):
+        top[node] = max([node, *(top[c] for c in node.children if isinstance(c, Node) and not c.skip)], key=lambda n: n.total)
+    chosen: set[Node] = {best}
+    stack = [nodes[0]]
+    while stack:
+        node = stack.pop()
+        if node in chosen or not node.chars or node.density < threshold:
+            continue
+        chosen.add(top[node])
+        stack += [c for c in node.children if isinstance(c, Node) and not c.skip]
+    return [n for n in nodes if n in chosen]
+
+
+def _article(node: Node) -> Node | None:
+    """The innermost article or main element around a node, itself included."""
+    while node is not None and node.tag not in ("article", "main"):
         node = node.parent
     return node
 
 
+def _roots(nodes: list[Node]) -> list[Node]:
+    """Where the text is taken from, in page order, none inside another.
+
+    Where the subtree with the largest sum lies in an article or main element, the page says itself where its content
+    is: such elements are taken whole, and branches outside them are not. Otherwise the subtree with the largest sum,
+    and others in blocks without further blocks, are widened to their block.
+    """
+    content = _content(nodes)
+    if _article(max(content, key=lambda n: n.total)):
+        found = {a for n in content if (a := _article(n))}
+    else:
+        found = set()
+        best = max(content, key=lambda n: n.total)
+        for node in content:
+            up = node
+            while up.parent is not None and up.tag not in BLOCKS:
+                up = up.parent
+            if node is best or not any(isinstance(c, Node) and not c.skip and c.tag in BLOCKS for c in up.children):
+                node = up
+            found.add(node)
+    out, inside = [], set()
+    for node in nodes:
+        if node.parent in inside:
+            inside.add(node)
+        elif node in found:
+            inside.add(node)
+            out.append(node)
+    return out or [nodes[0]]
+
+
 def _gather(node: Node, out: list[str]) -> None:
     stack: list = [node]
     while stack:
@@ -222,7 +259,9 @@ def extract(html: str | None) -> str:
     if not top.chars:
         return ""
     parts: list[str] = []
-    _gather(_ascend(_content(nodes)), parts)
+    for root in _roots(nodes):
+        _gather(root, parts)
+        parts.append(BOUNDARY)
     blocks = (" ".join(b.split()) for b in "".join(parts).split(BOUNDARY))
     return "\n\n".join(b for b in blocks if b)
 

@@ -340,6 +340,16 @@ def test_html_article_of_the_test_pages(spark):
         assert html_text.extract(r.html) == "\n\n".join(x for x in (" ".join(h.unescape(b).split()) for b in body.split("\0")) if x)
 
 
+def test_html_sibling_sections_are_all_content():
+    para = lambda x: f"<p>{(x * 9 + ' ') * 30}</p>"
+    section = lambda xs: f"<div>{''.join(map(para, xs))}</div>"
+    links = "<div>" + "".join(f"<a href={i}>See also {i}</a>" for i in range(20)) + "</div>"
+    text = lambda xs: "\n\n".join(" ".join([x * 9] * 30) for x in xs)
+    assert html_text.extract(f"<body><div class=content>{section('abcde')}{section('fghij')}</div></body>") == text("abcdefghij")
+    assert html_text.extract(f"<body>{links}{section('abc')}{links}<section>{section('defgh')}</section>{links}</body>") == text("abcdefgh")
+    assert html_text.extract(f"<body><article>{para('a')}</article>{links}<article>{section('bc')}</article></body>") == text("abc")
+
+
 def plain_segments(scores):
     """Maximal segments by definition: recursively the best segment, then both sides of it."""
     best = max(((sum(scores[i:j]), -(j - i), -i, i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0,))
