@@ -7,10 +7,12 @@ documents; its z-score is the log-odds over their standard deviation. Tokens are
 z-score of at least ``MIN_Z`` are kept, the ``MAX_TOKENS`` most certain ones at most (the model's bound).
 
 Scoring. Each token counts its log-odds less ``DRIFT``, so a random text drifts down. A linear-time scan finds all
-maximal segments of positive score. The score distribution in clean training documents gives the
+maximal segments of positive score. Repetition is no evidence: S is the highest score of a part of the segment
+in which each positive word counts once. The score distribution in clean training documents gives the
 extreme-value parameters lambda and K; a segment's significance in a text of n tokens is lambda * S - ln(K n),
-its negative log expectation, so long texts need higher scores. A document's evidence is the sum over
-its significant segments; a logistic curve fitted on the training documents turns it into a score.
+its negative log expectation, so long texts need higher scores. All significant segments are reported. A
+document's evidence is the sum over them, of those with the same positive words the most significant one; a
+logistic curve fitted on the training documents turns it into a score.
 
 Null and empty texts have no evidence and get the base score. Documents with several label rows count as
 toxic if one says so. Without labels of both classes every score is 0. Repeated rows are scored each;
@@ -82,23 +84,31 @@ class Model:
         return _Memo(self.weights)
 
     def gains(self, words: list[str], memo: _Memo) -> list[float]:
-        """Log-odds of each word; a word speaks for toxicity at its first place only, so repetition is no evidence."""
-        out = list(map(memo.__getitem__, words))
-        if out and max(out) > DRIFT:
-            seen = set()
-            for i, g in enumerate(out):
-                if g > 0:
-                    if words[i] in seen:
-                        out[i] = 0.0
-                    seen.add(words[i])
-        return out
+        """Log-odds of each word."""
+        return list(map(memo.__getitem__, words))
 
-    def passages(self, gains: list[float]) -> list[tuple[int, int, float]]:
+    def passages(self, words: list[str], gains: list[float]) -> list[tuple[int, int, float]]:
         """Significant segments: first token, token after the last, significance."""
         if not gains or max(gains) <= DRIFT:
             return []
         limit = math.log(max(self.k * len(gains), 1e-9))
-        return [(a, b, z) for a, b, s in segments([g - DRIFT for g in gains]) if (z := self.lam * s - limit) > SIGNIFICANT]
+        out = []
+        for a, b, s in segments([g - DRIFT for g in gains]):
+            # Counting each word once only lowers the score, so most segments are ruled out as they are.
+            if self.lam * s - limit > SIGNIFICANT and (z := self.lam * once(words[a:b], gains[a:b], s) - limit) > SIGNIFICANT:
+                out.append((a, b, z))
+        return out
+
+    @staticmethod
+    def evidence(words: list[str], gains: list[float], passages: list[tuple[int, int, float]]) -> float:
+        """Sum of the significances; of passages with the same telling words the most significant one counts."""
+        if len(passages) < 2:
+            return sum(z for _, _, z in passages)
+        most: dict[frozenset[str], float] = {}
+        for a, b, z in passages:
+            telling = frozenset(w for w, g in zip(words[a:b], gains[a:b]) if g > 0)
+            most[telling] = max(z, most.get(telling, 0.0))
+        return sum(most.values())
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.intercept + self.slope * math.log1p(evidence)))))
@@ -131,6 +141,43 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, right - left) for a, b, left, right in stack]
 
 
+def once(words: list[str], gains: list[float], score: float) -> float:
+    """The highest score of a part of a segment in which each positive word counts once; ``score`` is the segment's own.
+
+    Ends are taken in turn. A tree over the starts holds the score of the part from each start to the end; a word adds
+    to the parts that begin after its last place, so a segment of n words takes n log n steps.
+    """
+    telling = [(i, w, g) for i, (w, g) in enumerate(zip(words, gains)) if g > 0]
+    if len({w for _, w, _ in telling}) == len(telling):
+        return score
+    size = 1 << (len(telling) - 1).bit_length()
+    added, top = [0.0] * (2 * size), [-math.inf] * (2 * size)  # top: highest below a node, with what was added to it
+    last: dict[str, int] = {}
+    best, cost, at = 0.0, 0.0, 0
+    for n, (i, w, g) in enumerate(telling):
+        # Costs (drift, and log-odds of words that speak against) are the same for all starts but for those before them.
+        cost += sum(DRIFT - min(x, 0.0) for x in gains[at:i])
+        at = i
+        leaf = n + size
+        top[leaf] = cost
+        low, high = last.get(w, -1) + 1 + size, leaf + 1
+        first, final = low, leaf
+        while low < high:
+            if low & 1:
+                top[low], added[low], low = top[low] + g, added[low] + g, low + 1
+            if high & 1:
+                high -= 1
+                top[high], added[high] = top[high] + g, added[high] + g
+            low, high = low >> 1, high >> 1
+        for node in (first >> 1, final >> 1):
+            while node:
+                top[node] = max(top[2 * node], top[2 * node + 1]) + added[node]
+                node >>= 1
+        last[w] = n
+        best = max(best, top[1] - cost - DRIFT)
+    return best
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents per token and class within a batch; the row without a token counts documents."""
     for b in batches:
@@ -212,10 +259,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
                 if not toxic:
-                    gains = model.gains(tokens(text.as_py() or ""), memo)
+                    words = tokens(text.as_py() or "")
+                    gains = model.gains(words, memo)
                     scores.update(round((g - DRIFT) * 8) for g in gains)
                     if gains and max(gains) > DRIFT:
-                        tops.update(int(s) for _, _, s in segments([g - DRIFT for g in gains]))
+                        tops.update(int(once(words[x:y], gains[x:y], s)) for x, y, s in segments([g - DRIFT for g in gains]))
         rows = [("token", k, n) for k, n in scores.items()] + [("segment", k, n) for k, n in tops.items()]
         cols = list(zip(*rows)) if rows else [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["kind", "value", "n"])
@@ -240,7 +288,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         seen, memo = Counter(), model.memo()
         for b in batches:
             for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
-                seen[round(4 * sum(z for _, _, z in model.passages(model.gains(tokens(text.as_py() or ""), memo)))), toxic] += 1
+                words = tokens(text.as_py() or "")
+                gains = model.gains(words, memo)
+                seen[round(4 * model.evidence(words, gains, model.passages(words, gains))), toxic] += 1
         cols = list(zip(*((k[0], k[1], n) for k, n in seen.items()))) if seen else [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["value", "toxic", "n"])
 
@@ -256,13 +306,15 @@ def _scorer(model: Model):
             sums, found = [], []
             for t in b.column(1):
                 text = t.as_py() or ""
-                passages = model.passages(model.gains(tokens(text), memo))
+                words = tokens(text)
+                gains = model.gains(words, memo)
+                passages = model.passages(words, gains)
                 spans = []
                 if passages:
                     # Lower-casing may change lengths, so offsets are those of the lower-cased text where it does.
                     at = [m.span() for m in TOKEN.finditer(text.lower())]
                     spans = [{"start": at[x][0], "end": at[y - 1][1], "significance": z} for x, y, z in passages]
-                sums.append(sum(z for _, _, z in passages))
+                sums.append(model.evidence(words, gains, passages))
                 found.append(spans)
             scores = [model.score(e) for e in sums]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("significance", pa.float64())]))

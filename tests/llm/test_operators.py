@@ -411,3 +411,30 @@ def test_held_out_labels_are_not_learned(spark):
     flip = [(i, 1, int(b) if zlib.crc32(str(i).encode()) % 5 else 1 - int(b)) for i, _, b in rows]
     one = toxicity.learn(docs, spark.createDataFrame([(i, 1, int(b)) for i, _, b in rows], "doc_id long, quality int, toxic int"))
     assert one == toxicity.learn(docs, spark.createDataFrame(flip, "doc_id long, quality int, toxic int"))
+
+
+def test_words_count_once_inside_a_part():
+    r = np.random.default_rng(5)
+    for _ in range(400):
+        weights = dict(zip("abcdefg", r.choice([-1.5, 0.0, 0.2, 0.8, 2.0, 3.0], 7)))
+        words = [str(w) for w in r.choice(list("abcdefg"), int(r.integers(1, 25)))]
+        for a, b, s in toxicity.segments([weights[w] - toxicity.DRIFT for w in words]):
+            part = words[a:b]
+            parts = [part[i:j] for i in range(len(part)) for j in range(i + 1, len(part) + 1)]
+            want = max(sum(max(0.0, weights[w]) for w in set(p)) + sum(min(0.0, weights[w]) for w in p) - toxicity.DRIFT * len(p) for p in parts)
+            assert abs(toxicity.once(part, [weights[w] for w in part], s) - want) < 1e-9
+
+
+@pytest.mark.parametrize("between", [400, 20_000])
+def test_every_toxic_passage_is_found(spark, between):
+    vile = ["vileness", "nastybad", "gutterish", "foulmouth"]
+    model = toxicity.Model({w: 4.0 for w in vile} | {"word": -0.5}, 1.0, 0.1, -3.0, 2.0)
+    clean = " word" * between
+    dense = " ".join(vile)
+    texts = [dense + clean + " " + dense, (clean + " ").join(vile) + clean + " " + dense + clean, " ".join([dense] * 3), clean]
+    got = {r.doc_id: r for r in toxicity.score_documents(frame(spark, enumerate(texts)), model).collect()}
+    spans = {i: [texts[i][p.start : p.end] for p in r.passages] for i, r in got.items()}
+    assert spans == {0: [dense, dense], 1: [dense], 2: [texts[2]], 3: []}
+    assert [got[i].predicted for i in range(4)] == [1, 1, 1, 0]
+    # The second copy is reported but is no further evidence.
+    assert abs(got[0].evidence - got[0].passages[0].significance) < 1e-9
