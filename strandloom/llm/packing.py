@@ -9,13 +9,15 @@ pieces of equal length: each task numbers its pieces per length while it tokenis
 length) come from a window over counts. Texts are read once; no task holds more than its own batch.
 
 Null text counts as empty (the end id alone). Repeated rows and rows that share a doc_id are packed each.
-Special tokens' strings inside a text are ordinary text. An empty table gives an empty result. Columns
+The strings of the file's added tokens (such as <|endoftext|>) inside a text give those tokens' ids with
+``added=True``, as an unmodified tokenizer gives them, and are ordinary text otherwise. An empty table gives an empty result. Columns
 other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -31,7 +33,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 #: Characters of a text that are tokenised at once.
 SEGMENT = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, rank long"
-_LOADED: dict[str, object] = {}
+_LOADED: dict = {}
 
 
 def _byte_letters() -> dict[str, int]:
@@ -42,7 +44,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 def _encoder(path: str):
-    """A byte-level BPE of a tokenizers JSON file, its merges ranked by id; special tokens are left out.
+    """A byte-level BPE of a tokenizers JSON file, its merges ranked by id; added tokens are left out (see ``encode_texts``).
 
     The ids are those of the tokenizers library (a test holds both together); this encoder is several times
     faster on short texts.
@@ -71,14 +73,36 @@ def segments(text: str) -> Iterator[str]:
     yield text[low:]
 
 
-def encode_texts(path: str, texts: Iterable[str]) -> Iterator[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers."""
+def _added(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """A pattern of the file's added tokens, the leftmost and then the longest first, and their ids."""
+    if ("added", path) not in _LOADED:
+        tokens = [t for t in json.load(open(path, encoding="utf-8")).get("added_tokens", []) if t["content"]]
+        odd = [t["content"] for t in tokens if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+        if odd:
+            raise ValueError(f"added tokens that look at their surroundings are not supported: {odd}")
+        names = sorted((t["content"] for t in tokens), key=len, reverse=True)
+        _LOADED["added", path] = re.compile("|".join(map(re.escape, names))) if names else None, {t["content"]: t["id"] for t in tokens}
+    return _LOADED["added", path]
+
+
+def encode_texts(path: str, texts: Iterable[str], added: bool = False) -> Iterator[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers; with ``added``, the file's added tokens are found in it."""
     encode = _encoder(path).encode_to_numpy
+    pattern, ids = _added(path) if added else (None, {})
+
+    def plain(text: str) -> bytes:
+        return b"".join(encode(s, disallowed_special=()).astype("<u4", copy=False).tobytes() for s in segments(text))
+
     for text in texts:
-        yield b"".join(encode(s, disallowed_special=()).astype("<u4", copy=False).tobytes() for s in segments(text))
+        parts, low = [], 0
+        for m in pattern.finditer(text) if pattern else ():
+            # The text before an added token is tokenised for itself.
+            parts += [plain(text[low : m.start()]), np.array([ids[m[0]]], "<u4").tobytes()]
+            low = m.end()
+        yield b"".join([*parts, plain(text[low:])]) if parts else plain(text)
 
 
-def _tokenise(path: str, end_id: int, capacity: int):
+def _tokenise(path: str, end_id: int, capacity: int, added: bool):
     """Pieces of the documents of a task, numbered per length inside the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +119,7 @@ def _tokenise(path: str, end_id: int, capacity: int):
         for b in batches:
             out, held = [], 0
             texts = (t.as_py() or "" for t in b.column(1))
-            for doc_id, ids in zip(b.column(0).to_pylist(), encode_texts(path, texts)):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode_texts(path, texts, added)):
                 ids += end
                 first = len(ids) % size or min(size, len(ids))
                 at, piece = 0, 0
@@ -190,18 +214,18 @@ def _place(slots: dict[int, tuple[np.ndarray, ...]]):
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """A written table of pieces: doc_id, piece, start, length, ids, and the place among equals (part, rank)."""
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return materialise(rows.mapInArrow(_tokenise(tokenizer, end_id, capacity), PIECES), "pieces")
+    return materialise(rows.mapInArrow(_tokenise(tokenizer, end_id, capacity, added), PIECES), "pieces")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, added: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (binary), ids_crc32, sequence_id, offset.
 
     ``tokenizer``: a tokenizers JSON file of byte-level BPE that executors can open.
     """
-    pieces = token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col)
+    pieces = token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, added)
     counts = materialise(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     slots = _slots(plan_bins(histogram, capacity))

@@ -24,7 +24,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2, capacity=1024, with_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2, capacity=1024, with_ids=False, added=True)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

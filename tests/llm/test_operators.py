@@ -179,6 +179,26 @@ def test_packing(spark):
     assert packing.pack(frame(spark, ODD).limit(0), queries.TOKENIZER).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(queries.TOKENIZER), reason="no tokenizer file")
+def test_packing_queries_take_the_ids_of_the_unmodified_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    tok, end = Tokenizer.from_file(queries.TOKENIZER), "<|endoftext|>"
+    texts = [f"it's {end} twice  spaced\n\n x y ", end, f"{end}{end} a", f"a {end}", f"a  {end}  b", f"a\n {end}b{end[:-1]}", f"<|{end}|> {end.upper()}", *(t or "" for _, t in ODD)]
+    frame(spark, enumerate(texts)).write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (queries.op2_best_fit_packing(spark, str(tmp_path)).collect(), corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()):
+        got = {(r.doc_id, r.start): (r.length, r.ids_crc32) for r in rows}
+        want = {}
+        for i, t in enumerate(texts):
+            ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
+            first = len(ids) % 1024 or min(1024, len(ids))
+            for low, high in zip([0, *range(first, len(ids), 1024)], [*range(first, len(ids), 1024), len(ids)]):
+                want[i, low] = (high - low, zlib.crc32(ids[low:high].tobytes()))
+        assert got == want
+
+
 def test_segments_of_long_texts_join_to_the_text(monkeypatch):
     monkeypatch.setattr(packing, "SEGMENT", 10)
     for t in (LONG[:500], "a" * 100, "a  b   c " * 20, " " * 50, "x\n y " * 30, ""):
