@@ -7,7 +7,9 @@ branch that reaches the threshold gives its subtree with the largest density sum
 the content: link-heavy branches below the threshold are dropped. Where the densest-sum node lies in an article
 or main element, such elements are taken whole and branches outside them are not. Parts that HTML itself marks
 as no content (nav, header, footer, aside, form, script, style, ...) or that name themselves so (class, id or
-role: ad, cookie, comment, sidebar, ...) are left out beforehand.
+role: ad, cookie, comment, sidebar, ...) are left out beforehand. A class or id alone leaves no element out that
+holds most of the page's text, an article or a main, unless its whole name is such a name and the page has an
+article or main with text elsewhere (see ``_Builder.leave_out``); there the density decides.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by
 two line feeds in page order. Null html counts as empty and gives an empty text; broken markup (unclosed or
@@ -39,6 +41,8 @@ BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|pagination|popup|modal|promo\w*|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|toolbar|widget|reader-?comments)(?:$|[\s_-])",
     re.I,
 )
+#: Words before a boilerplate name that say that the element only has or lacks such a part.
+HAVING = frozenset(("has", "no", "with", "without"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BOUNDARY = "\0"
 
@@ -52,10 +56,9 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _named_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether the element's role or visibility says that it is no content."""
     for name, value in attrs:
-        if name in ("class", "id") and value and BOILERPLATE.search(value):
-            return True
         if name == "role" and (value or "").strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -63,6 +66,20 @@ def _named_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+def _named(attrs: list[tuple[str, str | None]]) -> int:
+    """2 if a whole class or id is a name of boilerplate, 1 if a part of one is, else 0; has-sidebar and no-sidebar are not."""
+    found = 0
+    for name, value in attrs:
+        if name in ("class", "id") and value and BOILERPLATE.search(value):
+            for token in value.split():
+                if BOILERPLATE.fullmatch(token):
+                    return 2
+                words = [w for w in re.split("[_-]+", token) if w]
+                if any(BOILERPLATE.fullmatch(w) and (not i or words[i - 1].lower() not in HAVING) for i, w in enumerate(words)):
+                    found = 1
+    return found
+
+
 #: A comment, declaration or tag; a quote that is not closed is an ordinary character.
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+'|["'])*+)>)""", re.S)
 TELLING = re.compile(r"class|id|role|hidden|style", re.I)
@@ -75,6 +92,7 @@ class _Builder:
 
     def __init__(self, html: str):
         self.root = self.at = Node("#root", None)
+        self.named: dict[Node, int] = {}
         low = 0
         while m := TAG.search(html, low):
             if m.start() > low:
@@ -93,6 +111,8 @@ class _Builder:
                     self.end(tag)
         if low < len(html):
             self.data(html[low:])
+        if self.named:
+            self.leave_out()
 
     def start(self, tag: str, attrs: str) -> None:
         node = self.at
@@ -106,10 +126,14 @@ class _Builder:
                 if node.tag in scope or node.tag in BLOCKS and node.tag not in CLOSES:
                     break
                 node = node.parent
-        skip = tag in NO_CONTENT
+        skip, named = tag in NO_CONTENT, 0
         if not skip and attrs and tag not in ("html", "body", "article", "main") and TELLING.search(attrs):
-            skip = _named_boilerplate([(n.lower(), unescape(x or y or z)) for n, x, y, z in ATTRIBUTE.findall(attrs)])
+            pairs = [(n.lower(), unescape(x or y or z)) for n, x, y, z in ATTRIBUTE.findall(attrs)]
+            skip = _hidden(pairs)
+            named = 0 if skip else _named(pairs)
         new = Node(tag, self.at, skip)
+        if named:
+            self.named[new] = named
         self.at.children.append(new)
         if tag not in VOID:
             self.at = new
@@ -123,6 +147,28 @@ class _Builder:
         if node.parent is not None:
             self.at = node.parent
 
+    def leave_out(self) -> None:
+        """Skip elements named as boilerplate, except those that hold most of the page's text, an article or a main.
+
+        An element whose whole class or id is such a name (comments, related, ad) may be long or hold articles of its
+        own: where an article or main has text outside all named elements, it is skipped nevertheless.
+        """
+        nodes = _nodes(self.root)
+        letters, holds, inside, outside = {}, {}, set(), {}
+        for node in nodes:
+            if node in self.named or node.parent in inside:
+                inside.add(node)
+        for node in reversed(nodes):
+            kept = [c for c in node.children if isinstance(c, Node) and not c.skip]
+            own = sum(_letters(c) for c in node.children if isinstance(c, str))
+            letters[node] = own + sum(letters[c] for c in kept)
+            outside[node] = 0 if node in inside else own + sum(outside[c] for c in kept)
+            holds[node] = any(c.tag in ("article", "main") or holds[c] for c in kept)
+        told = any(outside[n] for n in nodes if n.tag in ("article", "main"))
+        for node, name in self.named.items():
+            most = 2 * letters.get(node, 0) > letters[self.root]
+            node.skip = name == 2 and told or not (most or holds.get(node))
+
     def data(self, text: str) -> None:
         self.at.children.append(unescape(text) if "&" in text else text)
 

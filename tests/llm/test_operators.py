@@ -370,6 +370,20 @@ def test_html_sibling_sections_are_all_content():
     assert html_text.extract(f"<body><article>{para('a')}</article>{links}<article>{section('bc')}</article></body>") == text("abc")
 
 
+@pytest.mark.parametrize("name", ['class="layout has-sidebar"', 'class="site no-sidebar"', 'class="with-header"', 'id="main-menu-page"', 'class="header"', 'class="page_without_nav"'])
+@pytest.mark.parametrize("tag", ["article", "main", "section"])
+def test_html_wrappers_named_after_boilerplate(name, tag):
+    para = lambda x: f"<p>{(x * 9 + ' ') * 30}</p>"
+    text = lambda xs: "\n\n".join(" ".join([x * 9] * 30) for x in xs)
+    page = f"<body><div {name}><{tag}>{para('a')}{para('b')}<div class=ad>Buy</div></{tag}><div class=sidebar><p>Other things</p></div></div></body>"
+    assert html_text.extract(page) == text("ab")
+
+
+def test_html_comments_with_articles_of_their_own_are_left_out():
+    page = "<body><article><p>" + "word " * 90 + "</p></article><div id=comments class=comments-area><article><p>" + "reply " * 50 + "</p></article></div></body>"
+    assert html_text.extract(page) == " ".join(["word"] * 90)
+
+
 def plain_segments(scores):
     """Maximal segments by definition: recursively the best segment, then both sides of it."""
     best = max(((sum(scores[i:j]), -(j - i), -i, i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0,))
