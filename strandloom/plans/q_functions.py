@@ -218,3 +218,35 @@ def b27(spark, sf):
     d = table(spark, sf, "documents")
     q = F.substring(F.regexp_replace("text", "[^!-~]", ""), 1, 400)
     return seq.read_metrics(d.select("lang", q.alias("sequence"), q.alias("quality")).filter("length(quality) > 0"), ["lang"])
+
+
+# The same over whole texts; the SQL of those above is over prefixes.
+@query("b27_read_metrics_whole")
+def b27_whole(spark, sf):
+    q = F.regexp_replace("text", "[^!-~]", "")
+    return seq.read_metrics(table(spark, sf, "documents").select("lang", q.alias("sequence"), q.alias("quality")).filter("length(quality) > 0"), ["lang"])
+
+
+def _starts(rows, length):
+    """One row per place of ``s`` (from 1 on) at which so many letters begin."""
+    return rows.filter(F.length("s") >= length).withColumn("position", F.explode(F.sequence(F.lit(1), F.length("s") - (length - 1))))
+
+
+@query("b03_valid_kmer_whole")
+def b03_whole(spark, sf):
+    w = _starts(contigs(spark, sf).select("doc_id", F.col("seq").alias("s")), 31).select("doc_id", "position", F.substring("s", F.col("position"), F.lit(31)).alias("kmer"))
+    return w.withColumn("valid", seq.is_valid_kmer(F.col("kmer")))
+
+
+@query("b07_hamming_distance_whole")
+def b07_whole(spark, sf):
+    w = _starts(table(spark, sf, "benchmark").select("item_id", dna(F.col("text")).alias("s")), 61)
+    pair = [F.substring("s", F.col("position") + shift, F.lit(51)) for shift in (0, 10)]
+    return w.select("item_id", "position", seq.hamming_distance(*pair).alias("distance"))
+
+
+@query("b08_mismatch_neighbourhood_whole")
+def b08_whole(spark, sf):
+    w = _starts(table(spark, sf, "benchmark").select("item_id", dna(F.col("text")).alias("s")), 15)
+    w = w.select("item_id", "position", F.substring("s", F.col("position"), F.lit(15)).alias("kmer"))
+    return w.select("item_id", "position", F.explode(seq.neighbourhood(F.col("kmer"), 1)).alias("neighbour"))
