@@ -39,9 +39,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences of 1024."""
+    """Token pieces with their ids and their places in sequences of 1024."""
     ship(spark)
-    return packing.pack(docs, queries.TOKENIZER, end_id=2, capacity=1024, with_ids=False, added=True)
+    return packing.pack(docs, queries.TOKENIZER, end_id=2, capacity=1024, added=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -472,3 +472,11 @@ def test_every_toxic_passage_is_found(spark, between):
     assert [got[i].predicted for i in range(4)] == [1, 1, 1, 0]
     # The second copy is reported but is no further evidence.
     assert abs(got[0].evidence - got[0].passages[0].significance) < 1e-9
+
+
+@pytest.mark.skipif(not os.path.exists(queries.TOKENIZER), reason="no tokenizer file")
+def test_the_pipeline_writes_token_ids(spark):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.pack_sequences(spark, frame(spark, ODD), SF).collect()
+    assert rows and all(len(r.ids) == 4 * r.length and r.ids_crc32 == zlib.crc32(r.ids) for r in rows)
