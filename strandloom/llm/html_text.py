@@ -1,15 +1,19 @@
 """Main-text extraction from HTML by composite text density.
 
 Every DOM node gets its composite density: characters per tag, adjusted by the share of link characters
-(nodes that are mostly links fall to almost nothing). A parent's density sum adds its children's. The
-threshold is the lowest density on the path from the densest-sum node to the body; from the body down, every
-branch that reaches the threshold gives its subtree with the largest density sum, and all these together are
-the content: link-heavy branches below the threshold are dropped. Where the densest-sum node lies in an article
-or main element, such elements are taken whole and branches outside them are not. Parts that HTML itself marks
-as no content (nav, header, footer, aside, form, script, style, ...) or that name themselves so (class, id or
-role: ad, cookie, comment, sidebar, ...) are left out beforehand. A class or id alone leaves no element out that
-holds most of the page's text, an article or a main, unless its whole name is such a name and the page has an
-article or main with text elsewhere (see ``_Builder.leave_out``); there the density decides.
+(nodes that are mostly links fall to almost nothing). A run of text is measured as a node of one tag; elements
+that only format text (b, br, span, ...) are no tags, as they say nothing of the layout. A parent's density sum
+adds the densities of its children and its own runs of text. The threshold is the lowest density on the path from the node with the
+largest sum to the body. From the body down, every branch that reaches the threshold gives its subtree with the
+largest density sum; all these are the content, with the headings right before them. Branches below the threshold are
+not, nor are blocks inside the content that are below it and hold little but several links (menus). An article or main element counts like any other.
+
+Parts that the page itself marks as something else are left out beforehand: by tag (nav, header, footer, aside,
+form, script, style, ...), by role or as hidden, and by a class or id that names a menu, footer, sidebar, notice, advert,
+form or reader comments, with no words in it but such names and words of place or shape (``PARTS``). A name leaves no element out
+that holds most of the page's text, an article or a main, unless its whole name is one word of ``PARTS`` and the page has an
+article or main with text elsewhere (see ``_Builder.leave_out``); a class or id of a header leaves out only what
+the density would not take. There and in all other blocks, whatever they are called, the density decides.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by
 two line feeds in page order. Null html counts as empty and gives an empty text; broken markup (unclosed or
@@ -37,12 +41,19 @@ NO_CONTENT = frozenset("head script style noscript template iframe object embed
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 CLOSED_BY = {tag: frozenset(k for k, v in CLOSES.items() if tag in v) for tag in frozenset().union(*CLOSES.values())}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|pagination|popup|modal|promo\w*|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|toolbar|widget|reader-?comments)(?:$|[\s_-])",
-    re.I,
+#: Words of a class or id that name a part which is no content.
+PARTS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promoted promotion banner banners menu menus nav navbar navigation navlinks breadcrumb breadcrumbs pagination footer sidebar sidebars notice notices cookie cookies consent gdpr disclaimer newsletter subscribe subscription signup comment comments commentlist disqus replies respond".split()
 )
-#: Words before a boilerplate name that say that the element only has or lacks such a part.
-HAVING = frozenset(("has", "no", "with", "without"))
+#: Words that name the head of a page or of an article.
+HEADS = frozenset("header masthead".split())
+#: Words that may stand beside such names: places, shapes, numbers and the like.
+BESIDE = frozenset(
+    "site page main global top bottom left right upper lower side inner outer wrap wrapper container box area block section region list item items bar panel pane slot unit links primary secondary big small wide narrow reader user text body content fixed sticky mobile desktop overlay modal popup widget form policy the my js id 1 2 3 4 5 6 7 8 9 0".split()
+)
+#: Elements that only format text.
+INLINE = frozenset("abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BOUNDARY = "\0"
 
@@ -66,17 +77,20 @@ def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+#: How an element is named: the head of something, a part among other words, one word.
+HEAD, PART, WHOLE = 1, 2, 3
+
+
 def _named(attrs: list[tuple[str, str | None]]) -> int:
-    """2 if a whole class or id is a name of boilerplate, 1 if a part of one is, else 0; has-sidebar and no-sidebar are not."""
+    """How the element's classes and ids name it as a part without content; 0: they don't (has-sidebar, related-work)."""
     found = 0
     for name, value in attrs:
-        if name in ("class", "id") and value and BOILERPLATE.search(value):
+        if name in ("class", "id") and value:
             for token in value.split():
-                if BOILERPLATE.fullmatch(token):
-                    return 2
-                words = [w for w in re.split("[_-]+", token) if w]
-                if any(BOILERPLATE.fullmatch(w) and (not i or words[i - 1].lower() not in HAVING) for i, w in enumerate(words)):
-                    found = 1
+                words = [w for w in re.split(r"[_\-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if w]
+                parts = sum(w in PARTS for w in words)
+                if all(w in PARTS or w in HEADS or w in BESIDE for w in words):
+                    found = max(found, WHOLE if parts == len(words) == 1 else PART if parts else HEAD if any(w in HEADS for w in words) else 0)
     return found
 
 
@@ -148,10 +162,11 @@ class _Builder:
             self.at = node.parent
 
     def leave_out(self) -> None:
-        """Skip elements named as boilerplate, except those that hold most of the page's text, an article or a main.
+        """Skip elements named as such parts, except those that hold most of the page's text, an article or a main.
 
-        An element whose whole class or id is such a name (comments, related, ad) may be long or hold articles of its
-        own: where an article or main has text outside all named elements, it is skipped nevertheless.
+        An element whose whole class or id is such a name (comments, ad) may be long or hold articles of its own:
+        where an article or main has text outside all named elements, it is skipped nevertheless. An element named
+        a header is skipped only if it is mostly links or holds a few words.
         """
         nodes = _nodes(self.root)
         letters, holds, inside, outside = {}, {}, set(), {}
@@ -167,7 +182,10 @@ class _Builder:
         told = any(outside[n] for n in nodes if n.tag in ("article", "main"))
         for node, name in self.named.items():
             most = 2 * letters.get(node, 0) > letters[self.root]
-            node.skip = name == 2 and told or not (most or holds.get(node))
+            node.skip = name == WHOLE and told or not (most or holds.get(node))
+            if node.skip and name == HEAD:
+                linked = sum(_letters(c) for n in _nodes(node) if _in_link(n, node) for c in n.children if isinstance(c, str))
+                node.skip = 2 * linked > letters.get(node, 0) or letters.get(node, 0) < HEAD_LETTERS and not any(n.tag in HEADINGS for n in _nodes(node))
 
     def data(self, text: str) -> None:
         self.at.children.append(unescape(text) if "&" in text else text)
@@ -183,10 +201,31 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
+#: Letters below which an element named as a header, without a heading, is no text.
+HEAD_LETTERS = 80
+
+
+def _in_link(node: Node, top: Node) -> bool:
+    while node is not top and node is not None:
+        if node.tag == "a":
+            return True
+        node = node.parent
+    return False
+
+
 def _letters(text: str) -> int:
     return len(text) - text.count(" ") - text.count("\n") - text.count("\t")
 
 
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    """Composite density; ``ratio``: the page's share of characters in links."""
+    if not chars:
+        return 0.0
+    tags, link_tags, links = max(1, tags), max(1, link_tags), max(1, link_chars)
+    base = math.log(chars / max(1, chars - link_chars) * links + ratio * chars + math.e)
+    return max(0.0, chars / tags * math.log(max(1.0, chars / links * tags / link_tags), base)) if base > 1 else 0.0
+
+
 def _measure(nodes: list[Node]) -> None:
     """Characters, tags and link counts of subtrees, then composite densities and density sums."""
     for node in reversed(nodes):
@@ -195,7 +234,7 @@ def _measure(nodes: list[Node]) -> None:
                 node.chars += _letters(c)
             elif not c.skip:
                 node.chars += c.chars
-                node.tags += c.tags + 1
+                node.tags += c.tags + (c.tag not in INLINE)
                 node.link_chars += c.link_chars
                 node.link_tags += c.link_tags
         if node.tag == "a":
@@ -203,19 +242,24 @@ def _measure(nodes: list[Node]) -> None:
     body = nodes[0]
     ratio = body.link_chars / max(1, body.chars)
     for node in reversed(nodes):
-        tags, links = max(1, node.tags), max(1, node.link_tags)
-        plain, linked = node.chars - node.link_chars, max(1, node.link_chars)
-        if node.chars:
-            base = math.log(node.chars / max(1, plain) * linked + ratio * node.chars + math.e)
-            node.density = node.chars / tags * math.log(max(1.0, node.chars / linked * tags / links), base) if base > 1 else 0.0
-            node.density = max(node.density, 0.0)
-        node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.skip)
-        # Text of the node itself counts as a child of its own.
-        node.total += sum(_letters(c) for c in node.children if isinstance(c, str))
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
+        for c in node.children:
+            if isinstance(c, str):
+                n = _letters(c)
+                node.total += _density(n, 1, n * (node.tag == "a"), 1, ratio)
+            elif not c.skip:
+                node.total += c.density
+
+
+#: A block below the threshold with so many links, which hold so large a part of its characters, is a menu.
+MENU_LINKS, MENU_SHARE = 3, 2 / 3
 
 
 def _content(nodes: list[Node]) -> list[Node]:
-    """Roots of the content: in every branch that reaches the threshold, from the body down, the subtree with the largest sum."""
+    """Roots of the content: in every branch that reaches the threshold, from the body down, the subtree with the largest sum.
+
+    Blocks inside them that are menus by their density are marked to be left out.
+    """
     best = max(nodes, key=lambda n: n.total)
     threshold, node = best.density, best
     while node is not None:
@@ -233,36 +277,51 @@ def _content(nodes: list[Node]) -> list[Node]:
             continue
         chosen.add(top[node])
         stack += [c for c in node.children if isinstance(c, Node) and not c.skip]
+    for node in nodes:
+        node.skip |= node.tag in BLOCKS and node.density < threshold and node.link_tags >= MENU_LINKS and node.link_chars > MENU_SHARE * node.chars and node not in chosen
     return [n for n in nodes if n in chosen]
 
 
-def _article(node: Node) -> Node | None:
-    """The innermost article or main element around a node, itself included."""
-    while node is not None and node.tag not in ("article", "main"):
+class _Siblings(dict):
+    """For each parent its children that count (no blanks, nothing skipped) and their places."""
+
+    def __missing__(self, parent: Node) -> tuple[list, dict[Node, int]]:
+        around = [c for c in parent.children if (c.strip() if isinstance(c, str) else not c.skip)]
+        self[parent] = around, {c: i for i, c in enumerate(around) if isinstance(c, Node)}
+        return self[parent]
+
+
+def _headings(node: Node, siblings: _Siblings) -> list[Node]:
+    """Headings right before a node, or before the elements that it begins."""
+    out: list[Node] = []
+    while node.parent is not None:
+        around, places = siblings[node.parent]
+        at = places[node]
+        while at and isinstance(around[at - 1], Node) and around[at - 1].tag in HEADINGS:
+            at -= 1
+            out.append(around[at])
+        if at:
+            break
         node = node.parent
-    return node
+    return out
 
 
 def _roots(nodes: list[Node]) -> list[Node]:
     """Where the text is taken from, in page order, none inside another.
 
-    Where the subtree with the largest sum lies in an article or main element, the page says itself where its content
-    is: such elements are taken whole, and branches outside them are not. Otherwise the subtree with the largest sum,
-    and others in blocks without further blocks, are widened to their block.
+    The subtree with the largest sum, and others in blocks without further blocks, are widened to their block.
     """
     content = _content(nodes)
-    if _article(max(content, key=lambda n: n.total)):
-        found = {a for n in content if (a := _article(n))}
-    else:
-        found = set()
-        best = max(content, key=lambda n: n.total)
-        for node in content:
-            up = node
-            while up.parent is not None and up.tag not in BLOCKS:
-                up = up.parent
-            if node is best or not any(isinstance(c, Node) and not c.skip and c.tag in BLOCKS for c in up.children):
-                node = up
-            found.add(node)
+    best = max(content, key=lambda n: n.total)
+    found, siblings = set(), _Siblings()
+    for node in content:
+        up = node
+        while up.parent is not None and up.tag not in BLOCKS:
+            up = up.parent
+        if node is best or not any(isinstance(c, Node) and not c.skip and c.tag in BLOCKS for c in up.children):
+            node = up
+        found.add(node)
+        found.update(_headings(node, siblings))
     out, inside = [], set()
     for node in nodes:
         if node.parent in inside:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import os
 import re
 import zlib
@@ -360,6 +361,73 @@ def test_html_article_of_the_test_pages(spark):
         assert html_text.extract(r.html) == "\n\n".join(x for x in (" ".join(h.unescape(b).split()) for b in body.split("\0")) if x)
 
 
+def plain_density(chars, tags, link_chars, link_tags, page_links, page_chars):
+    """The formula of composite text density, as published."""
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(1, chars - link_chars) * max(1, link_chars) + page_links / max(1, page_chars) * chars + math.e)
+    return max(0.0, chars / max(1, tags) * math.log(max(1.0, chars / max(1, link_chars) * max(1, tags) / max(1, link_tags))) / math.log(base))
+
+
+def test_html_densities_match_a_plain_count():
+    import xml.etree.ElementTree as E
+
+    r = np.random.default_rng(3)
+
+    def grow(depth):
+        text = lambda: " ".join(["letters"] * int(r.integers(0, 12)))
+        tag = str(r.choice(["div", "section", "a", "b", "span"] if depth else ["a", "b", "h2"]))
+        inner = "".join(text() + grow(depth - 1) for _ in range(int(r.integers(0, 4)))) if depth else ""
+        return f"<{tag}>{inner}{text()}</{tag}>"
+
+    for _ in range(60):
+        page = "<body>" + "".join(grow(3) for _ in range(3)) + "</body>"
+        plain = E.fromstring(page)
+        letters = lambda e: len("".join(e.itertext()).replace(" ", ""))
+
+        def links(e, inside=False):
+            inside = inside or e.tag == "a"
+            own = (len((e.text or "").replace(" ", "")) if inside else 0) + sum(links(c, inside) + (len((c.tail or "").replace(" ", "")) if inside else 0) for c in e)
+            return own
+
+        def count(e, kinds):
+            return sum(d.tag in kinds for d in e.iter() if d is not e)
+
+        all_links, all_chars = links(plain), letters(plain)
+        density = lambda e: plain_density(letters(e), count(e, {"div", "section", "a", "h2"}), links(e), count(e, {"a"}) + (e.tag == "a"), all_links, all_chars)
+        body = html_text._Builder(page).root.children[0]
+        nodes = html_text._nodes(body)
+        html_text._measure(nodes)
+        for e, node in zip(plain.iter(), nodes, strict=True):
+            assert e.tag == node.tag and abs(density(e) - node.density) < 1e-9
+            runs = [len(x.replace(" ", "")) for x in [e.text or "", *(c.tail or "" for c in e)]]
+            own = sum(plain_density(n, 1, n * (e.tag == "a"), 1, all_links, all_chars) for n in runs)
+            assert abs(sum(map(density, e)) + own - node.total) < 1e-6
+
+
+def test_html_pages_without_article_or_main():
+    para = lambda x, n=30: f"<p>{(x * 9 + ' ') * n}</p>"
+    text = lambda x, n=30: " ".join([x * 9] * n)
+    links = "<ul>" + "".join(f"<li><a href={i}>See also number {i}</a>" for i in range(20)) + "</ul>"
+    assert html_text.extract(f"<body>{links}<div><h1>Title</h1>{para('a')}{para('b', 3)}</div>{links}</body>") == f"Title\n\n{text('a')}\n\n{text('b', 3)}"
+    # The densest part decides, not an article element that holds a teaser.
+    assert html_text.extract(f"<body><article><a href=x>More</a> of it</article><div>{para('a')}{para('b')}</div></body>") == f"{text('a')}\n\n{text('b')}"
+    # A heading before a section belongs to it, though it is short; lists of links between sections don't.
+    assert html_text.extract(f"<body><h2>One</h2><div>{para('a')}{para('b')}</div>{links}<h2>Two</h2><div>{para('c')}{para('d')}</div></body>") == "\n\n".join(["One", text("a"), text("b"), "Two", text("c"), text("d")])
+
+
+@pytest.mark.parametrize("name", ["related-work", "share", "social-history", "notice-of-terms", "navigational-aids", "commented", "adobe", "header-files"])
+def test_html_prose_in_blocks_with_telling_names_is_kept(name):
+    page = f"<body><article><p>{'word ' * 60}</p><div class={name}><p>{'prose ' * 40}</p></div></article></body>"
+    assert html_text.extract(page) == "\n\n".join([" ".join(["word"] * 60), " ".join(["prose"] * 40)])
+
+
+@pytest.mark.parametrize("name", ["notice", "cookie-notice", "site-footer", "sidebarLeft", "reader-comments", "ad-slot-3", "main_menu", "newsletter-form", "comments-area", "advert"])
+def test_html_parts_that_are_no_content_are_left_out(name):
+    page = f"<body><div><p>{'word ' * 60}</p><p>{'more ' * 60}</p><div class={name}><p>{'prose ' * 40}</p></div></div></body>"
+    assert html_text.extract(page) == "\n\n".join([" ".join(["word"] * 60), " ".join(["more"] * 60)])
+
+
 def test_html_sibling_sections_are_all_content():
     para = lambda x: f"<p>{(x * 9 + ' ') * 30}</p>"
     section = lambda xs: f"<div>{''.join(map(para, xs))}</div>"
