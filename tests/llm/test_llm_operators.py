@@ -245,6 +245,75 @@ def test_sharding(spark):
     assert len(even) == 24 and max(e.n for e in even) < 1.06 * min(e.n for e in even)
 
 
+def plain_shards(texts, shards):
+    """The law of the tree on lists: sorted points, running sums, the cut nearest to the goal."""
+    weight, first, one = Counter(), {}, {}
+    for i, t in texts:
+        d = hashlib.md5((t or "").encode()).hexdigest()
+        size = len((t or "").encode()) + 8
+        weight[d] += size
+        first[d] = min(first.get(d, 2**62), -1 if i is None else i)
+        one[d] = size
+    total = sum(weight.values())
+    laid, at = sharding._lay([(d, w) for d, w in weight.items() if w * shards > total], total, shards)
+    wants = sharding._wants(laid, total - sum(laid))
+    points = {d: ((first[d] + 1 << 20) + int(d[:5], 16), (one[d] + 1 << 20) + int(d[:5], 16), int(d[:15], 16)) for d in weight if d not in at}
+    span = lambda ds, k: max(points[d][k] for d in ds) - min(points[d][k] for d in ds)
+    whole = [max(1, span(points, k)) for k in range(3)] if points else None
+
+    def split(ds, s):
+        if not ds:
+            return
+        if len(s) == 1:
+            at.update(dict.fromkeys(ds, s[0]))
+            return
+        k = max(range(3), key=lambda k: span(ds, k) / whole[k])
+        goal = sum(weight[d] for d in ds) * (sum(wants[i] for i in s[: len(s) // 2]) / (sum(wants[i] for i in s) or 1.0))
+        order, run, n = sorted(ds, key=lambda d: points[d][k]), 0, len(ds)
+        for j, d in enumerate(order):
+            if run + weight[d] >= goal:
+                n = j + 1 if run + weight[d] - goal <= goal - run else j
+                break
+            run += weight[d]
+        split(order[:n], s[: len(s) // 2])
+        split(order[n:], s[len(s) // 2 :])
+
+    split(list(points), range(shards))
+    return weight, at
+
+
+@pytest.mark.parametrize("spread", [0, 1])
+def test_sharding_matches_a_plain_tree(spark, monkeypatch, spread):
+    r = np.random.default_rng(4)
+    length = (lambda: int(r.integers(1, 60))) if spread == 0 else lambda: int(1 + 900 * r.random() ** 6)
+    texts = [(int(i), " ".join(r.choice(WORDS, length()))) for i in r.permutation(900)] + [(2000 + i, "copy of a text") for i in range(40)] + [(None, "x"), (None, None)]
+    weight, at = plain_shards(texts, 7)
+    monkeypatch.setattr(sharding, "BINS", 300)
+    monkeypatch.setattr(sharding, "EVEN", 1e-9)  # the tree alone
+    got = {(x.text_crc32, x.size): x.shard for x in sharding.shard(frame(spark, texts), 7).collect()}
+    assert got == {(zlib.crc32((t or "").encode()), len((t or "").encode()) + 8): at[hashlib.md5((t or "").encode()).hexdigest()] for _, t in texts}
+    # Then what is too uneven is evened out, and hardly anything else moves.
+    monkeypatch.setattr(sharding, "EVEN", 40)
+    rows = sharding.shard(frame(spark, texts), 7).collect()
+    sizes = Counter()
+    for x in rows:
+        sizes[x.shard] += x.size
+    assert max(sizes.values()) - min(sizes.values()) <= sum(sizes.values()) / 7 / 40 + 1
+    assert sum(got[x.text_crc32, x.size] != x.shard for x in rows) <= len(rows) / 20
+
+
+def test_groups_heavier_than_a_shard_lie_apart(spark):
+    texts = [(i, f"giant {i} " * 3000) for i in range(2)] + [(100 + i, f"small text number {i}") for i in range(600)]
+    sizes, giants = Counter(), set()
+    for x in sharding.shard(frame(spark, texts), 6).collect():
+        sizes[x.shard] += x.size
+        if x.doc_id < 2:
+            giants.add(x.shard)
+    assert len(giants) == 2
+    rest = [sizes[s] for s in range(6) if s not in giants]
+    assert max(rest) < 1.1 * min(rest) and all(sizes[s] < 1.01 * (3000 * 8 + 3100) for s in giants)
+
+
 def test_fingerprints(spark):
     texts = [(i, t) for i, t in ODD if i is not None]
     rows = fingerprint.neighbour_likeness(frame(spark, texts)).collect()
