@@ -1,8 +1,10 @@
 """Document fingerprints by improbable features.
 
 Every window of ``WINDOW`` bytes has an entropy; windows whose entropy is rare in the whole corpus are
-improbable. A window is selected when it is the rarest (leftmost on ties) in at least ``VOTES`` of the
-``AROUND`` neighbourhoods that hold it. Selected features go into a chain of Bloom filters of 2048 bits,
+improbable; plain ones (entropy bins below ``PLAIN``: runs, rules of dashes) rank behind all others, so they are
+selected only where there is nothing else. A window is selected when it is the rarest (leftmost on ties) in at least ``VOTES`` of the
+``AROUND`` neighbourhoods that hold it; neighbourhoods reach beyond both ends of a text, so one of a few windows has as many.
+Some window of every text of ``WINDOW`` bytes or more is selected. Selected features go into a chain of Bloom filters of 2048 bits,
 160 features each. Two fingerprints are compared filter by filter: the bits in common beyond what chance gives,
 as a share of the most possible; each filter takes its best partner, and filters count by their bits.
 
@@ -29,8 +31,8 @@ WINDOW, AROUND, VOTES = 16, 16, 5
 BITS, FEATURES, HASHES = 2048, 160, 5
 BLOCK = 1 << 16
 SCALE = 1024
-#: Entropy bins below this (of 1000) are too plain to tell texts apart.
-WEAK = 250
+#: Windows of entropy bins below this (of 1000) say little of a text.
+PLAIN = 250
 
 _C = np.arange(WINDOW + 1, dtype=np.float64)
 _PLAIN = np.rint(SCALE * _C * np.log2(np.maximum(_C, 1))).astype(np.int32)
@@ -68,7 +70,7 @@ def spliced_bins(left: np.ndarray, left_bins: np.ndarray, right: np.ndarray, rig
 
 def rank_table(histogram: dict[int, int]) -> np.ndarray:
     """Rank of each entropy bin: 0 for the rarest; plain ones last."""
-    order = sorted(range(1001), key=lambda b: (b < WEAK, histogram.get(b, 0), -b))
+    order = sorted(range(1001), key=lambda b: (b < PLAIN, histogram.get(b, 0), -b))
     table = np.empty(1001, np.uint32)
     table[order] = np.arange(1001)
     return table
@@ -76,24 +78,20 @@ def rank_table(histogram: dict[int, int]) -> np.ndarray:
 
 def select(bins: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """Positions of the selected windows."""
-    n = len(bins)
-    if n < 2 * AROUND:
-        return np.arange(n)
-    out = []
-    for low in range(0, n, BLOCK):  # windows that begin in [low, low + BLOCK) with neighbours on both sides
-        first = max(0, low - AROUND + 1)
-        own = bins[first : low + BLOCK + AROUND - 1]
-        if len(own) < AROUND:
-            break
-        v = ranks[own] << np.uint32(17) | np.arange(len(own), dtype=np.uint32)
+    n, out, edge = len(bins), [], AROUND - 1
+    for low in range(0, n, BLOCK):  # windows of [low, low + BLOCK), with the neighbourhoods that hold them
+        first, last = max(0, low - edge), min(n, low + BLOCK + edge)
+        v = np.full(min(BLOCK, n - low) + 2 * edge, 1 << 14, np.uint32)  # beyond the ends nothing wins
+        shift = first - (low - edge)
+        v[shift : shift + last - first] = ranks[bins[first:last]]
+        v = v << np.uint32(17) | np.arange(len(v), dtype=np.uint32)
         span = 1
         while span < AROUND:
             v = np.minimum(v[:-span], v[span:])
             span *= 2
-        votes = np.bincount(v & np.uint32((1 << 17) - 1), minlength=len(own))
-        at = np.flatnonzero((votes >= VOTES) & (own >= WEAK)) + first
-        out.append(at[(at >= low) & (at < low + BLOCK)])
-    return np.concatenate(out)
+        votes = np.bincount(v & np.uint32((1 << 17) - 1), minlength=min(BLOCK, n - low) + 2 * edge)
+        out.append(np.flatnonzero(votes[edge : edge + min(BLOCK, n - low)] >= VOTES) + low)
+    return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
 _R = np.random.default_rng(4242)
@@ -258,5 +256,5 @@ def neighbour_likeness(docs: DataFrame, rarity: dict[int, int] | None = None, id
             yield batch(found)
 
     dealt = rows.mapInArrow(deal, "doc_id long, text string, key long, bucket int, end boolean")
-    dealt = dealt.repartition(len(splits), "bucket").sortWithinPartitions("bucket", "end", "key", "text")
+    dealt = dealt.repartitionById(len(splits), F.col("bucket")).sortWithinPartitions("bucket", "end", "key", "text")  # one bucket a task
     return dealt.select("doc_id", "text", "bucket", "end").mapInArrow(run, _PAIR)

@@ -32,6 +32,8 @@ from .common import BROADCAST_ROWS, materialise
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Characters of a text that are tokenised at once.
 SEGMENT = 1 << 20
+#: Bytes of ids that a task holds before it hands them on.
+HELD = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, rank long"
 _LOADED: dict = {}
 
@@ -130,7 +132,7 @@ def _tokenise(path: str, end_id: int, capacity: int, added: bool):
                     ranks[n] += 1
                     at, piece = till, piece + 1
                 held += len(ids)
-                if held > 8_000_000:
+                if held > HELD:
                     yield batch(out)
                     out, held = [], 0
             yield batch(out)

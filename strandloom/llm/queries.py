@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, fingerprint, html_text, mixing, near_dedup, packing, sharding, toxicity, warc
 
-#: The tokenizer of the packing query; a parameter, as the vocabulary is not part of the repository.
-TOKENIZER = os.environ.get("BYTE_BPE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+def _tokenizer() -> str:
+    """The vocabulary of the packing query, which is not part of the repository; a path that executors can open."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return "/opt/tokenizers/byte_bpe_50k.json"
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+TOKENIZER = os.environ.get("BYTE_BPE_TOKENIZER") or _tokenizer()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -226,6 +226,48 @@ def test_bins_are_no_more_than_first_fit_needs():
         assert sum(t for t, _ in plan) <= len(room)
 
 
+def fewest_bins(sizes, capacity):
+    """The least number of bins, by trying every way to fill the bin of the largest item left."""
+    best = [len(sizes)]
+
+    def search(left, bins):
+        if not left:
+            best[0] = min(best[0], bins)
+        elif bins + -(-sum(left) // capacity) < best[0]:
+            top, rest = left[0], left[1:]
+            seen = set()
+            for n in range(len(rest) + 1):
+                for chosen in combinations(range(len(rest)), n):
+                    kept = tuple(rest[i] for i in chosen)
+                    if top + sum(kept) <= capacity and kept not in seen:
+                        seen.add(kept)
+                        search([x for i, x in enumerate(rest) if i not in chosen], bins + 1)
+
+    search(sorted(sizes, reverse=True), 0)
+    return best[0]
+
+
+def test_bins_are_close_to_the_fewest():
+    r = np.random.default_rng(8)
+    found, fewest = 0, 0
+    for _ in range(40):
+        sizes = [int(x) for x in r.integers(1, 20, 8)]
+        own, least = sum(n for n, _ in packing.plan_bins(Counter(sizes), 20)), fewest_bins(sizes, 20)
+        assert own <= least + 1
+        found, fewest = found + own, fewest + least
+    assert found <= 1.05 * fewest
+
+
+def test_the_fullest_combination_is_found():
+    r = np.random.default_rng(9)
+    for _ in range(100):
+        counts = Counter(int(x) for x in r.integers(1, 15, 6))
+        items, target = sorted(counts.elements()), int(r.integers(1, 40))
+        most = max(s for n in range(len(items) + 1) for c in combinations(items, n) if (s := sum(c)) <= target)
+        got = packing._fill(target, counts)
+        assert sum(got) == most and not Counter(got) - counts
+
+
 def test_sharding(spark):
     r = np.random.default_rng(2)
     texts = [(int(i), " ".join(r.choice(WORDS, int(r.integers(1, 80))))) for i in r.permutation(3000)] + [(5000 + i, "copy of a text") for i in range(400)] + ODD
@@ -344,6 +386,62 @@ def test_fingerprint_buckets_cover_every_neighbour(spark, monkeypatch):
     assert Counter((r.doc_id, r.edited_sha256) for r in rows) == want
 
 
+def plain_selection(data, histogram):
+    """Selected windows by definition: entropies, ranks and votes one at a time."""
+    w, around = fingerprint.WINDOW, fingerprint.AROUND
+
+    def entropy(i):
+        counts = Counter(data[i : i + w]).values()
+        return min(1000, max(0, round(1000 * (1 - sum(round(1024 * c * math.log2(c)) for c in counts) / round(1024 * w * math.log2(w))))))
+
+    bins = [entropy(i) for i in range(len(data) - w + 1)]
+    order = sorted(range(1001), key=lambda b: (b < 250, histogram.get(b, 0), -b))
+    rank = {b: i for i, b in enumerate(order)}
+    votes = Counter()
+    for low in range(1 - around, len(bins)) if bins else ():
+        votes[min((i for i in range(max(0, low), min(len(bins), low + around))), key=lambda i: (rank[bins[i]], i))] += 1
+    return bins, [i for i in range(len(bins)) if votes[i] >= fingerprint.VOTES]
+
+
+def plain_likeness(a, b):
+    """Of two chains of filters, given as lists of sets of bits."""
+    if not a or not b:
+        return float(len(a) == len(b))
+
+    def score(x, y):
+        most, chance = min(len(x), len(y)), len(x) * len(y) / fingerprint.BITS
+        floor = min(chance + max(0.1 * (most - chance), 3 * chance**0.5), most)
+        return 1.0 if len(x & y) >= most else min(1.0, max(0.0, (len(x & y) - floor) / max(most - floor, 1e-6)))
+
+    side = lambda p, q: sum(len(x) * max(score(x, y) for y in q) for x in p) / sum(map(len, p))
+    return (side(a, b) + side(b, a)) / 2
+
+
+def test_fingerprints_match_a_plain_version(spark):
+    r = np.random.default_rng(6)
+    texts = ["a" * 200, "ab" * 100, "-" * 500, "a" * 16, "a" * 40, "short", "", None, "x" * 15, "-" * 60 + " then a sentence of its own " + "=" * 60, *(" ".join(r.choice(WORDS, int(n))) for n in (4, 30, 200, 900))]
+    histogram = fingerprint.entropy_histogram(frame(spark, enumerate(texts)))
+    want = Counter()
+    for t in texts:
+        want.update(plain_selection((t or "").encode(), {})[0])
+    assert histogram == dict(want)
+    ranks = fingerprint.rank_table(histogram)
+    chains = []
+    for t in texts:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        bins, at = plain_selection(bytes(data), histogram)
+        assert fingerprint.entropy_bins(data).tolist() == bins and fingerprint.select(np.array(bins, np.int16), ranks).tolist() == at
+        chain = fingerprint.filters(data, np.array(bins, np.int16), ranks)
+        assert len(chain) == (-(-max(1, len({bytes(data[i : i + 16]) for i in at})) // fingerprint.FEATURES) if len(data) else 0)
+        assert bool(len(data)) == bool(chain.any())  # every text but the empty one has a fingerprint
+        chains.append(chain)
+    sets = [[set(np.flatnonzero(f)) for f in c] for c in chains]
+    for x, a in zip(sets, chains):
+        for y, b in zip(sets, chains):
+            assert abs(plain_likeness(x, y) - fingerprint.likeness(a, b)) < 1e-5
+    assert fingerprint.likeness(chains[0], chains[2]) == fingerprint.likeness(chains[0], chains[6]) == 0 and fingerprint.likeness(chains[6], chains[7]) == 1
+
+
 def test_entropies_don_t_depend_on_blocks(monkeypatch):
     data = np.random.default_rng(0).integers(97, 110, 5000, dtype=np.uint8)
     bins = fingerprint.entropy_bins(data)
