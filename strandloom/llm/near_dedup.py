@@ -14,8 +14,10 @@ Within a key's bucket all pairs are never emitted. Each member is first compared
 bucket's smallest node; components of these links are taken; then only pairs that lie in different
 components can matter, at least one of them apart from the leader's component. Of those the triangle
 inequality of the Jaccard distance against the leader, the ratio of set sizes and the distance of longer
-one-bit sketches (5 standard deviations allowed) rule out nearly all inside the join; the rest are compared on
-full sets too, each pair once. No bucket, partner or candidate is capped.
+one-bit signatures rule out most inside the join; the rest are compared on full sets too, each pair once. The
+longer signature belongs to the method's threshold like the keys: a pair of similarity 0.75 differs by more than ``FAR`` of
+its ``SKETCH`` bits (5 standard deviations) with probability 3e-7, a more similar one more rarely. It lets pairs of similarity
+0.68 and more through, so that families of texts just below the threshold cost comparisons. No bucket, partner or candidate is capped.
 
 Nulls: text null counts as empty; a row without doc_id takes its class's node. Rows that share a doc_id
 are one node. Empty tables give empty results. Further columns are ignored by ``near_duplicates`` and kept
@@ -38,10 +40,10 @@ from .common import broadcast_if_small, fresh_name, materialise, shingle_sets
 
 CHUNKS, CHUNK, WORDS = 12, 4, 5
 SYMBOLS = CHUNKS * CHUNK
-#: One-bit symbols of a sketch, and how many may differ at similarity 0.75: 128 expected, 5 standard deviations more.
-SKETCH, FAR = 1024, 181
+#: One-bit symbols of a sketch, and how many may differ at similarity 0.75: 256 expected, 5 standard deviations more.
+SKETCH, FAR = 2048, 331
 #: Members that are compared with one hub in one task.
-HUB = 2000
+HUB = 500
 
 _R = np.random.default_rng(97531)
 _XOR = _R.integers(0, 2**32, SYMBOLS, dtype=np.uint32)[:, None]
@@ -159,9 +161,12 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     A hub's set is sent once for every HUB of its partners, each partner's once per pair.
     """
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
+    parts = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")), "parts")
+    # Hubs of several parts are at most a HUB-th of the pairs; those of one part need no join.
+    large = broadcast_if_small(parts.filter("parts > 1"))
     hubs = parts.join(sets, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "shingles")
-    members = pairs.join(parts, "a").join(sets, F.col("b") == F.col("node")).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "shingles")
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    members = pairs.join(large, "a", "left").select("a", "b", part).join(sets, F.col("b") == F.col("node")).select("a", "part", "b", "shingles")
     both = hubs.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     found = both.mapInArrow(_intersect, "a long, b long, both long, either long")
     return found.groupBy("a", "b").agg(F.max_by(F.struct("both", "either"), F.col("both") / F.col("either")).alias("x")).select("a", "b", "x.both", "x.either")
