@@ -3,16 +3,18 @@
 Learning. Documents with labels give, per token, the number of toxic and of clean documents that hold it. A
 token's log-odds compare both classes under a Dirichlet prior proportional to the token's share of all
 documents; its z-score is the log-odds over their standard deviation. Tokens are lower-case words, and stems
-(the first letters of longer words, marked ``~``); the longest known stem stands in for a word that was not seen. Tokens with a
-z-score of at least ``MIN_Z`` are kept, the ``MAX_TOKENS`` most certain ones at most (the model's bound).
+(the first letters of longer words, marked ``~``); the longest known stem stands in for a word that was not seen. All tokens with a
+z-score of at least ``MIN_Z`` are kept. The model is bounded by its sample: of more than ``LABELLED`` labelled
+documents, a share by the hash of their ids is learned from, about as many as that.
 
 Scoring. Each token counts its log-odds less ``DRIFT``, so a random text drifts down. A linear-time scan finds all
 maximal segments of positive score. Repetition is no evidence: S is the highest score of a part of the segment
 in which each positive word counts once. The score distribution in clean training documents gives the
 extreme-value parameters lambda and K; a segment's significance in a text of n tokens is lambda * S - ln(K n),
-its negative log expectation, so long texts need higher scores. All significant segments are reported. A
-document's evidence is the sum over them, of those with the same positive words the most significant one; a
-logistic curve fitted on the training documents turns it into a score.
+its negative log expectation, so long texts need higher scores. Segments of which a clean text of that length has fewer than
+``EXPECTED`` are significant and all reported. A document's evidence is the negative log of the product of the expectations of all segments of
+which fewer than one is expected (of those with the same positive words the most significant one counts), so that several weak ones add up; without any it is 0. A logistic curve over the logarithm
+of the evidence, fitted on the training documents, turns it into a score.
 
 Null and empty texts have no evidence and get the base score. Documents with several label rows count as
 toxic if one says so. Without labels of both classes every score is 0. Repeated rows are scored each;
@@ -37,10 +39,14 @@ TOKEN = re.compile(r"[^\W\d_]+")
 #: Lengths of stems, the longest first; a word has those that are shorter than it.
 STEMS = (8, 7, 6, 5, 4)
 #: Words of which a task remembers the log-odds.
-MEMO = 500_000
-PRIOR, MIN_Z, MIN_DOCS, MAX_TOKENS, DRIFT = 10.0, 3.0, 3, 100_000, 0.35
-#: A segment is significant if fewer than exp(-SIGNIFICANT) such are expected in a clean text of its length.
-SIGNIFICANT = 0.0
+MEMO = 100_000
+PRIOR, MIN_Z, MIN_DOCS, DRIFT = 10.0, 3.0, 3, 0.35
+#: A segment is significant if fewer such are expected in a clean text of its length.
+EXPECTED = 0.01
+#: Labelled documents to learn from, at most; the documented bound of the sample.
+LABELLED = 1_000_000
+#: Token counts that a task holds before it hands them on.
+COUNTED = 200_000
 SCORED = "doc_id long, evidence double, score double, predicted int, passages array<struct<start: int, end: int, significance: double>>"
 
 
@@ -79,6 +85,7 @@ class Model:
     k: float = 0.1
     intercept: float = -30.0
     slope: float = 0.0
+    significant: float = -math.log(EXPECTED)
 
     def memo(self) -> _Memo:
         return _Memo(self.weights)
@@ -87,21 +94,20 @@ class Model:
         """Log-odds of each word."""
         return list(map(memo.__getitem__, words))
 
-    def passages(self, words: list[str], gains: list[float]) -> list[tuple[int, int, float]]:
-        """Significant segments: first token, token after the last, significance."""
-        if not gains or max(gains) <= DRIFT:
-            return []
+    def judge(self, words: list[str], gains: list[float]) -> tuple[float, list[tuple[int, int, float]]]:
+        """A text's evidence and its significant segments: first token, token after the last, significance."""
         limit = math.log(max(self.k * len(gains), 1e-9))
         out = []
-        for a, b, s in segments([g - DRIFT for g in gains]):
-            # Counting each word once only lowers the score, so most segments are ruled out as they are.
-            if self.lam * s - limit > SIGNIFICANT and (z := self.lam * once(words[a:b], gains[a:b], s) - limit) > SIGNIFICANT:
-                out.append((a, b, z))
-        return out
+        if gains and max(gains) > DRIFT:
+            for a, b, s in segments([g - DRIFT for g in gains]):
+                # Counting each word once only lowers the score, so most segments are ruled out as they are.
+                if self.lam * s > limit and (z := self.lam * once(words[a:b], gains[a:b], s) - limit) > 0:
+                    out.append((a, b, z))
+        return self.evidence(words, gains, out), [x for x in out if x[2] > self.significant]
 
     @staticmethod
     def evidence(words: list[str], gains: list[float], passages: list[tuple[int, int, float]]) -> float:
-        """Sum of the significances; of passages with the same telling words the most significant one counts."""
+        """Sum of the significances; of segments with the same telling words the most significant one counts."""
         if len(passages) < 2:
             return sum(z for _, _, z in passages)
         most: dict[frozenset[str], float] = {}
@@ -179,16 +185,24 @@ def once(words: list[str], gains: list[float], score: float) -> float:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents per token and class within a batch; the row without a token counts documents."""
+    """Documents per token and class among some rows; the row without a token counts documents."""
+    found = (Counter(), Counter())
+
+    def rows() -> pa.RecordBatch:
+        names = list(found[0] | found[1])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([found[c][n] for n in names], pa.int64()) for c in (0, 1))], ["token", "clean", "toxic"])
+
     for b in batches:
-        found = (Counter(), Counter())
         for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
             words = set(tokens(text.as_py() or ""))
             words |= {s for w in words for s in stems(w)}
             found[toxic].update(words)
             found[toxic][""] += 1
-        names = list(found[0] | found[1])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([found[c][n] for n in names], pa.int64()) for c in (0, 1))], ["token", "clean", "toxic"])
+            if len(found[0]) + len(found[1]) > COUNTED:
+                yield rows()
+                found[0].clear()
+                found[1].clear()
+    yield rows()
 
 
 def _log_odds(counts: DataFrame) -> dict[str, float]:
@@ -203,8 +217,7 @@ def _log_odds(counts: DataFrame) -> dict[str, float]:
     spread = F.sqrt(error("toxic", n1) + error("clean", n0))
     rows = counts.filter("token <> ''").filter(F.col("toxic") + F.col("clean") >= MIN_DOCS).filter((F.col("clean") + prior < n0 + PRIOR) & (F.col("toxic") + prior < n1 + PRIOR))
     rows = rows.select("token", delta.alias("delta"), (delta / spread).alias("z")).filter(F.abs("z") >= MIN_Z)
-    kept = rows.orderBy(F.abs("z").desc(), "token").limit(MAX_TOKENS).collect()  # at most MAX_TOKENS rows
-    return {r["token"]: r["delta"] for r in kept}
+    return {r["token"]: r["delta"] for r in rows.orderBy("token").collect()}  # tokens of a bounded sample of documents
 
 
 def _karlin(histogram: dict[float, int]) -> float:
@@ -243,9 +256,12 @@ def _logistic(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit the model on labelled rows outside the held-out fifth; three passes over those rows' texts."""
+    """Fit the model on labelled rows outside the held-out fifth (``LABELLED`` of them, about, if there are more); three passes over their texts."""
     label = labels.filter("toxic is not null").groupBy(F.col(id_col).alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).filter(training_rows(F.col("label_id")))
     label = materialise(label, "labels")
+    n = label.count()
+    if n > LABELLED:
+        label = materialise(label.filter(F.pmod(F.xxhash64("label_id"), F.lit(n)) < LABELLED), "sample")
     rows = docs.join(broadcast_if_small(label), docs[id_col] == label["label_id"]).select(F.col(text_col).cast("string").alias("text"), "toxic")
     counts = materialise(rows.mapInArrow(_count, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "tokens")
     weights = _log_odds(counts)
@@ -290,7 +306,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
                 words = tokens(text.as_py() or "")
                 gains = model.gains(words, memo)
-                seen[round(4 * model.evidence(words, gains, model.passages(words, gains))), toxic] += 1
+                seen[round(4 * model.judge(words, gains)[0]), toxic] += 1
         cols = list(zip(*((k[0], k[1], n) for k, n in seen.items()))) if seen else [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["value", "toxic", "n"])
 
@@ -308,13 +324,13 @@ def _scorer(model: Model):
                 text = t.as_py() or ""
                 words = tokens(text)
                 gains = model.gains(words, memo)
-                passages = model.passages(words, gains)
+                evidence, passages = model.judge(words, gains)
                 spans = []
                 if passages:
                     # Lower-casing may change lengths, so offsets are those of the lower-cased text where it does.
                     at = [m.span() for m in TOKEN.finditer(text.lower())]
                     spans = [{"start": at[x][0], "end": at[y - 1][1], "significance": z} for x, y, z in passages]
-                sums.append(model.evidence(words, gains, passages))
+                sums.append(evidence)
                 found.append(spans)
             scores = [model.score(e) for e in sums]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("significance", pa.float64())]))

@@ -674,6 +674,78 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
 
 
+def plain_model(rows):
+    """Log-odds, lambda and K of labelled texts, by plain loops over all tokens."""
+    n, counts = Counter(), defaultdict(Counter)
+    for text, toxic in rows:
+        n[toxic] += 1
+        words = set(re.findall(r"[^\W\d_]+", text.lower()))
+        for w in words | {"~" + w[:k] for w in words for k in (4, 5, 6, 7, 8) if len(w) > k}:
+            counts[w][toxic] += 1
+    weights = {}
+    for w, c in counts.items():
+        if c[0] + c[1] < toxicity.MIN_DOCS:
+            continue
+        prior = toxicity.PRIOR * (c[0] + c[1]) / (n[0] + n[1])
+        yes, no = [c[x] + prior for x in (1, 0)], [n[x] + toxicity.PRIOR - c[x] - prior for x in (1, 0)]
+        if min(no) <= 0:
+            continue
+        delta = math.log(yes[0] / no[0]) - math.log(yes[1] / no[1])
+        if abs(delta) / math.sqrt(sum(1 / x for x in yes + no)) >= toxicity.MIN_Z:
+            weights[w] = delta
+    gain = lambda w: next((weights[x] for x in [w, *("~" + w[:k] for k in (8, 7, 6, 5, 4) if len(w) > k)] if x in weights), 0.0)
+    scores, tops = Counter(), Counter()
+    for text, toxic in rows:
+        if not toxic:
+            words = re.findall(r"[^\W\d_]+", text.lower())
+            gains = [gain(w) for w in words]
+            scores.update(round((g - toxicity.DRIFT) * 8) / 8 for g in gains)
+            tops.update(int(toxicity.once(words[x:y], gains[x:y], s)) for x, y, s in toxicity.segments([g - toxicity.DRIFT for g in gains]))
+    total, step = sum(scores.values()), 1e-4
+    lam = step
+    while sum(c * math.exp(lam * s) for s, c in scores.items()) / total < 1:
+        lam += step
+    large = sorted(x for x in tops.elements() if x >= 1)
+    k = 0.1
+    if len(large) >= 20:
+        level = next(x for x in sorted(set(large)) if sum(y > x for y in large) <= len(large) / 2) + 1
+        above = sum(y >= level for y in large)
+        k = min(1.0, max(1e-6, above / (total * math.exp(-lam * level)))) if above else k
+    return weights, lam, k, gain
+
+
+def test_toxicity_matches_a_plain_model(spark):
+    r = np.random.default_rng(11)
+    rows = [(i, t + (" gutterish " * 2 + "word3" if i % 17 == 3 else ""), bad) for i, t, bad in toxic_texts(1500, 4)]
+    rows += [(5000 + j, rows[0][1], rows[0][2]) for j in range(3)]  # repeated texts
+    rows += [(6000, " ".join(r.choice([f"word{i}" for i in range(300)], 30_000)) + " vileness nastybad gutterish vileness nastybad", True), (6001, "", False)]
+    labels = spark.createDataFrame([(i, int(b)) for i, _, b in rows], "doc_id long, toxic int")
+    docs = frame(spark, [(i, t) for i, t, _ in rows] + [(6002, None), (6000, "a second row of this id")])
+    model = toxicity.learn(docs.filter("text not like 'a second%'"), labels)
+    train = [(t, int(b)) for i, t, b in rows if zlib.crc32(str(i).encode()) % 5]
+    weights, lam, k, gain = plain_model(train)
+    assert weights.keys() == model.weights.keys() and all(abs(weights[w] - model.weights[w]) < 1e-9 for w in weights)
+    assert abs(lam - model.lam) < 1e-3 and abs(math.log(k / model.k)) < 0.05
+    got = toxicity.score_documents(docs, model).collect()
+    assert len(got) == len(rows) + 2
+    texts = {i: t for i, t, _ in rows}
+    for x in got:
+        text = texts.get(x.doc_id, "") if x.doc_id != 6000 or x.evidence else ""
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        gains = [gain(w) for w in words]
+        limit, best = math.log(max(model.k * len(words), 1e-9)), {}
+        for a, b, s in toxicity.segments([g - toxicity.DRIFT for g in gains]):
+            z = model.lam * toxicity.once(words[a:b], gains[a:b], s) - limit
+            same = frozenset(w for w, g in zip(words[a:b], gains[a:b]) if g > 0)
+            if z > 0:
+                best[same] = max(z, best.get(same, 0))
+        assert abs(sum(best.values()) - x.evidence) < 1e-6
+        assert abs(1 / (1 + math.exp(-model.intercept - model.slope * math.log1p(x.evidence))) - x.score) < 1e-6
+        assert all(p.significance > -math.log(toxicity.EXPECTED) for p in x.passages)
+    long_one = [x for x in got if x.doc_id == 6000 and x.evidence]
+    assert len(long_one) == 1 and long_one[0].predicted == 1
+
+
 def test_held_out_labels_are_not_learned(spark):
     rows = toxic_texts(400, 1)
     docs = frame(spark, [(i, t) for i, t, _ in rows])
