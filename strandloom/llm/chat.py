@@ -118,15 +118,15 @@ def _reader(template: Template):
         at, state, done = None, None, []
 
         def close():
-            conv, n, turns, chars, loss, formatted = state
-            done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted))
+            conv, n, turns, chars, loss, formatted, valid = state
+            done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted, valid))
 
         for b in batches:
-            for conv, segments in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for conv, segments, valid in zip(*(c.to_pylist() for c in b.columns)):
                 if state is None or conv != at:
                     if state is not None:
                         close()
-                    at, state = conv, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    at, state = conv, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, True]
                 role, text, learned = parse_turn(segments, template)
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode())
@@ -134,6 +134,7 @@ def _reader(template: Template):
                     state[3] += len(x)
                     state[4].update(x.encode())
                 state[5] += sum(len(s["text"]) for s in segments)
+                state[6] &= valid
             if done:
                 yield _digests(done)
                 done.clear()
@@ -145,12 +146,12 @@ def _reader(template: Template):
 
 
 def _digests(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 def conversation_digests(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """Per conversation, read back from the formatted turns: turns, text under the loss mask, sizes."""
-    rows = formatted.select("conv_id", "position", "segments").repartition("conv_id").sortWithinPartitions("conv_id", "position").drop("position")
-    return rows.mapInArrow(_reader(template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """Per conversation, read back from the formatted turns: turns, text under the loss mask, sizes, and whether all turns are in order."""
+    rows = formatted.select("conv_id", "position", "segments", "valid").repartition("conv_id").sortWithinPartitions("conv_id", "position").drop("position")
+    return rows.mapInArrow(_reader(template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

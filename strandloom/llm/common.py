@@ -11,16 +11,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a two- or three-column numeric table that may be broadcast: some tens of MB.
-BROADCAST_ROWS = 500_000
+#: Bytes of a table that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 _SCRATCH: dict[str, list[str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset, a folder of our own."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset, a folder of our own, but only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='strandloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -55,9 +57,16 @@ def release(spark: SparkSession, paths: list[str]) -> None:
             kept.remove(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; ``df`` should be a written table, so counting is cheap."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only where the measured bytes of all rows stay within ``limit``; otherwise Spark joins by a shuffle.
+
+    ``df`` should be a written table, so that measuring is cheap. A row has 16 bytes and 8 for each column, and the bytes
+    of its texts.
+    """
+    long_ones = [F.octet_length(F.col(f"`{f.name}`")) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    texts = F.sum(sum((F.coalesce(x, F.lit(0)) for x in long_ones), F.lit(0)).cast("long"))
+    n, chars = df.agg(F.count("*"), texts).first()
+    return F.broadcast(df) if n * (16 + 8 * len(df.columns)) + (chars or 0) <= limit else df
 
 
 def fresh_name(df: DataFrame, base: str) -> str:

@@ -7,7 +7,7 @@ doc_id stays; a null doc_id comes last, and rows that also share the doc_id are
 columns, so that one row of each group stays. Empty tables give empty results.
 
 Counts are pre-aggregated before each shuffle, so a group that holds a third of all rows is a few rows per
-task; joins carry keys, not texts, beyond the candidates.
+task; joins carry keys, not texts, beyond the candidates, and rows without a possible equal join nothing.
 """
 
 from __future__ import annotations
@@ -51,14 +51,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     full = F.sha2(F.col(norm), 256)
     rows = marked.select("doc_id", F.coalesce(F.col(flag), F.lit(False)).alias("shared"), (full if digest_all else F.when(F.col(flag), full)).alias("digest"))
     rows = materialise(rows, "digests")
-    groups = rows.filter("shared").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    alone = rows.filter("shared").groupBy("digest", "doc_id").agg(F.count("*").alias("same")).filter("same > 1")
-    out = rows.join(groups, "digest", "left").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "digest")
-    if alone.isEmpty():
-        return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    rank = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy(F.lit(0)))
-    numbered = out.withColumn("r", F.when(F.col("group_size") > 1, rank).otherwise(1))
-    return numbered.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("r") == 1)).drop("r")
+    shared = rows.filter("shared").drop("shared")
+    single = rows.filter("not shared").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest", F.lit(True).alias("kept"))
+    groups = shared.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # A written table: the join below is then one that a hot digest's rows can be split for.
+    groups = materialise(groups, "groups")
+    out = shared.join(broadcast_if_small(groups), "digest").select("doc_id", "keep_id", "group_size", "digest")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    # Rows that share their group's smallest doc_id are numbered; only they are dealt by key.
+    twice = materialise(shared.groupBy("digest", "doc_id").agg(F.count("*").alias("same")).filter("same > 1").join(groups, "digest").filter(kept).select("digest"), "twice")
+    if twice.isEmpty():
+        return out.withColumn("kept", kept).unionByName(single)
+    again = broadcast_if_small(twice.withColumn("again", F.lit(True)))
+    out = out.join(again, "digest", "left").withColumn("again", F.coalesce("again", F.lit(False)) & kept)
+    rank = F.row_number().over(Window.partitionBy("digest").orderBy(F.lit(0)))
+    numbered = out.filter("again").withColumn("kept", rank == 1)
+    return out.filter("not again").withColumn("kept", kept).unionByName(numbered).drop("again").unionByName(single)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ that are still missing, so a source's words equal its target, rounded.
 Sizes are words ``[^\\x20\\x09-\\x0D]+``; null text has none. Source null is a source of its own, last.
 Ranks inside a source come from counts per hash bucket and order inside a bucket, so no task sees a whole
 source. The number of sources must be small enough for one task to rank them (they are aggregates).
-Repeated rows count each; rows that share a doc_id are ordered by size. Empty tables give empty results.
+Repeated rows count each; rows that share a doc_id are ordered by size, rows without one by their text's hash. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -70,7 +70,9 @@ def mix(
     size: Callable[[Column], Column] = words,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target (its source's), taken (words, repeats counted)."""
-    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    # Rows without an id are drawn by their text, so that they don't share one bucket.
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))))
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), name))
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size(F.col(text_col)).alias("size"), draw.alias("draw")), "sizes")
     targets = materialise(source_targets(rows, weights, share, max_epochs), "targets")
     bucket = F.substring("draw", 1, DIGITS)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise
+from .common import broadcast_if_small, materialise
 
 #: The pre-tokenisation of byte-level BPE.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -233,10 +233,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024,
     slots = _slots(plan_bins(histogram, capacity))
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = materialise(counts.select("part", "length", ahead.alias("ahead")), "offsets")
-    if offsets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
     rows = pieces.withColumn("ids_crc32", F.crc32("ids"))
     rows = rows if with_ids else rows.drop("ids")
-    rows = rows.join(offsets, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("ahead")).drop("ahead")
+    rows = rows.join(broadcast_if_small(offsets), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("ahead")).drop("ahead")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("rank", "part"))
     return rows.mapInArrow(_place(slots), f"{kinds}, sequence_id long, offset long")

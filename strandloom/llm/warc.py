@@ -9,7 +9,10 @@ nothing behind and its next attempt replaces what it wrote.
 Reader. Archives are cut into byte ranges. A task looks in its range for gzip's magic, takes a candidate for
 a member only if decoding its start gives a WARC header, and from there reads member after member. It owns
 the records that start inside its range, whose last one it reads to its end beyond the range; so every
-record is read once, whatever the cuts. Only one record is in memory at a time.
+record is read once, whatever the cuts. Only one member is in memory at a time. Archives of others are read too: records of all types (a
+record without an HTTP message gives its whole block as payload), several records in a member, header names in any case, folded lines,
+missing or foreign digests. ``digest_ok`` says whether a SHA-1 payload digest of the header is that of the payload; it
+is null where the header has none to compare. Ids that are no ``urn:page:`` of this writer give a null page_id and stay in ``record_id``.
 
 Null html counts as empty, null url leaves out the target URI. Rows with a group's largest page_id are all
 ``response``; repeated rows are written each. A null page_id counts as smallest and is read back as null.
@@ -22,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialise, scratch_path
 
+PAGE_ID = re.compile(r"<urn:page:(-?\d+)>")
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An archive is closed when it has so many bytes; a reader's range.
@@ -41,7 +46,9 @@ ARCHIVE_BYTES, SPLIT_BYTES = 1 << 30, 16 << 20
 #: Tasks that read, at most; beyond it a task reads several ranges.
 READ_TASKS = 50_000
 READ = 1 << 18
-RECORD = "page_id long, record_type string, refers_to long, target_uri string, payload_digest string, payload_bytes long, payload binary"
+#: Bytes of records that a task holds before it hands them on.
+HELD = 4 << 20
+RECORD = "page_id long, record_type string, refers_to long, target_uri string, payload_digest string, payload_bytes long, payload binary, record_id string, digest_ok boolean"
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -53,8 +60,8 @@ def _record_id(page_id: int | None) -> str:
 
 
 def _page_of(record_id: str | None) -> int | None:
-    number = (record_id or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+    found = PAGE_ID.fullmatch((record_id or "").strip())
+    return int(found[1]) if found else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
@@ -72,21 +79,51 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + packer.flush()
 
 
-def parse_record(raw: bytes) -> tuple:
-    """The columns of RECORD from a record's bytes; the payload's digest is computed anew where there is a payload."""
-    head, _, body = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    body = body[: int(fields["Content-Length"])]
-    http, _, payload = body.partition(b"\r\n\r\n")
-    kind = fields["WARC-Type"]
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; a folded line continues the one before, of repeated fields the first counts."""
+    text = re.sub(r"\r?\n[ \t]+", " ", head.decode("utf-8", "replace"))
+    fields: dict[str, str] = {}
+    for line in re.split(r"\r?\n", text)[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            fields.setdefault(name.strip().lower(), value.strip())
+    return fields
+
+
+HEAD_END = re.compile(rb"\r?\n\r?\n")
+
+
+def split_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record of a member."""
+    low = 0
+    while low < len(raw) and raw.startswith(b"WARC/", low):
+        end = HEAD_END.search(raw, low)
+        if not end:
+            return
+        fields = _fields(raw[low : end.start()])
+        size = fields.get("content-length", "")
+        high = end.end() + int(size) if size.isdigit() else len(raw)
+        yield fields, raw[end.end() : high]
+        low = high
+        while raw[low : low + 1] in (b"\r", b"\n"):
+            low += 1
+
+
+def parse_record(fields: dict[str, str], block: bytes) -> tuple:
+    """The columns of RECORD; the payload's digest is computed anew where there is a payload."""
+    kind, told = fields.get("warc-type", "").lower(), fields.get("warc-payload-digest")
+    http, payload = {}, block
+    if "application/http" in fields.get("content-type", "").lower() or kind == "revisit":
+        end = HEAD_END.search(block)
+        http, payload = _fields(block[: end.start()] if end else block), block[end.end() :] if end else b""
+    stated = told.removeprefix("sha1:") if told and told.startswith("sha1:") else None
     if kind == "revisit":
-        length = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
-        digest, payload = fields["WARC-Payload-Digest"].removeprefix("sha1:"), None
+        size = http.get("content-length", "")
+        length, digest, payload, same = int(size) if size.isdigit() else None, stated or told, None, None
     else:
         length, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        if fields["WARC-Payload-Digest"] != f"sha1:{digest}":
-            raise ValueError(f"payload digest of {fields['WARC-Record-ID']} doesn't match")
-    return _page_of(fields["WARC-Record-ID"]), kind, _page_of(fields.get("WARC-Refers-To")), fields.get("WARC-Target-URI"), digest, length, payload
+        same = None if stated is None else stated == digest
+    return _page_of(fields.get("warc-record-id")), kind, _page_of(fields.get("warc-refers-to")), fields.get("warc-target-uri"), digest, length, payload, fields.get("warc-record-id"), same
 
 
 def _writer(folder: str, date: str, archive_bytes: int):
@@ -157,7 +194,7 @@ def _member(window: _Window, position: int) -> tuple[bytes, int] | None:
     unpack = zlib.decompressobj(31)
     try:
         out = [unpack.decompress(start)]
-        if not out[0].startswith(b"WARC/1."):
+        if not out[0].startswith(b"WARC/"):
             return None
         position += len(start)
         while not unpack.eof:
@@ -172,7 +209,7 @@ def _member(window: _Window, position: int) -> tuple[bytes, int] | None:
 
 
 def records_in(file, size: int, low: int, high: int) -> Iterator[bytes]:
-    """Records of an archive that start in [low, high)."""
+    """Members of an archive that start in [low, high) and hold WARC records."""
     window, position = _Window(file, size), low
     while position < high:
         found = _member(window, position)
@@ -187,11 +224,11 @@ def records_in(file, size: int, low: int, high: int) -> Iterator[bytes]:
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    names = ["page_id", "record_type", "refers_to", "target_uri", "payload_digest", "payload_bytes", "payload"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.bool_()]
+    names = ["page_id", "record_type", "refers_to", "target_uri", "payload_digest", "payload_bytes", "payload", "record_id", "digest_ok"]
 
     def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
 
     for b in batches:
         for uri, size, low, high in zip(*(c.to_pylist() for c in b.columns)):
@@ -199,9 +236,9 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, held = [], 0
             with store.open_input_file(path) as file:
                 for raw in records_in(file, size, low, high):
-                    rows.append(parse_record(raw))
+                    rows += (parse_record(*x) for x in split_records(raw))
                     held += len(raw)
-                    if held > 8_000_000:
+                    if held > HELD:
                         yield batch(rows)
                         rows, held = [], 0
             yield batch(rows)

@@ -43,6 +43,8 @@ def test_exact_dedup(spark):
         ids = by_hash[r.digest]
         assert r.group_size == len(ids) and r.keep_id == min((i for i in ids if i is not None), default=None)
     assert sum(r.kept for r in got) == len(groups)
+    assert all(sum(r.kept for r in got if r.digest == h) == 1 for h in by_hash)
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(df).collect()) == sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got)
     kept = exact_dedup.exact_dedup(df)
     assert kept.columns == df.columns and kept.count() == len(groups)
     assert {r.doc_id for r in kept.collect()} == {min((i for i in ids if i is not None), default=None) for ids in groups.values()}
@@ -134,6 +136,11 @@ def test_mixing(spark):
     free = [(s, w) for s, w in zip(["a", "b", None], (5, 2, 1)) if target[s] < 2 * sizes[s] - 1e-6]
     assert len({round(target[s] / w, 6) for s, w in free}) <= 1
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix(frame(spark, texts)).collect()), key=repr)
+    odd = mixing.mix(frame(spark, ODD + [(None, "another without id")] + texts[:3])).collect()  # null and repeated ids, a very long text
+    assert len(odd) == len(ODD) + 4 and all(0 <= r.taken <= 2 * r.size for r in odd)
+    for source in {r.source for r in odd}:
+        own = [r for r in odd if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.5 and own[0].source_size == sum(r.size for r in own)
     out = mixing.mixed_documents(frame(spark, texts))
     got = Counter()
     for r in out.collect():
@@ -480,6 +487,33 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages(spark, []), f"file://{tmp_path}/none")).count() == 0
 
 
+def test_warc_of_others_is_read(spark, tmp_path):
+    import gzip
+
+    sha = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\ncontent-type: text/html\r\n\r\n"
+    raw = lambda head, block: b"\r\n".join([b"WARC/1.0", *head, b"content-length: %d" % len(block)]) + b"\r\n\r\n" + block + b"\r\n\r\n"
+    records = [
+        raw([b"WARC-Type: warcinfo", b"WARC-Record-ID: <urn:uuid:1>", b"Content-Type: application/warc-fields"], b"software: x\r\n"),
+        raw([b"warc-type:response", b"WARC-RECORD-ID: <urn:uuid:2>", b"WARC-Target-URI: http://x/a\r\n b", b"Content-Type: application/http; msgtype=response"], http + b"<p>a</p>\r\n\r\nb"),
+        raw([b"WARC-Type: response", b"WARC-Record-ID: <urn:uuid:3>", b"WARC-Payload-Digest: sha1:" + sha(b"no").encode(), b"Content-Type: application/http"], http + b"c"),
+        raw([b"WARC-Type: revisit", b"WARC-Record-ID: <urn:uuid:4>", b"WARC-Refers-To: <urn:uuid:3>", b"Content-Type: application/http"], http),
+        raw([b"WARC-Type: metadata", b"WARC-Record-ID: <urn:uuid:5>"], b""),
+        raw([b"WARC-Type: response", b"WARC-Record-ID: <urn:page:7>", b"WARC-Payload-Digest: sha1:" + sha(b"d").encode(), b"Content-Type: application/http"], http + b"d"),
+    ]
+    members = [gzip.compress(records[0]), gzip.compress(records[1] + records[2]), *map(gzip.compress, records[3:])]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    archives = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", sum(map(len, members)))], "path string, bytes long")
+    for split in (50, 10**6):
+        got = {x.record_id: x for x in warc.read_archives(archives, split_bytes=split).collect()}
+        assert [got[f"<urn:uuid:{i}>"].record_type for i in range(1, 6)] == ["warcinfo", "response", "response", "revisit", "metadata"]
+        assert got["<urn:uuid:1>"].payload == b"software: x\r\n" and got["<urn:uuid:5>"].payload == b""
+        two, three, four, page = (got[x] for x in ("<urn:uuid:2>", "<urn:uuid:3>", "<urn:uuid:4>", "<urn:page:7>"))
+        assert (two.payload, two.payload_digest, two.digest_ok, two.target_uri) == (b"<p>a</p>\r\n\r\nb", sha(b"<p>a</p>\r\n\r\nb"), None, "http://x/a b")
+        assert three.digest_ok is False and four.payload is None and four.payload_bytes is None and four.page_id is None
+        assert (page.page_id, page.digest_ok, page.payload) == (7, True, b"d")
+
+
 def test_chat_round_trip(spark):
     nasty = ["", None, "\\", "a\\b", "</turn>", "<</turn>", "<turn </turn>\n", "### User: ### Assistant:", "x\\</turn>\\", r"\### Assistant: </turn> ok", "<|im_end|><|im_start|>", "\n>\n"]
     rows = [(n % 4, n, ["user", "assistant", "system", None, "odd>\nrole\\"][n % 5], t, 1) for n, t in enumerate(nasty * 2)] + [(9, 0, "user", LONG, 1), (9, 1, "assistant", LONG, 1), (9, 1, "assistant", "tie", 1), (None, 0, "user", "x", 1)]
@@ -498,6 +532,7 @@ def test_chat_round_trip(spark):
     pattern = chat._escaper(chat.DEFAULT)
     for t in nasty[2:]:
         assert not any(c in chat.escape(t, pattern) for c in chat.DEFAULT.controls())
+    assert not got[9].valid and got[0].valid == all(r.valid for r in chat.format_turns(df).collect() if r.conv_id == 0)
     valid = {(r.conv_id, r.position): r.valid for r in chat.format_turns(df).collect()}
     assert valid[9, 0] and valid[9, 1] and not valid[9, 2]
     assert chat.conversation_digests(chat.format_turns(df.limit(0))).count() == 0
