@@ -30,16 +30,24 @@ def is_valid_kmer(kmer: Column) -> Column:
     return kmer.rlike("^[ACGT]+$")
 
 
+#: Bases of a sequence whose windows are made at once.
+SEGMENT = 1 << 16
+
+
 def kmer_windows(df: DataFrame, k: int, seq_col: str = "seq", *, canonicalise: bool = True, skip_ambiguous: bool = True, skip_lowercase: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """One row per window of ``k`` bases: the columns ``keep``, position (from 0), kmer.
 
-    Windows come from one overlapping regular-expression match, which is linear in the sequence's length, and
-    stay inside generated code's input; ambiguous windows are dropped before anything is shuffled.
+    A sequence is cut into segments that overlap by k - 1 bases, and each segment into windows, by one overlapping
+    regular-expression match each; both are linear, and only a segment's windows are in memory at once. Ambiguous windows
+    are dropped before anything is shuffled.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     upper = F.col(seq_col) if skip_lowercase else F.upper(seq_col)
-    windows = df.select(*keep, F.posexplode(F.regexp_extract_all(upper, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))).alias("position", "kmer"))
+    parts = F.regexp_extract_all(upper, F.lit(f"(?s)(?=(.{{1,{SEGMENT + k - 1}}})).{{1,{SEGMENT}}}"), F.lit(1))
+    parts = df.select(*keep, F.posexplode(parts).alias("_part", "_bases"))
+    windows = parts.select(*keep, "_part", F.posexplode(F.regexp_extract_all("_bases", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))).alias("_at", "kmer"))
+    windows = windows.select(*keep, (F.col("_part") * SEGMENT + F.col("_at")).alias("position"), "kmer")
     if skip_lowercase:
         windows = windows.filter(~F.col("kmer").rlike("[a-z]"))
     if skip_ambiguous:

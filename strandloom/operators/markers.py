@@ -69,13 +69,13 @@ def sample_universe_spaced(observations: DataFrame, bin_size: int, quota: int, k
 
 
 def independent_markers(markers: DataFrame, bucket: Sequence[str], quota: int, cap_per_k: int, distance: int) -> DataFrame:
-    """Quota per bin, then per bucket greedily by (score, longer k first, k-mer): at most ``cap_per_k`` per k and no two of
+    """Quota per bin, then per bucket greedily by (score, longer k first, k-mer, place): at most ``cap_per_k`` per k and no two of
     different k within ``distance`` on one (genome, contig)."""
     by_bin = Window.partitionBy(*bucket, "k", "bin").orderBy("score", "kmer")
     rows = markers.withColumn("_r", F.row_number().over(by_bin)).filter(F.col("_r") <= quota).drop("_r")
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(_k=-group["k"]).sort_values(["score", "_k", "kmer"], kind="stable")
+        group = group.assign(_k=-group["k"]).sort_values(["score", "_k", "kmer", "doc_id", "position"], kind="stable")
         taken, full, keep = defaultdict(lambda: defaultdict(list)), Counter(), []
         for i, k, position, genome, contig in zip(group.index, group["k"], group["position"], group["genome"], group["doc_id"]):
             own = taken[genome, contig]

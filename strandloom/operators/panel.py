@@ -22,16 +22,21 @@ def genome_summary(observations: DataFrame) -> DataFrame:
     return observations.groupBy("genome", "k").agg(F.count_distinct("doc_id").alias("contigs"), F.count("*").alias("windows"))
 
 
+SOURCE = ("genome", "species", "clade", "role", "taxid")
+
+
 def group_kmers(observations: DataFrame) -> DataFrame:
     """One row per (k, kmer) with its sets of species, genomes, clades, roles and taxids, and the first position.
 
-    Rows are reduced to one per genome first, so sets are built from few rows.
+    Rows are dealt by (k, kmer) once; there they are reduced to one per source, and a k-mer's sources are gathered
+    as one list, from which the sets are taken.
     """
-    per = observations.groupBy("k", "kmer", "genome", "species", "clade", "role", "taxid").agg(F.min("position").alias("position"))
-    some = lambda c: F.array_sort(F.collect_set(names.blank(F.col(c))))
-    return per.groupBy("k", "kmer").agg(
-        some("species").alias("species"), some("genome").alias("genomes"), some("clade").alias("clades"), some("role").alias("roles"), some("taxid").alias("taxids"),
-        F.min(F.struct("genome", "position"))["position"].alias("example_position"), F.count_distinct("genome").alias("n_genomes"),
+    per = observations.repartition("k", "kmer").groupBy("k", "kmer", *SOURCE).agg(F.min("position").alias("position"))
+    groups = per.groupBy("k", "kmer").agg(F.collect_list(F.struct("genome", "position", *SOURCE[1:])).alias("of"))
+    some = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform("of", lambda x: names.blank(x[c])), lambda x: x.isNotNull())))
+    return groups.select(
+        "k", "kmer", some("species").alias("species"), some("genome").alias("genomes"), some("clade").alias("clades"), some("role").alias("roles"), some("taxid").alias("taxids"),
+        F.array_min("of")["position"].alias("example_position"), F.size(F.array_distinct(F.transform(F.filter("of", lambda x: x["genome"].isNotNull()), lambda x: x["genome"]))).cast("long").alias("n_genomes"),
     )
 
 
@@ -127,8 +132,11 @@ def assign_status(groups: DataFrame, lines: DataFrame, ranks: Sequence[str] = ta
 def merge_global(records: DataFrame) -> DataFrame:
     """Union of ``;``-joined sets and least position per (k, kmer)."""
     sets = [c for c in records.columns if c not in ("k", "kmer", "example_position")]
-    union = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(names.split_set(F.col(c)))))), ";")
-    return records.groupBy("k", "kmer").agg(*(union(c).alias(c) for c in sets), F.min("example_position").alias("example_position"))
+    # Items of one set at a time, so that a common k-mer's records are reduced before they meet.
+    items = records.select("k", "kmer", F.explode(F.array(*(F.struct(F.lit(c).alias("set"), names.split_set(F.col(c)).alias("items")) for c in sets))).alias("x"), "example_position")
+    items = items.select("k", "kmer", "x.set", F.explode_outer("x.items").alias("item"), "example_position").groupBy("k", "kmer", "set", "item").agg(F.min("example_position").alias("example_position"))
+    union = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(F.col("set") == c, F.col("item")))), ";")
+    return items.groupBy("k", "kmer").agg(*(union(c).alias(c) for c in sets), F.min("example_position").alias("example_position"))
 
 
 def merge_panels(panels: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -38,12 +38,17 @@ def exact_hits(windows: DataFrame, panel: DataFrame, oriented: bool = False) ->
     return hits.withColumn("mismatches", F.lit(0))
 
 
-def packed(kmer: Column) -> Column:
-    """A k-mer of up to 31 bases as two bits a base."""
-    return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")
+#: Bases that are packed into one long, two bits each.
+WORD = 31
+
+
+def packed(kmer: Column, k: int) -> list[Column]:
+    """A k-mer as longs of two bits a base."""
+    return [F.conv(F.translate(F.substring(kmer, i + 1, WORD), "ACGT", "0123"), 4, 10).cast("long") for i in range(0, k, WORD)]
 
 
 def packed_distance(a: Column, b: Column) -> Column:
+    """Differing bases of two longs of packed bases."""
     x = a.bitwiseXOR(b)
     return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1555555555555555)))
 
@@ -56,26 +61,31 @@ def _parts(kmer: Column, k: int, n: int) -> list[Column]:
 def fuzzy_hits(windows: DataFrame, panel: DataFrame, mismatches: int = 1, fuzzy_min_k: int = 71) -> DataFrame:
     """Windows at one (or up to two) substitutions from a marker of the same k, canonical forms compared.
 
-    Of mismatches + 1 parts of a k-mer one is free of errors (pigeonhole), so candidates come from one equi-join on
-    (k, part, content); a candidate found through several parts is made only by its first equal part.
+    Of mismatches + 1 parts of a k-mer one is free of errors (pigeonhole), so candidates come from one equi-join of
+    distinct k-mers on (part, content); a candidate found through several parts is made only by its first equal part. Distances are
+    counted on packed bases, then matches go back to the windows that hold the k-mer and the markers' labels.
     """
     if mismatches not in (1, 2):
         raise ValueError("one or two mismatches")
     n, out = mismatches + 1, None
     for k in sorted(r[0] for r in panel.select("k").distinct().filter(F.col("k") >= fuzzy_min_k).collect()):  # a handful of k
-        p = panel.filter((F.col("k") == k) & (F.length("kmer") == k))
-        labels = [c for c in p.columns if c not in ("k", "kmer")]
-        part = lambda c: F.posexplode(F.array(*_parts(F.col(c), k, n)))
-        bits = packed if k <= 31 else (lambda c: c)
-        left = windows.filter(F.col("k") == k).select("sample_id", "sequence_id", "query_position", "query_kmer", bits(F.col("query_kmer")).alias("q"), part("query_kmer").alias("part", "content"))
-        right = p.select(F.col("kmer").alias("matched_kmer"), bits(F.col("kmer")).alias("m"), *labels, part("kmer").alias("part", "content"))
-        apart = packed_distance(F.col("q"), F.col("m")) if k <= 31 else seq.hamming_distance(F.col("q"), F.col("m"))
-        pairs = left.join(right, ["part", "content"]).withColumn("mismatches", apart.cast("int")).filter((F.col("mismatches") > 0) & (F.col("mismatches") <= mismatches))
+        p = panel.filter((F.col("k") == k) & (F.length("kmer") == k)).withColumnRenamed("kmer", "matched_kmer").drop("k")
+        w = windows.filter(F.col("k") == k).select("sample_id", "sequence_id", "query_position", "query_kmer")
+        longs = range(0, k, WORD)
+
+        def side(rows: DataFrame, kmer: str, name: str) -> DataFrame:
+            words = [x.alias(f"{name}{i}") for i, x in zip(longs, packed(F.col(kmer), k))]
+            return rows.select(kmer).distinct().select(kmer, *words, F.posexplode(F.array(*_parts(F.col(kmer), k, n))).alias("part", "content"))
+
+        apart = sum((packed_distance(F.col(f"q{i}"), F.col(f"m{i}")) for i in longs), F.lit(0)).cast("int")
+        pairs = side(w, "query_kmer", "q").join(side(p, "matched_kmer", "m"), ["part", "content"]).withColumn("mismatches", apart)
+        pairs = pairs.filter((F.col("mismatches") > 0) & (F.col("mismatches") <= mismatches))
         first = F.lit(None).cast("int")
         for i, (x, y) in reversed(list(enumerate(zip(_parts(F.col("query_kmer"), k, n), _parts(F.col("matched_kmer"), k, n))))):
             first = F.when(x == y, i).otherwise(first)
-        pairs = pairs.filter(F.col("part") == first).drop("part", "content", "q", "m").withColumn("k", F.lit(k))
-        out = pairs if out is None else out.unionByName(pairs)
+        pairs = pairs.filter(F.col("part") == first).select("query_kmer", "matched_kmer", "mismatches")
+        hits = w.join(pairs, "query_kmer").join(p, "matched_kmer").withColumn("k", F.lit(k))
+        out = hits if out is None else out.unionByName(hits)
     if out is None:
         empty = exact_hits(windows, panel).filter("false")
         return empty

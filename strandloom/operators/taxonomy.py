@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import broadcast_if_small, materialise
+
 RANKS = ("species", "genus", "family", "order", "class", "phylum", "superkingdom")
 
 
@@ -67,7 +69,10 @@ def best_named(path: Column, ranks: Sequence[str] = RANKS) -> Column:
 
 
 def assign_nodes(df: DataFrame, lines: DataFrame, set_col: str = "taxids", ranks: Sequence[str] = RANKS) -> DataFrame:
-    """``df`` with ``path`` and ``node`` of the lowest common ancestor of its taxid set; sets are solved once each."""
-    keyed = df.withColumn(set_col, F.array_sort(F.array_distinct(set_col)))
-    solved = lca_of_sets(keyed, lines, set_col)
-    return keyed.join(solved, set_col, "left").withColumn("node", best_named(F.col("path"), ranks))
+    """``df`` with ``path`` and ``node`` of the lowest common ancestor of its taxid set.
+
+    ``df`` is written once, as both its distinct sets and its rows are needed; sets are solved once each.
+    """
+    keyed = materialise(df.withColumn(set_col, F.array_sort(F.array_distinct(set_col))), "sets")
+    solved = materialise(lca_of_sets(keyed, lines, set_col), "nodes")
+    return keyed.join(broadcast_if_small(solved), set_col, "left").withColumn("node", best_named(F.col("path"), ranks))

@@ -263,8 +263,11 @@ def c33(spark, sf):
 SQL_SCORED = "scored AS (SELECT genome, doc_id, clade, k, position, kmer, floor(greatest(position, 0) / 1000)::BIGINT AS bin, substr(sha256(genome || chr(9) || kmer), 1, 16) AS score FROM windows)"
 
 
-def _scored(w):
-    return w.select("genome", "doc_id", "clade", "k", "position", "kmer", scores.shifted_bin(F.col("position"), F.col("k"), [21], 1000).alias("bin"), seq.marker_score(F.col("genome"), F.col("kmer")).alias("score")).dropDuplicates(["genome", "kmer", "bin"])
+def _scored(w, k_values=(21,)):
+    """Markers with bin and score, each (genome, k-mer, bin) at its first contig and position."""
+    rows = w.select("genome", "doc_id", "k", "position", "kmer", scores.shifted_bin(F.col("position"), F.col("k"), k_values, 1000).alias("bin"))
+    first = rows.groupBy("genome", "k", "kmer", "bin").agg(F.min(F.struct("doc_id", "position")).alias("at"))
+    return first.select("genome", "at.doc_id", "k", "at.position", "kmer", "bin", seq.marker_score(F.col("genome"), F.col("kmer")).alias("score"))
 
 
 @query("c35_spread_markers", f"""WITH {sql_windows(21)}, {SQL_SCORED}, u AS (SELECT DISTINCT genome, k, kmer, bin, score FROM scored), q AS (SELECT *, row_number() OVER (PARTITION BY genome, k, bin ORDER BY score, kmer) AS r FROM u),
@@ -275,7 +278,8 @@ def c35(spark, sf):
 
 @query("c36_independent_markers")
 def c36(spark, sf):
-    return markers.independent_markers(_scored(windows(spark, sf, 21)), ["genome"], 3, 100, 150).select("genome", "doc_id", "k", "position", "kmer")
+    w = seq.multi_k_windows(contigs(spark, sf), [21, 31], keep=("doc_id", "genome"))
+    return markers.independent_markers(_scored(w, (21, 31)), ["genome"], 3, 100, 150).select("genome", "doc_id", "k", "position", "kmer")
 
 
 @query("c40_merge_global_records", f"""WITH {sql_windows(21)}, m AS (SELECT k, kmer, string_agg(DISTINCT species, ';' ORDER BY species) AS species, string_agg(DISTINCT genome, ';' ORDER BY genome) AS genomes, min(position)::INT AS example_position FROM windows GROUP BY k, kmer) SELECT * FROM m WHERE contains(genomes, ';')""")
