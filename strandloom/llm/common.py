@@ -1,72 +1,15 @@
-"""Shared helpers: scratch tables, checked broadcasts, word hashing over Arrow batches."""
+"""Shared helpers: word hashing over Arrow batches, names; written tables and checked broadcasts come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Bytes of a table that may be broadcast.
-BROADCAST_BYTES = 32 << 20
-
-_SCRATCH: dict[str, list[str]] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset, a folder of our own, but only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='strandloom-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{scratch_root(spark)}/strandloom-{uuid.uuid4().hex}/{label}"
-    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path.rpartition("/")[0])
-    return path
-
+from pyspark.sql import DataFrame
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..scratch import broadcast_if_small, materialise, scratch_path
 
-
-def scratch_mark(spark: SparkSession) -> list[str]:
-    """Scratch folders of this session so far."""
-    return list(_SCRATCH.get(spark.sparkContext.applicationId, []))
-
-
-def release(spark: SparkSession, paths: list[str]) -> None:
-    """Delete scratch folders on which no live DataFrame depends any more."""
-    kept = _SCRATCH.get(spark.sparkContext.applicationId, [])
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        if path in kept:
-            kept.remove(path)
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only where the measured bytes of all rows stay within ``limit``; otherwise Spark joins by a shuffle.
-
-    ``df`` should be a written table, so that measuring is cheap. A row has 16 bytes and 8 for each column, and the bytes
-    of its texts.
-    """
-    long_ones = [F.octet_length(F.col(f"`{f.name}`")) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
-    texts = F.sum(sum((F.coalesce(x, F.lit(0)) for x in long_ones), F.lit(0)).cast("long"))
-    n, chars = df.agg(F.count("*"), texts).first()
-    return F.broadcast(df) if n * (16 + 8 * len(df.columns)) + (chars or 0) <= limit else df
+__all__ = ["broadcast_if_small", "fresh_name", "materialise", "mix", "scratch_path", "shingle_sets", "utf8", "word_hashes"]
 
 
 def fresh_name(df: DataFrame, base: str) -> str:
