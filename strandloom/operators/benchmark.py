@@ -225,7 +225,7 @@ def truth_issues(truth: DataFrame) -> DataFrame:
 def truth_category(rows: DataFrame, truth: DataFrame, label_col: str = "label") -> DataFrame:
     """Rows with the truth's tier and a category: expected or unexpected by reportable, below threshold or without evidence."""
     alias = truth.select(F.explode("accepted_names").alias("_a"), "organism", "tier", "expected").select(names.taxon_key(F.col("_a")).alias("_k"), "organism", "tier", "expected")
-    out = rows.withColumn("_l", names.taxon_key(F.col(label_col))).join(F.broadcast(alias), F.col("_l") == F.col("_k"), "left").drop("_l", "_k")
+    out = rows.withColumn("_l", names.taxon_key(F.col(label_col))).join(alias, F.col("_l") == F.col("_k"), "left").drop("_l", "_k")
     known = F.coalesce("expected", F.lit(False))
     kind = F.when(reportable(out), "reportable").when(below(out), "below_threshold").when(has_evidence(), "evidence_only").otherwise("absent")
     return out.withColumn("category", F.concat(F.when(known, "expected").when(F.col("organism").isNotNull(), "listed").otherwise("off_target"), F.lit("_"), kind)).withColumn("coarse", F.when(known & reportable(out), "true_positive").when(known, "false_negative").when(reportable(out), "false_positive").otherwise("true_negative"))
@@ -243,6 +243,50 @@ def reportable(_: DataFrame | None = None) -> Column:
     return F.lower(F.coalesce("call", F.lit(""))).contains("present") & ~below()
 
 
+# Words of calls and roles by which a screen of a mock community is judged.
+REPORTABLE_CALLS = ("present", "species_detected", "detected", "positive", "reportable", "mixed_sample_species_detected")
+BELOW_CALLS = ("observed_below_threshold", "below_threshold", "low_evidence", "neighbour_lineage_evidence", "neighbor_lineage_evidence")
+NO_CALLS = ("not_detected", "absent", "none", "")
+NEAR_ROLES = ("near_neighbour", "near_neighbor", "same_genus_neighbour", "same_genus_neighbor", "same_family_neighbour", "same_family_neighbor")
+OUT_ROLES = ("outgroup", "distant_outgroup")
+
+
+def community_category(rows: DataFrame) -> DataFrame:
+    """``category`` and ``report_label`` of screen rows against a mock community.
+
+    Rows: call, role, reference_label (may be blank), the flags expected_reference and expected_species, and counters. Of
+    the rules the first that holds decides; other references of an expected species are kept apart from expected ones.
+    """
+    call, role = F.lower(F.trim(F.coalesce("call", F.lit("")))), F.lower(F.trim(F.coalesce("role", F.lit(""))))
+    told = call.isin(*REPORTABLE_CALLS) | call.contains("reportable") | call.endswith("_detected") | call.contains("present")
+    shown = ~call.isin(*NO_CALLS, *BELOW_CALLS) & told
+    under = call.isin(*BELOW_CALLS) | call.contains("below") | call.contains("lineage")
+    some, labelled = has_evidence(), F.trim(F.coalesce("reference_label", F.lit(""))) != ""
+    reference, species = (F.coalesce(c, F.lit(False)) for c in ("expected_reference", "expected_species"))
+    rules = (
+        (reference & shown, "expected_reference_label", "expected_target"),
+        (species & ~labelled & shown, "expected_species", "expected_target"),
+        (species & labelled & some, "same_species_compatible_reference", "same_species_compatible_reference"),
+        (shown & ~species, "true_off_target_reportable", "reportable_off_target_species"),
+        (some & (role.isin(*NEAR_ROLES) | under), "near_neighbour_evidence", "observed_below_threshold"),
+        (some & role.isin(*OUT_ROLES), "non_target_background_evidence", "observed_below_threshold"),
+        (some, "unresolved_non_target_evidence", "observed_below_threshold"),
+    )
+    fine = coarse = F.lit("not_detected")
+    for test, category, label in reversed(rules):
+        fine, coarse = F.when(test, category).otherwise(fine), F.when(test, label).otherwise(coarse)
+    return rows.withColumn("category", fine).withColumn("report_label", coarse)
+
+
+def authoritative(calls: DataFrame, wide: DataFrame) -> DataFrame:
+    """The samples' call files if they hold rows, else the rows unpivoted from the wide summary; older counters are renamed."""
+    if calls.isEmpty():
+        return wide
+    if "n_positive_sequences" not in calls.columns and "n_positive_reads" in calls.columns:
+        return calls.withColumn("n_positive_sequences", F.col("n_positive_reads"))
+    return calls
+
+
 def mock_samples(rows: DataFrame, truth: DataFrame) -> DataFrame:
     """Per sample: recall of expected organisms, off-target labels with their strongest, precision, strictly clean."""
     flagged = truth_category(rows, truth)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, seq
@@ -95,7 +95,7 @@ def scaling(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def standardise(long: DataFrame, scales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return long.join(F.broadcast(scales), [*by, "feature"]).withColumn("z", (F.col("value") - F.col("mean")) / F.col("std")).drop("mean", "std")
+    return long.join(scales, [*by, "feature"]).withColumn("z", (F.col("value") - F.col("mean")) / F.col("std")).drop("mean", "std")
 
 
 def nearest_rank(values: DataFrame, by: Sequence[str], col: str, q: float) -> DataFrame:
@@ -105,6 +105,9 @@ def nearest_rank(values: DataFrame, by: Sequence[str], col: str, q: float) -> Da
     return rows.filter(F.col("_r") == F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_n") - 1e-9))).select(*by, F.col(col).alias("quantile"))
 
 
+MODEL = ("scales", "centroids", "thresholds")
+
+
 def train(long: DataFrame, q: float = 0.95, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scales, centroids, thresholds) from (id, label, feature, value); blank labels don't count. ``by``: split columns, all trained at once."""
     rows = long.filter(F.trim("label") != "")
@@ -116,15 +119,25 @@ def train(long: DataFrame, q: float = 0.95, by: Sequence[str] = ()) -> tuple[Dat
     return scales, centroids, thresholds
 
 
+def save_model(model: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:
+    """Scales, centroids and thresholds as Parquet tables of one folder."""
+    for name, part in zip(MODEL, model):
+        part.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in MODEL)
+
+
 def predict(long: DataFrame, scales: DataFrame, centroids: DataFrame, thresholds: DataFrame, novelty: float = 1.0, unknown: str = "unknown_or_unresolved", by: Sequence[str] = ()) -> DataFrame:
     """Per id the nearest label if within its threshold, with distances, margin and confidence. The model's tables are one row per label
-    and feature, so they are broadcast; ties go to the smaller label."""
+    and feature, which adaptive execution broadcasts where they are small; ties go to the smaller label."""
     z = standardise(long, scales, by)
-    d = z.join(F.broadcast(centroids.withColumnRenamed("label", "to")), [*by, "feature"]).groupBy(*by, "id", "to").agg(F.sqrt(F.sum((F.col("z") - F.col("centre")) ** 2)).alias("d"))
+    d = z.join(centroids.withColumnRenamed("label", "to"), [*by, "feature"]).groupBy(*by, "id", "to").agg(F.sqrt(F.sum((F.col("z") - F.col("centre")) ** 2)).alias("d"))
     ranked = d.groupBy(*by, "id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "to"))), 1, 2).alias("r"))
     best, second = F.col("r")[0], F.try_element_at("r", F.lit(2))
     out = ranked.select(*by, "id", best["to"].alias("best_label"), best["d"].alias("_b"), second["to"].alias("second_label"), second["d"].alias("_s"))
-    out = out.join(F.broadcast(thresholds.withColumnRenamed("label", "best_label")), [*by, "best_label"]).withColumn("_t", F.col("threshold") * novelty)
+    out = out.join(thresholds.withColumnRenamed("label", "best_label"), [*by, "best_label"]).withColumn("_t", F.col("threshold") * novelty)
     known = F.col("_b") <= F.col("_t")
     return out.select(
         *by, "id", F.when(known, F.col("best_label")).otherwise(unknown).alias("prediction"), "best_label", F.round("_b", 6).alias("best_distance"), F.round("_t", 6).alias("best_threshold"), "second_label", F.round("_s", 6).alias("second_distance"),

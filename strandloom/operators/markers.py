@@ -8,16 +8,91 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
 
 
-def spread_markers(markers: DataFrame, bucket: Sequence[str], quota: int, cap: int | None) -> DataFrame:
+# Build profiles with their order of k, distance between markers of different k, and quota per bin by k.
+PROFILES = {
+    "default": ("long_to_short", 5000, {}),
+    "raw_ont_balanced": ("short_to_long", 5000, {}),
+    "raw_ont_multik_balanced": ("input", 0, {51: 3, 77: 3, 101: 2, 151: 2}),
+    "raw_ont_multik_locus_balanced": ("input", 250, {51: 3, 77: 3, 101: 2, 151: 2}),
+    "raw_ont_lod_balanced": ("input", 150, {51: 4, 77: 6, 101: 4, 151: 1}),
+}
+STRATEGIES = ("first_seen", "genome_spread", "independent_multik_genome_spread")
+
+
+@dataclass(frozen=True)
+class Selection:
+    """How markers are chosen: strategy, cap per bucket and k, bin size, quota per bin (also by k), distance across k."""
+
+    strategy: str = "independent_multik_genome_spread"
+    cap: int | None = None
+    bin_size: int = 10_000
+    quota: int = 10
+    quota_by_k: Mapping[int, int] = field(default_factory=dict)
+    distance: int = 5000
+
+    def __post_init__(self):
+        if self.strategy not in STRATEGIES:
+            raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}")
+        sizes = {"cap": 1 if self.cap is None else self.cap, "bin_size": self.bin_size, "quota": self.quota} | {f"quota of k = {k}": q for k, q in self.quota_by_k.items()} | {f"k = {k}": k for k in self.quota_by_k}
+        wrong = [name for name, n in sizes.items() if n <= 0]
+        if wrong or self.distance < 0:
+            raise ValueError(f"not positive: {', '.join(wrong) or 'distance'}")
+
+    def quota_of(self, k: Column) -> Column:
+        out = F.lit(self.quota)
+        for value, quota in self.quota_by_k.items():
+            out = F.when(k == value, quota).otherwise(out)
+        return out
+
+
+def parse_quotas(spec: str | None) -> dict[int, int]:
+    """``"51:4,77:3"`` as a mapping from k to its quota; null and blank give none."""
+    out = {}
+    for part in filter(None, map(str.strip, (spec or "").split(","))):
+        k, colon, quota = part.partition(":")
+        if not colon or not k.strip().isdigit() or not quota.strip().isdigit() or not int(k) or not int(quota):
+            raise ValueError(f"not a pair of positive numbers k:quota: {part!r}")
+        out[int(k)] = int(quota)
+    return out
+
+
+def resolve_profile(profile: str, k_values: Sequence[int], order: str = "auto", distance: int | None = None, quotas: str | None = None) -> tuple[list[int], int, dict[int, int]]:
+    """(k in the order of sampling, distance, quotas by k) of a build profile; what is given explicitly goes before."""
+    if profile not in PROFILES or order not in ("auto", "long_to_short", "short_to_long", "input"):
+        raise ValueError(f"unknown profile or order: {profile}, {order}")
+    if distance is not None and distance < 0:
+        raise ValueError("distance must not be negative")
+    own_order, own_distance, own_quotas = PROFILES[profile]
+    order, ks = own_order if order == "auto" else order, list(dict.fromkeys(k_values))
+    ks = ks if order == "input" else sorted(ks, reverse=order == "long_to_short")
+    return ks, own_distance if distance is None else distance, parse_quotas(quotas) or dict(own_quotas)
+
+
+def select_markers(markers: DataFrame, bucket: Sequence[str], selection: Selection) -> DataFrame:
+    """Markers (bucket columns, genome, doc_id, k, position, kmer, score) by the selection's strategy."""
+    if selection.strategy == "first_seen":
+        if selection.cap is None:
+            return markers
+        place = F.row_number().over(Window.partitionBy(*bucket, "k").orderBy("kmer", "genome", "doc_id", "position"))
+        return markers.withColumn("_r", place).filter(F.col("_r") <= selection.cap).drop("_r")
+    rows = markers.withColumn("bin", F.floor(F.greatest(F.col("position"), F.lit(0)) / selection.bin_size).cast("long"))
+    quota = selection.quota_of(F.col("k"))
+    if selection.strategy == "genome_spread":
+        return spread_markers(rows, bucket, quota, selection.cap)
+    return independent_markers(rows, bucket, quota, selection.cap or 2**31 - 1, selection.distance)
+
+
+def spread_markers(markers: DataFrame, bucket: Sequence[str], quota: int | Column, cap: int | None) -> DataFrame:
     """Per (bucket, k, bin) the ``quota`` lowest scores; over ``cap`` per bucket, first each bin's best, then by score."""
     by_bin = Window.partitionBy(*bucket, "k", "bin").orderBy("score", "kmer")
     rows = markers.withColumn("_r", F.row_number().over(by_bin)).filter(F.col("_r") <= quota)
@@ -68,7 +143,7 @@ def sample_universe_spaced(observations: DataFrame, bin_size: int, quota: int, k
     return rows.groupBy("genome", "doc_id").applyInPandas(pick, rows.schema)
 
 
-def independent_markers(markers: DataFrame, bucket: Sequence[str], quota: int, cap_per_k: int, distance: int) -> DataFrame:
+def independent_markers(markers: DataFrame, bucket: Sequence[str], quota: int | Column, cap_per_k: int, distance: int) -> DataFrame:
     """Quota per bin, then per bucket greedily by (score, longer k first, k-mer, place): at most ``cap_per_k`` per k and no two of
     different k within ``distance`` on one (genome, contig)."""
     by_bin = Window.partitionBy(*bucket, "k", "bin").orderBy("score", "kmer")

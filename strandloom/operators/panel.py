@@ -129,6 +129,33 @@ def assign_status(groups: DataFrame, lines: DataFrame, ranks: Sequence[str] = ta
     return got.withColumn("status", F.when((F.col("status") == "retained") & (place > most), "over_cap").otherwise(F.col("status")))
 
 
+def retained_summary(status: DataFrame) -> DataFrame:
+    """Retained k-mers per evidence node and k."""
+    return status.filter("status = 'retained'").groupBy("evidence_rank", "evidence_name", "evidence_taxid", "k").agg(F.count("*").alias("n_kmers"))
+
+
+def build_global(observations: DataFrame, candidates: DataFrame | None, lines: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(k-mers with node and status, number of k-mers per stage and metric): candidates' k-mers in all genomes, grouped, then judged.
+
+    ``candidates``: (k, kmer) that are followed, all if None; ``options`` go to ``assign_status``.
+    """
+    own = observations if candidates is None else observations.join(candidates.select("k", "kmer").distinct(), ["k", "kmer"], "left_semi")
+    status = assign_status(group_kmers(own), lines, **options)
+    counts = status.groupBy("status").agg(F.count("*").alias("value"))
+    summary = counts.select(F.lit("assign").alias("stage"), F.col("status").alias("metric"), "value").unionByName(counts.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value")).select(F.lit("collect").alias("stage"), F.lit("kmers").alias("metric"), "value"))
+    return status, summary
+
+
+def merge_modules(modules: Sequence[DataFrame], lines: DataFrame, **options) -> DataFrame:
+    """Global k-mer tables of several modules (k, kmer, ``;``-joined sets, example_position) united, then judged anew."""
+    rows = modules[0]
+    for m in modules[1:]:
+        rows = rows.unionByName(m)
+    merged = merge_global(rows)
+    sets = [c for c in ("species", "genomes", "clades", "roles", "taxids") if c in merged.columns]
+    return assign_status(merged.select("k", "kmer", "example_position", *(names.split_set(F.col(c)).alias(c) for c in sets)), lines, **options)
+
+
 def merge_global(records: DataFrame) -> DataFrame:
     """Union of ``;``-joined sets and least position per (k, kmer)."""
     sets = [c for c in records.columns if c not in ("k", "kmer", "example_position")]

@@ -312,3 +312,28 @@ def g36(spark, sf):
 @query("g37_group_metrics", "SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS mean_l_quantity, round(median(l_quantity), 6) AS median_l_quantity, round(avg(l_tax), 6) AS mean_l_tax, round(median(l_tax), 6) AS median_l_tax FROM lineitem GROUP BY ALL")
 def g37(spark, sf):
     return bench.group_metrics(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_quantity", "l_tax"])
+
+
+_CALLS = ("present", "Observed_below_threshold", "not_detected", "odd_lineage", "x_detected", "reportable_y", "absent", "")
+_ROLES = ("near_neighbour", "outgroup", "", "host")
+SQL_COMMUNITY = f"""e AS (SELECT *, lower({list(_CALLS)}[(event_id % 8 + 1)::INT]) AS call, {list(_ROLES)}[(event_id // 8 % 4 + 1)::INT] AS role, event_id % 3 = 0 AS bare, event_id % 5 = 1 AS xref, event_type = 'click' AS xsp, event_id % 7 > 0 AS hit FROM events),
+k AS (SELECT *, call IN ('present', 'x_detected', 'reportable_y') AS shown, call IN ('observed_below_threshold', 'odd_lineage') AS under FROM e),
+r AS (SELECT CASE WHEN xref AND shown THEN 'expected_reference_label' WHEN xsp AND bare AND shown THEN 'expected_species' WHEN xsp AND NOT bare AND hit THEN 'same_species_compatible_reference' WHEN shown AND NOT xsp THEN 'true_off_target_reportable'
+ WHEN hit AND (role = 'near_neighbour' OR under) THEN 'near_neighbour_evidence' WHEN hit AND role = 'outgroup' THEN 'non_target_background_evidence' WHEN hit THEN 'unresolved_non_target_evidence' ELSE 'not_detected' END AS category FROM k)"""
+
+
+@query("g27_community_category", f"""WITH {SQL_COMMUNITY} SELECT category, CASE WHEN category LIKE 'expected%' THEN 'expected_target' WHEN category = 'true_off_target_reportable' THEN 'reportable_off_target_species' WHEN category LIKE '%evidence' THEN 'observed_below_threshold' ELSE category END AS report_label, count(*)::BIGINT AS n FROM r GROUP BY ALL""")
+def g27(spark, sf):
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    zero = F.lit(0)
+    rows = e.select(
+        _pick(_CALLS, i).alias("call"), _pick(_ROLES, F.floor(i / 8)).alias("role"), F.when(i % 3 == 0, " ").otherwise("r").alias("reference_label"), (i % 5 == 1).alias("expected_reference"), (F.col("event_type") == "click").alias("expected_species"),
+        (i % 7).alias("n_hits"), zero.alias("n_unique_kmers"), zero.alias("n_positive_sequences"), zero.alias("n_exact_hits"), zero.alias("n_fuzzy_hits"),
+    )
+    return bench.community_category(rows).groupBy("category", "report_label").agg(F.count("*").alias("n"))
+
+
+@query("g22_authoritative_table", "SELECT o_orderkey AS sample_id, o_custkey AS n_positive_reads, o_custkey AS n_positive_sequences FROM orders")
+def g22(spark, sf):
+    calls = table(spark, sf, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("n_positive_reads"))
+    return bench.authoritative(calls, calls.limit(0))

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..operators import calibrate, evidence
+from ..scratch import scratch_path
 from .fixtures import table
 from .q_screen import _ODD, SQL_EVIDENCE, calls, sql_calls
-from .registry import query
-
-DIMS = 16
+from .registry import ORACLES, QUERIES, query
 
-
-def features(spark, sf, dims=DIMS):
-    """Embeddings in long form: id, label, feature, value; all dimensions if ``dims`` is None."""
+def features(spark, sf):
+    """Embeddings in long form: id, label, feature, value."""
     e = table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), F.posexplode(F.slice("embedding", 1, dims) if dims else F.col("embedding")).alias("feature", "value")).withColumn("value", F.col("value").cast("double"))
+    return e.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), F.posexplode("embedding").alias("feature", "value")).withColumn("value", F.col("value").cast("double"))
 
 
-SQL_LONG = f"long AS (SELECT vec_id AS id, label::VARCHAR AS label, i::INT AS feature, embedding[i + 1]::DOUBLE AS value FROM embeddings, range({DIMS}) r(i))"
+SQL_LONG = "long AS (SELECT vec_id AS id, label::VARCHAR AS label, i::INT AS feature, embedding[i + 1]::DOUBLE AS value FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings))"
 SQL_Z = f"{SQL_LONG}, sc AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM long GROUP BY 1), z AS (SELECT id, label, l.feature, (value - m) / s AS z FROM long l JOIN sc USING (feature))"
 SQL_MODEL = f"""{SQL_Z}, cen AS (SELECT label, feature, avg(z) AS c FROM z GROUP BY 1, 2), far AS (SELECT z.label, id, sqrt(sum((z - c) ** 2)) AS d FROM z JOIN cen ON z.label = cen.label AND z.feature = cen.feature GROUP BY 1, 2),
 rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d) AS r, count(*) OVER (PARTITION BY label) AS n FROM far), thr AS (SELECT label, d AS threshold FROM rk WHERE r = greatest(1, ceil(0.95::DOUBLE * n - 1e-9)))"""
@@ -35,13 +31,13 @@ def f01(spark, sf):
 
 
 @query("f02_scaling", f"WITH {SQL_LONG} SELECT feature, round(avg(value), 6) AS mean, round(CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) ELSE 1 END, 6) AS std FROM long GROUP BY 1")
-def f02(spark, sf, dims=DIMS):
-    return calibrate.scaling(features(spark, sf, dims)).select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+def f02(spark, sf):
+    return calibrate.scaling(features(spark, sf)).select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("f03_standardised_norm", f"WITH {SQL_Z} SELECT id, round(sqrt(sum(z * z)), 5) AS norm FROM z GROUP BY id")
-def f03(spark, sf, dims=DIMS):
-    f = features(spark, sf, dims)
+def f03(spark, sf):
+    f = features(spark, sf)
     return calibrate.standardise(f, calibrate.scaling(f)).groupBy("id").agg(F.round(F.sqrt(F.sum(F.col("z") ** 2)), 5).alias("norm"))
 
 
@@ -51,15 +47,18 @@ def f04(spark, sf):
 
 
 @query("f05_train_classifier", f"WITH {SQL_MODEL} SELECT cen.label, feature, round(c, 5) AS centre, round(threshold, 5) AS threshold FROM cen JOIN thr ON cen.label = thr.label")
-def f05(spark, sf, dims=DIMS):
-    _, centroids, thresholds = calibrate.train(features(spark, sf, dims))
+def f05(spark, sf):
+    _, centroids, thresholds = calibrate.train(features(spark, sf))
     return centroids.join(thresholds, "label").select("label", "feature", F.round("centre", 5).alias("centre"), F.round("threshold", 5).alias("threshold"))
 
 
 @query("f06_open_set_predict", f"WITH {SQL_PRED} SELECT id, CASE WHEN b <= t THEN best_label ELSE 'unknown_or_unresolved' END AS prediction, best_label, second_label, round(round(b, 6) + 1e-9, 4) AS best_distance, round(round(s - b, 6) + 1e-9, 4) AS margin, round(round(1 / (1 + b / t), 6) + 1e-9, 4) AS confidence FROM pred")
-def f06(spark, sf, dims=DIMS):
-    f = features(spark, sf, dims)
-    p = calibrate.predict(f, *calibrate.train(f))
+def f06(spark, sf):
+    f = features(spark, sf)
+    return shown(calibrate.predict(f, *calibrate.train(f)))
+
+
+def shown(p):
     return p.select("id", "prediction", "best_label", "second_label", F.round(F.col("best_distance") + 1e-9, 4).alias("best_distance"), F.round(F.col("distance_margin") + 1e-9, 4).alias("margin"), F.round(F.col("ml_confidence_score") + 1e-9, 4).alias("confidence"))
 
 
@@ -130,8 +129,8 @@ lb AS (SELECT DISTINCT split, truth AS label FROM pr UNION SELECT DISTINCT split
 
 @query("f15_holdout_validation", f"""WITH {SQL_CV} SELECT lb.split, lb.label, count(*) FILTER (truth = lb.label AND p = lb.label)::BIGINT AS tp, count(*) FILTER (truth <> lb.label AND p = lb.label)::BIGINT AS fp, count(*) FILTER (truth = lb.label AND p <> lb.label)::BIGINT AS fn FROM lb JOIN pr ON pr.split = lb.split GROUP BY ALL
 UNION ALL SELECT split, 'overall', count(*) FILTER (truth = p), count(*) FILTER (truth <> p), count(*) FILTER (truth <> p) FROM pr GROUP BY split""")
-def f15(spark, sf, dims=DIMS):
-    f = features(spark, sf, dims)
+def f15(spark, sf):
+    f = features(spark, sf)
     splits = f.select("id").distinct().crossJoin(spark.range(3).select(F.col("id").cast("int").alias("split"))).withColumn("is_test", F.col("id") % 3 == F.col("split"))
     return calibrate.validate(f, splits).select("split", "label", "tp", "fp", "fn")
 
@@ -154,8 +153,8 @@ def f17(spark, sf):
 
 @query("f18_novelty_curve", f"""WITH {SQL_PRED}, g AS (SELECT s.s AS scale, round(b, 6) <= round(t, 6) * s.s AS known, best_label = l.label AS hit FROM pred JOIN (SELECT DISTINCT id, label FROM long) l USING (id), (SELECT unnest([0.5::DOUBLE, 0.8, 1.0, 2.9]) AS s) s)
 SELECT scale, count(*)::BIGINT AS n, count(*) FILTER (known)::BIGINT AS n_known, count(*) FILTER (known AND hit)::BIGINT AS n_right FROM g GROUP BY scale""")
-def f18(spark, sf, dims=DIMS):
-    f = features(spark, sf, dims)
+def f18(spark, sf):
+    f = features(spark, sf)
     return calibrate.novelty_curve(f, calibrate.train(f), [0.5, 0.8, 1.0, 2.9]).select("scale", "n", "n_known", "n_right")
 
 
@@ -164,6 +163,14 @@ def f19(spark, sf):
     return calibrate.audit_features(f12(spark, sf).select("feature").distinct())
 
 
-# The same over all dimensions; the SQL of those above is over the first DIMS.
-for _name, _f in (("f02_scaling", f02), ("f03_standardised_norm", f03), ("f05_train_classifier", f05), ("f06_open_set_predict", f06), ("f15_holdout_validation", f15), ("f18_novelty_curve", f18)):
-    query(f"{_name}_whole")(partial(_f, dims=None))
+@query("f07_model_round_trip", ORACLES["f06_open_set_predict"])
+def f07(spark, sf):
+    """Predictions of a model that was written and read again."""
+    f, path = features(spark, sf), scratch_path(spark, "model")
+    calibrate.save_model(calibrate.train(f), path)
+    return shown(calibrate.predict(f, *calibrate.load_model(spark, path)))
+
+
+# Further names of queries over all dimensions.
+for _name in ("f02_scaling", "f03_standardised_norm", "f05_train_classifier", "f06_open_set_predict", "f15_holdout_validation", "f18_novelty_curve"):
+    query(f"{_name}_whole", ORACLES[_name])(QUERIES[_name])

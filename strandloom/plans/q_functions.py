@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, scores, seq
 from .fixtures import K, SQL_CONTIGS, SQL_HITS, SQL_RC, SQL_ROLE, SQL_SEQ, contigs, dna, hits, role, sql_windows, table, windows
-from .registry import query
+from .registry import ORACLES, query
 
 KS = (51, 77, 101, 151)
 
@@ -37,10 +37,16 @@ def b02(spark, sf):
     return windows(spark, sf).groupBy("kmer").agg(F.count("*").alias("n")).filter("n > 3")
 
 
-@query("b03_valid_kmer", f"WITH {SQL_CONTIGS} SELECT doc_id, substr(seq, 1, 31) AS kmer, coalesce(regexp_matches(substr(seq, 1, 31), '^[ACGT]+$'), false) AS valid FROM contigs")
+def _starts(rows, length):
+    """One row per place of ``s`` (from 1 on) at which so many letters begin."""
+    return rows.filter(F.length("s") >= length).withColumn("position", F.explode(F.sequence(F.lit(1), F.length("s") - (length - 1))))
+
+
+@query("b03_valid_kmer", f"""WITH {SQL_CONTIGS}, w AS (SELECT doc_id, substr(seq, pos, 31) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - 29)) AS pos FROM contigs))
+SELECT doc_id, NOT contains(kmer, 'N') AS valid, count(*)::BIGINT AS n, min(kmer) AS first_kmer FROM w GROUP BY ALL""")
 def b03(spark, sf):
-    c = contigs(spark, sf).select("doc_id", F.substring("seq", 1, 31).alias("kmer"))
-    return c.withColumn("valid", seq.is_valid_kmer(F.col("kmer")))
+    w = seq.kmer_windows(contigs(spark, sf), 31, canonicalise=False, skip_ambiguous=False, keep=("doc_id",))
+    return w.groupBy("doc_id", seq.is_valid_kmer(F.col("kmer")).alias("valid")).agg(F.count("*").alias("n"), F.min("kmer").alias("first_kmer"))
 
 
 @query("b04_kmer_windows", f"WITH {sql_windows()} SELECT doc_id, count(*)::BIGINT AS n, min(kmer) AS first_kmer, max(position)::INT AS last_position FROM windows GROUP BY doc_id")
@@ -48,6 +54,17 @@ def b04(spark, sf):
     return windows(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kmer").alias("first_kmer"), F.max("position").alias("last_position"))
 
 
+_SQL_MULTI = ", ".join(f"w{k} AS (SELECT doc_id, {k} AS k, substr(seq, pos, {k}) AS w FROM (SELECT *, unnest(range(1, length(seq) - {k - 2})) AS pos FROM contigs))" for k in (51, 77, 101, 151))
+
+
+@query("b04_kmer_windows_multi_k", f"""WITH {SQL_CONTIGS}, {_SQL_MULTI}, a AS (FROM w51 UNION ALL FROM w77 UNION ALL FROM w101 UNION ALL FROM w151)
+SELECT doc_id, k, count(*)::BIGINT AS n, min(least(w, {SQL_RC.format('w')})) AS first_kmer FROM a WHERE NOT contains(w, 'N') GROUP BY ALL""")
+def b04_multi(spark, sf):
+    """Windows of the lengths that panels are built with."""
+    w = seq.multi_k_windows(contigs(spark, sf), [51, 77, 101, 151], keep=("doc_id",))
+    return w.groupBy("doc_id", "k").agg(F.count("*").alias("n"), F.min("kmer").alias("first_kmer"))
+
+
 @query("b05_unambiguous_windows", f"WITH {sql_windows(21, raw=True)} SELECT genome, count(*)::BIGINT AS n, count(DISTINCT kmer)::BIGINT AS n_distinct FROM windows GROUP BY genome")
 def b05(spark, sf):
     w = seq.kmer_windows(contigs(spark, sf), 21, canonicalise=False, keep=("genome",))
@@ -60,20 +77,23 @@ def b06(spark, sf):
 
 
 @query("b07_hamming_distance", f"""
-WITH r AS (SELECT item_id, substr({SQL_SEQ.format('text')}, 1, 51) AS a, substr({SQL_SEQ.format('text')}, 11, 51) AS b FROM benchmark)
-SELECT item_id, len(list_filter(range(1, length(a) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1)))::INT AS distance FROM r WHERE length(a) = length(b)""")
+WITH r AS (SELECT item_id, {SQL_SEQ.format('text')} AS s FROM benchmark), w AS (SELECT item_id, pos::INT AS position, substr(s, pos, 51) AS a, substr(s, pos + 10, 51) AS b FROM (SELECT *, unnest(range(1, length(s) - 59)) AS pos FROM r))
+SELECT item_id, position, hamming(a, b)::INT AS distance FROM w""")
 def b07(spark, sf):
-    r = table(spark, sf, "benchmark").select("item_id", dna(F.col("text")).alias("s")).select("item_id", F.substring("s", 1, 51).alias("a"), F.substring("s", 11, 51).alias("b"))
-    return r.filter("length(a) = length(b)").select("item_id", seq.hamming_distance(F.col("a"), F.col("b")).alias("distance"))
+    """Each window of 51 bases against the one ten bases on."""
+    w = _starts(table(spark, sf, "benchmark").select("item_id", dna(F.col("text")).alias("s")), 61)
+    pair = [F.substring("s", F.col("position") + shift, F.lit(51)) for shift in (0, 10)]
+    return w.select("item_id", "position", seq.hamming_distance(*pair).alias("distance"))
 
 
 @query("b08_mismatch_neighbourhood", f"""
-WITH r AS (SELECT item_id, substr({SQL_SEQ.format('text')}, 1, 15) AS kmer FROM benchmark),
-p AS (SELECT item_id, kmer, unnest(range(1, 16)) AS i FROM r WHERE length(kmer) = 15), b AS (SELECT *, unnest(['A', 'C', 'G', 'T']) AS base FROM p)
-SELECT item_id, substr(kmer, 1, i - 1) || base || substr(kmer, i + 1) AS neighbour FROM b WHERE substr(kmer, i, 1) <> base""")
+WITH r AS (SELECT item_id, {SQL_SEQ.format('text')} AS s FROM benchmark), w AS (SELECT item_id, pos::INT AS position, substr(s, pos, 15) AS kmer FROM (SELECT *, unnest(range(1, length(s) - 13)) AS pos FROM r)),
+p AS (SELECT *, unnest(range(1, 16)) AS i FROM w), b AS (SELECT *, unnest(['A', 'C', 'G', 'T']) AS base FROM p)
+SELECT item_id, position, substr(kmer, 1, i - 1) || base || substr(kmer, i + 1) AS neighbour FROM b WHERE substr(kmer, i, 1) <> base""")
 def b08(spark, sf):
-    r = table(spark, sf, "benchmark").select("item_id", F.substring(dna(F.col("text")), 1, 15).alias("kmer")).filter("length(kmer) = 15")
-    return r.select("item_id", F.explode(seq.neighbourhood(F.col("kmer"), 1)).alias("neighbour"))
+    w = _starts(table(spark, sf, "benchmark").select("item_id", dna(F.col("text")).alias("s")), 15)
+    w = w.select("item_id", "position", F.substring("s", F.col("position"), F.lit(15)).alias("kmer"))
+    return w.select("item_id", "position", F.explode(seq.neighbourhood(F.col("kmer"), 1)).alias("neighbour"))
 
 
 @query("b09_marker_score", r"""
@@ -204,9 +224,9 @@ def b25(spark, sf):
     return _evidence(spark, sf).select("o_orderkey", F.round(scores.divide_or_zero(F.col("u"), F.col("c")), 6).alias("or_zero"), F.round(scores.divide_or_null(F.col("u"), F.col("c")), 6).alias("or_null"))
 
 
-_READ_SQL = """r AS (SELECT lang, doc_id, length(q) AS len, list_sum(list_transform(range(1, length(q) + 1), lambda i: ascii(substr(q, i, 1)) - 33))::BIGINT AS s,
+_READ_SQL = """r AS (SELECT lang, doc_id, length(q) AS len, list_sum(list_transform(string_split(q, ''), lambda c: ascii(c) - 33))::BIGINT AS s,
  length(regexp_replace(q, '[^\\x2b-\\x7e]', '', 'g')) AS q10, length(regexp_replace(q, '[^\\x35-\\x7e]', '', 'g')) AS q20, length(regexp_replace(q, '[^\\x3f-\\x7e]', '', 'g')) AS q30
- FROM (SELECT lang, doc_id, substr(regexp_replace(text, '[^!-~]', '', 'g'), 1, 400) AS q FROM documents) WHERE length(q) > 0)"""
+ FROM (SELECT lang, doc_id, regexp_replace(text, '[^!-~]', '', 'g') AS q FROM documents) WHERE length(q) > 0)"""
 
 
 @query("b27_read_metrics", f"""
@@ -216,20 +236,11 @@ SELECT lang, count(*)::BIGINT AS n_reads, sum(len)::BIGINT AS total_bases, round
  (SELECT max(len) FROM n WHERE n.lang = r.lang AND run * 2 >= total)::BIGINT AS n50 FROM r GROUP BY lang""")
 def b27(spark, sf):
     d = table(spark, sf, "documents")
-    q = F.substring(F.regexp_replace("text", "[^!-~]", ""), 1, 400)
-    return seq.read_metrics(d.select("lang", q.alias("sequence"), q.alias("quality")).filter("length(quality) > 0"), ["lang"])
-
-
-# The same over whole texts; the SQL of those above is over prefixes.
-@query("b27_read_metrics_whole")
-def b27_whole(spark, sf):
     q = F.regexp_replace("text", "[^!-~]", "")
-    return seq.read_metrics(table(spark, sf, "documents").select("lang", q.alias("sequence"), q.alias("quality")).filter("length(quality) > 0"), ["lang"])
+    return seq.read_metrics(d.select("lang", q.alias("sequence"), q.alias("quality")).filter("length(quality) > 0"), ["lang"])
 
 
-def _starts(rows, length):
-    """One row per place of ``s`` (from 1 on) at which so many letters begin."""
-    return rows.filter(F.length("s") >= length).withColumn("position", F.explode(F.sequence(F.lit(1), F.length("s") - (length - 1))))
+query("b27_read_metrics_whole", ORACLES["b27_read_metrics"])(b27)
 
 
 @query("b03_valid_kmer_whole")
@@ -238,15 +249,5 @@ def b03_whole(spark, sf):
     return w.withColumn("valid", seq.is_valid_kmer(F.col("kmer")))
 
 
-@query("b07_hamming_distance_whole")
-def b07_whole(spark, sf):
-    w = _starts(table(spark, sf, "benchmark").select("item_id", dna(F.col("text")).alias("s")), 61)
-    pair = [F.substring("s", F.col("position") + shift, F.lit(51)) for shift in (0, 10)]
-    return w.select("item_id", "position", seq.hamming_distance(*pair).alias("distance"))
-
-
-@query("b08_mismatch_neighbourhood_whole")
-def b08_whole(spark, sf):
-    w = _starts(table(spark, sf, "benchmark").select("item_id", dna(F.col("text")).alias("s")), 15)
-    w = w.select("item_id", "position", F.substring("s", F.col("position"), F.lit(15)).alias("kmer"))
-    return w.select("item_id", "position", F.explode(seq.neighbourhood(F.col("kmer"), 1)).alias("neighbour"))
+query("b07_hamming_distance_whole", ORACLES["b07_hamming_distance"])(b07)
+query("b08_mismatch_neighbourhood_whole", ORACLES["b08_mismatch_neighbourhood"])(b08)

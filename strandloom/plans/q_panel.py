@@ -288,6 +288,36 @@ def c40(spark, sf):
     return panel.merge_global(parts).filter("contains(genomes, ';')")
 
 
+@query("c34_global_build", f"""WITH {sql_windows(21)}, {SQL_CAND}, {SQL_GROUPS}, {SQL_STATUS}, s AS (SELECT * FROM status SEMI JOIN cand USING (k, kmer))
+SELECT status, evidence_taxid, k, count(*)::BIGINT AS n, min(kmer) AS first_kmer FROM s GROUP BY ALL""")
+def c34(spark, sf):
+    w = windows(spark, sf, 21)
+    status, _ = panel.build_global(w, _candidates(w), taxonomy.lineages(tree(spark, sf)), target_taxid="G_en")
+    return status.groupBy("status", "evidence_taxid", "k").agg(F.count("*").alias("n"), F.min("kmer").alias("first_kmer"))
+
+
+@query("c34_build_summary", f"""WITH {sql_windows(21)}, {SQL_GROUPS}, {SQL_STATUS} SELECT 'assign' AS stage, status AS metric, count(*)::BIGINT AS value FROM status GROUP BY status UNION ALL SELECT 'collect', 'kmers', count(*)::BIGINT FROM status""")
+def c34_summary(spark, sf):
+    return panel.build_global(windows(spark, sf, 21), None, taxonomy.lineages(tree(spark, sf)), target_taxid="G_en")[1]
+
+
+@query("c37_select_markers", f"""WITH {sql_windows(21)}, {SQL_SCORED}, u AS (SELECT DISTINCT genome, k, kmer, bin, score FROM scored), q AS (SELECT *, row_number() OVER (PARTITION BY genome, k, bin ORDER BY score, kmer) AS r FROM u),
+c AS (SELECT *, row_number() OVER (PARTITION BY genome, k ORDER BY (r > 1)::INT, score, bin, kmer) AS n FROM q WHERE r <= 2) SELECT genome, bin, kmer FROM c WHERE n <= 150""")
+def c37(spark, sf):
+    chosen = markers.Selection("genome_spread", cap=150, bin_size=1000, quota=5, quota_by_k=markers.parse_quotas("21:2, 31:4"))
+    return markers.select_markers(_scored(windows(spark, sf, 21)), ["genome"], chosen).select("genome", "bin", "kmer")
+
+
+@query("c41_merge_modules", f"""WITH {sql_windows(21)}, {SQL_GROUPS}, {SQL_STATUS} SELECT status, evidence_taxid, count(*)::BIGINT AS n, sum(len(species))::BIGINT AS species FROM status GROUP BY ALL""")
+def c41(spark, sf):
+    """A module per language and its global table; all tables united and judged anew."""
+    w, join = windows(spark, sf, 21), lambda c: F.array_join(c, ";").alias(c)
+    sets = ("species", "genomes", "clades", "roles", "taxids")
+    modules = [panel.group_kmers(w.filter(F.col("clade") == x)).select("k", "kmer", *map(join, sets), "example_position") for x in ("en", "de", "es", "fr")]
+    s = panel.merge_modules(modules, taxonomy.lineages(tree(spark, sf)), target_taxid="G_en")
+    return s.groupBy("status", "evidence_taxid").agg(F.count("*").alias("n"), F.sum(F.size("species").cast("long")).alias("species"))
+
+
 SQL_PANELS = """panels AS (SELECT DISTINCT k, kmer, CASE WHEN doc_id % 3 = 0 THEN '' ELSE species END AS species_name, clade, taxid AS evidence_taxid, position AS example_position FROM windows)"""
 
 

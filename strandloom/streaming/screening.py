@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence, screen
@@ -23,13 +23,20 @@ def stream_label_counts(reads: DataFrame, panel: DataFrame, k_values: Sequence[i
     return found.groupBy(F.window(time_col, window).alias("window"), "sample_id", "species_name").agg(F.count("*").alias("n_hits"))
 
 
-def write_calls(hits: DataFrame, path: str, checkpoint: str, rules: evidence.CallRules = evidence.PRESETS["legacy"]):
-    """Append hits to a table and, after each micro-batch, write calls over all hits so far."""
+#: What calls need of a hit.
+COUNTED = ("sample_id", "sequence_id", "k", "matched_kmer", "mismatches", "panel_type", "species_name", "clade")
+
+
+def write_hits(hits: DataFrame, path: str, checkpoint: str):
+    """Write each micro-batch's distinct hits to a partition of its own; a batch that is run again replaces what it wrote."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows.write.mode("append").parquet(f"{path}/hits")
-        all_hits = rows.sparkSession.read.parquet(f"{path}/hits")
-        calls = evidence.call_species(evidence.species_evidence(evidence.label_hits(all_hits)), rules)
-        calls.write.mode("overwrite").parquet(f"{path}/calls")
+        rows.groupBy(*COUNTED).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return hits.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def calls_so_far(spark: SparkSession, path: str, rules: evidence.CallRules = evidence.PRESETS["legacy"]) -> DataFrame:
+    """Calls over all hits written so far, when they are asked for."""
+    rows = spark.read.parquet(path).select(*COUNTED, F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("_")).drop("_")
+    return evidence.call_species(evidence.species_evidence(evidence.label_hits(rows)), rules)

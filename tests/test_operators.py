@@ -1,6 +1,7 @@
 """Order-dependent selections against plain loops, sources against hand-written files, streams, control functions."""
 
 import gzip
+import random
 from collections import Counter
 
 import pytest
@@ -30,6 +31,80 @@ def test_windows_of_short_and_ambiguous_sequences(spark):
         seq.kmer_windows(df, 0)
 
 
+def test_windows_of_long_sequences(spark, monkeypatch):
+    monkeypatch.setattr(seq, "SEGMENT", 100)
+    r = random.Random(1)
+    text = "".join(r.choice("ACGTN" if i % 90 == 0 else "ACGT") for i in range(1234))
+    texts = {1: text, 2: text[:100], 3: text[:101], 4: text[:7], 5: text[:200], 6: text[:6]}
+    df = spark.createDataFrame(list(texts.items()), "id int, seq string")
+    for k in (7, 51, 151):
+        want = {(i, p, t[p : p + k]) for i, t in texts.items() for p in range(len(t) - k + 1) if "N" not in t[p : p + k]}
+        got = list(map(tuple, seq.kmer_windows(df, k, keep=("id",), canonicalise=False).collect()))
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_independent_markers_match_a_plain_loop(spark):
+    r = random.Random(5)
+    rows = [("g", c, k, p, f"{k}:{c}:{p}", p // 50, f"{r.randrange(40):02d}") for c in (1, 2) for k in (5, 9) for p in range(0, 300, 4)]
+    df = spark.createDataFrame(rows, "genome string, doc_id int, k int, position int, kmer string, bin int, score string")
+    got = {(x.k, x.doc_id, x.position) for x in markers.independent_markers(df, ["genome"], 4, 9, 6).collect()}
+    by_bin = {}
+    for x in sorted(rows, key=lambda x: (x[6], x[4])):
+        by_bin.setdefault((x[2], x[5]), []).append(x)
+    want, full = [], Counter()
+    for x in sorted((x for v in by_bin.values() for x in v[:4]), key=lambda x: (x[6], -x[2], x[4], x[1], x[3])):
+        gap = lambda y: max(0, max(x[3], y[3]) - min(x[3] + x[2], y[3] + y[2]))  # noqa: B023, E731
+        if full[x[2]] < 9 and not any(y[2] != x[2] and y[1] == x[1] and gap(y) < 6 for y in want):
+            full[x[2]] += 1
+            want.append(x)
+    assert got == {(x[2], x[1], x[3]) for x in want} and {x[2] for x in want} == {5, 9}
+
+
+def test_profiles_and_selections(spark):
+    assert markers.resolve_profile("raw_ont_lod_balanced", [77, 51]) == ([77, 51], 150, {51: 4, 77: 6, 101: 4, 151: 1})
+    assert markers.resolve_profile("default", [51, 151, 77]) == ([151, 77, 51], 5000, {})
+    assert markers.resolve_profile("raw_ont_balanced", [151, 51], "long_to_short", 0, "51:2") == ([151, 51], 0, {51: 2})
+    assert markers.parse_quotas(None) == markers.parse_quotas(" ") == {}
+    for bad in ("51", "51:x", "0:3", "51:0", "51:-1"):
+        with pytest.raises(ValueError):
+            markers.parse_quotas(bad)
+    for wrong in ({"strategy": "odd"}, {"cap": 0}, {"bin_size": 0}, {"quota": -1}, {"distance": -1}, {"quota_by_k": {51: 0}}):
+        with pytest.raises(ValueError):
+            markers.Selection(**wrong)
+    for wrong in (("odd", [51]), ("default", [51], "odd"), ("default", [51], "auto", -1)):
+        with pytest.raises(ValueError):
+            markers.resolve_profile(*wrong)
+    rows = [("g", 1, k, p, f"{p:03d}", f"{p % 7}") for k in (51, 77) for p in range(0, 900, 90)]
+    df = spark.createDataFrame(rows, "genome string, doc_id int, k int, position int, kmer string, score string")
+    pick = lambda **o: Counter(x.k for x in markers.select_markers(df, ["genome"], markers.Selection(**o)).collect())
+    assert pick(strategy="first_seen", cap=3) == {51: 3, 77: 3} and pick(strategy="first_seen") == {51: 10, 77: 10}
+    assert pick(strategy="genome_spread", bin_size=300, quota=1, quota_by_k={77: 2}) == {51: 3, 77: 6}
+    assert sum(pick(distance=10_000).values()) == 10 and pick(distance=0, cap=4)[51] == 4
+
+
+def test_mismatches_of_long_kmers(spark):
+    r = random.Random(7)
+    for k, most in ((77, 1), (151, 2)):
+        base = ["".join(r.choice("ACGT") for _ in range(k)) for _ in range(8)]
+
+        def change(s, n):
+            places = set(r.sample(range(len(s)), n))
+            return "".join(r.choice([x for x in "ACGT" if x != c]) if i in places else c for i, c in enumerate(s))
+
+        reads = [change(s, n) for s in base for n in (0, 1, 1, 2, 2, 3)] * 2
+        windows = spark.createDataFrame([("s", str(i), 0, k, q, q) for i, q in enumerate(reads)], "sample_id string, sequence_id string, query_position int, k int, window_kmer string, query_kmer string")
+        panel = spark.createDataFrame([(k, b, "sp") for b in base], "k int, kmer string, species_name string")
+        got = sorted((x.sequence_id, x.matched_kmer, x.mismatches) for x in screen.fuzzy_hits(windows, panel, most, 71).collect())
+        apart = lambda a, b: sum(x != y for x, y in zip(a, b))
+        assert got == sorted((str(i), b, apart(q, b)) for i, q in enumerate(reads) for b in base if 0 < apart(q, b) <= most)
+
+
+def test_authoritative_table(spark):
+    calls, wide = spark.createDataFrame([(1, 2)], "sample_id int, n_positive_reads int"), spark.createDataFrame([(5,)], "sample_id int")
+    assert benchmark.authoritative(calls.limit(0), wide).first()["sample_id"] == 5
+    assert benchmark.authoritative(calls, wide).first()["n_positive_sequences"] == 2
+
+
 def test_spaced_sample_matches_a_plain_loop(spark):
     rows = [("g", c, k, p, f"{k}:{p}") for c in (1, 2) for k in (5, 9) for p in range(0, 120, 3)]
     df = spark.createDataFrame(rows, "genome string, doc_id int, k int, position int, kmer string")
@@ -49,8 +124,6 @@ def test_spaced_sample_matches_a_plain_loop(spark):
 
 
 def test_two_mismatches_against_all_pairs(spark):
-    import random
-
     r = random.Random(3)
     base = ["".join(r.choice("ACGT") for _ in range(33)) for _ in range(20)]
     change = lambda s, n: "".join(r.choice([x for x in "ACGT" if x != c]) if i in set(r.sample(range(33), n)) else c for i, c in enumerate(s))
@@ -120,7 +193,8 @@ def test_stream(spark, tmp_path):
     reads.write.parquet(str(tmp_path / "reads"))
     panel = spark.createDataFrame([(5, "ACGTA", "species_unique", "sp", "c", "species", "sp")], "k int, kmer string, panel_type string, species_name string, clade string, evidence_rank string, evidence_name string")
     stream = spark.readStream.schema(reads.schema).parquet(str(tmp_path / "reads"))
-    query = screening.write_calls(screening.stream_hits(stream, panel, [5]), str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    call = spark.read.parquet(str(tmp_path / "out/calls")).first()
+    out = str(tmp_path / "out")
+    for checkpoint in ("cp", "cp again"):  # a second run of the same batch replaces the first's rows
+        screening.write_hits(screening.stream_hits(stream, panel, [5]), out, str(tmp_path / checkpoint)).trigger(availableNow=True).start().awaitTermination()
+    call = screening.calls_so_far(spark, out).first()
     assert (call["species_name"], call["n_positive_sequences"], call["n_unique_kmers"]) == ("sp", 4, 1)
