@@ -52,7 +52,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Learned scores and byte-pair encoding have no SQL form; tests compare each stage with a plain version.
+#: Learned scores and byte-pair encoding have no SQL form; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
