@@ -9,7 +9,7 @@ import time
 from strandloom.plans import catalogue
 from strandloom.session import session
 
-QUERIES = ("c02_compact_groups", "p1_build_panel", "p2_screen_to_calls", "d06_one_mismatch_hits", "c31_assign_evidence", "e05_species_calls_lineage_aware", "e07_consolidation", "f06_open_set_predict", "f15_holdout_validation", "g05_target_performance", "p3_threshold_sweep", "b27_read_metrics")
+QUERIES = ("c02_compact_groups", "p1_build_panel", "p2_screen_to_calls", "d06_one_mismatch_hits", "c31_assign_evidence", "e05_species_calls_lineage_aware", "e07_consolidation", "f06_open_set_predict", "f15_holdout_validation", "g05_target_performance", "p3_threshold_sweep", "b27_read_metrics", "b04_kmer_windows_multi_k")
 
 
 def main() -> None:

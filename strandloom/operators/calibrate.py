@@ -105,6 +105,19 @@ def nearest_rank(values: DataFrame, by: Sequence[str], col: str, q: float) -> Da
     return rows.filter(F.col("_r") == F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_n") - 1e-9))).select(*by, F.col(col).alias("quantile"))
 
 
+def postprocess(calls: DataFrame, scopes_of: DataFrame, scopes: Sequence[str], values: Sequence[str], ids: Sequence[str] = ("sample_id", "species_name"), profile: str = "safe_transformed", q: float = 0.95) -> tuple[DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
+    """From a benchmark's calls and its ancestors by sample and scope: the training table and the model trained on it.
+
+    A row has its ids, label, the profile's features and those of its sample's scopes (0 where a sample has none).
+    """
+    rows = call_features(calls.withColumn("label", report_label(calls))).join(pivot_scopes(scopes_of, scopes, values), "sample_id", "left")
+    features = [*feature_profiles()[profile], *(f"lca_{s}_{v}" for s in scopes for v in values)]
+    table = rows.select(*ids, "label", *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in features))
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in features))).alias("x")
+    long = table.select(F.concat_ws("|", *ids).alias("id"), "label", pairs).select("id", "label", "x.*")
+    return table, train(long, q)
+
+
 MODEL = ("scales", "centroids", "thresholds")
 
 

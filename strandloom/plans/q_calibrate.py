@@ -100,7 +100,15 @@ def f11(spark, sf):
     return calibrate.pivot_scopes(e, ["click", "view"], ["value"])
 
 
-@query("f12_feature_profiles")
+SQL_PROFILES = """raw AS (SELECT ['n_hits', 'n_unique_kmers', 'n_positive_sequences', 'n_k_values_positive', 'best_k', 'n_exact_hits', 'n_fuzzy_hits', 'conflicting_unique_kmers', 'conflict_ratio', 'reportable_conflicting_unique_kmers', 'reportable_conflict_ratio',
+  'mixed_species_support_fraction', 'confidence_score', 'signal_confidence_score', 'spike_n', 'spike_n_per_genome', 'total_spike_n'] AS r, ['has_long_k_support', 'has_multi_k_support', 'exact_hit_fraction'] AS b,
+  ['positive_sequences_per_unique_kmer', 'unique_kmers_per_positive_sequence', 'exact_hits_per_unique_kmer', 'fuzzy_hit_fraction', 'conflicting_unique_kmer_fraction', 'reportable_conflicting_unique_kmer_fraction'] AS q),
+safe AS (SELECT *, list_filter(r, lambda x: NOT contains(x, 'spike')) AS s FROM raw), t AS (SELECT *, list_concat(list_transform(s, lambda x: CASE WHEN (starts_with(x, 'n_') AND x <> 'n_k_values_positive') OR x = 'best_k' OR ends_with(x, 'conflicting_unique_kmers') THEN 'log1p_' || x ELSE x END), b, q) AS t FROM safe),
+p AS (SELECT 'legacy' AS profile, list_concat(r, b) AS f FROM t UNION ALL SELECT 'safe_raw', list_concat(s, b) FROM t UNION ALL SELECT 'safe_transformed', t FROM t UNION ALL SELECT 'safe_transformed_bounded', list_filter(t, lambda x: NOT contains(x, '_per_')) FROM t),
+profiles AS (SELECT profile, i::INT AS place, f[i + 1] AS feature FROM (SELECT *, unnest(range(len(f))) AS i FROM p))"""
+
+
+@query("f12_feature_profiles", f"WITH {SQL_PROFILES} SELECT profile, place, feature FROM profiles")
 def f12(spark, sf):
     rows = [(p, i, c) for p, cols in calibrate.feature_profiles().items() for i, c in enumerate(cols)]
     return spark.createDataFrame(rows, "profile string, place int, feature string")
@@ -158,7 +166,7 @@ def f18(spark, sf):
     return calibrate.novelty_curve(f, calibrate.train(f), [0.5, 0.8, 1.0, 2.9]).select("scale", "n", "n_known", "n_right")
 
 
-@query("f19_feature_audit")
+@query("f19_feature_audit", f"""WITH {SQL_PROFILES} SELECT DISTINCT feature, lower(feature) IN ('spike_n', 'spike_n_per_genome', 'total_spike_n') AS is_design, regexp_matches(lower(feature), 'expected|truth|target|label') AS is_truth, starts_with(lower(feature), 'lca_') AS is_lca FROM profiles""")
 def f19(spark, sf):
     return calibrate.audit_features(f12(spark, sf).select("feature").distinct())
 
@@ -171,6 +179,19 @@ def f07(spark, sf):
     return shown(calibrate.predict(f, *calibrate.load_model(spark, path)))
 
 
+SQL_SCOPES = "sc AS (SELECT 's' || (user_id % 50) AS sample_id, coalesce(max(CASE WHEN event_type = 'click' THEN value END), 0)::DOUBLE AS x FROM events WHERE user_id % 3 = 0 GROUP BY 1)"
+
+
+@query("g24_postprocess", f"""WITH {SQL_LABELLED}, {SQL_SCOPES} SELECT label, count(*)::BIGINT AS n, round(avg(coalesce(x, 0)), 6) AS lca_mean, round(avg(ln(1 + n_hits)), 6) AS hits_mean FROM lab LEFT JOIN sc USING (sample_id) GROUP BY label""")
+def g24(spark, sf):
+    """The training table, and the label's centres in the model that it gives, scaled back."""
+    e = table(spark, sf, "events").filter("user_id % 3 = 0").select(F.concat(F.lit("s"), (F.col("user_id") % 50).cast("string")).alias("sample_id"), F.col("event_type").alias("scope"), "value")
+    rows, (scales, centroids, _) = calibrate.postprocess(labelled(spark, sf).drop("label"), e, ["click"], ["value"])
+    back = centroids.join(scales, "feature").withColumn("mean", F.round(F.col("centre") * F.col("std") + F.col("mean"), 6))
+    of = lambda f: F.max(F.when(F.col("feature") == f, F.col("mean")))
+    return rows.groupBy("label").agg(F.count("*").alias("n")).join(back.groupBy("label").agg(of("lca_click_value").alias("lca_mean"), of("log1p_n_hits").alias("hits_mean")), "label")
+
+
 # Further names of queries over all dimensions.
 for _name in ("f02_scaling", "f03_standardised_norm", "f05_train_classifier", "f06_open_set_predict", "f15_holdout_validation", "f18_novelty_curve"):
     query(f"{_name}_whole", ORACLES[_name])(QUERIES[_name])
