@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import gzip
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq
@@ -51,7 +52,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for uri in b.column(0).to_pylist():
-            store, path = pafs.FileSystem.from_uri(uri)
+            store, path = pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
             with store.open_input_stream(path, compression=None) as raw:
                 lines = gzip.open(raw, "rt") if path.endswith(".gz") else map(bytes.decode, raw)
                 rows, held = [], 0
@@ -65,6 +66,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Reads with their qualities, one task per file (FASTQ is usually gzipped and cannot be cut), streamed in batches."""
+    """Reads with their qualities, each file in a task of its own (FASTQ is usually gzipped and cannot be cut), streamed in batches."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
-    return files.repartition("path").mapInArrow(_scan, READ).withColumn("sequence", seq.normalise_sequence(F.col("sequence")))
+    numbered = files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("file"))  # one row a file
+    return numbered.repartitionById(max(1, files.count()), F.col("file")).select("path").mapInArrow(_scan, READ).withColumn("sequence", seq.normalise_sequence(F.col("sequence")))
