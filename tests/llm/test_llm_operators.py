@@ -822,3 +822,74 @@ def test_the_pipeline_writes_token_ids(spark):
 
     rows = corpus_pipeline.pack_sequences(spark, frame(spark, ODD), SF).collect()
     assert rows and all(len(r.ids) == 4 * r.length and r.ids_crc32 == zlib.crc32(r.ids) for r in rows)
+
+
+def plain_targets(sizes):
+    """Capped water-filling by rounds: (source: size) to (source: target) with weights 5, 2, 1 and at most twice a source's size."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight, clamped, budget = {x: (5, 2, 1)[i % 3] for i, x in enumerate(order)}, set(), 1.5 * sum(sizes.values())
+    while True:
+        free = [x for x in order if x not in clamped]
+        left = budget - sum(2 * sizes[x] for x in clamped)
+        target = {x: 2.0 * sizes[x] for x in clamped} | {x: left * weight[x] / sum(weight[y] for y in free) for x in free}
+        over = {x for x in free if target[x] > 2 * sizes[x]}
+        if not over:
+            return target
+        clamped |= over
+
+
+@pytest.mark.skipif(not os.path.exists(queries.TOKENIZER), reason="no tokenizer file")
+def test_pipeline_stages_match_plain_versions(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rows = toxic_texts(700, 3)
+    extra = [(3000 + i, t) for i, (_, t) in enumerate(ODD)] + [(None, "no id here"), (None, None), (4000, rows[1][1] + " "), (4001, rows[2][1] + " one more word"), (4002, rows[1][1])] + [(5000 + i, t) for i, t in crowd(1, 2, 8)]
+    docs = frame(spark, [(i, t) for i, t, _ in rows] + extra)
+    spark.createDataFrame([(i, 1, int(b)) for i, _, b in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = lambda df: sorted((r.doc_id is None, r.doc_id, r.text or "") for r in df.collect())
+    tables, at = [docs], docs
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, at.limit(0), str(tmp_path))
+        assert empty.count() == 0, name
+        at = stage(spark, at, str(tmp_path))
+        at.write.parquet(f"{tmp_path}/{name}")
+        at = spark.read.parquet(f"{tmp_path}/{name}")
+        tables.append(at)
+    toxic, exact, near, mixed, packed = tables[1:]
+    assert all(x.columns == docs.columns for x in tables[:-1])
+
+    bad = {i for i, _, b in rows if b}
+    kept = {r.doc_id for r in toxic.collect()}
+    assert len(bad - kept) > 0.95 * len(bad) and len({i for i, _, b in rows if not b} - kept) <= 2 and all(i in kept for i, _ in extra)
+
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
+    firsts = {}
+    for none, i, t in texts(toxic):
+        firsts.setdefault(norm(t), (none, i))
+    assert sorted((*v, k) for k, v in firsts.items()) == sorted((none, i, norm(t)) for none, i, t in texts(exact))
+
+    with_id = [(i, t) for none, i, t in texts(exact) if not none]
+    gone = {i for i, (_, c) in plain_components(with_id).items() if i != c}
+    assert [x for x in texts(near) if not x[0]] == [x for x in texts(exact) if not x[0] and x[1] not in gone]
+
+    sizes, taken = Counter(), Counter()
+    for r in near.collect():
+        sizes[r.source] += len(re.findall(mixing.WORD, r.text or ""))
+    for r in mixed.collect():
+        taken[r.source] += len(re.findall(mixing.WORD, r.text or ""))
+    target = plain_targets(sizes)
+    assert all(abs(taken[x] - target[x]) <= 1 for x in target)
+
+    tok, want, got = Tokenizer.from_file(queries.TOKENIZER), Counter(), Counter()
+    for r in mixed.collect():
+        want.update([r.doc_id] * (len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1))
+    bins = defaultdict(list)
+    for r in packed.collect():
+        got.update([r.doc_id] * r.length)
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert got == want
+    for pieces in bins.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(pieces)]).tolist()]
+        assert [o for o, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 1024
