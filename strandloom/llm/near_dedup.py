@@ -43,7 +43,7 @@ SYMBOLS = CHUNKS * CHUNK
 #: One-bit symbols of a sketch, and how many may differ at similarity 0.75: 256 expected, 5 standard deviations more.
 SKETCH, FAR = 2048, 331
 #: Members that are compared with one hub in one task.
-HUB = 500
+HUB = 200
 
 _R = np.random.default_rng(97531)
 _XOR = _R.integers(0, 2**32, SYMBOLS, dtype=np.uint32)[:, None]
