@@ -28,16 +28,15 @@ SOURCE = ("genome", "species", "clade", "role", "taxid")
 def group_kmers(observations: DataFrame) -> DataFrame:
     """One row per (k, kmer) with its sets of species, genomes, clades, roles and taxids, and the first position.
 
-    Rows are dealt by (k, kmer) once; there they are reduced to one per source, and a k-mer's sources are gathered
-    as one list, from which the sets are taken.
+    One shuffle: a k-mer's distinct sources are gathered as one set, before and after it, and the sets of their
+    attributes are taken from that.
     """
-    per = observations.repartition("k", "kmer").groupBy("k", "kmer", *SOURCE).agg(F.min("position").alias("position"))
-    groups = per.groupBy("k", "kmer").agg(F.collect_list(F.struct("genome", "position", *SOURCE[1:])).alias("of"))
-    some = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform("of", lambda x: names.blank(x[c])), lambda x: x.isNotNull())))
-    return groups.select(
-        "k", "kmer", some("species").alias("species"), some("genome").alias("genomes"), some("clade").alias("clades"), some("role").alias("roles"), some("taxid").alias("taxids"),
-        F.array_min("of")["position"].alias("example_position"), F.size(F.array_distinct(F.transform(F.filter("of", lambda x: x["genome"].isNotNull()), lambda x: x["genome"]))).cast("long").alias("n_genomes"),
-    )
+    of = F.collect_set(F.struct(*(names.blank(F.col(c)).alias(c) for c in SOURCE)))
+    groups = observations.groupBy("k", "kmer").agg(of.alias("of"), F.min(F.struct("genome", "position"))["position"].alias("example_position"))
+    none = F.array(F.lit(None).cast("string"))
+    some = lambda c: F.sort_array(F.array_except(F.col(f"of.{c}"), none))  # noqa: E731  distinct, without nulls, in generated code
+    sets = {"species": "species", "genomes": "genome", "clades": "clade", "roles": "role", "taxids": "taxid"}
+    return groups.select("k", "kmer", *(some(c).alias(n) for n, c in sets.items()), "example_position", F.size(some("genome")).cast("long").alias("n_genomes"))
 
 
 def species_unique(groups: DataFrame, target_roles: Sequence[str] = ("target",)) -> DataFrame:

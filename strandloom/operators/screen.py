@@ -63,7 +63,7 @@ def fuzzy_hits(windows: DataFrame, panel: DataFrame, mismatches: int = 1, fuzzy_
 
     Of mismatches + 1 parts of a k-mer one is free of errors (pigeonhole), so candidates come from one equi-join of
     distinct k-mers on (part, content); a candidate found through several parts is made only by its first equal part. Distances are
-    counted on packed bases, then matches go back to the windows that hold the k-mer and the markers' labels.
+    counted on packed bases, then matches go back to the windows that hold the k-mer.
     """
     if mismatches not in (1, 2):
         raise ValueError("one or two mismatches")
@@ -75,16 +75,16 @@ def fuzzy_hits(windows: DataFrame, panel: DataFrame, mismatches: int = 1, fuzzy_
 
         def side(rows: DataFrame, kmer: str, name: str) -> DataFrame:
             words = [x.alias(f"{name}{i}") for i, x in zip(longs, packed(F.col(kmer), k))]
-            return rows.select(kmer).distinct().select(kmer, *words, F.posexplode(F.array(*_parts(F.col(kmer), k, n))).alias("part", "content"))
+            return rows.select("*", *words, F.posexplode(F.array(*_parts(F.col(kmer), k, n))).alias("part", "content"))
 
         apart = sum((packed_distance(F.col(f"q{i}"), F.col(f"m{i}")) for i in longs), F.lit(0)).cast("int")
-        pairs = side(w, "query_kmer", "q").join(side(p, "matched_kmer", "m"), ["part", "content"]).withColumn("mismatches", apart)
+        pairs = side(w.select("query_kmer").distinct(), "query_kmer", "q").join(side(p, "matched_kmer", "m"), ["part", "content"]).withColumn("mismatches", apart)
         pairs = pairs.filter((F.col("mismatches") > 0) & (F.col("mismatches") <= mismatches))
         first = F.lit(None).cast("int")
         for i, (x, y) in reversed(list(enumerate(zip(_parts(F.col("query_kmer"), k, n), _parts(F.col("matched_kmer"), k, n))))):
             first = F.when(x == y, i).otherwise(first)
-        pairs = pairs.filter(F.col("part") == first).select("query_kmer", "matched_kmer", "mismatches")
-        hits = w.join(pairs, "query_kmer").join(p, "matched_kmer").withColumn("k", F.lit(k))
+        pairs = pairs.filter(F.col("part") == first).select("query_kmer", *p.columns, "mismatches")
+        hits = w.join(pairs, "query_kmer").withColumn("k", F.lit(k))
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         empty = exact_hits(windows, panel).filter("false")
