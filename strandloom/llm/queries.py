@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprint, html_text, mixing, near_dedup, packing, sharding, toxicity, warc
+from . import chat, exact_dedup, fingerprint, html_text, mixing, near_dedup, packing, sharding, toxicity, vector_codes, warc, whitening
 
 def _tokenizer() -> str:
     """The vocabulary of the packing query, which is not part of the repository; a path that executors can open."""
@@ -74,12 +74,53 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_best_fit_packing, op3_fingerprints, op4_exact_dedup, op5_mixing, op6_warc, op7_chat_formatting, op8_html_extraction, op9_minhash_near_dedup, op10_sharding)
-}
+    for f in (
+        op1_toxicity, op2_best_fit_packing, op3_fingerprints, op4_exact_dedup, op5_mixing, op6_warc, op7_chat_formatting, op8_html_extraction, op9_minhash_near_dedup, op10_sharding,
+        op12_embedding_whitening, op13_vector_codes,
+    )
+}
+
+
+def _vector_codes_sql() -> str:
+    """Product codes over 64 dimensions: two rounds of nearest entries and floored means, then the codes."""
+
+    def nearest(name: str, book: str) -> str:
+        return f"""{name} AS (SELECT vec_id, part, min({{'d': (p.x[1] - b.x[1]) ** 2 + (p.x[2] - b.x[2]) ** 2 + (p.x[3] - b.x[3]) ** 2 + (p.x[4] - b.x[4]) ** 2, 'e': entry}}) AS m
+  FROM p JOIN {book} b USING (part) GROUP BY vec_id, part)"""
+
+    def means(name: str, found: str, before: str) -> str:
+        floored = ", ".join(f"(sum(p.x[{i}])::BIGINT - ((sum(p.x[{i}])::BIGINT % count(*)) + count(*)) % count(*)) // count(*)" for i in (1, 2, 3, 4))
+        return f"""{name} AS (SELECT part, entry, coalesce(n.x, o.x) AS x FROM {before} o LEFT JOIN
+  (SELECT part, m.e AS entry, [{floored}] AS x FROM p JOIN {found} USING (vec_id, part) GROUP BY part, m.e) n USING (part, entry))"""
+
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, part, x[4 * part + 1 : 4 * part + 4] AS x FROM v, range(16) r(part)),
+b0 AS (SELECT part, entry, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < 64) USING (vec_id)),
+{nearest("a0", "b0")},
+{means("b1", "a0", "b0")},
+{nearest("a1", "b1")},
+{means("b2", "a1", "b1")},
+{nearest("a2", "b2")},
+c AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a2 GROUP BY vec_id),
+s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN v USING (vec_id), s
+"""
+
 
 ORACLES = {
+    "op13_vector_codes": _vector_codes_sql(),
     "op4_exact_dedup": r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM t GROUP BY 1)
