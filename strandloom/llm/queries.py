@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprint, html_text, mixing, near_dedup, packing, sharding, toxicity, vector_codes, warc, whitening
+from . import chat, exact_dedup, fingerprint, html_text, mixing, near_dedup, packing, sharding, suffix_dedup, toxicity, vector_codes, warc, whitening
 
 def _tokenizer() -> str:
     """The vocabulary of the packing query, which is not part of the repository; a path that executors can open."""
@@ -74,6 +74,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"), length=200)
+    removed, spans = F.col("n_bytes") - F.length("kept"), F.size("spans").cast("long")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -86,7 +92,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_best_fit_packing, op3_fingerprints, op4_exact_dedup, op5_mixing, op6_warc, op7_chat_formatting, op8_html_extraction, op9_minhash_near_dedup, op10_sharding,
-        op12_embedding_whitening, op13_vector_codes,
+        op11_suffix_dedup, op12_embedding_whitening, op13_vector_codes,
     )
 }
 
