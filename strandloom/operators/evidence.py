@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, scores
+from . import taxonomy
 
 
 def label_hits(hits: DataFrame, by: Sequence[str] = ("sample_id", "panel_type", "species_name", "clade", "k")) -> DataFrame:
@@ -230,16 +231,12 @@ def resolve_taxids(rows: DataFrame, mapping: DataFrame, taxid_cols: Sequence[str
     return rows.withColumn("_own", own).withColumn("_name", names.taxon_key(name, underscores=False)).join(m, F.col("_name") == F.col("_taxon"), "left").withColumn("taxid", F.coalesce("_own", "_mapped")).drop("_own", "_name", "_taxon", "_mapped")
 
 
-def dominant_rows(rows: DataFrame, by: Sequence[str], lines: DataFrame, min_fraction: float = 0.25, ranks: Sequence[str] = ("species", "genus", "family")) -> DataFrame:
-    """Rows with a score of at least a share of the best whose common ancestor with the best has a compatible rank.
+def dominant_rows(rows: DataFrame, by: Sequence[str], tree: taxonomy.Tree, min_fraction: float = 0.25, ranks: Sequence[str] = ("species", "genus", "family")) -> DataFrame:
+    """Rows with a score of at least a share of the best whose common ancestor with the best has, or lies below one that has, a compatible rank.
 
-    ``rows`` have taxid and score; the top row per group is a window value, its lineage joined once.
+    ``rows`` have taxid and score; the top row per group is a window value. Rows whose taxid, or whose group's best, the tree doesn't have go.
     """
     top = F.first(F.struct("taxid", "score")).over(Window.partitionBy(*by).orderBy(F.desc("score"), "taxid"))
     r = rows.withColumn("_top", top).filter(F.col("score") >= F.greatest(F.col("_top.score"), F.lit(1.0)) * min_fraction)
-    mine = lines.select("taxid", F.col("lineage").alias("_a"))
-    best = lines.select(F.col("taxid").alias("_t"), F.col("lineage").alias("_b"))
-    r = r.join(mine, "taxid").join(best, F.col("_top.taxid") == F.col("_t"))
-    shared = F.filter("_a", lambda n: F.exists("_b", lambda m: m["taxid"] == n["taxid"]))
-    near = F.try_element_at(F.filter(shared, lambda n: F.lower(n["rank"]).isin(*ranks)), F.lit(-1))
-    return r.filter(near.isNotNull()).drop("_top", "_a", "_b", "_t")
+    r = taxonomy.assign_nodes(r.withColumn("_pair", F.array("taxid", "_top.taxid")), tree, "_pair", ranks)
+    return r.filter((F.col("lca.known") == F.size("_pair")) & F.lower("node.rank").isin(*ranks)).select(rows.columns)

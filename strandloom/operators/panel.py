@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, seq
+from ..scratch import broadcast_if_small, materialise
 from . import taxonomy
 
 EXCLUDED_ROLES = ("background", "contaminant", "exclude", "host", "outgroup", "vector")
@@ -53,13 +54,13 @@ def clade_core(groups: DataFrame, target_clade: str) -> DataFrame:
     return hit.select("k", "kmer", F.lit("clade_core").alias("panel_type"), only.alias("species_name"), F.col("clades")[0].alias("clade"), F.when(F.size("taxids") == 1, F.col("taxids")[0]).otherwise("").alias("evidence_taxid"), "genomes", "example_position")
 
 
-def taxonomic_evidence(groups: DataFrame, lines: DataFrame, ranks: Sequence[str] = taxonomy.RANKS, target_taxid: str = "") -> DataFrame:
+def taxonomic_evidence(groups: DataFrame, tree: taxonomy.Tree, ranks: Sequence[str] = taxonomy.RANKS, target_taxid: str = "") -> DataFrame:
     """K-mers whose taxids' common ancestor has a preferred rank (below ``target_taxid``, if given)."""
-    got = taxonomy.assign_nodes(groups.filter(F.size("taxids") > 0), lines, "taxids", ranks)
+    got = taxonomy.assign_nodes(groups.filter(F.size("taxids") > 0), tree, "taxids", ranks)
     rank = F.lower("node.rank")
     got = got.filter(rank.isin([r.lower() for r in ranks]))
     if target_taxid:
-        got = got.filter(taxonomy.is_descendant(F.col("path"), target_taxid))
+        got = got.filter(tree.below(F.col("lca.low"), target_taxid))
     kind = F.when(rank == "species", "species_unique").otherwise(F.concat(rank, F.lit("_core")))
     species = F.when((rank == "species") & (F.size("species") == 1), F.col("species")[0]).otherwise("")
     clade = F.when(F.size("clades") == 1, F.col("clades")[0]).otherwise(F.col("node.name"))
@@ -80,11 +81,11 @@ def panel_summary(panel: DataFrame, by: Sequence[str] = ("panel_type", "species_
     return panel.groupBy(*by).agg(F.count("*").alias("n_markers"))
 
 
-def build_panel(observations: DataFrame, target_clade: str = "", lines: DataFrame | None = None, most: int | None = None, ranks: Sequence[str] = taxonomy.RANKS, target_taxid: str = "") -> DataFrame:
+def build_panel(observations: DataFrame, target_clade: str = "", tree: taxonomy.Tree | None = None, most: int | None = None, ranks: Sequence[str] = taxonomy.RANKS, target_taxid: str = "") -> DataFrame:
     """With a taxonomy its evidence k-mers, else species-unique and clade-core ones; then thinned."""
     groups = group_kmers(observations)
-    if lines is not None:
-        return thin(taxonomic_evidence(groups, lines, ranks, target_taxid), most)
+    if tree is not None:
+        return thin(taxonomic_evidence(groups, tree, ranks, target_taxid), most)
     both = species_unique(groups)
     return thin(both.unionByName(clade_core(groups, target_clade)) if target_clade else both, most)
 
@@ -115,17 +116,27 @@ def reportable(roles_col: str, roles: Sequence[str] | None = None, excluded: Seq
     return F.size(F.array_except(roles_col, F.array(*map(F.lit, excluded)))) > 0
 
 
-def assign_status(groups: DataFrame, lines: DataFrame, ranks: Sequence[str] = taxonomy.RANKS, target_taxid: str = "", roles: Sequence[str] | None = None, excluded: Sequence[str] = EXCLUDED_ROLES, most: int | None = None) -> DataFrame:
-    """Every global k-mer with its node and status: no_taxid, not_reportable, unranked, outside_target, over_cap or retained."""
-    got = taxonomy.assign_nodes(groups, lines, "taxids", ranks)
+def assign_status(groups: DataFrame, tree: taxonomy.Tree, ranks: Sequence[str] = taxonomy.RANKS, target_taxid: str = "", roles: Sequence[str] | None = None, excluded: Sequence[str] = EXCLUDED_ROLES, most: int | None = None) -> DataFrame:
+    """Every global k-mer with its node and status: no_taxid, not_reportable, unranked, outside_target, over_cap or retained.
+
+    The cap needs no order of all rows: the k-mer at its rank is found per node and k among the retained ones (each task keeps as many at most), and
+    those after it are over the cap.
+    """
+    got = taxonomy.assign_nodes(groups, tree, "taxids", ranks)
     rank = F.lower("node.rank")
-    outside = ~taxonomy.is_descendant(F.col("path"), target_taxid) if target_taxid else F.lit(False)
+    outside = ~tree.below(F.col("lca.low"), target_taxid) if target_taxid else F.lit(False)
     status = F.when(F.size("taxids") == 0, "no_taxid").when(~reportable("roles", roles, excluded), "not_reportable").when(F.col("node").isNull() | ~rank.isin([r.lower() for r in ranks]), "unranked").when(outside, "outside_target").otherwise("retained")
     got = got.select("k", "kmer", "taxids", "roles", "species", "genomes", "example_position", F.col("node.taxid").alias("evidence_taxid"), rank.alias("evidence_rank"), F.col("node.name").alias("evidence_name"), status.alias("status"))
     if most is None:
         return got
-    place = F.row_number().over(Window.partitionBy("status", "evidence_taxid", "evidence_rank", "k").orderBy("kmer"))
-    return got.withColumn("status", F.when((F.col("status") == "retained") & (place > most), "over_cap").otherwise(F.col("status")))
+    bucket = ("evidence_taxid", "evidence_rank", "k")
+    place = F.row_number().over(Window.partitionBy(*bucket).orderBy("kmer"))
+    first = got.filter("status = 'retained'").select(*bucket, "kmer").withColumn("_r", place).filter(F.col("_r") <= most)
+    last = first.filter(F.col("_r") == most).select(*(F.col(c).alias(f"_{c}") for c in bucket), F.col("kmer").alias("_last"))
+    over = (F.col("status") == "retained") & F.coalesce(F.col("kmer") > F.col("_last"), F.lit(False))
+    same = (F.col("evidence_taxid") == F.col("_evidence_taxid")) & (F.col("evidence_rank") == F.col("_evidence_rank")) & (F.col("k") == F.col("_k"))
+    out = got.join(broadcast_if_small(materialise(last, "caps")), same, "left")
+    return out.withColumn("status", F.when(over, "over_cap").otherwise(F.col("status"))).select(got.columns)
 
 
 def retained_summary(status: DataFrame) -> DataFrame:
@@ -133,26 +144,26 @@ def retained_summary(status: DataFrame) -> DataFrame:
     return status.filter("status = 'retained'").groupBy("evidence_rank", "evidence_name", "evidence_taxid", "k").agg(F.count("*").alias("n_kmers"))
 
 
-def build_global(observations: DataFrame, candidates: DataFrame | None, lines: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+def build_global(observations: DataFrame, candidates: DataFrame | None, tree: taxonomy.Tree, **options) -> tuple[DataFrame, DataFrame]:
     """(k-mers with node and status, number of k-mers per stage and metric): candidates' k-mers in all genomes, grouped, then judged.
 
     ``candidates``: (k, kmer) that are followed, all if None; ``options`` go to ``assign_status``.
     """
     own = observations if candidates is None else observations.join(candidates.select("k", "kmer").distinct(), ["k", "kmer"], "left_semi")
-    status = assign_status(group_kmers(own), lines, **options)
+    status = assign_status(group_kmers(own), tree, **options)
     counts = status.groupBy("status").agg(F.count("*").alias("value"))
     summary = counts.select(F.lit("assign").alias("stage"), F.col("status").alias("metric"), "value").unionByName(counts.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value")).select(F.lit("collect").alias("stage"), F.lit("kmers").alias("metric"), "value"))
     return status, summary
 
 
-def merge_modules(modules: Sequence[DataFrame], lines: DataFrame, **options) -> DataFrame:
+def merge_modules(modules: Sequence[DataFrame], tree: taxonomy.Tree, **options) -> DataFrame:
     """Global k-mer tables of several modules (k, kmer, ``;``-joined sets, example_position) united, then judged anew."""
     rows = modules[0]
     for m in modules[1:]:
         rows = rows.unionByName(m)
     merged = merge_global(rows)
     sets = [c for c in ("species", "genomes", "clades", "roles", "taxids") if c in merged.columns]
-    return assign_status(merged.select("k", "kmer", "example_position", *(names.split_set(F.col(c)).alias(c) for c in sets)), lines, **options)
+    return assign_status(merged.select("k", "kmer", "example_position", *(names.split_set(F.col(c)).alias(c) for c in sets)), tree, **options)
 
 
 def merge_global(records: DataFrame) -> DataFrame:
@@ -176,10 +187,10 @@ def merge_panels(panels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, removed
 
 
-def merge_panels_by_taxonomy(panels: DataFrame, lines: DataFrame, ranks: Sequence[str] = taxonomy.RANKS) -> DataFrame:
+def merge_panels_by_taxonomy(panels: DataFrame, tree: taxonomy.Tree, ranks: Sequence[str] = taxonomy.RANKS) -> DataFrame:
     """Per (k, kmer) the common ancestor of its evidence taxids; several records without a species downgrade."""
     g = panels.groupBy("k", "kmer").agg(F.array_sort(F.collect_set(names.blank(F.col("evidence_taxid")))).alias("taxids"), F.count("*").alias("n_records"))
-    got = taxonomy.assign_nodes(g, lines, "taxids", ranks)
+    got = taxonomy.assign_nodes(g, tree, "taxids", ranks)
     rank = F.lower("node.rank")
     status = F.when(F.col("node").isNull() | ~rank.isin([r.lower() for r in ranks]), "removed").when((F.col("n_records") > 1) & (rank != "species"), "downgraded").otherwise("retained")
     return got.select("k", "kmer", F.col("node.taxid").alias("evidence_taxid"), rank.alias("evidence_rank"), "n_records", status.alias("status"))

@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import seq
+from ..functions import names, seq
+from ..scratch import materialise
+from . import taxonomy
 
 HIT = ("sample_id", "sequence_id", "k", "query_position", "matched_kmer", "query_kmer", "mismatches", "panel_type", "species_name", "clade", "evidence_rank", "evidence_name")
 
@@ -128,16 +130,24 @@ def merge_markers(panels: Sequence[DataFrame], signature: Sequence[str]) -> Data
     return out.dropDuplicates(list(signature))
 
 
+def _hierarchy(modules: DataFrame, fold: dict[str, Column], *columns: Column) -> DataFrame:
+    """``columns`` folded from each module's root down to it; modules below an unknown parent or on a cycle are an error."""
+    parent = names.blank(F.col("parent_module_id"))
+    known = modules.select(F.col("module_id").alias("_up"))
+    lost = modules.filter(parent.isNotNull()).join(known, parent == F.col("_up"), "left_anti").select("module_id").limit(3).collect()
+    if lost:
+        raise ValueError(f"modules with an unknown parent_module_id: {', '.join(r['module_id'] for r in lost)}")
+    rooted, unrooted, _ = taxonomy.double(modules.select(F.col("module_id").alias("id"), parent.alias("up"), *columns), fold, label="modules")
+    cyclic = unrooted.limit(3).collect()
+    if cyclic:
+        raise ValueError(f"cyclic module parents: {', '.join(r['id'] for r in cyclic)}")
+    return rooted.withColumnRenamed("id", "module_id")
+
+
 def module_depths(modules: DataFrame) -> DataFrame:
-    """module_id, depth: by a recursive query from the modules without a parent; modules on cycles are missing."""
-    return modules.sparkSession.sql(
-        """
-        WITH RECURSIVE down(module_id, depth) AS (
-          SELECT module_id, 0 FROM {m} WHERE coalesce(parent_module_id, '') = ''
-          UNION ALL SELECT c.module_id, depth + 1 FROM down JOIN {m} c ON c.parent_module_id = down.module_id WHERE depth < 64
-        ) SELECT module_id, depth FROM down""",
-        m=modules,
-    )
+    """module_id, depth (0 for modules without a parent), at any depth."""
+    depth = F.when(names.blank(F.col("parent_module_id")).isNull(), 0).otherwise(1)
+    return _hierarchy(modules, {"depth": F.col("a.depth") + F.col("b.depth")}, depth.alias("depth"))
 
 
 def gate_summary(hits: DataFrame, by: Sequence[str] = ("module_id",)) -> DataFrame:
@@ -145,28 +155,19 @@ def gate_summary(hits: DataFrame, by: Sequence[str] = ("module_id",)) -> DataFra
 
 
 def activate(modules: DataFrame, gates: DataFrame, min_kmers: int, min_sequences: int, fail_open: bool = False) -> DataFrame:
-    """Per module whether its panel is used, and why: its gate passes and so do those of all its ancestors.
+    """Per module whether its panel is used, and why: its gate passes and so do those of all its ancestors, however deep it lies.
 
-    ``modules``: module_id, parent_module_id, has_gate; ``gates``: a gate summary per module. The loop runs over
-    levels of the hierarchy, on tables of one row per module.
+    ``modules``: module_id, parent_module_id, has_gate; ``gates``: a gate summary per module. An unknown parent or a cycle is an error.
     """
     m = modules.join(gates, "module_id", "left")
     passes = (F.coalesce("n_kmers", F.lit(0)) >= min_kmers) & (F.coalesce("n_sequences", F.lit(0)) >= min_sequences)
-    root = F.coalesce("parent_module_id", F.lit("")) == ""
-    m = m.select("module_id", "parent_module_id", "has_gate", root.alias("root"), ((~F.col("has_gate") & root) | (F.col("has_gate") & passes)).alias("own"), F.coalesce("n_kmers", F.lit(0)).alias("n_kmers"))
-    depths = module_depths(modules)
-    m = m.join(depths, "module_id")
-    closed = m.filter("not own").select(F.col("module_id").alias("closed"))
-    chain = modules.sparkSession.sql(
-        """
-        WITH RECURSIVE up(module_id, ancestor, depth) AS (
-          SELECT module_id, parent_module_id, 0 FROM {m} WHERE coalesce(parent_module_id, '') <> ''
-          UNION ALL SELECT up.module_id, p.parent_module_id, depth + 1 FROM up JOIN {m} p ON p.module_id = up.ancestor WHERE coalesce(p.parent_module_id, '') <> '' AND depth < 64
-        ) SELECT module_id, ancestor FROM up""",
-        m=modules,
-    )
-    barred = chain.join(closed, F.col("ancestor") == F.col("closed")).select("module_id").distinct().withColumn("barred", F.lit(True))
-    out = m.join(barred, "module_id", "left").withColumn("barred", F.coalesce("barred", F.lit(False)))
+    root = names.blank(F.col("parent_module_id")).isNull()
+    own = (~F.col("has_gate") & root) | (F.col("has_gate") & passes)
+    m = materialise(m.select("module_id", "parent_module_id", "has_gate", own.alias("own")), "modules")  # the gates are counted once
+    # ``open``: the module and all its ancestors pass by themselves; ``above``: its ancestors do.
+    fold = {"depth": F.col("a.depth") + F.col("b.depth"), "open": F.col("a.open") & F.col("b.open"), "above": F.col("a.above") & F.col("b.open")}
+    out = _hierarchy(m, fold, F.when(root, 0).otherwise(1).alias("depth"), F.col("own").alias("open"), F.lit(True).alias("above"), "own", "has_gate")
+    out = out.withColumn("barred", ~F.col("above"))
     reason = F.when(F.col("barred"), "parent_not_active").when(F.col("own") & F.col("has_gate"), "gate_passed").when(F.col("own"), "root_without_gate").otherwise("gate_below_threshold")
     active = F.col("own") & ~F.col("barred")
     out = out.select("module_id", "depth", active.alias("active"), reason.alias("reason"))

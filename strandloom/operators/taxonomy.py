@@ -1,20 +1,28 @@
-"""Taxonomy trees: lineages, lowest common ancestors of sets of taxids, named ancestors.
+"""Taxonomy trees of any size and depth: lineages, ancestor intervals, lowest common ancestors of sets of taxids, named ancestors.
 
-``nodes``: taxid, parent, rank, name (taxids are strings; a root is its own parent or has none in the table).
-Lineages run from the root to the taxid, as arrays of structs, and are computed once for a tree. Nodes on a
-cycle hang on no root and have no lineage.
+``nodes``: taxid, parent, rank, name (taxids are strings). A root is its own parent, has none, or one that is not in the table.
+A taxid with several rows takes the least of them; rows without taxid don't count. Nodes on a cycle, and those below one, hang on no root:
+they have no lineage and no interval, count as unknown, and are listed by ``Tree.unrooted``.
+
+Nothing walks the tree level by level. Rounds of pointer doubling over written tables (each joins the table with itself on the ancestor reached so far,
+so their number is the logarithm of the depth) give depths, subtree sizes and pre-order numbers. A node's descendants are then those
+whose ``low`` lies in its own [low, high], and a set's lowest common ancestor is the smallest such interval around the set's least and
+greatest ``low``, found by descending powers of two of ancestors. Lineages are only put together where they are the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import broadcast_if_small, materialise
+from ..scratch import broadcast_if_small, materialise, scratch_path
 
 RANKS = ("species", "genus", "family", "order", "class", "phylum", "superkingdom")
+#: Parts in which a parent's children are numbered, as one parent may have millions.
+PARTS = 64
 
 
 def normalise_taxid(df: DataFrame, taxid_col: str, merged: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -26,53 +34,127 @@ def normalise_taxid(df: DataFrame, taxid_col: str, merged: DataFrame, deleted: D
     return out.withColumn(taxid_col, fixed).drop("_gone", "_old", "_new")
 
 
-def lineages(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """taxid, lineage: array<struct<taxid, rank, name>> from root to leaf, by a recursive query."""
-    spark = nodes.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE up(taxid, lineage, depth) AS (
-          SELECT n.taxid, array(named_struct('taxid', n.taxid, 'rank', n.rank, 'name', n.name)), 1
-          FROM {nodes} n LEFT JOIN {nodes} p ON n.parent = p.taxid AND n.parent <> n.taxid WHERE p.taxid IS NULL
-          UNION ALL
-          SELECT c.taxid, concat(up.lineage, array(named_struct('taxid', c.taxid, 'rank', c.rank, 'name', c.name))), depth + 1
-          FROM up JOIN {nodes} c ON c.parent = up.taxid AND c.parent <> c.taxid WHERE depth < {depth}
-        ) SELECT taxid, lineage FROM up""",
-        nodes=nodes,
-        depth=max_depth,
-    )
-
-
-def is_descendant(lineage: Column, ancestor: str) -> Column:
-    return F.exists(lineage, lambda n: n["taxid"] == ancestor)
-
-
-def lca_of_sets(sets: DataFrame, lines: DataFrame, set_col: str = "taxids") -> DataFrame:
-    """(set_col, path): the common lineage of each distinct set's known taxids; unknown taxids are ignored, none known: no row.
+def double(rows: DataFrame, fold: Mapping[str, Column], down: str | None = None, label: str = "rounds") -> tuple[DataFrame, DataFrame, int]:
+    """Pointer doubling over a forest, as (rooted rows, unrooted rows, rounds).
 
-    A set's lineages are exploded; ancestors that as many taxids share as the set has known ones form the path.
+    ``rows``: id, up (the parent; null for a root, else an id of the table) and columns to fold. In each round a row whose ``up`` is set
+    takes the ``up`` of its ``up`` for its own, and ``fold`` gives its columns' new values from those of the row (a.) and of its ``up`` (b.), so that in
+    the end a column is folded over the whole path to the root. ``down``: a column that is summed over all descendants instead. Rows that never
+    reach a root hang on a cycle; rounds end when only those are open.
     """
+    rows = materialise(rows, f"{label}-0")
+    opened, turn = rows.filter("up is not null").count(), 0
+    while opened:
+        turn += 1
+        going, carried = rows.filter("up is not null"), [c for c in rows.columns if c not in ("id", "up")]
+        step = going.alias("a").join(rows.alias("b"), F.col("a.up") == F.col("b.id")).select("a.id", "b.up", *(fold.get(c, F.col(f"a.{c}")).alias(c) for c in carried))
+        new = rows.filter("up is null").unionByName(step)
+        if down:
+            below = going.groupBy(F.col("up").alias("_up")).agg(F.sum(down).alias("_down"))
+            new = new.join(below, F.col("id") == F.col("_up"), "left").withColumn(down, F.col(down) + F.coalesce("_down", F.lit(0))).drop("_up", "_down")
+        rows = materialise(new.select("id", "up", *carried), f"{label}-{turn}")
+        left = rows.filter("up is not null").count()
+        if left == opened:  # a rooted node as deep as the round's distance would have reached its root
+            break
+        opened = left
+    return rows.filter("up is null").drop("up"), rows.filter("up is not null").select("id"), turn
+
+
+def _clean(nodes: DataFrame) -> DataFrame:
+    """One row per taxid, with a null parent for roots."""
+    one = nodes.filter("taxid is not null").groupBy(F.col("taxid").cast("string").alias("taxid")).agg(F.min(F.struct(F.col("parent").cast("string").alias("parent"), "rank", "name")).alias("x"))
+    one = materialise(one.select("taxid", "x.*"), "nodes")
+    known = one.select(F.col("taxid").alias("_up"))
+    parent = F.when(F.col("_up") != F.col("taxid"), F.col("_up"))
+    return materialise(one.join(known, F.col("parent") == F.col("_up"), "left").select("taxid", parent.alias("parent"), "rank", "name"), "parents")
+
+
+@dataclass(frozen=True)
+class Tree:
+    """``nodes``: taxid, parent (null for roots), rank, name, depth (0 for roots), low, high. ``jumps``: step, taxid, up, up_high: the
+    ancestor 2 ** step levels up. ``unrooted``: taxids on or below a cycle. All are written tables."""
+
+    nodes: DataFrame
+    jumps: DataFrame
+    unrooted: DataFrame
+    steps: int
+
+    def interval(self, taxid: str) -> tuple[int, int] | None:
+        """(low, high) of one node, None if it is unknown."""
+        row = self.nodes.filter(F.col("taxid") == taxid).select("low", "high").first()
+        return (row["low"], row["high"]) if row else None
+
+    def below(self, low: Column, taxid: str) -> Column:
+        """Whether the node with that pre-order number is ``taxid`` or descends from it: a range test. Nothing descends from an unknown taxid."""
+        span = self.interval(taxid)
+        return low.between(*span) if span else F.when(low.isNotNull(), False)
+
+
+def index(nodes: DataFrame) -> Tree:
+    """Depths, ancestor intervals and power-of-two ancestors of a taxonomy."""
+    spark, nodes = nodes.sparkSession, _clean(nodes)
+    rows = nodes.select(F.col("taxid").alias("id"), F.col("parent").alias("up"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).alias("depth"), F.lit(1).cast("long").alias("size"), F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast("array<string>")).alias("ups"))
+    higher = F.when(F.col("b.up").isNotNull(), F.array_append("a.ups", F.col("b.up"))).otherwise(F.col("a.ups"))
+    rooted, unrooted, steps = double(rows, {"depth": F.col("a.depth") + F.col("b.depth"), "ups": higher}, down="size", label="depths")
+    all_ = materialise(rooted.withColumnRenamed("id", "taxid").join(nodes, "taxid"), "rooted")
+    # Pre-order: a parent's number, then one for itself and the sizes of the siblings before.
+    by, part = F.coalesce("parent", F.lit("")), F.pmod(F.xxhash64("taxid"), F.lit(PARTS))
+    sib = all_.select("taxid", "parent", "size", by.alias("_by"), part.alias("_part"))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sib.groupBy("_by", "_part").agg(F.sum("size").alias("_size"))
+    parts = parts.select("_by", "_part", before(Window.partitionBy("_by").orderBy("_part"), "_size").alias("_ahead"))
+    sib = sib.withColumn("_in", before(Window.partitionBy("_by", "_part").orderBy("taxid"), "size")).join(parts, ["_by", "_part"])
+    start = F.col("_in") + F.col("_ahead") + F.when(F.col("parent").isNotNull(), 1).otherwise(0)
+    numbers, _, _ = double(sib.select(F.col("taxid").alias("id"), F.col("parent").alias("up"), start.cast("long").alias("low")), {"low": F.col("a.low") + F.col("b.low")}, label="numbers")
+    done = all_.join(numbers.withColumnRenamed("id", "taxid"), "taxid")
+    done = materialise(done.select("taxid", "parent", "rank", "name", "depth", "low", (F.col("low") + F.col("size") - 1).alias("high"), "ups"), "tree")
+    jumps = done.select("taxid", F.posexplode("ups").alias("step", "up")).join(done.select(F.col("taxid").alias("up"), F.col("high").alias("up_high")), "up").select("taxid", "up", "up_high", "step")
+    path = scratch_path(spark, "jumps")
+    jumps.write.partitionBy("step").parquet(path)
+    return Tree(done.drop("ups"), spark.read.schema(jumps.schema).parquet(path), unrooted.withColumnRenamed("id", "taxid"), steps)
+
+
+def lineages(nodes: DataFrame) -> DataFrame:
+    """taxid, lineage: array<struct<taxid, rank, name>> from root to taxid, whatever its length."""
+    own = F.array(F.struct("taxid", "rank", "name"))
+    rows = _clean(nodes).select(F.col("taxid").alias("id"), F.col("parent").alias("up"), own.alias("lineage"))
+    return double(rows, {"lineage": F.concat("b.lineage", "a.lineage")}, label="lineages")[0].withColumnRenamed("id", "taxid")
+
+
+def lca_of_sets(sets: DataFrame, tree: Tree, set_col: str = "taxids") -> DataFrame:
+    """(set_col, lca: struct<taxid, rank, name, low, high, known>) of each distinct set; unknown taxids are ignored, and sets without
+    known ones or without a common ancestor have no row. ``known``: taxids of the set that the tree has."""
+    place = tree.nodes.select("taxid", "low")
     distinct = sets.select(F.array_sort(F.array_distinct(set_col)).alias(set_col)).distinct()
-    members = distinct.select(set_col, F.explode(set_col).alias("taxid")).join(lines, "taxid")
-    steps = members.select(set_col, "taxid", F.posexplode("lineage").alias("depth", "node"))
-    counts = steps.groupBy(set_col, "depth", "node").agg(F.count("*").alias("n"))
-    known = members.groupBy(set_col).agg(F.count("*").alias("known"))
-    common = counts.join(known, set_col).filter("n = known")
-    path = F.transform(F.array_sort(F.collect_list(F.struct("depth", "node"))), lambda x: x["node"])
-    return common.groupBy(set_col).agg(path.alias("path"))
-
-
-def best_named(path: Column, ranks: Sequence[str] = RANKS) -> Column:
-    """From the end of a lineage upward, the nearest node of a preferred rank; else the last node."""
-    named = F.filter(path, lambda n: F.lower(n["rank"]).isin([r.lower() for r in ranks]))
-    return F.coalesce(F.try_element_at(named, F.lit(-1)), F.try_element_at(path, F.lit(-1)))
-
-
-def assign_nodes(df: DataFrame, lines: DataFrame, set_col: str = "taxids", ranks: Sequence[str] = RANKS) -> DataFrame:
-    """``df`` with ``path`` and ``node`` of the lowest common ancestor of its taxid set.
+    spans = distinct.select(set_col, F.explode(set_col).alias("taxid")).join(place, "taxid").groupBy(set_col).agg(F.min("low").alias("_lo"), F.max("low").alias("_hi"), F.count("*").alias("_known"))
+    spans = materialise(spans, "spans")
+    at = spans.select("_lo", "_hi").distinct().join(tree.nodes.select(F.col("low").alias("_lo"), F.col("taxid").alias("_at"), F.col("high").alias("_end")), "_lo")
+    for step in range(tree.steps - 1, -1, -1):
+        jump = tree.jumps.filter(F.col("step") == step).select(F.col("taxid").alias("_at"), "up", "up_high")
+        go = F.coalesce((F.col("_end") < F.col("_hi")) & (F.col("up_high") < F.col("_hi")), F.lit(False))
+        at = at.join(jump, "_at", "left").select("_lo", "_hi", F.when(go, F.col("up")).otherwise(F.col("_at")).alias("_at"), F.when(go, F.col("up_high")).otherwise(F.col("_end")).alias("_end"))
+    here = tree.nodes.select(F.col("taxid").alias("_at"), F.col("parent").alias("_parent"))
+    at = at.join(here, "_at").select("_lo", "_hi", F.when(F.col("_end") >= F.col("_hi"), F.col("_at")).otherwise(F.col("_parent")).alias("taxid"))
+    found = at.join(tree.nodes, "taxid").select("_lo", "_hi", "taxid", "rank", "name", "low", "high")
+    return spans.join(found, ["_lo", "_hi"]).select(set_col, F.struct("taxid", "rank", "name", "low", "high", F.col("_known").alias("known")).alias("lca"))
+
+
+def best_named(tree: Tree, ranks: Sequence[str] = RANKS) -> DataFrame:
+    """(taxid, node: struct<taxid, rank, name>): the node itself or its nearest ancestor of a preferred rank; else the node itself."""
+    wanted = F.lower("rank").isin([r.lower() for r in ranks])
+    own = F.struct("taxid", "rank", "name")
+    # Preferred nodes are the roots of this forest; what lies between is passed by doubling.
+    rows = tree.nodes.select(F.col("taxid").alias("id"), F.when(wanted, None).otherwise(F.col("parent")).alias("up"), F.when(wanted, own).alias("node"), own.alias("self"))
+    named = double(rows, {"node": F.coalesce("a.node", "b.node")}, label="named")[0]
+    return named.select(F.col("id").alias("taxid"), F.coalesce("node", "self").alias("node"))
+
+
+def assign_nodes(df: DataFrame, tree: Tree, set_col: str = "taxids", ranks: Sequence[str] = RANKS) -> DataFrame:
+    """``df`` with ``lca`` and ``node`` (its best named ancestor) of each row's taxid set; null where there is none.
 
     ``df`` is written once, as both its distinct sets and its rows are needed; sets are solved once each.
     """
     keyed = materialise(df.withColumn(set_col, F.array_sort(F.array_distinct(set_col))), "sets")
-    solved = materialise(lca_of_sets(keyed, lines, set_col), "nodes")
-    return keyed.join(broadcast_if_small(solved), set_col, "left").withColumn("node", best_named(F.col("path"), ranks))
+    solved = lca_of_sets(keyed, tree, set_col)
+    solved = materialise(solved.join(best_named(tree, ranks).withColumnRenamed("taxid", "_t"), F.col("lca.taxid") == F.col("_t")).select(set_col, "lca", "node"), "solved")
+    return keyed.join(broadcast_if_small(solved), set_col, "left")

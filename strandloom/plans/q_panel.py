@@ -56,7 +56,7 @@ def c04(spark, sf):
 @query("c05_taxonomic_evidence", f"""WITH {sql_windows()}, {SQL_GROUPS}, a AS (SELECT *, {SQL_NODE} AS evidence_taxid FROM groups)
 SELECT CASE WHEN len(taxids) = 1 THEN 'species_unique' ELSE 'genus_core' END AS panel_type, evidence_taxid, count(*)::BIGINT AS n_markers FROM a WHERE evidence_taxid <> '1' GROUP BY 1, 2""")
 def c05(spark, sf):
-    p = panel.taxonomic_evidence(panel.group_kmers(windows(spark, sf)), taxonomy.lineages(tree(spark, sf)))
+    p = panel.taxonomic_evidence(panel.group_kmers(windows(spark, sf)), taxonomy.index(tree(spark, sf)))
     return p.groupBy("panel_type", "evidence_taxid").agg(F.count("*").alias("n_markers"))
 
 
@@ -108,14 +108,14 @@ def c12(spark, sf):
     d = table(spark, sf, "documents")
     sets = d.groupBy((F.col("doc_id") % 400).alias("grp")).agg(F.collect_set(F.concat_ws("_", F.lit("S"), "lang", "source")).alias("taxids"))
     sets = sets.withColumn("taxids", F.array_append("taxids", F.lit("unknown")))
-    got = taxonomy.assign_nodes(sets, taxonomy.lineages(tree(spark, sf)))
-    return got.select("grp", F.element_at("path", -1)["taxid"].alias("lca"))
+    got = taxonomy.assign_nodes(sets, taxonomy.index(tree(spark, sf)))
+    return got.select("grp", F.col("lca.taxid").alias("lca"))
 
 
 @query("c13_is_descendant", "SELECT DISTINCT 'S_' || lang || '_' || source AS taxid, lang = 'en' AS below FROM documents")
 def c13(spark, sf):
-    lines = taxonomy.lineages(tree(spark, sf)).filter("taxid like 'S\\\\_%'")
-    return lines.select("taxid", taxonomy.is_descendant(F.col("lineage"), "G_en").alias("below"))
+    t = taxonomy.index(tree(spark, sf))
+    return t.nodes.filter("taxid like 'S\\\\_%'").select("taxid", t.below(F.col("low"), "G_en").alias("below"))
 
 
 @query("c14_best_named_ancestor", """WITH s AS (SELECT doc_id % 400 AS grp, list(DISTINCT 'S_' || lang || '_' || source) AS taxids, list(DISTINCT lang) AS langs FROM documents GROUP BY 1)
@@ -123,7 +123,7 @@ SELECT grp, CASE WHEN len(langs) = 1 THEN 'G_' || langs[1] ELSE '1' END AS taxid
 def c14(spark, sf):
     d = table(spark, sf, "documents")
     sets = d.groupBy((F.col("doc_id") % 400).alias("grp")).agg(F.collect_set(F.concat_ws("_", F.lit("S"), "lang", "source")).alias("taxids"))
-    got = taxonomy.assign_nodes(sets, taxonomy.lineages(tree(spark, sf)), ranks=("genus", "family"))
+    got = taxonomy.assign_nodes(sets, taxonomy.index(tree(spark, sf)), ranks=("genus", "family"))
     return got.select("grp", "node.taxid", "node.rank")
 
 
@@ -240,7 +240,7 @@ SQL_STATUS = f"""status AS (SELECT *, {SQL_NODE} AS evidence_taxid, CASE WHEN le
 @query("c31_assign_evidence", f"""WITH {sql_windows()}, {SQL_GROUPS}, {SQL_STATUS}, c AS (SELECT *, CASE WHEN status = 'retained' AND row_number() OVER (PARTITION BY status, evidence_taxid, k ORDER BY kmer) > 500 THEN 'over_cap' ELSE status END AS final FROM status)
 SELECT final AS status, evidence_taxid, count(*)::BIGINT AS n FROM c GROUP BY ALL""")
 def c31(spark, sf):
-    s = panel.assign_status(panel.group_kmers(windows(spark, sf)), taxonomy.lineages(tree(spark, sf)), target_taxid="G_en", most=500)
+    s = panel.assign_status(panel.group_kmers(windows(spark, sf)), taxonomy.index(tree(spark, sf)), target_taxid="G_en", most=500)
     return s.groupBy("status", "evidence_taxid").agg(F.count("*").alias("n"))
 
 
@@ -248,7 +248,7 @@ def c31(spark, sf):
 SELECT origin, role, o.k AS k, count(*)::BIGINT AS candidates, count(*) FILTER (status = 'retained')::BIGINT AS retained, count(*) FILTER (n_genomes > 1)::BIGINT AS shared, max(n_genomes)::BIGINT AS most_genomes, round(count(*) FILTER (status = 'retained')::DOUBLE / count(*), 6) AS retained_fraction FROM o JOIN status s ON o.k = s.k AND o.kmer = s.kmer GROUP BY ALL""")
 def c32(spark, sf):
     w = windows(spark, sf, 21)
-    s = panel.assign_status(panel.group_kmers(w), taxonomy.lineages(tree(spark, sf)), target_taxid="G_en").withColumn("n_genomes", F.size("genomes").cast("long"))
+    s = panel.assign_status(panel.group_kmers(w), taxonomy.index(tree(spark, sf)), target_taxid="G_en").withColumn("n_genomes", F.size("genomes").cast("long"))
     o = w.join(_candidates(w), ["k", "kmer"], "left_semi").select("k", "kmer", F.col("species").alias("origin"), "role").distinct()
     kept = F.sum((F.col("status") == "retained").cast("long"))
     return o.join(s.select("k", "kmer", "status", "n_genomes"), ["k", "kmer"]).groupBy("origin", "role", "k").agg(F.count("*").alias("candidates"), kept.alias("retained"), F.sum((F.col("n_genomes") > 1).cast("long")).alias("shared"), F.max("n_genomes").alias("most_genomes"), F.round(kept / F.count("*"), 6).alias("retained_fraction"))
@@ -256,7 +256,7 @@ def c32(spark, sf):
 
 @query("c33_retained_summary", f"""WITH {sql_windows()}, {SQL_GROUPS}, {SQL_STATUS} SELECT k, evidence_taxid, CASE WHEN evidence_taxid LIKE 'S%' THEN 'species' ELSE 'genus' END AS evidence_rank, count(*)::BIGINT AS n, min(kmer) AS first_kmer FROM status WHERE status = 'retained' GROUP BY ALL""")
 def c33(spark, sf):
-    s = panel.assign_status(panel.group_kmers(windows(spark, sf)), taxonomy.lineages(tree(spark, sf)), target_taxid="G_en").filter("status = 'retained'")
+    s = panel.assign_status(panel.group_kmers(windows(spark, sf)), taxonomy.index(tree(spark, sf)), target_taxid="G_en").filter("status = 'retained'")
     return s.groupBy("k", "evidence_taxid", "evidence_rank").agg(F.count("*").alias("n"), F.min("kmer").alias("first_kmer"))
 
 
@@ -292,13 +292,13 @@ def c40(spark, sf):
 SELECT status, evidence_taxid, k, count(*)::BIGINT AS n, min(kmer) AS first_kmer FROM s GROUP BY ALL""")
 def c34(spark, sf):
     w = windows(spark, sf, 21)
-    status, _ = panel.build_global(w, _candidates(w), taxonomy.lineages(tree(spark, sf)), target_taxid="G_en")
+    status, _ = panel.build_global(w, _candidates(w), taxonomy.index(tree(spark, sf)), target_taxid="G_en")
     return status.groupBy("status", "evidence_taxid", "k").agg(F.count("*").alias("n"), F.min("kmer").alias("first_kmer"))
 
 
 @query("c34_build_summary", f"""WITH {sql_windows(21)}, {SQL_GROUPS}, {SQL_STATUS} SELECT 'assign' AS stage, status AS metric, count(*)::BIGINT AS value FROM status GROUP BY status UNION ALL SELECT 'collect', 'kmers', count(*)::BIGINT FROM status""")
 def c34_summary(spark, sf):
-    return panel.build_global(windows(spark, sf, 21), None, taxonomy.lineages(tree(spark, sf)), target_taxid="G_en")[1]
+    return panel.build_global(windows(spark, sf, 21), None, taxonomy.index(tree(spark, sf)), target_taxid="G_en")[1]
 
 
 @query("c37_select_markers", f"""WITH {sql_windows(21)}, {SQL_SCORED}, u AS (SELECT DISTINCT genome, k, kmer, bin, score FROM scored), q AS (SELECT *, row_number() OVER (PARTITION BY genome, k, bin ORDER BY score, kmer) AS r FROM u),
@@ -314,7 +314,7 @@ def c41(spark, sf):
     w, join = windows(spark, sf, 21), lambda c: F.array_join(c, ";").alias(c)
     sets = ("species", "genomes", "clades", "roles", "taxids")
     modules = [panel.group_kmers(w.filter(F.col("clade") == x)).select("k", "kmer", *map(join, sets), "example_position") for x in ("en", "de", "es", "fr")]
-    s = panel.merge_modules(modules, taxonomy.lineages(tree(spark, sf)), target_taxid="G_en")
+    s = panel.merge_modules(modules, taxonomy.index(tree(spark, sf)), target_taxid="G_en")
     return s.groupBy("status", "evidence_taxid").agg(F.count("*").alias("n"), F.sum(F.size("species").cast("long")).alias("species"))
 
 
@@ -342,7 +342,7 @@ def c42_removed(spark, sf):
 @query("c43_merge_by_taxonomy", f"""WITH {sql_windows(21)}, {SQL_PANELS}, g AS (SELECT k, kmer, list(DISTINCT evidence_taxid) AS taxids, list(DISTINCT clade) AS clades, count(*) AS n FROM panels GROUP BY k, kmer)
 SELECT {SQL_NODE} AS evidence_taxid, CASE WHEN {SQL_NODE} = '1' THEN 'removed' WHEN n > 1 AND len(taxids) > 1 THEN 'downgraded' ELSE 'retained' END AS status, count(*)::BIGINT AS n FROM g GROUP BY ALL""")
 def c43(spark, sf):
-    m = panel.merge_panels_by_taxonomy(_panels(windows(spark, sf, 21)), taxonomy.lineages(tree(spark, sf)))
+    m = panel.merge_panels_by_taxonomy(_panels(windows(spark, sf, 21)), taxonomy.index(tree(spark, sf)))
     return m.groupBy("evidence_taxid", "status").agg(F.count("*").alias("n"))
 
 
@@ -366,7 +366,7 @@ def c45(spark, sf):
 
 
 def _modules(spark, sf):
-    e = panel.taxonomic_evidence(panel.group_kmers(windows(spark, sf, 21)), taxonomy.lineages(tree(spark, sf)))
+    e = panel.taxonomic_evidence(panel.group_kmers(windows(spark, sf, 21)), taxonomy.index(tree(spark, sf)))
     return e.withColumn("species_name", F.regexp_replace("species_name", "_", " ")).filter("evidence_rank <> 'genus' or evidence_name <> 'fr'")
 
 

@@ -297,15 +297,15 @@ d AS (SELECT r.* FROM r JOIN t USING (sample_id) WHERE score >= greatest(ts, 1)
 
 @query("e12_dominant_lineage", f"WITH {SQL_LCA_ROWS} SELECT sample_id, taxid, score FROM d")
 def e12(spark, sf):
-    return evidence.dominant_rows(_lca_rows(spark, sf), ["sample_id"], taxonomy.lineages(tree(spark, sf))).select("sample_id", "taxid", "score")
+    return evidence.dominant_rows(_lca_rows(spark, sf), ["sample_id"], taxonomy.index(tree(spark, sf))).select("sample_id", "taxid", "score")
 
 
 @query("e13_lca_by_scope", f"""WITH {SQL_LCA_ROWS}, s AS (SELECT 'all_supported' AS scope, sample_id, lang, taxid FROM r UNION ALL SELECT 'dominant_lineage', sample_id, lang, taxid FROM d)
 SELECT scope, sample_id, count(DISTINCT taxid)::BIGINT AS n_taxa, CASE WHEN count(DISTINCT taxid) = 1 THEN any_value(taxid) WHEN count(DISTINCT lang) = 1 THEN 'G_' || any_value(lang) ELSE '1' END AS lca_taxid FROM s GROUP BY ALL""")
 def e13(spark, sf):
-    lines = taxonomy.lineages(tree(spark, sf))
+    tax = taxonomy.index(tree(spark, sf))
     rows = _lca_rows(spark, sf)
-    scoped = rows.select(F.lit("all_supported").alias("scope"), "sample_id", "taxid").union(evidence.dominant_rows(rows, ["sample_id"], lines).select(F.lit("dominant_lineage"), "sample_id", "taxid"))
+    scoped = rows.select(F.lit("all_supported").alias("scope"), "sample_id", "taxid").union(evidence.dominant_rows(rows, ["sample_id"], tax).select(F.lit("dominant_lineage"), "sample_id", "taxid"))
     sets = scoped.groupBy("scope", "sample_id").agg(F.collect_set("taxid").alias("taxids"))
-    got = taxonomy.assign_nodes(sets, lines)
-    return got.select("scope", "sample_id", F.size("taxids").cast("long").alias("n_taxa"), F.element_at("path", -1)["taxid"].alias("lca_taxid"))
+    got = taxonomy.assign_nodes(sets, tax)
+    return got.select("scope", "sample_id", F.size("taxids").cast("long").alias("n_taxa"), F.col("lca.taxid").alias("lca_taxid"))

@@ -157,8 +157,9 @@ def test_fasta_and_fastq(spark, tmp_path):
     rows = sequences.read_fastq(spark, str(tmp_path / "b.fastq.gz")).orderBy("record_index").collect()
     assert [(r.identifier, r.sequence, r.quality) for r in rows] == [("r1", "ACGT", "IIII"), ("r2", "AC", "!!")]
     for bad in ("@r\nACGT\n+\nIII\n", "r\nA\n+\nI\n", "@r\nA\n+\n", "@\nA\n+\nI\n"):
+        (tmp_path / "bad.fastq").write_text(bad)
         with pytest.raises(ValueError):
-            list(sequences.fastq_records(iter(bad.splitlines(keepends=True))))
+            list(sequences.fastq_records(sequences.Range(f"file://{tmp_path}/bad.fastq", 0, len(bad))))
 
 
 def test_tables(spark, tmp_path):
