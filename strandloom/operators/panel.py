@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, seq
 from ..scratch import broadcast_if_small, materialise
-from . import taxonomy
+from . import superkmers, taxonomy
 
 EXCLUDED_ROLES = ("background", "contaminant", "exclude", "host", "outgroup", "vector")
 
@@ -24,6 +24,12 @@ def genome_summary(observations: DataFrame) -> DataFrame:
 
 
 SOURCE = ("genome", "species", "clade", "role", "taxid")
+SETS = {"species": "species", "genomes": "genome", "clades": "clade", "roles": "role", "taxids": "taxid"}
+
+
+def _some(of: str, attribute: str) -> Column:
+    """Distinct values of an attribute, without nulls, in generated code."""
+    return F.sort_array(F.array_except(F.col(f"{of}.{attribute}"), F.array(F.lit(None).cast("string"))))
 
 
 def group_kmers(observations: DataFrame) -> DataFrame:
@@ -34,10 +40,30 @@ def group_kmers(observations: DataFrame) -> DataFrame:
     """
     of = F.collect_set(F.struct(*(names.blank(F.col(c)).alias(c) for c in SOURCE)))
     groups = observations.groupBy("k", "kmer").agg(of.alias("of"), F.min(F.struct("genome", "position"))["position"].alias("example_position"))
-    none = F.array(F.lit(None).cast("string"))
-    some = lambda c: F.sort_array(F.array_except(F.col(f"of.{c}"), none))  # noqa: E731  distinct, without nulls, in generated code
-    sets = {"species": "species", "genomes": "genome", "clades": "clade", "roles": "role", "taxids": "taxid"}
-    return groups.select("k", "kmer", *(some(c).alias(n) for n, c in sets.items()), "example_position", F.size(some("genome")).cast("long").alias("n_genomes"))
+    return groups.select("k", "kmer", *(_some("of", c).alias(n) for n, c in SETS.items()), "example_position", F.size(_some("of", "genome")).cast("long").alias("n_genomes"))
+
+
+def group_sequences(contigs: DataFrame, k_values: Sequence[int], seq_col: str = "seq") -> DataFrame:
+    """The same rows as ``group_kmers`` of all windows of the sequences (with the columns SOURCE), by super-k-mers: see ``superkmers``.
+
+    A k-mer's sources come as a list of hashes of their tuples; of such lists there are few, and each is turned into the sets of its attributes once.
+    """
+    key = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in SOURCE))
+    kmers = None
+    for k in dict.fromkeys(k_values):
+        one = superkmers.group_windows(contigs, k, key, seq_col)
+        kmers = one if kmers is None else kmers.unionByName(one)
+    known = contigs.select(key.alias("source"), *(F.col(c).cast("string").alias(c) for c in SOURCE)).distinct()
+    lists = kmers.select("sources").distinct().select("sources", F.posexplode("sources").alias("i", "source")).join(known, "source")
+    of = F.collect_set(F.struct(*(names.blank(F.col(c)).alias(c) for c in SOURCE)))
+    # Places in the list of the sources with the least genome: the first position is the least among theirs.
+    lead = F.collect_list(F.struct(F.coalesce(F.col("genome"), F.lit("")).alias("genome"), "i"))
+    lists = lists.groupBy("sources").agg(of.alias("of"), lead.alias("lead"))
+    lead = F.transform(F.filter("lead", lambda x: x["genome"] == F.array_min("lead")["genome"]), lambda x: x["i"])
+    lists = materialise(lists.select("sources", *(_some("of", c).alias(n) for n, c in SETS.items()), lead.alias("lead")), "source-sets")
+    rows = kmers.join(broadcast_if_small(lists), "sources")
+    first = F.array_min(F.transform("lead", lambda i: F.col("positions")[i])).cast("int")
+    return rows.select("k", "kmer", *SETS, first.alias("example_position"), F.size("genomes").cast("long").alias("n_genomes"))
 
 
 def species_unique(groups: DataFrame, target_roles: Sequence[str] = ("target",)) -> DataFrame:
@@ -81,9 +107,8 @@ def panel_summary(panel: DataFrame, by: Sequence[str] = ("panel_type", "species_
     return panel.groupBy(*by).agg(F.count("*").alias("n_markers"))
 
 
-def build_panel(observations: DataFrame, target_clade: str = "", tree: taxonomy.Tree | None = None, most: int | None = None, ranks: Sequence[str] = taxonomy.RANKS, target_taxid: str = "") -> DataFrame:
-    """With a taxonomy its evidence k-mers, else species-unique and clade-core ones; then thinned."""
-    groups = group_kmers(observations)
+def build_panel(groups: DataFrame, target_clade: str = "", tree: taxonomy.Tree | None = None, most: int | None = None, ranks: Sequence[str] = taxonomy.RANKS, target_taxid: str = "") -> DataFrame:
+    """From grouped k-mers: with a taxonomy its evidence k-mers, else species-unique and clade-core ones; then thinned."""
     if tree is not None:
         return thin(taxonomic_evidence(groups, tree, ranks, target_taxid), most)
     both = species_unique(groups)

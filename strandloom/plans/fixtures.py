@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import seq
+from ..operators import panel
 
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 K = 15
@@ -44,6 +45,11 @@ def windows(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return seq.kmer_windows(contigs(spark, sf_dir), k, keep=("doc_id", "genome", "species", "clade", "role", "taxid")).withColumn("k", F.lit(k))
 
 
+def groups(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    """The k-mers of all contigs with their sets of sources."""
+    return panel.group_sequences(contigs(spark, sf_dir), [k])
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     return b.select(F.concat(F.lit("s"), (F.col("item_id") % 8).cast("string")).alias("sample_id"), F.col("item_id").cast("string").alias("sequence_id"), dna(F.col("text")).alias("seq"))

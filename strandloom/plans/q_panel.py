@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, seq
 from ..operators import markers, panel, taxonomy
-from .fixtures import SQL_CONTIGS, contigs, sql_windows, table, windows
+from .fixtures import SQL_CONTIGS, contigs, groups, sql_windows, table, windows
 from .registry import query
 
 
@@ -35,41 +35,41 @@ def c01(spark, sf):
 @query("c02_compact_groups", f"""WITH {sql_windows()}, {SQL_GROUPS}
 SELECT array_to_string(clades, ';') AS clades, count(*)::BIGINT AS n, sum(len(species))::BIGINT AS species, sum(n_genomes)::BIGINT AS genomes, sum(example_position)::BIGINT AS positions FROM groups GROUP BY 1""")
 def c02(spark, sf):
-    g = panel.group_kmers(windows(spark, sf))
+    g = groups(spark, sf)
     return g.groupBy(F.array_join("clades", ";").alias("clades")).agg(F.count("*").alias("n"), F.sum(F.size("species").cast("long")).alias("species"), F.sum("n_genomes").alias("genomes"), F.sum(F.col("example_position").cast("long")).alias("positions"))
 
 
 @query("c03_species_unique", f"""WITH {sql_windows()}, {SQL_GROUPS}
 SELECT species[1] AS species_name, k, count(*)::BIGINT AS n_markers, min(kmer) AS first_kmer, sum(example_position)::BIGINT AS positions FROM groups WHERE len(species) = 1 AND list_contains(roles, 'target') GROUP BY 1, 2""")
 def c03(spark, sf):
-    p = panel.species_unique(panel.group_kmers(windows(spark, sf)))
+    p = panel.species_unique(groups(spark, sf))
     return p.groupBy("species_name", "k").agg(F.count("*").alias("n_markers"), F.min("kmer").alias("first_kmer"), F.sum(F.col("example_position").cast("long")).alias("positions"))
 
 
 @query("c04_clade_core", f"""WITH {sql_windows()}, {SQL_GROUPS}
 SELECT CASE WHEN len(species) = 1 THEN species[1] ELSE '' END AS species_name, clades[1] AS clade, count(*)::BIGINT AS n_markers, max(kmer) AS last_kmer FROM groups WHERE len(clades) = 1 AND clades[1] = 'en' GROUP BY 1, 2""")
 def c04(spark, sf):
-    p = panel.clade_core(panel.group_kmers(windows(spark, sf)), "en")
+    p = panel.clade_core(groups(spark, sf), "en")
     return p.groupBy("species_name", "clade").agg(F.count("*").alias("n_markers"), F.max("kmer").alias("last_kmer"))
 
 
 @query("c05_taxonomic_evidence", f"""WITH {sql_windows()}, {SQL_GROUPS}, a AS (SELECT *, {SQL_NODE} AS evidence_taxid FROM groups)
 SELECT CASE WHEN len(taxids) = 1 THEN 'species_unique' ELSE 'genus_core' END AS panel_type, evidence_taxid, count(*)::BIGINT AS n_markers FROM a WHERE evidence_taxid <> '1' GROUP BY 1, 2""")
 def c05(spark, sf):
-    p = panel.taxonomic_evidence(panel.group_kmers(windows(spark, sf)), taxonomy.index(tree(spark, sf)))
+    p = panel.taxonomic_evidence(groups(spark, sf), taxonomy.index(tree(spark, sf)))
     return p.groupBy("panel_type", "evidence_taxid").agg(F.count("*").alias("n_markers"))
 
 
 @query("c06_thinning", f"""WITH {sql_windows()}, {SQL_GROUPS}, p AS (SELECT species[1] AS species_name, k, kmer, row_number() OVER (PARTITION BY species, clades, taxids, k ORDER BY kmer) AS r FROM groups WHERE len(species) = 1 AND list_contains(roles, 'target'))
 SELECT species_name, k, kmer FROM p WHERE r <= 25""")
 def c06(spark, sf):
-    return panel.thin(panel.species_unique(panel.group_kmers(windows(spark, sf))), 25).select("species_name", "k", "kmer")
+    return panel.thin(panel.species_unique(groups(spark, sf)), 25).select("species_name", "k", "kmer")
 
 
 @query("c07_panel_summary", f"""WITH {sql_windows(21)}, {SQL_GROUPS}
 SELECT 'species_unique' AS panel_type, species[1] AS species_name, CASE WHEN len(clades) = 1 THEN clades[1] ELSE '' END AS clade, k, count(*)::BIGINT AS n_markers FROM groups WHERE len(species) = 1 AND list_contains(roles, 'target') GROUP BY ALL""")
 def c07(spark, sf):
-    return panel.panel_summary(panel.species_unique(panel.group_kmers(windows(spark, sf, 21))))
+    return panel.panel_summary(panel.species_unique(groups(spark, sf, 21)))
 
 
 @query("p1_build_panel", f"""WITH {sql_windows(21)}, {SQL_GROUPS},
@@ -77,7 +77,7 @@ p AS (SELECT 'species_unique' AS panel_type, species[1] AS species_name, CASE WH
  UNION ALL SELECT 'clade_core', CASE WHEN len(species) = 1 THEN species[1] ELSE '' END, 'en', CASE WHEN len(taxids) = 1 THEN taxids[1] ELSE '' END, k, kmer FROM groups WHERE len(clades) = 1 AND clades[1] = 'en')
 SELECT panel_type, species_name, clade, k, kmer FROM p QUALIFY row_number() OVER (PARTITION BY panel_type, taxid, species_name, clade, k ORDER BY kmer) <= 50""")
 def p1(spark, sf):
-    return panel.build_panel(windows(spark, sf, 21), "en", most=50).select("panel_type", "species_name", "clade", "k", "kmer")
+    return panel.build_panel(groups(spark, sf, 21), "en", most=50).select("panel_type", "species_name", "clade", "k", "kmer")
 
 
 SQL_ODD = "odd AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'M_' || lang WHEN doc_id % 13 = 0 THEN 'D_1' WHEN doc_id % 17 = 0 THEN '' ELSE 'S_' || lang || '_' || source END AS taxid FROM documents)"
@@ -170,7 +170,7 @@ def c20(spark, sf):
 
 @query("c21_all_candidates", f"""WITH {sql_windows()}, {SQL_GROUPS} SELECT species[1] AS species_name, count(*)::BIGINT AS n_retained FROM groups WHERE len(species) = 1 AND len(list_filter(roles, lambda r: r <> 'outgroup')) > 0 GROUP BY 1""")
 def c21(spark, sf):
-    g = panel.group_kmers(windows(spark, sf)).filter(panel.reportable("roles") & (F.size("species") == 1))
+    g = groups(spark, sf).filter(panel.reportable("roles") & (F.size("species") == 1))
     return g.groupBy(F.col("species")[0].alias("species_name")).agg(F.count("*").alias("n_retained"))
 
 
@@ -230,7 +230,7 @@ def c29(spark, sf):
 
 @query("c30_reportable", f"WITH {sql_windows(21)}, {SQL_GROUPS} SELECT array_to_string(roles, ';') AS roles, len(list_filter(roles, lambda r: r <> 'outgroup')) > 0 AS by_exclusion, list_contains(roles, 'target') AS by_role, count(*)::BIGINT AS n FROM groups GROUP BY ALL")
 def c30(spark, sf):
-    g = panel.group_kmers(windows(spark, sf, 21))
+    g = groups(spark, sf, 21)
     return g.groupBy(F.array_join("roles", ";").alias("roles"), panel.reportable("roles").alias("by_exclusion"), panel.reportable("roles", ["target"]).alias("by_role")).agg(F.count("*").alias("n"))
 
 
@@ -240,7 +240,7 @@ SQL_STATUS = f"""status AS (SELECT *, {SQL_NODE} AS evidence_taxid, CASE WHEN le
 @query("c31_assign_evidence", f"""WITH {sql_windows()}, {SQL_GROUPS}, {SQL_STATUS}, c AS (SELECT *, CASE WHEN status = 'retained' AND row_number() OVER (PARTITION BY status, evidence_taxid, k ORDER BY kmer) > 500 THEN 'over_cap' ELSE status END AS final FROM status)
 SELECT final AS status, evidence_taxid, count(*)::BIGINT AS n FROM c GROUP BY ALL""")
 def c31(spark, sf):
-    s = panel.assign_status(panel.group_kmers(windows(spark, sf)), taxonomy.index(tree(spark, sf)), target_taxid="G_en", most=500)
+    s = panel.assign_status(groups(spark, sf), taxonomy.index(tree(spark, sf)), target_taxid="G_en", most=500)
     return s.groupBy("status", "evidence_taxid").agg(F.count("*").alias("n"))
 
 
@@ -248,7 +248,7 @@ def c31(spark, sf):
 SELECT origin, role, o.k AS k, count(*)::BIGINT AS candidates, count(*) FILTER (status = 'retained')::BIGINT AS retained, count(*) FILTER (n_genomes > 1)::BIGINT AS shared, max(n_genomes)::BIGINT AS most_genomes, round(count(*) FILTER (status = 'retained')::DOUBLE / count(*), 6) AS retained_fraction FROM o JOIN status s ON o.k = s.k AND o.kmer = s.kmer GROUP BY ALL""")
 def c32(spark, sf):
     w = windows(spark, sf, 21)
-    s = panel.assign_status(panel.group_kmers(w), taxonomy.index(tree(spark, sf)), target_taxid="G_en").withColumn("n_genomes", F.size("genomes").cast("long"))
+    s = panel.assign_status(groups(spark, sf, 21), taxonomy.index(tree(spark, sf)), target_taxid="G_en").withColumn("n_genomes", F.size("genomes").cast("long"))
     o = w.join(_candidates(w), ["k", "kmer"], "left_semi").select("k", "kmer", F.col("species").alias("origin"), "role").distinct()
     kept = F.sum((F.col("status") == "retained").cast("long"))
     return o.join(s.select("k", "kmer", "status", "n_genomes"), ["k", "kmer"]).groupBy("origin", "role", "k").agg(F.count("*").alias("candidates"), kept.alias("retained"), F.sum((F.col("n_genomes") > 1).cast("long")).alias("shared"), F.max("n_genomes").alias("most_genomes"), F.round(kept / F.count("*"), 6).alias("retained_fraction"))
@@ -256,7 +256,7 @@ def c32(spark, sf):
 
 @query("c33_retained_summary", f"""WITH {sql_windows()}, {SQL_GROUPS}, {SQL_STATUS} SELECT k, evidence_taxid, CASE WHEN evidence_taxid LIKE 'S%' THEN 'species' ELSE 'genus' END AS evidence_rank, count(*)::BIGINT AS n, min(kmer) AS first_kmer FROM status WHERE status = 'retained' GROUP BY ALL""")
 def c33(spark, sf):
-    s = panel.assign_status(panel.group_kmers(windows(spark, sf)), taxonomy.index(tree(spark, sf)), target_taxid="G_en").filter("status = 'retained'")
+    s = panel.assign_status(groups(spark, sf), taxonomy.index(tree(spark, sf)), target_taxid="G_en").filter("status = 'retained'")
     return s.groupBy("k", "evidence_taxid", "evidence_rank").agg(F.count("*").alias("n"), F.min("kmer").alias("first_kmer"))
 
 
@@ -366,7 +366,7 @@ def c45(spark, sf):
 
 
 def _modules(spark, sf):
-    e = panel.taxonomic_evidence(panel.group_kmers(windows(spark, sf, 21)), taxonomy.index(tree(spark, sf)))
+    e = panel.taxonomic_evidence(groups(spark, sf, 21), taxonomy.index(tree(spark, sf)))
     return e.withColumn("species_name", F.regexp_replace("species_name", "_", " ")).filter("evidence_rank <> 'genus' or evidence_name <> 'fr'")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evidence, panel, screen, taxonomy
-from .fixtures import K, SQL_HITS, contigs, hits, reads, spread, sql_reads_windows, sql_windows, table, windows
+from .fixtures import K, SQL_HITS, contigs, groups, hits, reads, spread, sql_reads_windows, sql_windows, table, windows
 from .q_panel import SQL_GROUPS, tree
 from .registry import query
 
@@ -129,7 +129,7 @@ act AS (SELECT o.module_id, o.own AND coalesce(p.own, true) AS active, CASE WHEN
 
 
 def _gates(spark, sf):
-    g = panel.group_kmers(windows(spark, sf))
+    g = groups(spark, sf)
     label = lambda c: [F.lit("gate").alias("panel_type"), F.col(c)[0].alias("species_name"), F.col("clades")[0].alias("clade"), F.lit("").alias("evidence_rank"), F.lit("").alias("evidence_name")]
     genus = g.filter(F.size("clades") == 1).select("k", "kmer", F.col("clades")[0].alias("module_id"), *label("clades"))
     return genus.union(g.filter(F.size("species") == 1).select("k", "kmer", F.col("species")[0].alias("module_id"), *label("species")))
