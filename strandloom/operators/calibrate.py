@@ -7,11 +7,14 @@ Python. Models are small tables, one row per label.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores, seq
+from ..functions import names, scores, seq
+from ..scratch import broadcast_if_small, materialise
 
 # The columns of call features, in order.
 RAW = (
@@ -78,8 +81,8 @@ def cap_not_detected(rows: DataFrame, label_col: str, order: Sequence[str], keep
         return rows.filter(F.col(label_col) != "not_detected")
     if most is None:
         return rows
-    place = F.row_number().over(Window.partitionBy(label_col).orderBy(*order))
-    return rows.withColumn("_r", place).filter((F.col(label_col) != "not_detected") | (F.col("_r") <= most)).drop("_r")
+    none = F.col(label_col).eqNullSafe(F.lit("not_detected"))
+    return rows.filter(~none).unionByName(rows.filter(none).orderBy(*order).limit(most))  # each task keeps its first ``most``
 
 
 def pivot_scopes(rows: DataFrame, scopes: Sequence[str], values: Sequence[str], key: str = "sample_id") -> DataFrame:
@@ -98,11 +101,37 @@ def standardise(long: DataFrame, scales: DataFrame, by: Sequence[str] = ()) -> D
     return long.join(scales, [*by, "feature"]).withColumn("z", (F.col("value") - F.col("mean")) / F.col("std")).drop("mean", "std")
 
 
+#: Parts into which a round of the rank search cuts each group's range of values.
+BINS = 4096
+
+
 def nearest_rank(values: DataFrame, by: Sequence[str], col: str, q: float) -> DataFrame:
-    """Value at rank ceil(q n), at least 1, per group."""
-    w = Window.partitionBy(*by)
-    rows = values.withColumn("_r", F.row_number().over(w.orderBy(col))).withColumn("_n", F.count("*").over(w))
-    return rows.filter(F.col("_r") == F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_n") - 1e-9))).select(*by, F.col(col).alias("quantile"))
+    """Value at rank ceil(q n), at least 1, per group; null values don't count. Exact, without ordering a group.
+
+    Rounds: each group's values between its bounds are counted in BINS parts of equal width, and the part that holds the rank gives the
+    next bounds, as the least and greatest of its values. The group's two bounds lie in different parts, so rounds end when they are equal, after
+    five or so for any spread of doubles. A task keeps counts only; the bounds are one row per group.
+    """
+    keys = [f"_g{i}" for i in range(len(by))]
+    rows = materialise(values.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(col).cast("double").alias("_v")).filter("_v is not null"), "values")
+    rank = F.greatest(F.lit(1), F.ceil(F.lit(q) * F.count("*") - 1e-9)).cast("long")
+    bounds = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), rank.alias("_rank"))
+    bounds = materialise(bounds if keys else bounds.filter("_lo is not null"), "bounds")
+    done, turn = bounds.filter("_lo = _hi"), 0
+    same = lambda left, right: reduce(and_, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys), F.lit(True))
+    open_ = bounds.filter("_lo < _hi")
+    while not open_.isEmpty():
+        turn += 1
+        wide = rows.alias("r").join(broadcast_if_small(open_).alias("b"), same("r", "b")).filter("_v between _lo and _hi")
+        # Halves are taken first, so that the width of any two finite bounds is finite.
+        part = F.coalesce(F.floor(F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2) * BINS), F.lit(0))
+        part = F.when(F.col("_v") == F.col("_lo"), 0).when(F.col("_v") == F.col("_hi"), BINS - 1).otherwise(F.least(part, F.lit(BINS - 1))).cast("int")
+        parts = wide.select(*(F.col(f"b.{k}").alias(k) for k in keys), "_rank", part.alias("_part"), "_v").groupBy(*keys, "_rank", "_part").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part"))  # BINS rows a group
+        hit = parts.withColumn("_upto", upto).filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+        bounds = materialise(hit.select(*keys, "_lo", "_hi", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")), f"bounds-{turn}")
+        done, open_ = done.unionByName(bounds.filter("_lo = _hi")), bounds.filter("_lo < _hi")
+    return done.select(*(F.col(k).alias(c) for c, k in zip(by, keys)), F.col("_lo").cast(values.schema[col].dataType).alias("quantile"))
 
 
 def postprocess(calls: DataFrame, scopes_of: DataFrame, scopes: Sequence[str], values: Sequence[str], ids: Sequence[str] = ("sample_id", "species_name"), profile: str = "safe_transformed", q: float = 0.95) -> tuple[DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
@@ -163,11 +192,53 @@ def hash_split(rows: DataFrame, groups: Sequence[str], test_fraction: float = 0.
     return rows.withColumn("is_test", seq.group_bucket(*(F.col(c) for c in groups)) < int(test_fraction * 10_000))
 
 
-def leave_one_out(rows: DataFrame, column: str, prefix: str) -> DataFrame:
-    """Every row once per distinct value of a column, with the split's name and whether it is held out; blanks are never held out."""
-    value = F.when(F.trim(F.coalesce(F.col(column).cast("string"), F.lit(""))) == "", "missing").otherwise(F.col(column).cast("string"))
-    held = rows.select(value.alias("held")).distinct().filter("held <> 'missing'")
-    return rows.crossJoin(F.broadcast(held)).withColumn("split", F.concat(F.lit(f"{prefix}:"), "held")).withColumn("is_test", value == F.col("held")).drop("held")
+#: Designs that hold out one value of a column after the other.
+HOLDOUTS = (("benchmark_family", "leave_one_benchmark_family"), ("panel", "leave_one_panel"), ("species_name", "leave_one_species"))
+
+
+def _safe(column: str) -> Column:
+    return F.coalesce(names.blank(F.trim(F.col(column).cast("string"))), F.lit("missing"))
+
+
+def leave_one_out(rows: DataFrame, column: str, prefix: str, id_col: str = "id") -> DataFrame:
+    """id, split, holdout_column, holdout_value: each row once, in the split that holds its value out. Blank values are never held out.
+
+    A split's training rows are all others, so only what is held out is listed.
+    """
+    value = _safe(column)
+    split = F.regexp_replace(F.concat(F.lit(f"{prefix}_"), value), "[ /]", "_")
+    return rows.filter(value != "missing").select(F.col(id_col).alias("id"), split.alias("split"), F.lit(column).alias("holdout_column"), value.alias("holdout_value"))
+
+
+def validation_designs(rows: DataFrame, id_col: str = "id", label_col: str = "label", sample_col: str = "sample_id", test_fraction: float = 0.2) -> DataFrame:
+    """Held-out rows of the five designs: a fifth of the samples by hash, then each family, panel, species, and species with an expected target."""
+    sample = rows.withColumn("_s", _safe(sample_col)).filter(seq.group_bucket(F.col("_s")) < int(test_fraction * 10_000))
+    name = f"sample_group_hash_{round(test_fraction * 100)}pct"
+    out = sample.select(F.col(id_col).alias("id"), F.lit(name).alias("split"), F.lit("sample_id_hash").alias("holdout_column"), F.lit(name).alias("holdout_value"))
+    for column, prefix in HOLDOUTS:
+        out = out.unionByName(leave_one_out(rows, column, prefix, id_col))
+    wanted = rows.filter(F.col(label_col) == "expected_target").select(_safe("species_name").alias("_v")).distinct()
+    own = leave_one_out(rows, "species_name", "leave_one_expected_target_species", id_col)
+    return out.unionByName(own.join(wanted, F.col("holdout_value") == F.col("_v"), "left_semi"))
+
+
+def design_summary(rows: DataFrame, held: DataFrame, id_col: str = "id", label_col: str = "label") -> DataFrame:
+    """Per split: split, holdout_column, holdout_value, n_train, n_test, n_train_labels, n_test_labels and skip_reason (blank: valid).
+
+    Counted by subtraction: what a split holds out is taken off the totals per label, and no training row is listed.
+    """
+    label = names.blank(F.col(label_col))
+    own = rows.select(F.col(id_col).alias("id"), label.alias("label"))
+    total = own.groupBy("label").agg(F.count("*").alias("all"))
+    sums = total.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("n_rows"), F.count("label").alias("n_labels"))
+    parts = held.join(own, "id").groupBy("split", "holdout_column", "holdout_value", "label").agg(F.count("*").alias("n"))
+    parts = parts.join(total, parts["label"].eqNullSafe(total["label"])).select("split", "holdout_column", "holdout_value", parts["label"], "n", "all")
+    gone = F.count(F.when((F.col("n") == F.col("all")) & F.col("label").isNotNull(), 1))
+    per = parts.groupBy("split", "holdout_column", "holdout_value").agg(F.sum("n").alias("n_test"), F.count("label").alias("n_test_labels"), gone.alias("_gone"))
+    per = per.crossJoin(F.broadcast(sums))  # one row
+    per = per.withColumn("n_train", F.col("n_rows") - F.col("n_test")).withColumn("n_train_labels", F.col("n_labels") - F.col("_gone"))
+    reason = F.when(F.col("n_train") == 0, "no_training_records").when(F.col("n_test") == 0, "no_test_records").when(F.col("n_train_labels") < 2, "fewer_than_two_training_labels").when(F.col("n_test_labels") == 0, "no_test_labels").otherwise("")
+    return per.select("split", "holdout_column", "holdout_value", "n_train", "n_test", "n_train_labels", "n_test_labels", reason.alias("skip_reason"))
 
 
 def metrics(predictions: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
@@ -185,13 +256,40 @@ def metrics(predictions: DataFrame, label: str = "label", prediction: str = "pre
     return per.unionByName(overall.select(*by, F.lit("overall").alias("label"), "tp", "fp", "fn", F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"), "f1"))
 
 
-def validate(long: DataFrame, splits: DataFrame, q: float = 0.95, novelty: float = 1.0) -> DataFrame:
-    """Metrics per split: ``splits`` has (split, id, is_test); all splits are trained and judged in one job."""
-    rows = splits.join(long, "id")
-    model = train(rows.filter("not is_test"), q, ("split",))
-    test = rows.filter("is_test")
-    found = predict(test, *model, novelty=novelty, by=("split",)).select("split", "id", "prediction")
-    return metrics(found.join(test.select("split", "id", "label").distinct(), ["split", "id"]), by=("split",))
+def validate(long: DataFrame, held: DataFrame, q: float = 0.95, novelty: float = 1.0) -> DataFrame:
+    """Metrics per split of (id, label, feature, value); ``held`` has the rows (id, split) that each split holds out, and trains on all others.
+
+    Scales and centres of a split are the totals less what it holds out (numbers, sums and sums of squares per label and feature, of values that were
+    standardised over all rows, so that little is lost by subtraction). Only distances, which differ in every split, are made per split and row, from
+    one array of values a row.
+    """
+    long = long.filter(F.trim("label") != "").select("id", "label", "feature", "value")
+    base = scaling(long)
+    z = materialise(standardise(long, base).select("id", "label", "feature", F.col("z").alias("v")), "standardised")
+    held = materialise(held.select("id", "split").distinct(), "held")
+    add = lambda by: (F.count("*").alias(f"{by}n"), F.sum("v").alias(f"{by}s"), F.sum(F.col("v") ** 2).alias(f"{by}q"))
+    total = materialise(z.groupBy("label", "feature").agg(*add("a")), "totals")
+    mine = held.join(z, "id").groupBy("split", "label", "feature").agg(*add("h"))
+    splits = held.select("split").distinct()
+    less = splits.join(total).join(mine, ["split", "label", "feature"], "left")  # one row a split, label and feature
+    left = {c: F.col(f"a{c}") - F.coalesce(F.col(f"h{c}"), F.lit(0)) for c in "nsq"}
+    less = materialise(less.select("split", "label", "feature", *(e.alias(c) for c, e in left.items())).filter("n > 0"), "training-sums")
+    mean, square = F.sum("s") / F.sum("n"), F.sum("q") / F.sum("n")
+    sd = F.sqrt(F.greatest(square - mean**2, F.lit(0.0)))
+    scale = less.groupBy("split", "feature").agg(mean.alias("mean"), F.when(sd > 1e-9, sd).otherwise(1.0).alias("std"))
+    model = less.join(scale, ["split", "feature"]).select("split", "label", "feature", (F.col("s") / F.col("n")).alias("centre"), "std")
+    features = [r[0] for r in z.select("feature").distinct().orderBy("feature").collect()]  # as many as the model has
+    array = lambda c: F.transform(F.array(*map(F.lit, features)), lambda f: F.try_element_at(F.map_from_entries(F.collect_list(F.struct("feature", c))), f))
+    model = materialise(model.groupBy("split", "label").agg(array("centre").alias("centre"), array("std").alias("std")), "models")
+    rows = materialise(z.groupBy("id", "label").agg(array("v").alias("v")), "rows")
+    terms = F.zip_with(F.zip_with("v", "centre", lambda a, b: a - b), "std", lambda d, s: (d / s) ** 2)
+    apart = F.sqrt(F.aggregate(terms, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))))
+    far = rows.join(model, "label").join(held, ["id", "split"], "left_anti").select("split", "label", apart.alias("distance"))
+    thresholds = nearest_rank(far, ["split", "label"], "distance", q).select("split", F.col("label").alias("to"), (F.greatest("quantile", F.lit(1e-9)) * novelty).alias("_t"))
+    near = held.join(rows, "id").join(model.withColumnRenamed("label", "to"), "split").select("split", "id", "label", "to", apart.alias("_d"))
+    best = near.groupBy("split", "id", "label").agg(F.min(F.struct("_d", "to")).alias("x")).select("split", "id", "label", "x._d", "x.to")
+    found = best.join(thresholds, ["split", "to"]).withColumn("prediction", F.when(F.col("_d") <= F.col("_t"), F.col("to")).otherwise("unknown_or_unresolved"))
+    return metrics(found, by=("split",))
 
 
 def novelty_curve(long: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame], scales: Sequence[float]) -> DataFrame:

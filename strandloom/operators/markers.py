@@ -1,21 +1,21 @@
 """Marker selection spread over genomes, and the greedy choices that depend on order.
 
-Quotas and caps are ranks in windows. Two selections are greedy along an order and keep state: they run per
-genome or bucket in ``applyInPandas`` and look only at neighbours in sorted lists.
+Quotas and caps are ranks in windows. Two selections are greedy along an order; neighbours are found by joins on bins, and rounds over all
+buckets at once decide what a loop along the order would, so no task holds a bucket.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import Counter, defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..scratch import broadcast_if_small, materialise
 
 
 # Build profiles with their order of k, distance between markers of different k, and quota per bin by k.
@@ -109,55 +109,92 @@ def sample_universe(observations: DataFrame, bin_size: int, quota: int, k_values
     return observations.withColumn("bin", b).withColumn("_r", place).filter(F.col("_r") <= quota).drop("_r")
 
 
-def _near(taken: dict[int, list[int]], k: int, position: int, distance: int) -> bool:
-    """Whether a window of another k lies nearer than ``distance`` to [position, position + k)."""
-    for other, starts in taken.items():
-        if other != k:
-            i = bisect_left(starts, position - distance - other + 1)
-            if i < len(starts) and starts[i] < position + k + distance:
-                return True
-    return False
+def near_pairs(left: DataFrame, right: DataFrame, scope: Sequence[str], distance: int, longest: int) -> DataFrame:
+    """Pairs (l., r.) of windows of different k on one ``scope`` that overlap or have fewer than ``distance`` bases between them.
+
+    Both sides have the scope's columns, k (at most ``longest``) and position. Starts of such pairs lie in the same or in neighbouring bins of that reach, so it is an equi-join on scope and
+    bin; only the right side is dealt to three bins.
+    """
+    reach = distance + longest
+    bin_ = F.floor(F.greatest("position", F.lit(0)) / reach).cast("long")
+    one = left.withColumn("_bin", bin_).alias("l")
+    three = right.withColumn("_bin", F.explode(F.array(bin_ - 1, bin_, bin_ + 1))).alias("r")
+    start = lambda side: F.greatest(F.col(f"{side}.position"), F.lit(0))
+    near = (start("r") < start("l") + F.col("l.k") + distance) & (start("l") < start("r") + F.col("r.k") + distance)
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in scope]
+    return one.join(three, reduce(and_, same, (F.col("l._bin") == F.col("r._bin")) & (F.col("l.k") != F.col("r.k")) & near))
 
 
 def sample_universe_spaced(observations: DataFrame, bin_size: int, quota: int, k_values: Sequence[int], distance: int, k_order: Sequence[int] | None = None) -> DataFrame:
     """The same with spacing: in order of contig, k and position, a window is taken if its bin has room and no
     window of another k that was taken on the contig is nearer than ``distance``.
 
-    State is per contig; the (genome, contig) groups are the unit of work.
+    One k after the other, as in that order; of each, the windows near to taken ones go, and the first of each bin stay. A bin's windows are ranked
+    with a limit, so that a task keeps no more of them than the quota.
     """
-    order = {k: i for i, k in enumerate(k_order or sorted(k_values, reverse=True))}
-    offsets = scores.bin_offsets(k_values, bin_size)
     rows = observations.select("genome", "doc_id", "k", "position", "kmer")
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(_o=group["k"].map(order)).sort_values(["_o", "position"], kind="stable")
-        taken, full, keep = defaultdict(list), Counter(), []
-        for i, k, position in zip(group.index, group["k"], group["position"]):
-            bin_ = (max(0, position) + offsets[k]) // bin_size
-            if full[k, bin_] < quota and not _near(taken, k, position, distance):
-                full[k, bin_] += 1
-                insort(taken[k], position)
-                keep.append(i)
-        return group.loc[keep].drop(columns="_o")
-
-    return rows.groupBy("genome", "doc_id").applyInPandas(pick, rows.schema)
+    scope, taken = ("genome", "doc_id"), None
+    for k in k_order or sorted(k_values, reverse=True):
+        own = rows.filter(F.col("k") == k).withColumn("_bin_", scores.shifted_bin(F.col("position"), F.col("k"), k_values, bin_size))
+        if taken is not None:
+            hit = near_pairs(own, taken, scope, distance, max(k_values)).select(*(F.col(f"l.{c}") for c in (*scope, "position"))).distinct()
+            same = [F.col(f"o.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*scope, "position")]
+            own = own.alias("o").join(hit.alias("h"), reduce(and_, same), "left_anti")
+        place = F.row_number().over(Window.partitionBy(*scope, "_bin_").orderBy("position"))
+        own = materialise(own.withColumn("_r", place).filter(F.col("_r") <= quota).select(*rows.columns), f"taken-{k}")
+        taken = own if taken is None else taken.unionByName(own)
+    return taken
+
+
+def _refused(pairs: DataFrame) -> DataFrame:
+    """Of pairs (later, earlier) in one total order, the ids that a loop along that order refuses because an earlier one that it took is near.
+
+    Rounds: whoever has no earlier one left is taken, and refuses its later ones, which refuse no one any more.
+    """
+    refused, turn = None, 0
+    while True:
+        turn += 1
+        first = pairs.select("earlier").distinct().join(pairs.select(F.col("later").alias("earlier")).distinct(), "earlier", "left_anti")
+        now = materialise(pairs.join(first, "earlier", "left_semi").select(F.col("later").alias("id")).distinct(), f"refused-{turn}")
+        refused = now if refused is None else refused.union(now)
+        gone = now.select(F.col("id").alias("later"))
+        pairs = materialise(pairs.join(gone, "later", "left_anti").join(gone.withColumnRenamed("later", "earlier"), "earlier", "left_anti"), f"pairs-{turn}")
+        if pairs.isEmpty():
+            return refused
 
 
 def independent_markers(markers: DataFrame, bucket: Sequence[str], quota: int | Column, cap_per_k: int, distance: int) -> DataFrame:
     """Quota per bin, then per bucket greedily by (score, longer k first, k-mer, place): at most ``cap_per_k`` per k and no two of
-    different k within ``distance`` on one (genome, contig)."""
+    different k within ``distance`` on one (genome, contig).
+
+    Equal to a loop along that order, but without one: pairs that are too near are found by a join, and rounds of local minima decide
+    them (``_refused``). Where a k then has more than its cap, its markers after the cap's one never counted: they go, in each bucket the k that is full
+    first, and the pairs are decided anew, at most once for each k.
+    """
     by_bin = Window.partitionBy(*bucket, "k", "bin").orderBy("score", "kmer")
     rows = markers.withColumn("_r", F.row_number().over(by_bin)).filter(F.col("_r") <= quota).drop("_r")
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(_k=-group["k"]).sort_values(["score", "_k", "kmer", "doc_id", "position"], kind="stable")
-        taken, full, keep = defaultdict(lambda: defaultdict(list)), Counter(), []
-        for i, k, position, genome, contig in zip(group.index, group["k"], group["position"], group["genome"], group["doc_id"]):
-            own = taken[genome, contig]
-            if full[k] < cap_per_k and not _near(own, k, position, distance):
-                full[k] += 1
-                insort(own[k], position)
-                keep.append(i)
-        return group.loc[keep].drop(columns="_k")
-
-    return rows.groupBy(*bucket).applyInPandas(pick, rows.schema)
+    out = rows.columns
+    rows = materialise(rows.withColumn("_id", F.monotonically_increasing_id()), "markers")  # ids hold as they are written
+    k_values = [r[0] for r in rows.select("k").distinct().collect()]  # a handful of k
+    if not k_values:
+        return rows.select(out)
+    order = F.struct("score", (-F.col("k")).alias("_k"), "kmer", "doc_id", "position", "genome", "_id")
+    rows = materialise(rows.withColumn("_order", order), "ordered")
+    scope = list(dict.fromkeys([*bucket, "genome", "doc_id"]))
+    side = rows.select(*scope, "k", "position", "_id", "_order")
+    pairs = near_pairs(side, side, scope, distance, max(k_values)).filter(F.col("r._order") < F.col("l._order"))
+    pairs = materialise(pairs.select(F.col("l._id").alias("later"), F.col("r._id").alias("earlier")), "pairs")
+    while True:
+        refused = _refused(pairs)
+        taken = rows.join(refused.select(F.col("id").alias("_id")), "_id", "left_anti")
+        # The cap-th of each k, where there are more; the k of each bucket that reaches its cap first.
+        ranked = taken.withColumn("_n", F.row_number().over(Window.partitionBy(*bucket, "k").orderBy("_order"))).filter(F.col("_n") <= cap_per_k + 1)
+        full = ranked.groupBy(*bucket, "k").agg(F.max("_n").alias("_n"), F.max(F.when(F.col("_n") == cap_per_k, F.col("_order"))).alias("_last")).filter(F.col("_n") > cap_per_k)
+        full = materialise(full.groupBy(*bucket).agg(F.min(F.struct("_last", "k")).alias("x")).select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(bucket)), F.col("x.k").alias("_full_k"), F.col("x._last").alias("_last")), "full")
+        if full.isEmpty():
+            return taken.select(out)
+        same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(bucket)), (F.col("k") == F.col("_full_k")) & (F.col("_order") > F.col("_last")))
+        rows = materialise(rows.join(broadcast_if_small(full), same, "left_anti"), "open")
+        for end in ("later", "earlier"):
+            pairs = pairs.join(rows.select(F.col("_id").alias(end)), end, "left_semi")
+        pairs = materialise(pairs, "pairs")

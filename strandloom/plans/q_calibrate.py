@@ -8,7 +8,7 @@ from ..operators import calibrate, evidence
 from ..scratch import scratch_path
 from .fixtures import table
 from .q_screen import _ODD, SQL_EVIDENCE, calls, sql_calls
-from .registry import ORACLES, QUERIES, query
+from .registry import ORACLES, query
 
 def features(spark, sf):
     """Embeddings in long form: id, label, feature, value."""
@@ -119,10 +119,36 @@ def f13(spark, sf):
     return calibrate.hash_split(table(spark, sf, "orders"), ["o_custkey", "o_orderpriority"]).groupBy("o_custkey", "is_test").agg(F.count("*").alias("n"))
 
 
-@query("f14_leave_one_out", "WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'missing' ELSE o_orderpriority END AS p FROM orders), h AS (SELECT DISTINCT p AS held FROM v WHERE p <> 'missing') SELECT 'priority:' || held AS split, p = held AS is_test, count(*)::BIGINT AS n FROM v, h GROUP BY ALL")
+@query("f14_leave_one_out", """WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'missing' ELSE o_orderpriority END AS p, o_orderstatus AS s FROM orders), h AS (SELECT DISTINCT p AS held FROM v WHERE p <> 'missing')
+SELECT 'priority_' || replace(held, ' ', '_') AS split, held AS holdout_value, count(*) FILTER (p <> held)::BIGINT AS n_train, count(*) FILTER (p = held)::BIGINT AS n_test, count(DISTINCT s) FILTER (p <> held)::BIGINT AS n_train_labels, count(DISTINCT s) FILTER (p = held)::BIGINT AS n_test_labels, '' AS skip_reason FROM v, h GROUP BY ALL""")
 def f14(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, " ").otherwise(F.col("o_orderpriority")).alias("priority"))
-    return calibrate.leave_one_out(o, "priority", "priority").groupBy("split", "is_test").agg(F.count("*").alias("n"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 9 == 0, " ").otherwise(F.col("o_orderpriority")).alias("priority"), F.col("o_orderstatus").alias("label"))
+    return calibrate.design_summary(o, calibrate.leave_one_out(o, "priority", "priority")).drop("holdout_column")
+
+
+_DESIGN_ROWS = """d AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE 's' || (doc_id % 40) END AS sample_id, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE 'family ' || (doc_id % 3) END AS benchmark_family, source AS panel,
+ CASE WHEN doc_id = 1 THEN 'single/one' ELSE lang END AS species_name, CASE WHEN doc_id = 1 THEN '' WHEN lang = 'en' AND doc_id % 2 = 0 THEN 'expected_target' WHEN doc_id % 5 = 0 THEN '' ELSE 'label ' || (n_chars % 3) END AS label FROM documents)"""
+
+
+def _sql_held(column: str, prefix: str) -> str:
+    return f"SELECT id, replace(replace('{prefix}_' || trim({column}), ' ', '_'), '/', '_') AS split, '{column}' AS holdout_column, trim({column}) AS holdout_value FROM d WHERE trim({column}) <> ''"
+
+
+@query("f14_validation_designs", f"""WITH {_DESIGN_ROWS},
+h AS (SELECT id, 'sample_group_hash_20pct' AS split, 'sample_id_hash' AS holdout_column, 'sample_group_hash_20pct' AS holdout_value FROM d WHERE ('0x' || substr(sha256(CASE WHEN sample_id = '' THEN 'missing' ELSE sample_id END), 1, 12))::BIGINT % 10000 < 2000
+ UNION ALL {" UNION ALL ".join(_sql_held(c, p) for c, p in calibrate.HOLDOUTS)}
+ UNION ALL SELECT * FROM ({_sql_held("species_name", "leave_one_expected_target_species")}) WHERE holdout_value IN (SELECT species_name FROM d WHERE label = 'expected_target')),
+s AS (SELECT DISTINCT split, holdout_column, holdout_value FROM h),
+x AS (SELECT s.*, d.label, h.id IS NOT NULL AS test FROM s CROSS JOIN d LEFT JOIN h ON h.split = s.split AND h.id = d.id),
+n AS (SELECT split, holdout_column, holdout_value, count(*) FILTER (NOT test)::BIGINT AS n_train, count(*) FILTER (test)::BIGINT AS n_test, count(DISTINCT label) FILTER (NOT test AND label <> '')::BIGINT AS n_train_labels, count(DISTINCT label) FILTER (test AND label <> '')::BIGINT AS n_test_labels FROM x GROUP BY ALL)
+SELECT *, CASE WHEN n_train = 0 THEN 'no_training_records' WHEN n_train_labels < 2 THEN 'fewer_than_two_training_labels' WHEN n_test_labels = 0 THEN 'no_test_labels' ELSE '' END AS skip_reason FROM n""")
+def f14_designs(spark, sf):
+    i, lang = F.col("doc_id"), F.col("lang")
+    rows = table(spark, sf, "documents").select(
+        i.alias("id"), F.when(i % 10 == 0, "").otherwise(F.concat(F.lit("s"), (i % 40).cast("string"))).alias("sample_id"), F.when(i % 7 == 0, " ").otherwise(F.concat(F.lit("family "), (i % 3).cast("string"))).alias("benchmark_family"), F.col("source").alias("panel"),
+        F.when(i == 1, "single/one").otherwise(lang).alias("species_name"), F.when(i == 1, "").when((lang == "en") & (i % 2 == 0), "expected_target").when(i % 5 == 0, "").otherwise(F.concat(F.lit("label "), (F.col("n_chars") % 3).cast("string"))).alias("label"),
+    )
+    return calibrate.design_summary(rows, calibrate.validation_designs(rows))
 
 
 SQL_CV = f"""{SQL_LONG}, sp AS (SELECT s::INT AS split, id, id % 3 = s AS is_test FROM (SELECT DISTINCT id FROM long), range(3) t(s)), tr AS (SELECT split, l.* FROM sp JOIN long l USING (id) WHERE NOT is_test),
@@ -139,8 +165,8 @@ lb AS (SELECT DISTINCT split, truth AS label FROM pr UNION SELECT DISTINCT split
 UNION ALL SELECT split, 'overall', count(*) FILTER (truth = p), count(*) FILTER (truth <> p), count(*) FILTER (truth <> p) FROM pr GROUP BY split""")
 def f15(spark, sf):
     f = features(spark, sf)
-    splits = f.select("id").distinct().crossJoin(spark.range(3).select(F.col("id").cast("int").alias("split"))).withColumn("is_test", F.col("id") % 3 == F.col("split"))
-    return calibrate.validate(f, splits).select("split", "label", "tp", "fp", "fn")
+    held = f.select("id").distinct().withColumn("split", (F.col("id") % 3).cast("int"))
+    return calibrate.validate(f, held).select("split", "label", "tp", "fp", "fn")
 
 
 SQL_METRICS = """m AS (SELECT quality::VARCHAR AS t, toxic::VARCHAR AS p FROM labels), l AS (SELECT t AS label FROM m UNION SELECT p FROM m),
@@ -191,7 +217,3 @@ def g24(spark, sf):
     of = lambda f: F.max(F.when(F.col("feature") == f, F.col("mean")))
     return rows.groupBy("label").agg(F.count("*").alias("n")).join(back.groupBy("label").agg(of("lca_click_value").alias("lca_mean"), of("log1p_n_hits").alias("hits_mean")), "label")
 
-
-# Further names of queries over all dimensions.
-for _name in ("f02_scaling", "f03_standardised_norm", "f05_train_classifier", "f06_open_set_predict", "f15_holdout_validation", "f18_novelty_curve"):
-    query(f"{_name}_whole", ORACLES[_name])(QUERIES[_name])

@@ -240,14 +240,8 @@ def b27(spark, sf):
     return seq.read_metrics(d.select("lang", q.alias("sequence"), q.alias("quality")).filter("length(quality) > 0"), ["lang"])
 
 
-query("b27_read_metrics_whole", ORACLES["b27_read_metrics"])(b27)
-
-
-@query("b03_valid_kmer_whole")
+@query("b03_valid_kmer_whole", f"WITH {SQL_CONTIGS} SELECT doc_id, pos::INT AS position, substr(seq, pos, 31) AS kmer, NOT contains(substr(seq, pos, 31), 'N') AS valid FROM (SELECT *, unnest(range(1, length(seq) - 29)) AS pos FROM contigs)")
 def b03_whole(spark, sf):
+    """Every window with its place, while ``b03_valid_kmer`` counts them."""
     w = _starts(contigs(spark, sf).select("doc_id", F.col("seq").alias("s")), 31).select("doc_id", "position", F.substring("s", F.col("position"), F.lit(31)).alias("kmer"))
     return w.withColumn("valid", seq.is_valid_kmer(F.col("kmer")))
-
-
-query("b07_hamming_distance_whole", ORACLES["b07_hamming_distance"])(b07)
-query("b08_mismatch_neighbourhood_whole", ORACLES["b08_mismatch_neighbourhood"])(b08)

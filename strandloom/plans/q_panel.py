@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, seq
 from ..operators import markers, panel, taxonomy
-from .fixtures import SQL_CONTIGS, contigs, groups, sql_windows, table, windows
+from .fixtures import SQL_CONTIGS, SQL_RC, contigs, groups, sql_windows, table, windows
 from .registry import query
 
 
@@ -202,7 +202,17 @@ def c26(spark, sf):
     return markers.sample_universe(windows(spark, sf, 21), 1000, 3, [21]).select("genome", "doc_id", "bin", "position", "kmer")
 
 
-@query("c26_universe_sample_spaced")
+_SHIFT = scores.bin_offsets([21, 31], 1000)
+
+
+def _sql_spaced(k: int) -> str:
+    return f"(SELECT genome, doc_id, {k} AS k, pos::INT AS position, least(w, {SQL_RC.format('w')}) AS kmer, (pos + {_SHIFT[k]}) // 1000 AS bin FROM (SELECT genome, doc_id, pos, substr(seq, pos + 1, {k}) AS w FROM (SELECT *, unnest(range(0, length(seq) - {k - 1})) AS pos FROM contigs)) WHERE NOT contains(w, 'N'))"
+
+
+@query("c26_universe_sample_spaced", f"""WITH {SQL_CONTIGS}, a AS (SELECT * FROM {_sql_spaced(31)} QUALIFY row_number() OVER (PARTITION BY genome, doc_id, bin ORDER BY position) <= 3),
+b AS (SELECT * FROM {_sql_spaced(21)} x WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.genome = x.genome AND a.doc_id = x.doc_id AND a.position < x.position + 21 + 150 AND x.position < a.position + 31 + 150)
+ QUALIFY row_number() OVER (PARTITION BY genome, doc_id, bin ORDER BY position) <= 3)
+SELECT genome, doc_id, k, position, kmer FROM a UNION ALL SELECT genome, doc_id, k, position, kmer FROM b""")
 def c26_spaced(spark, sf):
     w = seq.multi_k_windows(contigs(spark, sf), [21, 31], keep=("doc_id", "genome"))
     return markers.sample_universe_spaced(w, 1000, 3, [21, 31], 150)
