@@ -10,7 +10,8 @@ not, nor are blocks inside the content that are below it and hold little but sev
 
 Parts that the page itself marks as something else are left out beforehand: by tag (nav, header, footer, aside,
 form, script, style, ...), by role or as hidden, and by a class or id that names a menu, footer, sidebar, notice, advert,
-form or reader comments, with no words in it but such names and words of place or shape (``PARTS``). A name leaves no element out
+form or reader comments, with no words in it but such names and words of place or shape (``PARTS``). A form or fieldset around the whole page
+and an article's own header with its title are no such parts (see ``_Builder.judge_tags``). A name leaves no element out
 that holds most of the page's text, an article or a main, unless its whole name is one word of ``PARTS`` and the page has an
 article or main with text elsewhere (see ``_Builder.leave_out``); a class or id of a header leaves out only what
 the density would not take. There and in all other blocks, whatever they are called, the density decides.
@@ -37,6 +38,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 NO_CONTENT = frozenset("head script style noscript template iframe object embed svg canvas nav header footer aside form button select option textarea input label fieldset dialog menu audio video map".split())
+#: Those of them that the text inside may save.
+BY_TEXT = frozenset(("form", "fieldset", "header"))
 #: Elements whose end tags may be left out, and the start tags that close them.
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 CLOSED_BY = {tag: frozenset(k for k, v in CLOSES.items() if tag in v) for tag in frozenset().union(*CLOSES.values())}
@@ -107,6 +110,7 @@ class _Builder:
     def __init__(self, html: str):
         self.root = self.at = Node("#root", None)
         self.named: dict[Node, int] = {}
+        self.tagged: list[Node] = []
         low = 0
         while m := TAG.search(html, low):
             if m.start() > low:
@@ -125,6 +129,8 @@ class _Builder:
                     self.end(tag)
         if low < len(html):
             self.data(html[low:])
+        if self.tagged:
+            self.judge_tags()
         if self.named:
             self.leave_out()
 
@@ -140,13 +146,15 @@ class _Builder:
                 if node.tag in scope or node.tag in BLOCKS and node.tag not in CLOSES:
                     break
                 node = node.parent
-        skip, named = tag in NO_CONTENT, 0
+        skip, named = tag in NO_CONTENT and tag not in BY_TEXT, 0
         if not skip and attrs and tag not in ("html", "body", "article", "main") and TELLING.search(attrs):
             pairs = [(n.lower(), unescape(x or y or z)) for n, x, y, z in ATTRIBUTE.findall(attrs)]
             skip = _hidden(pairs)
             named = 0 if skip else _named(pairs)
         new = Node(tag, self.at, skip)
-        if named:
+        if tag in BY_TEXT and not skip:
+            self.tagged.append(new)
+        elif named:
             self.named[new] = named
         self.at.children.append(new)
         if tag not in VOID:
@@ -161,6 +169,28 @@ class _Builder:
         if node.parent is not None:
             self.at = node.parent
 
+    def judge_tags(self) -> None:
+        """Skip forms, fieldsets and headers, except a form or fieldset that is wrapped around the page (it holds an article or main, or most of
+        the page's text and a passage's worth of it), and an article's own header with its title."""
+        nodes = _nodes(self.root)
+        letters, holds, within = {}, {}, set()
+        for node in nodes:
+            if node.tag in ("article", "main") or node.parent in within:
+                within.add(node)
+        for node in reversed(nodes):
+            kept = [c for c in node.children if isinstance(c, Node) and not c.skip]
+            letters[node] = sum(_letters(c) for c in node.children if isinstance(c, str)) + sum(letters[c] for c in kept)
+            holds[node] = any(c.tag in ("article", "main") or holds[c] for c in kept)
+        for node in self.tagged:
+            if node not in letters:
+                node.skip = True  # inside of what is left out
+            elif node.tag == "header":
+                below = _nodes(node)
+                linked = sum(_letters(c) for n in below if _in_link(n, node) for c in n.children if isinstance(c, str))
+                node.skip = not (node in within and any(n.tag in HEADINGS for n in below) and 2 * linked <= letters[node])
+            else:
+                node.skip = not (holds[node] or 2 * letters[node] > letters[self.root] and letters[node] >= WRAPPED_LETTERS)
+
     def leave_out(self) -> None:
         """Skip elements named as such parts, except those that hold most of the page's text, an article or a main.
 
@@ -201,6 +231,8 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
+#: Letters from which a form that holds most of a page's text is wrapped around a passage.
+WRAPPED_LETTERS = 200
 #: Letters below which an element named as a header, without a heading, is no text.
 HEAD_LETTERS = 80
 

@@ -28,7 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).withColumn("held_out", ~toxicity.training_rows(F.col("doc_id")))
+    # Nothing is learned from rows without an id, so they are held out.
+    return toxicity.score_documents(docs, model).withColumn("held_out", ~F.coalesce(toxicity.training_rows(F.col("doc_id")), F.lit(False)))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    records = warc.whole(warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

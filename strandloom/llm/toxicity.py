@@ -14,10 +14,11 @@ extreme-value parameters lambda and K; a segment's significance in a text of n t
 its negative log expectation, so long texts need higher scores. Segments of which a clean text of that length has fewer than
 ``EXPECTED`` are significant and all reported. A document's evidence is the negative log of the product of the expectations of all segments of
 which fewer than one is expected (of those with the same positive words the most significant one counts), so that several weak ones add up; without any it is 0. A logistic curve over the logarithm
-of the evidence, fitted on the training documents, turns it into a score.
+of the evidence, fitted on the training documents, turns it into a score; for the fit, which is on counts per quarter of evidence, evidence of 1000 and more counts as
+1000, where the curve is flat. Texts are scored with the evidence that they have.
 
 Null and empty texts have no evidence and get the base score. Documents with several label rows count as
-toxic if one says so. Without labels of both classes every score is 0. Repeated rows are scored each;
+toxic if one says so. Without labels of both classes every score is next to 0 (below 1e-9). Repeated rows are scored each;
 further columns are ignored by ``score_documents`` and kept by ``drop_toxic``.
 """
 

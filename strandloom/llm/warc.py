@@ -9,7 +9,8 @@ nothing behind and its next attempt replaces what it wrote.
 Reader. Archives are cut into byte ranges. A task looks in its range for gzip's magic, takes a candidate for
 a member only if decoding its start gives a WARC header, and from there reads member after member. It owns
 the records that start inside its range, whose last one it reads to its end beyond the range; so every
-record is read once, whatever the cuts. Only one member is in memory at a time. Archives of others are read too: records of all types (a
+record is read once, whatever the cuts. What belongs to no readable record (flipped bits, an archive cut off, foreign bytes between
+members) is a row of type ``damaged`` with its archive, offset, length (payload_bytes) and reason, so that nothing is lost without a word; ``whole`` makes it an error. Only one member is in memory at a time. Archives of others are read too: records of all types (a
 record without an HTTP message gives its whole block as payload), several records in a member, header names in any case, folded lines,
 missing or foreign digests. ``digest_ok`` says whether a SHA-1 payload digest of the header is that of the payload; it
 is null where the header has none to compare. Ids that are no ``urn:page:`` of this writer give a null page_id and stay in ``record_id``.
@@ -48,7 +49,7 @@ READ_TASKS = 50_000
 READ = 1 << 18
 #: Bytes of records that a task holds before it hands them on.
 HELD = 4 << 20
-RECORD = "page_id long, record_type string, refers_to long, target_uri string, payload_digest string, payload_bytes long, payload binary, record_id string, digest_ok boolean"
+RECORD = "page_id long, record_type string, refers_to long, target_uri string, payload_digest string, payload_bytes long, payload binary, record_id string, digest_ok boolean, archive string, offset long, damage string"
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -94,15 +95,20 @@ HEAD_END = re.compile(rb"\r?\n\r?\n")
 
 
 def split_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of a member."""
+    """Header fields and block of each record of a member; what is no whole record comes as the field ``damage`` (a reason) with its bytes."""
     low = 0
-    while low < len(raw) and raw.startswith(b"WARC/", low):
-        end = HEAD_END.search(raw, low)
+    while low < len(raw):
+        end = HEAD_END.search(raw, low) if raw.startswith(b"WARC/", low) else None
         if not end:
+            yield {"damage": "header without end" if raw.startswith(b"WARC/", low) else "no record"}, raw[low:]
             return
         fields = _fields(raw[low : end.start()])
         size = fields.get("content-length", "")
         high = end.end() + int(size) if size.isdigit() else len(raw)
+        if high > len(raw):
+            yield {"damage": "shorter than its Content-Length"}, raw[low:]
+            return
+        fields.pop("damage", None)
         yield fields, raw[end.end() : high]
         low = high
         while raw[low : low + 1] in (b"\r", b"\n"):
@@ -178,25 +184,29 @@ class _Window:
     def __init__(self, file, size: int):
         self.file, self.size, self.low, self.buffer = file, size, 0, b""
 
-    def at(self, position: int, least: int) -> bytes:
+    def at(self, position: int, least: int) -> memoryview:
         """Bytes from a position on, at least so many unless the archive ends."""
         if not self.low <= position or position + least > self.low + len(self.buffer):
             self.file.seek(position)
             self.low, self.buffer = position, self.file.read(max(least, READ))
-        return self.buffer[position - self.low :]
+        return memoryview(self.buffer)[position - self.low :]
 
 
-def _member(window: _Window, position: int) -> tuple[bytes, int] | None:
-    """The WARC record of the gzip member at a position and the member's end; None if there is no such member."""
+def _begins(window: _Window, position: int) -> bool:
+    """Whether a gzip member that holds WARC records begins at a position, by decoding its start."""
     start = window.at(position, 4096)
-    if not start.startswith(MAGIC):
-        return None
-    unpack = zlib.decompressobj(31)
+    if start[: len(MAGIC)] != MAGIC:
+        return False
+    try:
+        return zlib.decompressobj(31).decompress(start[:4096], 5) == b"WARC/"
+    except zlib.error:
+        return False
+
+
+def _member(window: _Window, position: int) -> tuple[bytes, int] | None:
+    """The content of the gzip member at a position and the member's end; None if it is damaged or cut off."""
+    unpack, out = zlib.decompressobj(31), []
     try:
-        out = [unpack.decompress(start)]
-        if not out[0].startswith(b"WARC/"):
-            return None
-        position += len(start)
         while not unpack.eof:
             more = window.at(position, 1)
             if not more:
@@ -208,44 +218,82 @@ def _member(window: _Window, position: int) -> tuple[bytes, int] | None:
     return b"".join(out), position - len(unpack.unused_data)
 
 
-def records_in(file, size: int, low: int, high: int) -> Iterator[bytes]:
-    """Members of an archive that start in [low, high) and hold WARC records."""
-    window, position = _Window(file, size), low
-    while position < high:
-        found = _member(window, position)
-        if found:
-            yield found[0]
-            position = found[1]
-            continue
-        # Not at a member: look for the next candidate.
-        text = window.at(position, len(MAGIC))
-        next_ = text.find(MAGIC, 1)
-        position += next_ if next_ > 0 else max(1, len(text) - len(MAGIC) + 1)
+def _next(window: _Window, position: int) -> int:
+    """The next candidate for a member after a position, or the archive's end."""
+    position += 1
+    while position < window.size:
+        text = bytes(window.at(position, len(MAGIC)))
+        found = text.find(MAGIC)
+        if found >= 0:
+            return position + found
+        position += max(1, len(text) - len(MAGIC) + 1)
+    return window.size
+
+
+def records_in(file, size: int, low: int, high: int) -> Iterator[tuple[int, int, bytes | str]]:
+    """(offset, length, content) of the members that begin in [low, high) and hold WARC records, and (offset, length, reason) of what is damaged.
+
+    Before the first member of a range nothing is damaged: it belongs to a member of an earlier one. From there on, and at an archive's start, a
+    member must follow the last one; where none begins, the bytes up to the next that does are damaged. A member of which only the start can be decoded is
+    damaged, and its range says so. A range looks at the place after its last member even if that lies in the next range, so that every byte is
+    covered by one of them.
+    """
+    window, position, follows = _Window(file, size), low, low == 0
+    while position < size and (position < high or follows):
+        begins = _begins(window, position)
+        if begins and position >= high:
+            return
+        if begins and (found := _member(window, position)):
+            yield position, found[1] - position, found[0]
+            position, follows = found[1], True
+        elif begins or follows:
+            end = _next(window, position)
+            while end < size and not _begins(window, end):
+                end = _next(window, end)
+            yield position, end - position, "damaged or cut off" if begins else "no member"
+            position, follows = end, True
+        else:
+            position = _next(window, position)
+
+
+_NAMES = ["page_id", "record_type", "refers_to", "target_uri", "payload_digest", "payload_bytes", "payload", "record_id", "digest_ok", "archive", "offset", "damage"]
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.bool_()]
-    names = ["page_id", "record_type", "refers_to", "target_uri", "payload_digest", "payload_bytes", "payload", "record_id", "digest_ok"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.string()]
 
     def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], _NAMES)
+
+    def damaged(uri: str, offset: int, size: int, reason: str) -> tuple:
+        return None, "damaged", None, None, None, size, None, None, None, uri, offset, reason
 
     for b in batches:
         for uri, size, low, high in zip(*(c.to_pylist() for c in b.columns)):
             store, path = open_fs(uri)
             rows, held = [], 0
             with store.open_input_file(path) as file:
-                for raw in records_in(file, size, low, high):
-                    rows += (parse_record(*x) for x in split_records(raw))
-                    held += len(raw)
+                for offset, length, content in records_in(file, size, low, high):
+                    if isinstance(content, str):
+                        rows.append(damaged(uri, offset, length, content))
+                        continue
+                    for fields, block in split_records(content):
+                        rows.append(damaged(uri, offset, len(block), fields["damage"]) if "damage" in fields else (*parse_record(fields, block), uri, offset, None))
+                    held += len(content)
                     if held > HELD:
                         yield batch(rows)
                         rows, held = [], 0
             yield batch(rows)
 
 
+def whole(records: DataFrame) -> DataFrame:
+    """``records`` of ``read_archives``, or an error where an archive is damaged."""
+    said = F.concat_ws(" ", F.lit("damaged archive:"), "damage", F.lit("at byte"), F.col("offset").cast("string"), F.lit("of"), "archive")
+    return records.withColumn("record_type", F.when(F.col("damage").isNotNull(), F.raise_error(said)).otherwise(F.col("record_type"))).drop("damage")
+
+
 def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """One row per record of the archives (path, bytes), read in ranges of ``split_bytes``."""
+    """One row per record, and per damaged stretch, of the archives (path, bytes), read in ranges of ``split_bytes``."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
     ranges = archives.filter("bytes > 0").select("path", "bytes", starts.alias("low"))
     ranges = ranges.select("path", "bytes", "low", F.least(F.col("low") + split_bytes, F.col("bytes")).alias("high"))

@@ -487,6 +487,39 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages(spark, []), f"file://{tmp_path}/none")).count() == 0
 
 
+def damage(spark, data, path, split):
+    """(ids of records, (offset, length) of damaged stretches) of an archive."""
+    path.write_bytes(data)
+    got = warc.read_archives(spark.createDataFrame([(f"file://{path}", len(data))], "path string, bytes long"), split_bytes=split).collect()
+    return sorted(x.page_id for x in got if x.damage is None), sorted((x.offset, x.payload_bytes) for x in got if x.record_type == "damaged")
+
+
+def test_damaged_archives_lose_nothing_without_a_word(spark, tmp_path):
+    r = np.random.default_rng(4)
+    members = [warc.record(i, "u", bytes(r.integers(0, 256, 300 + 200 * i, dtype=np.uint8)), None, "d") for i in range(5)]
+    at = np.cumsum([0, *map(len, members)]).tolist()
+    data, path = b"".join(members), tmp_path / "x.warc.gz"
+    flipped = bytearray(data)
+    flipped[at[2] + 200] ^= 255
+    headless = bytearray(data)
+    headless[at[1]] ^= 255
+    foreign = data[: at[3]] + b"garbage" + data[at[3] :]
+    long_claim = warc.zlib.compressobj(6, warc.zlib.DEFLATED, 31)
+    short = long_claim.compress(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nabc") + long_claim.flush()
+    for split in (40, 333, 1 << 20):
+        assert damage(spark, data, path, split) == ([0, 1, 2, 3, 4], [])
+        assert damage(spark, bytes(flipped), path, split) == ([0, 1, 3, 4], [(at[2], len(members[2]))])
+        assert damage(spark, bytes(headless), path, split) == ([0, 2, 3, 4], [(at[1], len(members[1]))])
+        assert damage(spark, data[:-5], path, split) == ([0, 1, 2, 3], [(at[4], len(members[4]) - 5)])
+        assert damage(spark, foreign, path, split) == ([0, 1, 2, 3, 4], [(at[3], 7)])
+        assert damage(spark, b"xx" + data, path, split) == ([0, 1, 2, 3, 4], [(0, 2)])
+        assert damage(spark, b"no archive at all", path, split) == ([], [(0, 17)])
+        assert damage(spark, data + short, path, split)[1] == [(at[5], 35)]
+    archives = spark.createDataFrame([(f"file://{path}", path.stat().st_size)], "path string, bytes long")
+    with pytest.raises(Exception, match="damaged archive: shorter than its Content-Length"):
+        warc.whole(warc.read_archives(archives)).collect()
+
+
 def test_warc_of_others_is_read(spark, tmp_path):
     import gzip
 
@@ -893,3 +926,16 @@ def test_pipeline_stages_match_plain_versions(spark, tmp_path):
     for pieces in bins.values():
         ends = [0, *np.cumsum([n for _, n in sorted(pieces)]).tolist()]
         assert [o for o, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 1024
+
+
+def test_forms_around_the_page_and_headers_of_articles():
+    prose = " ".join(["word"] * 60)
+    article = f"<article><header><h1>Its title</h1><p>By one</p></header><p>{prose}</p><p>{prose}</p></article>"
+    want = "\n\n".join(["Its title", "By one", prose, prose])
+    bar = "<header class=site><h1>Site</h1><a href=1>Home page</a><a href=2>All about us</a></header>"
+    search = "<form><p>Search here</p><input name=q></form>"
+    assert html_text.extract(f"<body>{bar}{search}{article}</body>") == want
+    assert html_text.extract(f"<body><form id=aspnet>{bar}<fieldset>Log in</fieldset>{article}</form></body>") == want
+    assert html_text.extract(f"<body><fieldset><div><p>{prose}</p><p>{prose}</p></div></fieldset></body>") == f"{prose}\n\n{prose}"
+    assert html_text.extract(f"<body><div><p>{prose}</p><p>{prose}</p></div><form><p>{prose[:100]}</p></form></body>") == f"{prose}\n\n{prose}"
+    assert html_text.extract("<body><form><p>Please log in</p><label>Name</label><input></form></body>") == ""
