@@ -136,20 +136,27 @@ def _tree(light: DataFrame, wants: list[float]) -> tuple[DataFrame, dict[int, in
         if not split:
             break
         wide = {n: max(DIMENSIONS, key=lambda d: (here[n][f"max_{d}"] - here[n][f"min_{d}"]) / max(1, whole[f"max_{d}"] - whole[f"min_{d}"])) for n in split}
+        spark = light.sparkSession
+        # One row a node that is split, joined rather than put into one expression, whose depth would be the number of shards.
+        along = F.broadcast(spark.createDataFrame([(n, DIMENSIONS.index(d)) for n, d in wide.items()], "node int, along int"))
         code = F.lit(None).cast("long")
-        for d in DIMENSIONS:
-            code = F.when(F.col("node").isin([n for n in split if wide[n] == d]), F.col(d)).otherwise(code)
+        for i, d in enumerate(DIMENSIONS):
+            code = F.when(F.col("along") == i, F.col(d)).otherwise(code)
+        light = light.join(along, "node", "left")
         points = light.withColumn("code", code)
         # A node's weight may differ a little from what its shards want; the cut shares it in proportion.
         goals = {n: here[n]["w"] * (sum(wants[i] for i in s[: len(s) // 2]) / (sum(wants[i] for i in s) or 1.0)) for n, s in split.items()}
         cuts = _cuts(points.select("node", "code", "weight"), goals, {n: (here[n][f"min_{wide[n]}"], here[n][f"max_{wide[n]}"]) for n in split})
-        node, fresh = F.col("node"), {n: s for n, s in nodes.items() if n not in split and len(s) == 1}
+        fresh = {n: s for n, s in nodes.items() if n not in split and len(s) == 1}
+        ends, free = [], max([*nodes, *fresh]) + 1
         for n, s in split.items():
-            left, right = max([*nodes, *fresh]) + 1, max([*nodes, *fresh]) + 2
-            fresh |= {left: s[: len(s) // 2], right: s[len(s) // 2 :]}
-            node = F.when(F.col("node") == n, F.when(F.col("code") <= cuts[n], left).otherwise(right)).otherwise(node)
+            fresh |= {free: s[: len(s) // 2], free + 1: s[len(s) // 2 :]}
+            ends.append((n, cuts[n], free, free + 1))
+            free += 2
+        ends = F.broadcast(spark.createDataFrame(ends, "node int, cut long, left int, right int"))
+        node = F.coalesce(F.when(F.col("code") <= F.col("cut"), F.col("left")).otherwise(F.col("right")), F.col("node"))
         nodes = fresh
-        light = materialise(points.withColumn("node", node).drop("code"), "level")
+        light = materialise(points.join(ends, "node", "left").withColumn("node", node).drop("code", "along", "cut", "left", "right"), "level")
     return light, {n: s[0] for n, s in nodes.items()}
 
 
@@ -164,10 +171,8 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     giant = F.col("weight") * shards > total
     laid, at = _lay([(r["digest"], r["weight"]) for r in groups.filter(giant).select("digest", "weight").collect()], total, shards)  # fewer rows than shards
     light, leaves = _tree(groups.filter(~giant), _wants(laid, total - sum(laid)))
-    of = F.col("node")
-    for n, i in leaves.items():
-        of = F.when(F.col("node") == n, i).otherwise(of)
-    light = light.select("digest", "weight", of.cast("int").alias("shard"))
+    of = F.broadcast(spark.createDataFrame(list(leaves.items()), "node int, shard int"))  # one row a shard
+    light = light.join(of, "node").select("digest", "weight", "shard")
     sizes = list(laid)
     for r in light.groupBy("shard").agg(F.sum("weight").alias("w")).collect():  # one row a shard
         sizes[r["shard"]] += r["w"]
