@@ -36,7 +36,9 @@ def exact_hits(windows: DataFrame, panel: DataFrame, oriented: bool = False) ->
         p = both_strands(panel.withColumn("kmer", F.upper("kmer"))).withColumnRenamed("kmer", "matched_kmer")
         hits = windows.drop("query_kmer").withColumnRenamed("window_kmer", "query_kmer").join(p.withColumnRenamed("key", "query_kmer"), ["k", "query_kmer"])
     else:
-        hits = windows.drop("window_kmer").join(panel.withColumnRenamed("kmer", "matched_kmer").withColumn("query_kmer", F.col("matched_kmer")), ["k", "query_kmer"])
+        # Only the k-mer is a key, as it has its k: so a panel at rest may stay in its buckets. The difference of k is a condition that Spark makes no key of.
+        p = panel.withColumnRenamed("kmer", "matched_kmer").withColumnRenamed("k", "_k")
+        hits = windows.drop("window_kmer").join(p, (F.col("query_kmer") == F.col("matched_kmer")) & (F.col("k") - F.col("_k") == 0)).drop("_k")
     return hits.withColumn("mismatches", F.lit(0))
 
 

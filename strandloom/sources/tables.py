@@ -1,4 +1,4 @@
-"""Tables by suffix, column checks, genome catalogues, taxonomy dumps, panels at rest."""
+"""Tables by suffix, column checks, genome catalogues, taxonomy dumps."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from ..functions import names
 
 # The roles a genome may have; exclude drops it.
 ROLES = ("target", "near_neighbour", "outgroup", "background", "host", "contaminant", "vector", "exclude")
-PANEL_COLUMNS = ("k", "kmer", "panel_type", "species_name", "clade", "evidence_taxid", "evidence_rank", "evidence_name", "genomes", "example_position")
 
 
 def table_format(path: str) -> str:
@@ -74,12 +73,3 @@ def taxonomy_dump(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     merged = _dump(spark, f"{folder}/merged.dmp", {"old_taxid": 0, "new_taxid": 1})
     deleted = _dump(spark, f"{folder}/delnodes.dmp", {"taxid": 0})
     return nodes.join(called, "taxid", "left").na.fill("", ["name"]), merged, deleted
-
-
-def write_panel(panel: DataFrame, path: str) -> None:
-    """A panel partitioned by k, sorted by k-mer in each file, so that reads of one k or k-mer range skip the rest."""
-    panel.repartition("k").sortWithinPartitions("k", "kmer").write.mode("overwrite").partitionBy("k").parquet(path)
-
-
-def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
