@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import screen
 from ..scratch import scratch_path
-from ..sources import panels, sequences, tables
+from ..sources import panels, runs, sequences, tables
 from .fixtures import SQL_CONTIGS, contigs, sql_windows, table
 from .q_screen import SQL_EXACT, SQL_PANEL, language_panel, windows_of_reads
 from .registry import query
@@ -91,3 +91,42 @@ def a15(spark, sf):
     t.limit(0).select(line("taxid", "parent")).write.text(f"{folder}/merged.dmp")
     t.limit(0).select(line("taxid")).write.text(f"{folder}/delnodes.dmp")
     return tables.taxonomy_dump(spark, folder)[0].select("taxid", "parent", "rank", "name")
+
+
+_RUNS = """c AS (SELECT 's' || (l_suppkey % 40) AS sample, l_returnflag AS family, l_linestatus AS species_name, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL),
+m AS (SELECT DISTINCT sample, family, substr(sample, 2)::INT AS i FROM c)"""
+
+
+def _runs(spark, sf):
+    """(root, manifest): call tables of samples in folders of three layouts; some were never written, some are damaged, some runs failed."""
+    rows = table(spark, sf, "lineitem").groupBy(F.concat(F.lit("s"), (F.col("l_suppkey") % 40).cast("string")).alias("sample"), F.col("l_returnflag").alias("family"), F.col("l_linestatus").alias("species_name")).agg(F.count("*").alias("n"))
+    i, root = F.substring("sample", 2, 9).cast("int"), scratch_path(spark, "runs")
+    head = F.when(i % 11 == 3, "broken").when(i % 2 == 0, "species_name\tn").otherwise("n\tspecies_name")
+    line = F.when(i % 2 == 0, F.concat_ws("\t", "species_name", "n")).otherwise(F.concat_ws("\t", "n", "species_name"))
+    files = rows.filter(i % 7 != 2).groupBy("sample", "family").agg(F.concat_ws("\n", F.first(head), F.sort_array(F.collect_list(line))).alias("value"))
+    layout = {0: ("samples", F.col("sample")), 1: ("old", F.concat_ws("_", "family", "sample")), 2: ("samples", F.concat(F.lit("v2_"), "sample"))}
+    for n, (top, folder) in layout.items():
+        part = files.filter(i % 3 == n).withColumn("folder", folder)
+        keys = ["family", "folder"] if top == "samples" else ["folder"]
+        part.select(*keys, "value").write.mode("append").partitionBy(*keys).option("compression", "none").text(f"{root}/{top}" if top == "samples" else root)
+    m = rows.select("sample", "family").distinct().select(
+        F.when(i % 3 == 2, F.concat(F.lit("v1_"), "sample")).otherwise(F.concat_ws("_", "family", "sample")).alias("sample_id"), F.col("family").alias("benchmark_family"),
+        F.when(i % 3 == 0, F.col("sample")).otherwise("").alias("source_relative_dir"), F.when(i % 13 == 4, 1).otherwise(0).alias("exit_code"), "sample",
+    )
+    return root, m
+
+
+@query("g11_run_outputs", f"""WITH {_RUNS} SELECT family AS benchmark_family, sample, CASE WHEN i % 13 = 4 THEN 'failed' WHEN i % 7 = 2 THEN 'missing' WHEN i % 11 = 3 THEN 'damaged' ELSE 'ok' END AS status,
+ CASE WHEN i % 7 = 2 OR i % 11 = 3 THEN 0 ELSE (SELECT count(*) FROM c WHERE c.sample = m.sample AND c.family = m.family) END::BIGINT AS n_calls FROM m""")
+def g11_outputs(spark, sf):
+    root, manifest = _runs(spark, sf)
+    resolved = runs.resolve_outputs(manifest, runs.find_outputs(spark, root, "part-*"), old_prefix="v1_")
+    return runs.run_outcomes(resolved, runs.read_calls(spark, root, ("species_name", "n"), "part-*")).select("benchmark_family", "sample", "status", "n_calls")
+
+
+@query("g22_authoritative_by_sample", """WITH c AS (SELECT o_custkey AS sample_id, o_orderpriority AS species_name, count(*)::BIGINT AS n FROM orders WHERE o_custkey % 3 > 0 GROUP BY ALL), w AS (SELECT c_custkey AS sample_id, c_mktsegment AS species_name, c_nationkey::BIGINT AS n FROM customer)
+SELECT *, 'calls' AS source_table FROM c UNION ALL SELECT *, 'wide' FROM w WHERE sample_id NOT IN (SELECT sample_id FROM c)""")
+def g22_by_sample(spark, sf):
+    o, c = table(spark, sf, "orders").filter("o_custkey % 3 > 0"), table(spark, sf, "customer")
+    calls = o.groupBy(F.col("o_custkey").alias("sample_id"), F.col("o_orderpriority").alias("species_name")).agg(F.count("*").alias("n"))
+    return runs.authoritative_by_sample(calls, c.select(F.col("c_custkey").alias("sample_id"), F.col("c_mktsegment").alias("species_name"), F.col("c_nationkey").cast("long").alias("n")))
