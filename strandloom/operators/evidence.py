@@ -12,11 +12,12 @@ from ..functions import names, scores
 from . import taxonomy
 
 
-def label_hits(hits: DataFrame, by: Sequence[str] = ("sample_id", "panel_type", "species_name", "clade", "k")) -> DataFrame:
-    """Hits per label and k: counts, distinct k-mers and sequences, exact and fuzzy, least and most mismatches."""
+def label_hits(hits: DataFrame, by: Sequence[str] = ("sample_id", "panel_type", "species_name", "clade", "k"), weight: str | None = None) -> DataFrame:
+    """Hits per label and k: counts, distinct k-mers and sequences, exact and fuzzy, least and most mismatches. ``weight``: a column of the hits that a row stands for."""
+    n = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     return hits.groupBy(*by).agg(
-        F.count("*").alias("n_hits"), F.count_distinct("matched_kmer").alias("n_unique_kmers"), F.count_distinct("sequence_id").alias("n_positive_sequences"),
-        F.sum((F.col("mismatches") == 0).cast("long")).alias("n_exact_hits"), F.sum((F.col("mismatches") > 0).cast("long")).alias("n_fuzzy_hits"),
+        F.sum(n).alias("n_hits"), F.count_distinct("matched_kmer").alias("n_unique_kmers"), F.count_distinct("sequence_id").alias("n_positive_sequences"),
+        F.sum(F.when(F.col("mismatches") == 0, n).otherwise(0)).alias("n_exact_hits"), F.sum(F.when(F.col("mismatches") > 0, n).otherwise(0)).alias("n_fuzzy_hits"),
         F.min("mismatches").alias("min_mismatches"), F.max("mismatches").alias("max_mismatches"),
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, seq
-from ..scratch import materialise
+from ..scratch import broadcast_if_small, materialise
 from . import taxonomy
 
 HIT = ("sample_id", "sequence_id", "k", "query_position", "matched_kmer", "query_kmer", "mismatches", "panel_type", "species_name", "clade", "evidence_rank", "evidence_name")
@@ -193,7 +193,7 @@ def hierarchical(windows: DataFrame, gate_markers: DataFrame, module_markers: Da
 def complete_species(evidence: DataFrame, species: DataFrame) -> DataFrame:
     """Zero rows for panel species that a sample doesn't show; both sides are small tables of labels."""
     samples = evidence.select("sample_id").distinct()
-    grid = samples.crossJoin(F.broadcast(species.select("species_name").distinct()))
+    grid = samples.crossJoin(broadcast_if_small(materialise(species.select("species_name").distinct(), "species")))
     counts = [c for c, t in evidence.dtypes if t in ("int", "bigint")]
     return grid.join(evidence, ["sample_id", "species_name"], "left").na.fill(0, counts)
 

@@ -108,10 +108,30 @@ p AS (SELECT 'legacy' AS profile, list_concat(r, b) AS f FROM t UNION ALL SELECT
 profiles AS (SELECT profile, i::INT AS place, f[i + 1] AS feature FROM (SELECT *, unnest(range(len(f))) AS i FROM p))"""
 
 
-@query("f12_feature_profiles", f"WITH {SQL_PROFILES} SELECT profile, place, feature FROM profiles")
+_SHOWN = {
+    "has_long_k_support": "best_k >= 101", "has_multi_k_support": "n_k_values_positive >= 2", "exact_hit_fraction": "n_hits > 0 AND n_exact_hits > 0", "fuzzy_hit_fraction": "n_hits > 0 AND n_fuzzy_hits > 0",
+    "positive_sequences_per_unique_kmer": "n_unique_kmers > 0 AND n_positive_sequences > 0", "unique_kmers_per_positive_sequence": "n_unique_kmers > 0 AND n_positive_sequences > 0", "exact_hits_per_unique_kmer": "n_unique_kmers > 0 AND n_exact_hits > 0",
+    "conflicting_unique_kmer_fraction": "conflicting_unique_kmers > 0", "reportable_conflicting_unique_kmer_fraction": "reportable_conflicting_unique_kmers > 0",
+}
+
+
+def _sql_shown(feature: str) -> str:
+    """When a call's feature is above 0."""
+    return _SHOWN.get(feature, "false" if "spike" in feature else f"{feature.removeprefix('log1p_')} > 0")
+
+
+_FEATURES = sorted({c for cols in calibrate.feature_profiles().values() for c in cols})
+
+
+@query("f12_feature_profiles", f"""WITH {SQL_EVIDENCE}, {sql_calls(_ODD)}, {SQL_PROFILES}, shown AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({_sql_shown(c)})::BIGINT AS n_shown FROM calls" for c in _FEATURES)})
+SELECT profile, place, feature, n_shown FROM profiles JOIN shown USING (feature)""")
 def f12(spark, sf):
+    """Each profile's features in order, and how many calls have them above 0."""
+    f = calibrate.call_features(calls(spark, sf, _ODD))
+    shown = f.agg(*(F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in _FEATURES))
+    shown = shown.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("n_shown")) for c in _FEATURES))).alias("x")).select("x.*")
     rows = [(p, i, c) for p, cols in calibrate.feature_profiles().items() for i, c in enumerate(cols)]
-    return spark.createDataFrame(rows, "profile string, place int, feature string")
+    return spark.createDataFrame(rows, "profile string, place int, feature string").join(shown, "feature")
 
 
 @query("f13_hash_split", "SELECT o_custkey, (('0x' || substr(sha256(o_custkey || '|' || o_orderpriority), 1, 12))::BIGINT % 10000) < 2000 AS is_test, count(*)::BIGINT AS n FROM orders GROUP BY ALL")

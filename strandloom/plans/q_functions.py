@@ -144,8 +144,8 @@ def b14(spark, sf):
 WITH j AS (SELECT source, string_agg(lang || ' ; ;' || lang, ';' ORDER BY doc_id) AS joined FROM documents GROUP BY source)
 SELECT source, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(joined, ';'), lambda x: trim(x)), lambda x: x <> ''))), ';') AS langs FROM j""")
 def b15(spark, sf):
-    d = table(spark, sf, "documents").groupBy("source").agg(F.concat_ws(";", F.collect_list(F.concat("lang", F.lit(" ; ;"), "lang"))).alias("joined"))
-    return d.select("source", F.array_join(names.split_set(F.col("joined")), ";").alias("langs"))
+    items = table(spark, sf, "documents").select("source", F.explode(names.split_set(F.concat("lang", F.lit(" ; ;"), "lang"))).alias("lang")).distinct()
+    return items.groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("lang")), ";").alias("langs"))
 
 
 @query("b16_label_list", "SELECT c_custkey, array_to_string(list_filter(list_transform(string_split_regex(c_name || ',' || c_mktsegment || '; ,x', '[,;]'), lambda x: trim(x)), lambda x: x <> ''), '; ') AS labels FROM customer")

@@ -26,8 +26,8 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make a session fit for the operators that run Python: Arrow batches are bounded by bytes, and the package is importable
-    by the session's workers (sent once as a zip file unless the environment's PYTHONPATH already leads to it)."""
+    """Make a session fit for the operators that run Python: Arrow batches are bounded by bytes (for all queries of the session from then
+    on, unless it has a bound of its own), and the package is importable by the session's workers (sent once as a zip file unless the environment's PYTHONPATH already leads to it)."""
     import tempfile
     import zipfile
     from pathlib import Path

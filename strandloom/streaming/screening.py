@@ -38,5 +38,5 @@ def write_hits(hits: DataFrame, path: str, checkpoint: str):
 
 def calls_so_far(spark: SparkSession, path: str, rules: evidence.CallRules = evidence.PRESETS["legacy"]) -> DataFrame:
     """Calls over all hits written so far, when they are asked for."""
-    rows = spark.read.parquet(path).select(*COUNTED, F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("_")).drop("_")
-    return evidence.call_species(evidence.species_evidence(evidence.label_hits(rows)), rules)
+    rows = spark.read.parquet(path).select(*COUNTED, "n")
+    return evidence.call_species(evidence.species_evidence(evidence.label_hits(rows, weight="n")), rules)
