@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, scores
+from ..scratch import materialise
+from . import taxonomy
 
 POSITIVE = ("present_high_confidence", "present_in_mixed_sample")
 
@@ -324,6 +326,43 @@ def reference_audit(panel: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.withColumn("status", status).drop("_acc", "_sum", "_sp", "a", "s", "p")
 
 
+def reference_gate(audit: DataFrame, truth: DataFrame, minimum: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(coverage per expected species, summary as metric and value) of an audited reference panel.
+
+    ``audit``: matched_truth_species, fasta_status, audit_status; ``truth``: species_name, taxid, one row a species. The gate passes (gate_status PASS, else BLOCKED) if every
+    species has at least ``minimum`` references of its own, none leaks and all files are there.
+    """
+    if minimum <= 0:
+        raise ValueError("minimum must be positive")
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    own = audit.filter(text("audit_status") == "same_species_reference").groupBy(text("matched_truth_species").alias("species_name")).agg(F.count("*").alias("n"))
+    coverage = truth.join(own, "species_name", "left").select("species_name", "taxid", F.coalesce("n", F.lit(0)).alias("reference_count"))
+    coverage = coverage.withColumn("panel_status", F.when(F.col("reference_count") >= minimum, "represented").otherwise("missing"))
+    seen = coverage.agg(F.count("*").alias("expected"), F.count(F.when(F.col("panel_status") == "represented", 1)).alias("represented"), F.coalesce(F.min("reference_count"), F.lit(0)).alias("least"))
+    bad = audit.agg(F.count(F.when(text("audit_status") == "leakage", 1)).alias("leakage"), F.count(F.when(text("fasta_status") != "present", 1)).alias("incomplete"))
+    both = seen.crossJoin(bad)  # one row each
+    passed = (F.col("expected") == F.col("represented")) & (F.col("leakage") == 0) & (F.col("incomplete") == 0) & (F.col("least") >= minimum)
+    metrics = {
+        "expected_species": F.col("expected"), "represented_species": F.col("represented"), "missing_species": F.col("expected") - F.col("represented"), "leakage_rows": F.col("leakage"), "incomplete_fasta_rows": F.col("incomplete"),
+        "minimum_references_per_species": F.col("least"), "required_references_per_species": F.lit(minimum), "gate_status": F.when(passed, "PASS").otherwise("BLOCKED"),
+    }
+    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), v.cast("string").alias("value")) for m, v in metrics.items()))).alias("x")
+    return coverage, both.select(rows).select("x.*")
+
+
+def taxid_plan(truth: DataFrame, tree: taxonomy.Tree, targets: int = 5, neighbours_per_genus: int = 25, clades: tuple[str, str] = ("target_species", "target_genera")) -> DataFrame:
+    """What to fetch for a truth table (species_name, taxid): each species, and each distinct genus of theirs for near neighbours. A species without a genus is an error."""
+    if targets <= 0 or neighbours_per_genus <= 0:
+        raise ValueError("numbers of assemblies must be positive")
+    genus = taxonomy.best_named(tree, ("genus",)).select("taxid", F.col("node.taxid").alias("genus_taxid"), F.col("node.name").alias("genus"), F.lower("node.rank").alias("rank"))
+    rows = truth.join(genus, "taxid", "left")
+    found = F.when(F.coalesce(F.col("rank") == "genus", F.lit(False)), F.col("genus_taxid")).otherwise(F.raise_error(F.concat(F.lit("no genus for "), "species_name")))
+    rows = materialise(rows.withColumn("genus_taxid", found), "genera")
+    row = lambda taxid, role, clade, label, most, best: (F.col(taxid).alias("taxid"), F.lit(role).alias("role"), F.lit(clade).alias("clade"), label.alias("group_label"), F.lit(most).alias("max_assemblies"), F.lit(best).alias("best_per_species"))
+    own = rows.select(*row("taxid", "target_species", clades[0], F.concat(F.lit("target_"), names.safe_identifier(F.col("species_name"))), targets, targets))
+    return own.unionByName(rows.select("genus_taxid", "genus").distinct().select(*row("genus_taxid", "near_neighbour", clades[1], F.concat(F.lit("genus_"), names.safe_identifier(F.col("genus"))), neighbours_per_genus, 1)))
+
+
 def reference_config(rows: DataFrame, target_assemblies: int, neighbour_assemblies: int) -> DataFrame:
     """One row per assembly (accession, else path) by priority target, neighbour, background; then quotas per species or genus."""
     key = F.when(names.accession(F.col("accession")) != "", names.accession(F.col("accession"))).otherwise(F.col("path"))

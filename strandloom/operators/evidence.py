@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, scores
@@ -144,18 +144,28 @@ REPORTABLE = ("present_high_confidence", "present_in_mixed_sample")
 CONSOLIDATED = (*REPORTABLE, "ambiguous_conflicting_signal")
 
 
-def consolidate(calls: DataFrame, background: Sequence[str] = (), demote: bool = True, min_margin: int = 25, min_ratio: float = 2.0, min_fraction: float = 0.0, positive: Sequence[str] = REPORTABLE) -> DataFrame:
+def background_taxa(spark: SparkSession, labels: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """taxon: normalised background labels, those given and those of a text file (one a line; blank lines and comments, which begin with #, don't count)."""
+    own = spark.createDataFrame([(x,) for x in labels], "value string")
+    both = own.unionByName(spark.read.text(path).filter(~F.startswith(F.trim("value"), F.lit("#")))) if path else own
+    return both.select(names.taxon_key(F.col("value")).alias("taxon")).filter("taxon <> ''").distinct()
+
+
+def consolidate(calls: DataFrame, background: Sequence[str] | DataFrame = (), demote: bool = True, min_margin: int = 25, min_ratio: float = 2.0, min_fraction: float = 0.0, positive: Sequence[str] = REPORTABLE) -> DataFrame:
     """Within each sample and genus the best reportable species stays; dominated or too weak neighbours are demoted.
 
-    The primary species is the first of a window over (sample, genus), so no join is needed.
+    The primary species is the first of a window over (sample, genus), so no join is needed. ``background``: labels, or a table as ``background_taxa`` gives it.
     """
     u, species = F.col("n_unique_kmers"), F.col("species_name")
     rows = calls.withColumn("taxon_genus", names.genus(species)).withColumn("_ok", F.col("call").isin(*positive))
     group = Window.partitionBy("sample_id", "taxon_genus")
     best = F.struct((-u).alias("u"), (-F.col("n_positive_sequences")).alias("s"), (-F.col("best_k")).alias("k"), species.alias("name"))
     rows = rows.withColumn("_first", F.min(F.when(F.col("_ok") & (F.col("taxon_genus") != ""), best)).over(group))
-    is_background = names.taxon_key(species).isin([b.replace("_", " ").strip().lower() for b in background]) if background else F.lit(False)
-    rows = rows.withColumn("_bg", is_background)
+    if isinstance(background, DataFrame):
+        listed = background.select(F.col("taxon").alias("_taxon")).withColumn("_listed", F.lit(True))
+        rows = rows.join(listed, names.taxon_key(species) == F.col("_taxon"), "left").withColumn("_bg", F.coalesce("_listed", F.lit(False))).drop("_taxon", "_listed")
+    else:
+        rows = rows.withColumn("_bg", names.taxon_key(species).isin([b.replace("_", " ").strip().lower() for b in background]) if background else F.lit(False))
     other = F.col("_ok") & ~F.col("_bg") & F.lit(demote) & F.col("_first").isNotNull() & (F.col("_first.name") != species)
     top = -F.col("_first.u")
     ratio = F.when(u > 0, top / u)

@@ -92,6 +92,17 @@ def select_markers(markers: DataFrame, bucket: Sequence[str], selection: Selecti
     return independent_markers(rows, bucket, quota, selection.cap or 2**31 - 1, selection.distance)
 
 
+def capped_panel(markers: DataFrame, bucket: Sequence[str], selection: Selection | None, order: Sequence[str] = ("kmer",)) -> tuple[DataFrame, DataFrame]:
+    """(panel, summary per bucket: candidates, written, left_out) of markers; without a selection all are written and none counts as left out."""
+    kept = markers if selection is None else select_markers(markers, bucket, selection).select(markers.columns)
+    kept = materialise(kept.orderBy(*bucket, *order), "panel")
+    count = lambda df, name: df.groupBy(*bucket).agg(F.count("*").alias(name))
+    keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in bucket]
+    both = count(markers, "candidates").alias("a").join(count(kept, "written").alias("b"), reduce(and_, keys), "left")
+    written = F.coalesce("written", F.lit(0))
+    return kept, both.select(*(F.col(f"a.{c}").alias(c) for c in bucket), "candidates", written.alias("written"), (F.col("candidates") - written).alias("left_out"))
+
+
 def spread_markers(markers: DataFrame, bucket: Sequence[str], quota: int | Column, cap: int | None) -> DataFrame:
     """Per (bucket, k, bin) the ``quota`` lowest scores; over ``cap`` per bucket, first each bin's best, then by score."""
     by_bin = Window.partitionBy(*bucket, "k", "bin").orderBy("score", "kmer")

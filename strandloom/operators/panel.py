@@ -169,13 +169,14 @@ def retained_summary(status: DataFrame) -> DataFrame:
     return status.filter("status = 'retained'").groupBy("evidence_rank", "evidence_name", "evidence_taxid", "k").agg(F.count("*").alias("n_kmers"))
 
 
-def build_global(observations: DataFrame, candidates: DataFrame | None, tree: taxonomy.Tree, **options) -> tuple[DataFrame, DataFrame]:
-    """(k-mers with node and status, number of k-mers per stage and metric): candidates' k-mers in all genomes, grouped, then judged.
+def build_global(groups: DataFrame, candidates: DataFrame | None, tree: taxonomy.Tree, **options) -> tuple[DataFrame, DataFrame]:
+    """(k-mers with node and status, number of k-mers per stage and metric): candidates' k-mers in all genomes, judged.
 
-    ``candidates``: (k, kmer) that are followed, all if None; ``options`` go to ``assign_status``.
+    ``groups``: the k-mers of all genomes (``group_sequences``), so that candidates are looked up once per k-mer and not per window; ``candidates``: (k, kmer) that are
+    followed, all if None; ``options`` go to ``assign_status``.
     """
-    own = observations if candidates is None else observations.join(candidates.select("k", "kmer").distinct(), ["k", "kmer"], "left_semi")
-    status = assign_status(group_kmers(own), tree, **options)
+    own = groups if candidates is None else groups.join(candidates.select("k", "kmer").distinct(), ["k", "kmer"], "left_semi")
+    status = assign_status(own, tree, **options)
     counts = status.groupBy("status").agg(F.count("*").alias("value"))
     summary = counts.select(F.lit("assign").alias("stage"), F.col("status").alias("metric"), "value").unionByName(counts.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value")).select(F.lit("collect").alias("stage"), F.lit("kmers").alias("metric"), "value"))
     return status, summary

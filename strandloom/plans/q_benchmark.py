@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq
 from ..operators import benchmark as bench
+from ..operators import taxonomy
 from .fixtures import SQL_HITS, hits, table
 from .registry import query
 
@@ -291,6 +292,39 @@ def g33(spark, sf):
     return bench.reference_config(r, 5, 7).select("p_partkey", "role", "species")
 
 
+_GATE = """au AS (SELECT p_brand AS matched_truth_species, CASE WHEN p_partkey % 9 = 0 THEN 'missing' ELSE 'present' END AS fasta_status, CASE WHEN p_partkey % 31 = 0 THEN 'leakage' WHEN p_partkey % 2 = 0 THEN 'same_species_reference' ELSE 'clear' END AS audit_status FROM part),
+tr AS (SELECT DISTINCT p_brand AS species_name FROM part UNION SELECT 'Never seen'),
+co AS (SELECT species_name, (SELECT count(*) FROM au WHERE matched_truth_species = species_name AND audit_status = 'same_species_reference') AS n FROM tr)"""
+
+
+def _gate(spark, sf):
+    part, i = table(spark, sf, "part"), F.col("p_partkey")
+    audit = part.select(F.col("p_brand").alias("matched_truth_species"), F.when(i % 9 == 0, "missing").otherwise("present").alias("fasta_status"), F.when(i % 31 == 0, "leakage").when(i % 2 == 0, "same_species_reference").otherwise("clear").alias("audit_status"))
+    truth = part.select(F.col("p_brand").alias("species_name")).union(spark.range(1).select(F.lit("Never seen"))).distinct().withColumn("taxid", F.lit("1"))
+    return bench.reference_gate(audit, truth, 3)
+
+
+@query("g33_gate_coverage", f"WITH {_GATE} SELECT species_name, n::BIGINT AS reference_count, CASE WHEN n >= 3 THEN 'represented' ELSE 'missing' END AS panel_status FROM co")
+def g33_coverage(spark, sf):
+    return _gate(spark, sf)[0].drop("taxid")
+
+
+@query("g33_gate_summary", f"""WITH {_GATE}, c AS (SELECT count(*) AS e, count(*) FILTER (n >= 3) AS r, min(n) AS least FROM co), a AS (SELECT count(*) FILTER (audit_status = 'leakage') AS l, count(*) FILTER (fasta_status <> 'present') AS i FROM au)
+SELECT 'expected_species' AS metric, e::VARCHAR AS value FROM c UNION ALL SELECT 'represented_species', r::VARCHAR FROM c UNION ALL SELECT 'missing_species', (e - r)::VARCHAR FROM c UNION ALL SELECT 'leakage_rows', l::VARCHAR FROM a UNION ALL SELECT 'incomplete_fasta_rows', i::VARCHAR FROM a
+UNION ALL SELECT 'minimum_references_per_species', least::VARCHAR FROM c UNION ALL SELECT 'required_references_per_species', '3' UNION ALL SELECT 'gate_status', CASE WHEN e = r AND l = 0 AND i = 0 AND least >= 3 THEN 'PASS' ELSE 'BLOCKED' END FROM c, a""")
+def g33_summary(spark, sf):
+    return _gate(spark, sf)[1]
+
+
+@query("g33_taxid_plan", """SELECT DISTINCT 'S_' || lang || '_' || source AS taxid, 'target_species' AS role, 'target_' || lang || '_' || source AS group_label, 5 AS max_assemblies, 5 AS best_per_species FROM documents
+UNION ALL SELECT DISTINCT 'G_' || lang, 'near_neighbour', 'genus_' || lang, 25, 1 FROM documents""")
+def g33_plan(spark, sf):
+    from .q_panel import tree
+
+    d = table(spark, sf, "documents").select(F.concat_ws("_", "lang", "source").alias("species_name"), F.concat_ws("_", F.lit("S"), "lang", "source").alias("taxid")).distinct()
+    return bench.taxid_plan(d, taxonomy.index(tree(spark, sf))).drop("clade")
+
+
 @query("g34_assembly_filter", f"""WITH {SQL_ASM} SELECT p_partkey, CASE WHEN level = 'Contig' THEN 'assembly_level' WHEN path = '' THEN 'missing_path' WHEN total_length < 950 THEN 'total_length_below_minimum' WHEN scaffold_n50 < 10000 THEN 'scaffold_n50' WHEN contig_n50 < 6000 THEN 'contig_n50' WHEN p_partkey % 17 = 0 THEN 'excluded_accession' ELSE '' END AS reason FROM (SELECT * REPLACE (round(p2.p_retailprice)::BIGINT AS total_length) FROM asm JOIN (SELECT p_partkey AS pk, p_retailprice FROM part) p2 ON pk = p_partkey)""")
 def g34(spark, sf):
     a = assemblies(spark, sf)

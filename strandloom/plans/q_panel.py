@@ -233,8 +233,7 @@ def c27(spark, sf):
 
 @query("c29_global_kmers", f"""WITH {sql_windows(21)}, {SQL_CAND}, {SQL_GROUPS} SELECT array_to_string(taxids, ';') AS taxids, array_to_string(roles, ';') AS roles, count(*)::BIGINT AS n, sum(example_position)::BIGINT AS positions FROM groups SEMI JOIN cand USING (k, kmer) GROUP BY 1, 2""")
 def c29(spark, sf):
-    w = windows(spark, sf, 21)
-    g = panel.group_kmers(w.join(_candidates(w), ["k", "kmer"], "left_semi"))
+    g = groups(spark, sf, 21).join(_candidates(windows(spark, sf, 21)), ["k", "kmer"], "left_semi")
     return g.groupBy(F.array_join("taxids", ";").alias("taxids"), F.array_join("roles", ";").alias("roles")).agg(F.count("*").alias("n"), F.sum(F.col("example_position").cast("long")).alias("positions"))
 
 
@@ -301,14 +300,13 @@ def c40(spark, sf):
 @query("c34_global_build", f"""WITH {sql_windows(21)}, {SQL_CAND}, {SQL_GROUPS}, {SQL_STATUS}, s AS (SELECT * FROM status SEMI JOIN cand USING (k, kmer))
 SELECT status, evidence_taxid, k, count(*)::BIGINT AS n, min(kmer) AS first_kmer FROM s GROUP BY ALL""")
 def c34(spark, sf):
-    w = windows(spark, sf, 21)
-    status, _ = panel.build_global(w, _candidates(w), taxonomy.index(tree(spark, sf)), target_taxid="G_en")
+    status, _ = panel.build_global(groups(spark, sf, 21), _candidates(windows(spark, sf, 21)), taxonomy.index(tree(spark, sf)), target_taxid="G_en")
     return status.groupBy("status", "evidence_taxid", "k").agg(F.count("*").alias("n"), F.min("kmer").alias("first_kmer"))
 
 
 @query("c34_build_summary", f"""WITH {sql_windows(21)}, {SQL_GROUPS}, {SQL_STATUS} SELECT 'assign' AS stage, status AS metric, count(*)::BIGINT AS value FROM status GROUP BY status UNION ALL SELECT 'collect', 'kmers', count(*)::BIGINT FROM status""")
 def c34_summary(spark, sf):
-    return panel.build_global(windows(spark, sf, 21), None, taxonomy.index(tree(spark, sf)), target_taxid="G_en")[1]
+    return panel.build_global(groups(spark, sf, 21), None, taxonomy.index(tree(spark, sf)), target_taxid="G_en")[1]
 
 
 @query("c37_select_markers", f"""WITH {sql_windows(21)}, {SQL_SCORED}, u AS (SELECT DISTINCT genome, k, kmer, bin, score FROM scored), q AS (SELECT *, row_number() OVER (PARTITION BY genome, k, bin ORDER BY score, kmer) AS r FROM u),
@@ -318,12 +316,20 @@ def c37(spark, sf):
     return markers.select_markers(_scored(windows(spark, sf, 21)), ["genome"], chosen).select("genome", "bin", "kmer")
 
 
+@query("c38_capped_panel", f"""WITH {sql_windows(21)}, {SQL_SCORED}, r AS (SELECT genome, row_number() OVER (PARTITION BY genome, k ORDER BY kmer, genome, doc_id, position) AS r FROM scored_first)
+SELECT genome, count(*)::BIGINT AS candidates, count(*) FILTER (r <= 200)::BIGINT AS written, count(*) FILTER (r > 200)::BIGINT AS left_out FROM r GROUP BY genome""".replace("r AS (SELECT genome, row", "scored_first AS (SELECT genome, k, kmer, bin, min({'d': doc_id, 'p': position}).d AS doc_id, min({'d': doc_id, 'p': position}).p AS position FROM scored GROUP BY ALL), r AS (SELECT genome, row"))
+def c38(spark, sf):
+    """What a writer with a cap writes and leaves out of each genome's markers."""
+    chosen = markers.Selection("first_seen", cap=200)
+    return markers.capped_panel(_scored(windows(spark, sf, 21)), ["genome"], chosen)[1]
+
+
 @query("c41_merge_modules", f"""WITH {sql_windows(21)}, {SQL_GROUPS}, {SQL_STATUS} SELECT status, evidence_taxid, count(*)::BIGINT AS n, sum(len(species))::BIGINT AS species FROM status GROUP BY ALL""")
 def c41(spark, sf):
     """A module per language and its global table; all tables united and judged anew."""
-    w, join = windows(spark, sf, 21), lambda c: F.array_join(c, ";").alias(c)
+    c, join = contigs(spark, sf), lambda x: F.array_join(x, ";").alias(x)
     sets = ("species", "genomes", "clades", "roles", "taxids")
-    modules = [panel.group_kmers(w.filter(F.col("clade") == x)).select("k", "kmer", *map(join, sets), "example_position") for x in ("en", "de", "es", "fr")]
+    modules = [panel.group_sequences(c.filter(F.col("clade") == x), [21]).select("k", "kmer", *map(join, sets), "example_position") for x in ("en", "de", "es", "fr")]
     s = panel.merge_modules(modules, taxonomy.index(tree(spark, sf)), target_taxid="G_en")
     return s.groupBy("status", "evidence_taxid").agg(F.count("*").alias("n"), F.sum(F.size("species").cast("long")).alias("species"))
 

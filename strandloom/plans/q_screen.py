@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evidence, panel, screen, taxonomy
+from ..scratch import scratch_path
 from .fixtures import K, SQL_HITS, contigs, groups, hits, reads, spread, sql_reads_windows, sql_windows, table, windows
 from .q_panel import SQL_GROUPS, tree
 from .registry import query
@@ -245,6 +246,16 @@ def e07(spark, sf):
     return c.select("sample_id", "species_name", "pre_consolidation_call", "call", "report_layer", "consolidation_reason", "primary_species", "primary_unique_kmers", "primary_ratio")
 
 
+@query("e08_background_lists", SQL_CONSOLIDATED)
+def e08(spark, sf):
+    """The same consolidation with its background from a list and from a file."""
+    path = scratch_path(spark, "background")
+    spark.createDataFrame([("# comment",), ("",), ("  Genus_click ",), ("Genus never seen",)], "value string").coalesce(1).write.text(path)
+    background = evidence.background_taxa(spark, ["Genus_never_listed", " "], path)
+    c = evidence.consolidate(calls(spark, sf, _ODD), background=background, min_margin=2, min_ratio=1.02, min_fraction=0.93)
+    return c.select("sample_id", "species_name", "pre_consolidation_call", "call", "report_layer", "consolidation_reason", "primary_species", "primary_unique_kmers", "primary_ratio")
+
+
 def sql_lineage(min_unique: int) -> str:
     return f"""sp AS (SELECT sample_id, count(*) FILTER (call IN ('present_high_confidence', 'present_in_mixed_sample')) AS nr, string_agg(species_name, ';' ORDER BY species_name) FILTER (call IN ('present_high_confidence', 'present_in_mixed_sample')) AS nm,
  count(*) FILTER (call IN ('present_low_confidence', 'observed_below_threshold', 'ambiguous_conflicting_signal', 'neighbour_lineage_evidence') AND n_unique_kmers > 0) AS nw, first(species_name ORDER BY n_unique_kmers DESC, n_positive_sequences DESC, best_k DESC, species_name) AS best_species FROM calls GROUP BY 1),
