@@ -12,7 +12,7 @@ Null and short sequences have no windows; windows with other letters than A, C,
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -141,12 +141,10 @@ def _strings(words: list[np.ndarray], k: int) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int64) * k).tobytes()), pa.py_buffer(out.tobytes())]).cast(pa.string())
 
 
-def expand(bases: Sequence[bytes], n: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Canonical words of all windows of packed super-k-mers, each window's super-k-mer, and its place in there."""
-    raw = np.frombuffer(b"".join(bases), np.uint8)
+def expand(raw: np.ndarray, size: np.ndarray, n: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Canonical words of all windows of packed super-k-mers (of ``size`` bytes and ``n`` windows each, one after the other), each window's super-k-mer, and its place in there."""
     codes = np.stack((raw >> 6, raw >> 4 & 3, raw >> 2 & 3, raw & 3), 1).ravel()
-    size = np.array([4 * len(b) for b in bases], np.int64)
-    at = np.cumsum(size) - size
+    at = (np.cumsum(size) - size) * 4
     of = np.repeat(np.arange(len(n)), n)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     starts, pad = at[of] + nth, np.zeros(64, np.uint8)
@@ -165,13 +163,15 @@ _GROUPED = "k int, kmer string, sources array<long>, positions array<long>, part
 def _group(k: int):
     """Super-k-mers sorted by (minimizer, salt) to one row a k-mer, or one a k-mer and part of a hot minimizer: sources in order and the first position in each."""
 
-    def judge(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        source, start, n, bases, partial = (list(c) for c in zip(*rows))
-        words, of, nth = expand(bases, np.array(n, np.int64), k)
-        ids, which = np.unique(np.array(source, np.int64), return_inverse=True)
+    def judge(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, start, n, bases, partial = (pa.concat_arrays([p.column(i) for p in parts]) for i in range(2, 7))
+        _, offsets, data = bases.buffers()
+        offsets = np.frombuffer(offsets, np.int32, len(bases) + bases.offset + 1)[bases.offset :]
+        words, of, nth = expand(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets).astype(np.int64), n.to_numpy().astype(np.int64), k)
+        ids, which = np.unique(source.to_numpy(), return_inverse=True)
         # A source's rank and a position in one number: positions are below 2^40.
-        place = which[of] << 40 | np.array(start, np.int64)[of] + nth
-        hot = np.array(partial, bool)[of]
+        place = which[of] << 40 | start.to_numpy()[of] + nth
+        hot = partial.to_numpy(zero_copy_only=False)[of]
         order = np.lexsort((place, *words[::-1]))
         words, place, hot = [w[order] for w in words], place[order], hot[order]
         new = np.ones(len(order), bool)
@@ -189,16 +189,25 @@ def _group(k: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(part.stop - part.start, k, np.int32)), _strings([w[part] for w in words], k), *lists, pa.array(hot[part])], ["k", "kmer", "sources", "positions", "partial"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         count, last = 0, None
         for b in batches:
-            for minimizer, salt, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if (minimizer, salt) != last and count >= CHUNK:
-                    yield from judge(held)
-                    held, count = [], 0
-                last = (minimizer, salt)
-                held.append(tuple(row))
-                count += row[2]
+            if not b.num_rows:
+                continue
+            minimizer, salt = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new = np.ones(b.num_rows, bool)
+            new[1:] = (minimizer[1:] != minimizer[:-1]) | (salt[1:] != salt[:-1])
+            new[0] = last is not None and (minimizer[0], salt[0]) != last
+            last = minimizer[-1], salt[-1]
+            # Windows before each row; chunks end where a minimizer does, at the first such place that makes them large enough.
+            before = np.concatenate(([0], np.cumsum(b.column(4).to_numpy(), dtype=np.int64)))
+            cuts, low = np.flatnonzero(new), 0
+            while (i := int(np.searchsorted(before[cuts], before[low] + CHUNK - count))) < len(cuts):
+                held.append(b.slice(low, cuts[i] - low))
+                yield from judge(held)
+                held, count, low, cuts = [], 0, int(cuts[i]), cuts[i + 1 :]
+            held.append(b.slice(low))
+            count += int(before[-1] - before[low])
         if held:
             yield from judge(held)
 
