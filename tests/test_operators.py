@@ -60,6 +60,25 @@ def test_independent_markers_match_a_plain_loop(spark):
     assert got == {(x[2], x[1], x[3]) for x in want} and {x[2] for x in want} == {5, 9}
 
 
+@pytest.mark.parametrize("seed, cap", [(1, 3), (2, 7), (3, 1000)])
+def test_independent_markers_with_caps_in_several_buckets(spark, seed, cap):
+    r = random.Random(seed)
+    rows = [(b, f"g{r.randrange(2)}", r.randrange(2), k, r.randrange(400), f"{b}:{k}:{i}", 0, f"{r.randrange(30):02d}") for b in ("x", "y", None) for k in (5, 9, 14) for i in range(25)]
+    df = spark.createDataFrame(rows, "b string, genome string, doc_id int, k int, position int, kmer string, bin int, score string").repartition(4)
+    got = {(x.b, x.kmer) for x in markers.independent_markers(df, ["b"], 20, cap, 8).collect()}
+    want = set()
+    for b in ("x", "y", None):
+        taken, full = [], Counter()
+        kept = [x for k in (5, 9, 14) for x in sorted((x for x in rows if x[0] == b and x[3] == k), key=lambda x: (x[7], x[5]))[:20]]
+        for x in sorted(kept, key=lambda x: (x[7], -x[3], x[5])):
+            near = any(y[3] != x[3] and y[1:3] == x[1:3] and y[4] < x[4] + x[3] + 8 and x[4] < y[4] + y[3] + 8 for y in taken)
+            if full[x[3]] < cap and not near:
+                full[x[3]] += 1
+                taken.append(x)
+        want |= {(b, x[5]) for x in taken}
+    assert got == want
+
+
 def test_profiles_and_selections(spark):
     assert markers.resolve_profile("raw_ont_lod_balanced", [77, 51]) == ([77, 51], 150, {51: 4, 77: 6, 101: 4, 151: 1})
     assert markers.resolve_profile("default", [51, 151, 77]) == ([151, 77, 51], 5000, {})
