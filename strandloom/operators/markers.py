@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..scratch import broadcast_if_small, materialise
+from . import windows
 
 
 # Build profiles with their order of k, distance between markers of different k, and quota per bin by k.
@@ -120,6 +121,12 @@ def sample_universe(observations: DataFrame, bin_size: int, quota: int, k_values
     return observations.withColumn("bin", b).withColumn("_r", place).filter(F.col("_r") <= quota).drop("_r")
 
 
+def sample_sequences(contigs: DataFrame, bin_size: int, quota: int, k_values: Sequence[int], keep: Sequence[str] = ("doc_id", "genome")) -> DataFrame:
+    """``sample_universe`` of all windows of the sequences: each task makes only windows that are among the first of their bin in their own sequence."""
+    rows = [windows.first_windows(contigs, k, bin_size, scores.bin_offsets(k_values, bin_size)[k], quota, keep) for k in dict.fromkeys(k_values)]
+    return sample_universe(reduce(DataFrame.unionByName, rows), bin_size, quota, k_values)
+
+
 def near_pairs(left: DataFrame, right: DataFrame, scope: Sequence[str], distance: int, longest: int) -> DataFrame:
     """Pairs (l., r.) of windows of different k on one ``scope`` that overlap or have fewer than ``distance`` bases between them.
 
