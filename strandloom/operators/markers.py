@@ -14,9 +14,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import scores, seq
 from ..scratch import broadcast_if_small, materialise
-from . import windows
+from . import panel, windows
 
 
 # Build profiles with their order of k, distance between markers of different k, and quota per bin by k.
@@ -93,13 +93,14 @@ def select_markers(markers: DataFrame, bucket: Sequence[str], selection: Selecti
     return independent_markers(rows, bucket, quota, selection.cap or 2**31 - 1, selection.distance)
 
 
-def capped_panel(markers: DataFrame, bucket: Sequence[str], selection: Selection | None, order: Sequence[str] = ("kmer",)) -> tuple[DataFrame, DataFrame]:
-    """(panel, summary per bucket: candidates, written, left_out) of markers; without a selection all are written and none counts as left out."""
+def capped_panel(markers: DataFrame, bucket: Sequence[str], selection: Selection | None, order: Sequence[str] = ("kmer",), candidates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(panel, summary per bucket: candidates, written, left_out) of markers; without a selection all are written and none counts as left out. ``candidates`` (bucket columns,
+    candidates): how many there are, where ``markers`` holds only those that may be selected."""
     kept = markers if selection is None else select_markers(markers, bucket, selection).select(markers.columns)
     kept = materialise(kept.orderBy(*bucket, *order), "panel")
     count = lambda df, name: df.groupBy(*bucket).agg(F.count("*").alias(name))
     keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in bucket]
-    both = count(markers, "candidates").alias("a").join(count(kept, "written").alias("b"), reduce(and_, keys), "left")
+    both = (count(markers, "candidates") if candidates is None else candidates).alias("a").join(count(kept, "written").alias("b"), reduce(and_, keys), "left")
     written = F.coalesce("written", F.lit(0))
     return kept, both.select(*(F.col(f"a.{c}").alias(c) for c in bucket), "candidates", written.alias("written"), (F.col("candidates") - written).alias("left_out"))
 
@@ -127,6 +128,22 @@ def sample_sequences(contigs: DataFrame, bin_size: int, quota: int, k_values: Se
     return sample_universe(reduce(DataFrame.unionByName, rows), bin_size, quota, k_values)
 
 
+def scored_sequences(contigs: DataFrame, bin_size: int, quota: int, k_values: Sequence[int], by_score: bool = True) -> DataFrame:
+    """genome, doc_id, k, position, kmer, bin, score: each (genome, k, k-mer, bin) of the sequences at its first contig and position, so far as it may be among the ``quota``
+    lowest scores of its (genome, k, bin), or else (not ``by_score``) among the first ``quota`` k-mers of its (genome, k). All windows are looked at; the others never leave their task."""
+    shifts = scores.bin_offsets(k_values, bin_size)
+    rows = reduce(DataFrame.unionByName, (windows.leading_kmers(contigs, k, "genome", "doc_id", bin_size, shifts[k], quota, by_score) for k in dict.fromkeys(k_values)))
+    first = rows.groupBy("genome", "k", "kmer", "bin").agg(F.min(F.struct("doc_id", "position")).alias("at"))
+    return first.select("genome", "at.doc_id", "k", "at.position", "kmer", "bin", seq.marker_score(F.col("genome"), F.col("kmer")).alias("score"))
+
+
+def count_candidates(contigs: DataFrame, bin_size: int, k: int, seq_col: str = "seq") -> DataFrame:
+    """genome, candidates: distinct (k-mer, bin) of all windows of each genome. Sequences are cut at their bins, so that a k-mer's sources are a genome's bins; none is written."""
+    pieces = F.regexp_extract_all(seq_col, F.lit(f"(?s)(?=(.{{1,{bin_size + k - 1}}})).{{1,{bin_size}}}"), F.lit(1))
+    rows = contigs.select("genome", F.posexplode(pieces).alias("bin", seq_col))
+    return panel.count_sources(rows, k, ("genome", "bin"), seq_col=seq_col)[0].groupBy("genome").agg(F.sum("n_kmers").alias("candidates"))
+
+
 def near_pairs(left: DataFrame, right: DataFrame, scope: Sequence[str], distance: int, longest: int) -> DataFrame:
     """Pairs (l., r.) of windows of different k on one ``scope`` that overlap or have fewer than ``distance`` bases between them.
 
@@ -164,6 +181,24 @@ def sample_universe_spaced(observations: DataFrame, bin_size: int, quota: int, k
     return taken
 
 
+def sample_sequences_spaced(contigs: DataFrame, bin_size: int, quota: int, k_values: Sequence[int], distance: int, k_order: Sequence[int] | None = None) -> DataFrame:
+    """``sample_universe_spaced`` of all windows of the sequences: for each k, contigs get the places that taken windows bar, and each task makes only windows that are among the
+    first of their bin in their own sequence."""
+    scope, columns, taken, shifts = ("genome", "doc_id"), ("genome", "doc_id", "k", "position", "kmer"), None, scores.bin_offsets(k_values, bin_size)
+    for k in k_order or sorted(k_values, reverse=True):
+        own = contigs.select(*scope, "seq")
+        if taken is not None:
+            span = F.struct((F.col("position") - (k + distance - 1)).cast("long").alias("first"), (F.col("position") + F.col("k") + (distance - 1)).cast("long").alias("last"))
+            spans = taken.groupBy(*scope).agg(F.collect_list(span).alias("_spans"))
+            same = [F.col(f"c.{c}").eqNullSafe(F.col(f"t.{c}")) for c in scope]
+            own = own.alias("c").join(spans.alias("t"), reduce(and_, same), "left").select("c.*", "t._spans")
+        rows = windows.first_windows(own, k, bin_size, shifts[k], quota, scope, barred=None if taken is None else "_spans")
+        rows = sample_universe(rows, bin_size, quota, k_values)
+        rows = materialise(rows.select(*columns), f"taken-{k}")
+        taken = rows if taken is None else taken.unionByName(rows)
+    return taken
+
+
 def _refused(pairs: DataFrame) -> DataFrame:
     """Of pairs (later, earlier) in one total order, the ids that a loop along that order refuses because an earlier one that it took is near.
 

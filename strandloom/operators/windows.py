@@ -1,16 +1,18 @@
 """Windows of sequences made in Arrow batches, where rows of Spark would carry the sequence along or be sorted whole: every window, each row's windows summed up, the
-first windows of each bin. Sequences are ASCII."""
+first windows of each bin, the k-mers of each bin that rank first. Sequences are ASCII."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .superkmers import _CODE, _strings, _utf8, _words
+from .superkmers import _CODE, _mix, _strings, _utf8, _words
 
 BLOCK = 1 << 16
 
@@ -48,15 +50,15 @@ def _canonical(part: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     return [np.where(less, r, f) for f, r in zip(forward, back)]
 
 
-def _map(df: DataFrame, keep: Sequence[str], seq_col: str, schema: str, make: Callable) -> DataFrame:
-    """``make`` gives, for the sequences of a batch, (row, columns) pairs; the columns ``keep`` of the row go before them."""
-    rows = df.select(*keep, F.col(seq_col).cast("string").alias("_seq"))
+def _map(df: DataFrame, keep: Sequence[str], seq_col: str, schema: str, make: Callable, *also: str) -> DataFrame:
+    """``make`` gives, for the sequences of a batch (and its columns ``also``), (row, columns) pairs; the columns ``keep`` of the row go before them."""
+    rows = df.select(*keep, F.col(seq_col).cast("string").alias("_seq"), *(F.col(c).alias(f"_also{i}") for i, c in enumerate(also)))
     kept = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes)
     names = [*keep, *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, columns in make(b.column(len(keep))):
+            for row, columns in make(*b.columns[len(keep) :]):
                 yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(row)) for i in range(len(keep))), *columns], names)
 
     return rows.mapInArrow(run, f"{kept}, {schema}")
@@ -107,12 +109,27 @@ def summed_windows(df: DataFrame, k_values: Sequence[int], keep: Sequence[str],
     return rows.groupBy(*keep, "k").agg(F.sum("n").alias("n"), F.min("first_kmer").alias("first_kmer"), F.max("last_position").alias("last_position"))
 
 
-def first_windows(df: DataFrame, k: int, bin_size: int, shift: int, quota: int, keep: Sequence[str], seq_col: str = "seq") -> DataFrame:
-    """``keep``, position, kmer (canonical), k of the first ``quota`` unambiguous windows of each row's bins; bins begin ``shift`` bases early. Where a block of a sequence ends there may be more."""
+def _covered(column: pa.Array, spans: pa.Array) -> np.ndarray:
+    """Which bases of the sequences' bytes lie in one of their row's spans, each a first and a last position."""
+    _, offsets = _utf8(column)
+    rows = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+    ends, length = spans.flatten(), (offsets[1:] - offsets[:-1])[rows]
+    change = np.zeros(int(offsets[-1]) + 1, np.int32)
+    np.add.at(change, offsets[rows] + np.clip(ends.field(0).to_numpy(), 0, length), 1)
+    np.add.at(change, offsets[rows] + np.clip(ends.field(1).to_numpy() + 1, 0, length), -1)
+    return np.cumsum(change) > 0
 
-    def make(column: pa.Array):
+
+def first_windows(df: DataFrame, k: int, bin_size: int, shift: int, quota: int, keep: Sequence[str], seq_col: str = "seq", barred: str | None = None) -> DataFrame:
+    """``keep``, position, kmer (canonical), k of the first ``quota`` unambiguous windows of each row's bins; bins begin ``shift`` bases early. Where a block of a sequence ends there may be more.
+    ``barred``: a column of spans (structs of a first and a last position) in which no window may start."""
+
+    def make(column: pa.Array, spans: pa.Array | None = None):
+        covered, offsets = (None, None) if spans is None else (_covered(column, spans), _utf8(column)[1])
         for part, at, row, position in _blocks(column, k):
             ok = _clear(part, at, k)
+            if covered is not None:
+                ok &= ~covered[offsets[row] + position]
             at, row, position = at[ok], row[ok], position[ok]
             if len(at):
                 bin_ = (position + shift) // bin_size
@@ -120,4 +137,58 @@ def first_windows(df: DataFrame, k: int, bin_size: int, shift: int, quota: int,
                 few = np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at))) < quota
                 yield row[few], [pa.array(position[few].astype(np.int32)), _strings(_canonical(part, at[few], k), k), pa.array(np.full(int(few.sum()), k, np.int32))]
 
-    return _map(df, keep, seq_col, "position int, kmer string, k int", make)
+    return _map(df, keep, seq_col, "position int, kmer string, k int", make, *([barred] if barred else []))
+
+
+def _scores(group: list[str], of: np.ndarray, words: list[np.ndarray], k: int) -> np.ndarray:
+    """The first 64 bits of the SHA-256 of group, tab and k-mer (``functions.seq.marker_score`` as a number)."""
+    out, sha = np.empty(len(of), ">u8"), hashlib.sha256
+    for low in range(0, len(of), 1 << 16):
+        part = slice(low, low + (1 << 16))
+        text = _strings([w[part] for w in words], k)
+        raw, prefix = memoryview(text.buffers()[2]).tobytes(), [f"{g}\t".encode() for g in group]
+        digests = b"".join([sha(prefix[g] + raw[i : i + k]).digest()[:8] for g, i in zip(of[part].tolist(), range(0, len(raw), k))])
+        out[part] = np.frombuffer(digests, ">u8")
+    return out.astype(np.uint64)
+
+
+def leading_kmers(df: DataFrame, k: int, group: str, contig: str, bin_size: int, shift: int, quota: int, by_score: bool, seq_col: str = "seq") -> DataFrame:
+    """group, contig, k, position, kmer (canonical), bin of all windows whose k-mer may be among the first ``quota`` of its group: by score of each bin, or (not ``by_score``)
+    by k-mer of the whole group, where a k-mer counts once for each bin. Each task leaves out what ``quota`` others of its batch go before; of a k-mer's places in a bin it gives the first by (contig, position)."""
+
+    def make(column: pa.Array, groups: pa.Array, contigs: pa.Array):
+        coded = pc.fill_null(groups.cast(pa.string()), "").dictionary_encode()
+        names, of_row = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        by_contig = pc.sort_indices(contigs, null_placement="at_start").to_numpy()
+        rank = np.empty(len(contigs), np.int64)
+        rank[by_contig] = np.arange(len(contigs))
+        found = []
+        for part, at, row, position in _blocks(column, k):
+            ok = _clear(part, at, k)
+            at, row, position = at[ok], row[ok], position[ok]
+            if len(at):
+                found.append((of_row[row], (position + shift) // bin_size, rank[row] << 40 | position, *_canonical(part, at, k)))
+        if not found:
+            return
+        of, bin_, place, *words = (np.concatenate(x) for x in zip(*found))
+        del found
+        # Equal (group, bin, k-mer) lie beside each other, each with its first place.
+        h = of.astype(np.uint64) << np.uint64(40) | bin_.astype(np.uint64)
+        for w in words:
+            h = _mix(h) ^ w
+        order = np.argsort(_mix(h))
+        of, bin_, place, words = of[order], bin_[order], place[order], [w[order] for w in words]
+        starts = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (bin_[1:] != bin_[:-1]) | np.logical_or.reduce([w[1:] != w[:-1] for w in words]))))
+        place, of, bin_, words = np.minimum.reduceat(place, starts), of[starts], bin_[starts], [w[starts] for w in words]
+        keys = [*words[::-1], _scores(names, of, words, k), bin_, of] if by_score else [bin_, *words[::-1], of]
+        order = np.lexsort(keys)
+        of, bin_, place, words = of[order], bin_[order], place[order], [w[order] for w in words]
+        new = np.concatenate(([True], (of[1:] != of[:-1]) | by_score & (bin_[1:] != bin_[:-1])))
+        other = np.concatenate(([True], np.logical_or.reduce([w[1:] != w[:-1] for w in words])))  # places of one k-mer never part
+        other |= new
+        starts, nth = np.flatnonzero(new), np.cumsum(other)
+        few = nth - np.repeat(nth[starts], np.diff(starts, append=len(of))) < quota
+        of, bin_, place, words = of[few], bin_[few], place[few], [w[few] for w in words]
+        yield by_contig[place >> 40], [pa.array(np.full(len(of), k, np.int32)), pa.array((place & ((1 << 40) - 1)).astype(np.int32)), _strings(words, k), pa.array(bin_)]
+
+    return _map(df, (group, contig), seq_col, "k int, position int, kmer string, bin long", make, group, contig)
