@@ -40,10 +40,10 @@ def a02(spark, sf):
 
 @query("a03_fastq_numbered", f"WITH {_READS} SELECT doc_id::VARCHAR AS identifier, q AS quality, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS record_index FROM reads")
 def a03(spark, sf):
-    """Qualities kept and records numbered over the ranges of one file."""
+    """Qualities kept and records numbered over the ranges of all files, which are written in order and by many tasks."""
     path = scratch_path(spark, "fastq")
-    sequences.write_fastq(_reads(spark, sf).orderBy(F.col("identifier").cast("long")).coalesce(1), path)
-    return sequences.read_fastq(spark, path, 1 << 18).select("identifier", "quality", "record_index")
+    sequences.write_fastq(_reads(spark, sf).orderBy(F.col("identifier").cast("long")), path)
+    return sequences.read_fastq(spark, path, 1 << 18, across=True).select("identifier", "quality", "record_index")
 
 
 @query("a05_tsv_round_trip", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderpriority, o_totalprice::DOUBLE AS o_totalprice, array_to_string(list_sort(list(DISTINCT l_returnflag)), ';') AS flags FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq
+from ..scratch import broadcast_if_small, materialise
 
 READ = "path string, range_start long, nth long, offset long, identifier string, description string, sequence string, quality string"
 BATCH = 4 << 20
@@ -228,28 +229,31 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(rows)
 
 
-def read_fastq(spark: SparkSession, path: str, range_bytes: int | None = None, numbered: bool = True) -> DataFrame:
-    """path, record_index (in its file, from 0), identifier, description, sequence (normalised), quality of FASTQ files.
+def read_fastq(spark: SparkSession, path: str, range_bytes: int | None = None, numbered: bool = True, across: bool = False) -> DataFrame:
+    """path, record_index (in its file, or, ``across``, in all files in order of their paths; from 0), identifier, description, sequence (normalised), quality of FASTQ files.
 
-    Files are read in ranges of ``range_bytes`` (as large as Spark's own splits if None), each in a task of its own; plain files are cut anywhere, block-gzipped ones at
+    Files are read in ranges of ``range_bytes`` (as large as Spark's own splits if None). Neighbouring ranges share a task where there are more of them than four for each core and than Spark's
+    own splits would be, as the driver keeps track of every task; plain files are cut anywhere, block-gzipped ones at
     blocks, other gzip files not at all. Indices need each range's number of records, which a second scan counts; without ``numbered`` there
     is none, and rows of one file are ordered by (range_start, nth) in either case.
     """
-    if range_bytes is None:
-        range_bytes = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    split = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    range_bytes = range_bytes or split
     files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length").filter("length > 0")
     many = F.ceil(F.col("length") / range_bytes).cast("long")
     first = F.coalesce(F.sum(many).over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
     ranges = files.select("path", first.alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("i"), "length")
     ranges = ranges.select("path", (F.col("i") * range_bytes).alias("start"), F.least((F.col("i") + 1) * range_bytes, "length").alias("end"), (F.col("first") + F.col("i")).cast("int").alias("task"))
-    total = files.agg(F.sum(many)).first()[0] or 0
-    scan = ranges.repartitionById(max(1, total), F.col("task")).select("path", "start", "end").mapInArrow(_scan, READ)
+    total, size = files.agg(F.coalesce(F.sum(many), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(1, min(total, max(4 * spark.sparkContext.defaultParallelism, -(-size // split))))
+    scan = ranges.repartitionById(tasks, F.floor(F.col("task").cast("long") * tasks / max(1, total)).cast("int")).select("path", "start", "end").mapInArrow(_scan, READ)
     rows = scan.withColumn("sequence", seq.normalise_sequence(F.col("sequence")))
     if not numbered:
         return rows
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    order = Window.orderBy("path", "range_start") if across else Window.partitionBy("path").orderBy("range_start")  # one row a range
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = scan.groupBy("path", "range_start").agg(F.count("*").alias("n")).select("path", "range_start", before.alias("before"))
-    out = rows.join(counts, ["path", "range_start"])
+    out = rows.join(broadcast_if_small(materialise(counts, "counts")), ["path", "range_start"])
     return out.select("path", (F.col("before") + F.col("nth")).alias("record_index"), "identifier", "description", "sequence", "quality", "range_start", "nth")
 
 
