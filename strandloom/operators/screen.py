@@ -62,17 +62,19 @@ def _parts(kmer: Column, k: int, n: int) -> list[Column]:
     return [F.substring(kmer, a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def fuzzy_hits(windows: DataFrame, panel: DataFrame, mismatches: int = 1, fuzzy_min_k: int = 71) -> DataFrame:
+def fuzzy_hits(windows: DataFrame, panel: DataFrame, mismatches: int = 1, fuzzy_min_k: int = 71, k_values: Sequence[int] | None = None) -> DataFrame:
     """Windows at one (or up to two) substitutions from a marker of the same k, canonical forms compared.
 
     Of mismatches + 1 parts of a k-mer one is free of errors (pigeonhole), so candidates come from one equi-join of
     distinct k-mers on (part, content); a candidate found through several parts is made only by its first equal part. Distances are
-    counted on packed bases, then matches go back to the windows that hold the k-mer.
+    counted on packed bases, then matches go back to the windows that hold the k-mer. The windows' k-mers are broadcast where they are few enough, so that the panel stays
+    where it is made. ``k_values``: the panel's k, where they are known; else the panel is read once more for them.
     """
     if mismatches not in (1, 2):
         raise ValueError("one or two mismatches")
     n, out = mismatches + 1, None
-    for k in sorted(r[0] for r in panel.select("k").distinct().filter(F.col("k") >= fuzzy_min_k).collect()):  # a handful of k
+    known = [r[0] for r in panel.select("k").distinct().collect()] if k_values is None else set(k_values)  # a handful of k
+    for k in sorted(k for k in known if k >= fuzzy_min_k):
         p = panel.filter((F.col("k") == k) & (F.length("kmer") == k)).withColumnRenamed("kmer", "matched_kmer").drop("k")
         w = windows.filter(F.col("k") == k).select("sample_id", "sequence_id", "query_position", "query_kmer")
         longs = range(0, k, WORD)
@@ -82,7 +84,8 @@ def fuzzy_hits(windows: DataFrame, panel: DataFrame, mismatches: int = 1, fuzzy_
             return rows.select("*", *words, F.posexplode(F.array(*_parts(F.col(kmer), k, n))).alias("part", "content"))
 
         apart = sum((packed_distance(F.col(f"q{i}"), F.col(f"m{i}")) for i in longs), F.lit(0)).cast("int")
-        pairs = side(w.select("query_kmer").distinct(), "query_kmer", "q").join(side(p, "matched_kmer", "m"), ["part", "content"]).withColumn("mismatches", apart)
+        own = materialise(w.select("query_kmer").distinct(), "queries")
+        pairs = side(broadcast_if_small(own), "query_kmer", "q").join(side(p, "matched_kmer", "m"), ["part", "content"]).withColumn("mismatches", apart)
         pairs = pairs.filter((F.col("mismatches") > 0) & (F.col("mismatches") <= mismatches))
         first = F.lit(None).cast("int")
         for i, (x, y) in reversed(list(enumerate(zip(_parts(F.col("query_kmer"), k, n), _parts(F.col("matched_kmer"), k, n))))):
@@ -119,10 +122,11 @@ def rescue_species(evidence: DataFrame, most: int, min_unique: int, min_sequence
     return best.orderBy(*(F.desc(f"x.{k}") for k in keys)).limit(most).select("species_name")
 
 
-def two_stage(windows: DataFrame, panel: DataFrame, species: DataFrame, mismatches: int = 1, fuzzy_min_k: int = 101) -> DataFrame:
-    """Exact hits of all markers, and fuzzy hits of the rescue species only."""
-    fuzzy = fuzzy_hits(windows, filter_panel(panel, species, fuzzy_min_k), mismatches, fuzzy_min_k)
-    return deduplicate(exact_hits(windows, panel).unionByName(fuzzy))
+def two_stage(windows: DataFrame, panel: DataFrame, species: DataFrame, mismatches: int = 1, fuzzy_min_k: int = 101, k_values: Sequence[int] | None = None) -> DataFrame:
+    """Exact hits of all markers, and fuzzy hits of the rescue species only. Windows are written, and broadcast where they are small, so that the panel stays where it is made."""
+    windows = materialise(windows, "windows")
+    fuzzy = fuzzy_hits(windows, filter_panel(panel, species, fuzzy_min_k), mismatches, fuzzy_min_k, k_values)
+    return deduplicate(exact_hits(broadcast_if_small(windows), panel).unionByName(fuzzy))
 
 
 def merge_markers(panels: Sequence[DataFrame], signature: Sequence[str]) -> DataFrame:
