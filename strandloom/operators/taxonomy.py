@@ -149,6 +149,15 @@ def best_named(tree: Tree, ranks: Sequence[str] = RANKS) -> DataFrame:
     return named.select(F.col("id").alias("taxid"), F.coalesce("node", "self").alias("node"))
 
 
+def named_paths(tree: Tree, ranks: Sequence[str] = RANKS) -> DataFrame:
+    """(taxid, path): the places of the nodes of a preferred rank from the root down to the taxid, itself included. The last place that the paths of a set's taxids share is that of the ``best_named``
+    of their common ancestor, if such a node has a preferred rank."""
+    wanted = F.coalesce(F.lower("rank").isin([r.lower() for r in ranks]), F.lit(False))
+    own = F.when(wanted, F.array("low")).otherwise(F.array().cast("array<bigint>"))
+    rows = tree.nodes.select(F.col("taxid").alias("id"), F.col("parent").alias("up"), own.alias("path"))
+    return double(rows, {"path": F.concat("b.path", "a.path")}, label="paths")[0].withColumnRenamed("id", "taxid")
+
+
 def assign_nodes(df: DataFrame, tree: Tree, set_col: str = "taxids", ranks: Sequence[str] = RANKS) -> DataFrame:
     """``df`` with ``lca`` and ``node`` (its best named ancestor) of each row's taxid set; null where there is none.
 
