@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import names, seq
 from ..scratch import broadcast_if_small, materialise
 from . import taxonomy
+from .windows import kept_parts, near_kmers
 
 HIT = ("sample_id", "sequence_id", "k", "query_position", "matched_kmer", "query_kmer", "mismatches", "panel_type", "species_name", "clade", "evidence_rank", "evidence_name")
 
@@ -62,17 +63,35 @@ def _parts(kmer: Column, k: int, n: int) -> list[Column]:
     return [F.substring(kmer, a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+def _keys(kmer: Column, k: int, mismatches: int) -> list[Column]:
+    """Parts of a k-mer, one of which is the same in any k-mer with so many mismatches."""
+    return [F.concat(*(F.substring(kmer, a + 1, b - a) for a, b in kept)) for kept in kept_parts(k, mismatches)]
+
+
+#: The most k-mers of reads that each task holds an index of.
+NEAR = 1 << 19
+
+
+def near_contigs(windows: DataFrame, contigs: DataFrame, group: str, k: int, mismatches: int) -> DataFrame | None:
+    """group, kmer of the contigs' windows with at most ``mismatches`` substitutions from a window of the reads, not distinct: all that a panel of the contigs needs to hold for ``fuzzy_hits`` and ``exact_hits``.
+    None where the reads have more than ``NEAR`` distinct k-mers: a panel must hold all of the contigs' k-mers then, and is joined."""
+    own = materialise(windows.filter((F.col("k") == k) & (F.length("query_kmer") == k)).select("query_kmer").distinct(), "queries")
+    if own.count() > NEAR:
+        return None
+    return near_kmers(contigs, k, group, [r[0] for r in own.collect()], mismatches)
+
+
 def fuzzy_hits(windows: DataFrame, panel: DataFrame, mismatches: int = 1, fuzzy_min_k: int = 71, k_values: Sequence[int] | None = None) -> DataFrame:
     """Windows at one (or up to two) substitutions from a marker of the same k, canonical forms compared.
 
-    Of mismatches + 1 parts of a k-mer one is free of errors (pigeonhole), so candidates come from one equi-join of
-    distinct k-mers on (part, content); a candidate found through several parts is made only by its first equal part. Distances are
+    A k-mer is cut into more parts than there may be mismatches, so of the sets of parts that leave out as many one is free of errors (pigeonhole); candidates come from one equi-join of
+    distinct k-mers on (set, content), and a candidate found through several sets is made only by its first equal one. Distances are
     counted on packed bases, then matches go back to the windows that hold the k-mer. The windows' k-mers are broadcast where they are few enough, so that the panel stays
     where it is made. ``k_values``: the panel's k, where they are known; else the panel is read once more for them.
     """
     if mismatches not in (1, 2):
         raise ValueError("one or two mismatches")
-    n, out = mismatches + 1, None
+    out = None
     known = [r[0] for r in panel.select("k").distinct().collect()] if k_values is None else set(k_values)  # a handful of k
     for k in sorted(k for k in known if k >= fuzzy_min_k):
         p = panel.filter((F.col("k") == k) & (F.length("kmer") == k)).withColumnRenamed("kmer", "matched_kmer").drop("k")
@@ -81,14 +100,14 @@ def fuzzy_hits(windows: DataFrame, panel: DataFrame, mismatches: int = 1, fuzzy_
 
         def side(rows: DataFrame, kmer: str, name: str) -> DataFrame:
             words = [x.alias(f"{name}{i}") for i, x in zip(longs, packed(F.col(kmer), k))]
-            return rows.select("*", *words, F.posexplode(F.array(*_parts(F.col(kmer), k, n))).alias("part", "content"))
+            return rows.select("*", *words, F.posexplode(F.array(*_keys(F.col(kmer), k, mismatches))).alias("part", "content"))
 
         apart = sum((packed_distance(F.col(f"q{i}"), F.col(f"m{i}")) for i in longs), F.lit(0)).cast("int")
         own = materialise(w.select("query_kmer").distinct(), "queries")
         pairs = side(broadcast_if_small(own), "query_kmer", "q").join(side(p, "matched_kmer", "m"), ["part", "content"]).withColumn("mismatches", apart)
         pairs = pairs.filter((F.col("mismatches") > 0) & (F.col("mismatches") <= mismatches))
         first = F.lit(None).cast("int")
-        for i, (x, y) in reversed(list(enumerate(zip(_parts(F.col("query_kmer"), k, n), _parts(F.col("matched_kmer"), k, n))))):
+        for i, (x, y) in reversed(list(enumerate(zip(_keys(F.col("query_kmer"), k, mismatches), _keys(F.col("matched_kmer"), k, mismatches))))):
             first = F.when(x == y, i).otherwise(first)
         pairs = pairs.filter(F.col("part") == first).select("query_kmer", *p.columns, "mismatches")
         hits = w.join(pairs, "query_kmer").withColumn("k", F.lit(k))

@@ -1,10 +1,11 @@
 """Windows of sequences made in Arrow batches, where rows of Spark would carry the sequence along or be sorted whole: every window, each row's windows summed up, the
-first windows of each bin, the k-mers of each bin that rank first. Sequences are ASCII."""
+first windows of each bin, the k-mers of each bin that rank first, the k-mers near given ones. Sequences are ASCII."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -192,3 +193,105 @@ def leading_kmers(df: DataFrame, k: int, group: str, contig: str, bin_size: int,
         yield by_contig[place >> 40], [pa.array(np.full(len(of), k, np.int32)), pa.array((place & ((1 << 40) - 1)).astype(np.int32)), _strings(words, k), pa.array(bin_)]
 
     return _map(df, (group, contig), seq_col, "k int, position int, kmer string, bin long", make, group, contig)
+
+
+#: Bases that a key of a k-mer has where k allows it, so that few other k-mers share it by chance; the most parts beyond the mismatches that k-mers are cut into for that.
+KEY, PARTS = 12, 4
+
+
+def kept_parts(k: int, mismatches: int) -> list[tuple[tuple[int, int], ...]]:
+    """Sets of stretches (first base, end) of a k-mer, one of which at least is free of errors: a k-mer is cut into more parts than mismatches, and each set leaves out as many parts as there
+    may be mismatches. Of few parts if their sets have enough bases, else of as many as give the longest ones."""
+    best: list = []
+    for n in range(mismatches + 1, min(mismatches + PARTS, k) + 1):
+        cuts = [i * k // n for i in range(n + 1)]
+        sets = list(combinations(zip(cuts, cuts[1:]), n - mismatches))
+        size = min(sum(b - a for a, b in s) for s in sets)
+        if not best or size > best[0]:
+            best = [size, sets]
+        if size >= KEY:
+            break
+    return best[1] if best else [()]
+
+
+class _Near:
+    """The k-mers ``queries`` (packed words) by the parts of which one must be free of errors; ``hits`` says which other k-mers are near one of them."""
+
+    def __init__(self, queries: list[np.ndarray], k: int, mismatches: int):
+        self.queries, self.mismatches, self.tables = queries, mismatches, []
+        self.shift = np.uint64(64 - min(24, max(10, int(len(queries[0])).bit_length() + 6)))
+        for kept in kept_parts(k, mismatches):
+            masks = []
+            for low in range(0, k, 32):
+                size = min(32, k - low)
+                masks.append(np.uint64(sum(3 << 2 * (size - 1 - i) for a, b in kept for i in range(max(a - low, 0), min(b - low, size)))))
+            keys = self._keys(queries, masks)
+            order = np.argsort(keys)
+            seen = np.zeros(1 << 64 - int(self.shift), bool)
+            seen[self._slot(keys)] = True
+            self.tables.append((masks, seen, keys[order], order))
+
+    @staticmethod
+    def _keys(words: list[np.ndarray], masks: list[np.uint64]) -> np.ndarray:
+        out = words[0] & masks[0]
+        for w, m in zip(words[1:], masks[1:]):
+            out = _mix(out) ^ (w & m)
+        return out
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def _distance(self, words: list[np.ndarray], at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), np.uint8)
+        for w, q in zip(words, self.queries):
+            x = w[at] ^ q[query]
+            out += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+        return out
+
+    def hits(self, words: list[np.ndarray]) -> np.ndarray:
+        near = np.zeros(len(words[0]), bool)
+        for masks, seen, keys, order in self.tables:
+            key = self._keys(words, masks)
+            at = np.flatnonzero(seen[self._slot(key)] & ~near)
+            low = np.searchsorted(keys, key[at])
+            n = np.searchsorted(keys, key[at], "right") - low
+            at, low, n = at[n > 0], low[n > 0], n[n > 0]
+            ends = np.cumsum(n)
+            while len(at):  # about a million pairs at a time
+                few = max(1, int(np.searchsorted(ends, (1 << 20) + ends[0] - n[0], "right")))
+                of = np.repeat(np.arange(few), n[:few])
+                query = order[low[:few][of] + np.arange(len(of)) - np.repeat(np.cumsum(n[:few]) - n[:few], n[:few])]
+                near[at[of[self._distance(words, at[:few][of], query) <= self.mismatches]]] = True
+                at, low, n, ends = at[few:], low[few:], n[few:], ends[few:]
+        return near
+
+
+def near_kmers(df: DataFrame, k: int, group: str, queries: Sequence[str], mismatches: int, seq_col: str = "seq") -> DataFrame:
+    """group, kmer (canonical) of all windows whose k-mer has at most ``mismatches`` substitutions from one of the k-mers ``queries`` (as they stand), each once for a batch. All windows are looked
+    at; the others never leave their task. Each task holds an index of the queries."""
+    data, _ = _utf8(pa.array(queries, pa.string()))
+    packed = _words(np.concatenate((_CODE[data] & 3, np.zeros(64, np.uint8))), np.arange(len(queries)) * k, k)
+    index: list[_Near] = []
+
+    def make(column: pa.Array, groups: pa.Array):
+        if not index:
+            index.append(_Near(packed, k, mismatches))
+        coded = groups.cast(pa.string()).dictionary_encode("encode")
+        of_row, found = coded.indices.to_numpy(), []
+        for part, at, row, _ in _blocks(column, k):
+            ok = _clear(part, at, k)
+            at, row = at[ok], row[ok]
+            if len(at):
+                words = _canonical(part, at, k)
+                near = np.flatnonzero(index[0].hits(words))
+                found.append((row[near], *(w[near] for w in words)))
+        if found:
+            row, *words = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((of_row[row], *words))
+            new = np.ones(len(order), bool)
+            new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (of_row[row], *words)])
+            row, words = row[order][new], [w[order][new] for w in words]
+            if len(row):
+                yield row, [_strings(words, k)]
+
+    return _map(df, (group,), seq_col, "kmer string", make, group) if len(queries) else df.select(group, F.lit("").alias("kmer")).limit(0)
