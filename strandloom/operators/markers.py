@@ -132,7 +132,11 @@ def scored_sequences(contigs: DataFrame, bin_size: int, quota: int, k_values: Se
     """genome, doc_id, k, position, kmer, bin, score: each (genome, k, k-mer, bin) of the sequences at its first contig and position, so far as it may be among the ``quota``
     lowest scores of its (genome, k, bin), or else (not ``by_score``) among the first ``quota`` k-mers of its (genome, k). All windows are looked at; the others never leave their task."""
     shifts = scores.bin_offsets(k_values, bin_size)
-    rows = reduce(DataFrame.unionByName, (windows.leading_kmers(contigs, k, "genome", "doc_id", bin_size, shifts[k], quota, by_score) for k in dict.fromkeys(k_values)))
+    shifts = {k: shifts[k] for k in dict.fromkeys(k_values)}
+    if by_score:
+        rows = windows.scored_kmers(contigs, shifts, "genome", "doc_id", bin_size, quota)
+    else:
+        rows = reduce(DataFrame.unionByName, (windows.leading_kmers(contigs, k, "genome", "doc_id", bin_size, shift, quota) for k, shift in shifts.items()))
     first = rows.groupBy("genome", "k", "kmer", "bin").agg(F.min(F.struct("doc_id", "position")).alias("at"))
     return first.select("genome", "at.doc_id", "k", "at.position", "kmer", "bin", seq.marker_score(F.col("genome"), F.col("kmer")).alias("score"))
 

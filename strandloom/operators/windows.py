@@ -3,8 +3,7 @@ first windows of each bin, the k-mers of each bin that rank first, the k-mers ne
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -13,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .superkmers import _CODE, _mix, _strings, _utf8, _words
+from .superkmers import _CODE, _letters, _mix, _strings, _utf8, _words
 
 BLOCK = 1 << 16
 
@@ -27,7 +26,8 @@ def _blocks(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray,
     while low + k <= end:
         part = data[low : min(low + BLOCK + k - 1, end)]
         places = np.arange(low, low + len(part) - k + 1)
-        row = np.searchsorted(offsets, places, "right") - 1
+        first, last = np.searchsorted(offsets, (low, places[-1]), "right") - 1
+        row = np.repeat(np.arange(first, last + 1), np.diff(np.clip(offsets[first : last + 2], low, places[-1] + 1)))
         at = np.flatnonzero(places + k <= offsets[row + 1])
         if len(at):
             yield part, at, row[at], (places - offsets[row])[at]
@@ -141,25 +141,97 @@ def first_windows(df: DataFrame, k: int, bin_size: int, shift: int, quota: int,
     return _map(df, keep, seq_col, "position int, kmer string, k int", make, *([barred] if barred else []))
 
 
-def _scores(group: list[str], of: np.ndarray, words: list[np.ndarray], k: int) -> np.ndarray:
-    """The first 64 bits of the SHA-256 of group, tab and k-mer (``functions.seq.marker_score`` as a number)."""
-    out, sha = np.empty(len(of), ">u8"), hashlib.sha256
-    for low in range(0, len(of), 1 << 16):
-        part = slice(low, low + (1 << 16))
-        text = _strings([w[part] for w in words], k)
-        raw, prefix = memoryview(text.buffers()[2]).tobytes(), [f"{g}\t".encode() for g in group]
-        digests = b"".join([sha(prefix[g] + raw[i : i + k]).digest()[:8] for g, i in zip(of[part].tolist(), range(0, len(raw), k))])
-        out[part] = np.frombuffer(digests, ">u8")
-    return out.astype(np.uint64)
+#: Bases whose windows are made into rows together.
+ROW = 1 << 16
 
 
-def leading_kmers(df: DataFrame, k: int, group: str, contig: str, bin_size: int, shift: int, quota: int, by_score: bool, seq_col: str = "seq") -> DataFrame:
-    """group, contig, k, position, kmer (canonical), bin of all windows whose k-mer may be among the first ``quota`` of its group: by score of each bin, or (not ``by_score``)
-    by k-mer of the whole group, where a k-mer counts once for each bin. Each task leaves out what ``quota`` others of its batch go before; of a k-mer's places in a bin it gives the first by (contig, position)."""
+def scored_kmers(df: DataFrame, shifts: Mapping[int, int], group: str, contig: str, bin_size: int, quota: int, seq_col: str = "seq") -> DataFrame:
+    """group, contig, k, position, kmer (canonical), bin of all windows whose k-mer may be among the ``quota`` lowest scores (``functions.seq.marker_score`` of group and k-mer) of its group, k and bin.
+    ``shifts``: for each k, how many bases early its bins begin.
+
+    Tasks put the windows of a group, k and bin side by side, as one text of group, tab and k-mer each, and so many to a row; Spark hashes the texts of a row and keeps the ``quota`` lowest, each k-mer at its first place
+    by (contig, position). Only what is below a limit is sorted, which about 8 times ``quota`` of a row's distinct k-mers should be; a row where fewer than ``quota`` are is sorted whole."""
+
+    def make(column: pa.Array, groups: pa.Array, contigs: pa.Array):
+        by_contig = pc.sort_indices(contigs, null_placement="at_start").to_numpy()
+        data, offsets = _utf8(column.take(pa.array(by_contig)))
+        if (data[offsets[0] : offsets[-1]] > 127).any():
+            raise ValueError("a sequence has letters that are not ASCII")
+        coded = groups.cast(pa.string()).dictionary_encode("encode")
+        prefixes, of_row = [f"{g or ''}\t".encode() for g in coded.dictionary.to_pylist()], coded.indices.to_numpy()[by_contig]
+
+        def pieces(k: int) -> Iterator[tuple]:
+            # Sequences are cut at bins, long bins in parts; pieces of a group and bin lie side by side, in order of their places.
+            parts, n, shift = -(-bin_size // ROW), np.diff(offsets) - k + 1, shifts[k]
+            row = np.flatnonzero(n > 0)
+            first, last = (q // bin_size * parts + q % bin_size // ROW for q in (np.full(len(row), shift), n[row] - 1 + shift))
+            row = np.repeat(row, last - first + 1)
+            part = np.arange(len(row)) + np.repeat(first - (np.cumsum(last - first + 1) - (last - first + 1)), last - first + 1)
+            begin, end = (q // parts * bin_size + q % parts * ROW - shift for q in (part, part + 1))
+            begin, end, bin_, of = np.maximum(begin, 0), np.minimum(end, n[row]), part // parts, of_row[row]
+            order = np.lexsort((bin_, of))
+            row, begin, end, bin_, of = row[order], begin[order], end[order], bin_[order], of[order]
+            size = end - begin + k - 1
+            total, width = np.cumsum(size), k + np.array([len(x) for x in prefixes])[of]
+            low = 0
+            while low < len(row):  # pieces of one width
+                high = max(low + 1, int(np.searchsorted(total, total[low] - size[low] + ROW, "right")))
+                other = np.flatnonzero(width[low:high] != width[low])
+                here = slice(low, low + int(other[0]) if len(other) else high)
+                yield from rows(k, int(width[low]), row[here], begin[here], size[here], bin_[here], of[here])
+                low = here.stop
+
+        def rows(k, width, row, begin, size, bin_, of) -> Iterator[tuple]:
+            piece, nth = np.repeat(np.arange(len(row)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            part = data[(offsets[row] + begin)[piece] + nth]
+            at = np.flatnonzero(nth <= (size - k)[piece])
+            at = at[_clear(part, at, k)]
+            n, piece = len(at), piece[at]
+            if not n:
+                return
+            words, row, position = _canonical(part, at, k), row[piece], begin[piece] + nth[at]
+            run = np.cumsum(np.concatenate(([False], (bin_[1:] != bin_[:-1]) | (of[1:] != of[:-1]))))[piece]
+            starts = np.flatnonzero(np.diff(run, prepend=-1))
+            size, bin_, of = np.diff(starts, append=n), bin_[piece[starts]], of[piece[starts]]
+            texts, h, limits = np.empty((n, width), np.uint8), words[0], []
+            texts[:, width - k :] = _letters(words, k)
+            for w in words[1:]:
+                h = _mix(h) ^ w
+            for a, m, prefix in zip(starts.tolist(), size.tolist(), of.tolist()):
+                texts[a : a + m, : width - k] = np.frombuffer(prefixes[prefix], np.uint8)
+                known = np.sort(h[a : a + m])
+                distinct = 1 + int(np.count_nonzero(known[1:] != known[:-1]))
+                limits.append(f"{(8 * quota << 64) // distinct:016x}" if distinct > 8 * quota else "g")  # after all digits
+            new = np.ones(n, bool)
+            new[1:] = row[1:] != row[:-1]
+            new[starts] = True
+            own = np.cumsum(new) - 1
+            places = (own - np.repeat(own[starts], size)) << 40 | position
+            strings = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(texts.tobytes())])
+            lists = [(np.append(starts, n), strings), (np.append(own[starts], own[-1] + 1), contigs.take(pa.array(by_contig[row[new]]))), (np.append(starts, n), pa.array(places))]
+            yield by_contig[row[starts]], [pa.array(np.full(len(starts), k, np.int32)), pa.array(bin_), pa.array(limits), *(pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), v) for o, v in lists)]
+
+        for k in shifts:
+            yield from pieces(k)
+
+    rows_ = _map(df, (group,), seq_col, f"k int, bin long, _limit string, _texts array<string>, _contigs array<{dict(df.dtypes)[contig]}>, _places array<long>", make, group, contig)
+    score = lambda x: F.sha2(x, 256)
+    low = rows_.withColumn("_low", F.array_distinct(F.filter("_texts", lambda x: score(x) < F.col("_limit"))))
+    low = low.withColumn("_low", F.when(F.size("_low") >= quota, F.col("_low")).otherwise(F.array_distinct("_texts")))
+    scored = F.array_sort(F.transform("_low", lambda x: F.struct(F.substring(score(x), 1, 16).alias("score"), x.alias("text"))))
+    best = low.select(group, "k", "bin", "_texts", "_contigs", "_places", F.explode(F.slice(scored, 1, quota)["text"]).alias("_text"))
+    best = best.withColumn("_place", F.get("_places", (F.array_position("_texts", F.col("_text")) - 1).cast("int")))
+    position = F.col("_place").bitwiseAND(F.lit((1 << 40) - 1)).cast("int")
+    return best.select(group, F.get("_contigs", F.shiftright("_place", 40).cast("int")).alias(contig), "k", position.alias("position"), F.right(F.col("_text"), F.col("k")).alias("kmer"), "bin")
+
+
+def leading_kmers(df: DataFrame, k: int, group: str, contig: str, bin_size: int, shift: int, quota: int, seq_col: str = "seq") -> DataFrame:
+    """group, contig, k, position, kmer (canonical), bin of all windows whose k-mer may be among the first ``quota`` of its group, where a k-mer counts once for each bin.
+    Each task leaves out what ``quota`` others of its batch go before; of a k-mer's places in a bin it gives the first by (contig, position)."""
 
     def make(column: pa.Array, groups: pa.Array, contigs: pa.Array):
         coded = pc.fill_null(groups.cast(pa.string()), "").dictionary_encode()
-        names, of_row = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        of_row = coded.indices.to_numpy()
         by_contig = pc.sort_indices(contigs, null_placement="at_start").to_numpy()
         rank = np.empty(len(contigs), np.int64)
         rank[by_contig] = np.arange(len(contigs))
@@ -181,10 +253,9 @@ def leading_kmers(df: DataFrame, k: int, group: str, contig: str, bin_size: int,
         of, bin_, place, words = of[order], bin_[order], place[order], [w[order] for w in words]
         starts = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (bin_[1:] != bin_[:-1]) | np.logical_or.reduce([w[1:] != w[:-1] for w in words]))))
         place, of, bin_, words = np.minimum.reduceat(place, starts), of[starts], bin_[starts], [w[starts] for w in words]
-        keys = [*words[::-1], _scores(names, of, words, k), bin_, of] if by_score else [bin_, *words[::-1], of]
-        order = np.lexsort(keys)
+        order = np.lexsort([bin_, *words[::-1], of])
         of, bin_, place, words = of[order], bin_[order], place[order], [w[order] for w in words]
-        new = np.concatenate(([True], (of[1:] != of[:-1]) | by_score & (bin_[1:] != bin_[:-1])))
+        new = np.concatenate(([True], of[1:] != of[:-1]))
         other = np.concatenate(([True], np.logical_or.reduce([w[1:] != w[:-1] for w in words])))  # places of one k-mer never part
         other |= new
         starts, nth = np.flatnonzero(new), np.cumsum(other)

@@ -16,8 +16,7 @@ def canonical(x):
 
 
 @pytest.mark.parametrize("k, mismatches", [(2, 2), (4, 1), (5, 2), (15, 1), (21, 2), (32, 2), (40, 2), (75, 1)])
-def test_near_kmers_are_those_of_all_pairs(spark, monkeypatch, k, mismatches):
-    monkeypatch.setattr(windows, "BLOCK", 200)
+def test_near_kmers_are_those_of_all_pairs(spark, k, mismatches):
     draw = random.Random(k)
     texts = ["".join(draw.choice("ACGT") for _ in range(300)) for _ in range(3)]
     texts += [texts[0][:120] + "N" + texts[1][:50].lower(), "A" * 150 + "C" + "A" * 90, "ACG"[: k - 1], None]
